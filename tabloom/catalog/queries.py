@@ -38,7 +38,7 @@ def query(build: Query) -> Query:
 
 def joined(ids: str | Column) -> Column:
     """Ids as comparable text."""
-    return F.array_join(F.transform(ids, lambda i: i.cast("string")), " ")
+    return F.array_join((F.col(ids) if isinstance(ids, str) else ids).cast("array<string>"), " ")
 
 
 # Rendering
@@ -58,7 +58,7 @@ def render_chat_training(spark, folder):
 def render_conversation(spark, folder):
     turn = F.struct("turn", F.struct(F.col("role"), F.col("text").alias("content")).alias("message"))
     listed = fixtures.chats(spark, folder).groupBy("conv_id", "segment").agg(
-        F.array_sort(F.collect_list(turn)).alias("turns")
+        F.sort_array(F.collect_list(turn)).alias("turns")
     )
     messages = F.transform("turns", lambda t: t["message"])
     return listed.select("conv_id", "segment", chat.render_messages(messages).alias("text"))
@@ -127,8 +127,7 @@ def instruction_scan_split(spark, folder):
 
 @query
 def too_long_prompts(spark, folder):
-    counted = fixtures.texts(spark, folder).select(*TEXT_KEY, F.size(tokens.split_tokens(F.col("text"))).alias("tokens"))
-    _, long = selection.split_too_long(counted, F.col("tokens"), 512)
+    _, long = selection.split_too_long(fixtures.texts(spark, folder), "text", 512)
     return long.select(*TEXT_KEY, F.col("tokens").cast("long").alias("tokens"))
 
 
@@ -160,8 +159,8 @@ def strip_echo(spark, folder):
 @query
 def zip_columns(spark, folder):
     lists = fixtures.chats(spark, folder).groupBy("conv_id", "segment").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("_roles"),
-        F.array_sort(F.collect_list(F.when(F.col("turn") % 7 != 6, F.struct("turn", "text")))).alias("_texts"),
+        F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("_roles"),
+        F.sort_array(F.collect_list(F.when(F.col("turn") % 7 != 6, F.struct("turn", "text")))).alias("_texts"),
     )
     columns = lists.select(
         "conv_id", "segment", F.transform("_roles", lambda r: r["role"]).alias("role"),

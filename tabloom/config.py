@@ -38,6 +38,7 @@ class EvaluationSettings:
     cpu_batch_size: int | None = None
     io_batch_size: int | None = None
     calls_per_second: float | None = None
+    rounds: int = 1
     max_new_tokens: int = fixed.MAX_NEW_TOKENS
     stop: tuple[str, ...] = ()
     system_message: str | None = None

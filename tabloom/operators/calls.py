@@ -3,7 +3,8 @@
 This is the one place where rows leave the JVM. Rows travel as Arrow batches, columns that are only
 carried along are handed through untouched, and the plug-in is built once per task. A call that fails
 becomes an ``error`` value of its row. Tasks may run more than once, so store the result before using
-it twice.
+it twice. :func:`in_rounds` stores a long series of calls slice by slice, so that a lost executor or
+job repeats little.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.resource import ResourceProfile
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,7 +65,7 @@ def _guarded(call: Caller, plugin: Any, prompts: Sequence[str], width: int, limi
 
 def _run(
     df: DataFrame, make: Callable[[], Any], call: Caller, prompt: str, added: Sequence[T.StructField],
-    batch_rows: int, per_second: float | None,
+    batch_rows: int, per_second: float | None, profile: ResourceProfile | None = None,
 ) -> DataFrame:
     carried = [f for f in df.schema.fields if f.name != prompt]
     names = [f.name for f in carried]
@@ -89,7 +91,7 @@ def _run(
                 yield pa.RecordBatch.from_arrays(columns, names=names + [f.name for f in added])
 
     ship(df.sparkSession)
-    return df.mapInArrow(answer, T.StructType([*carried, *added]))
+    return df.mapInArrow(answer, T.StructType([*carried, *added]), profile=profile)
 
 
 def _spread(df: DataFrame, key: Sequence[str], workers: int | None) -> DataFrame:
@@ -101,15 +103,17 @@ def generate(
     df: DataFrame, make: Callable[[], Generator], key: Sequence[str], prompt: str = "prompt",
     out: str = "generated_solution", engine: str | None = None, workers: int | None = None,
     batch_rows: int = CALL_ROWS, stop: Sequence[str] = (), strip_echo: bool = False,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Adds ``out, latency_us, first_token_us, error`` and drops the prompt.
 
-    ``stop`` and ``strip_echo`` bring engines that echo the prompt or run past the end into the same
+    On a cluster ``profile`` says what one model needs, say a GPU, and so bounds how many run at a
+    time; ``workers`` bounds it by the number of tasks. ``stop`` and ``strip_echo`` bring engines that echo the prompt or run past the end into the same
     form as those that do not.
     """
     source = df.withColumn("_prompt", F.col(prompt)) if strip_echo else df
     answered = _run(
-        _spread(source, key, workers), make, _completions, prompt, COMPLETION_FIELDS, batch_rows, None
+        _spread(source, key, workers), make, _completions, prompt, COMPLETION_FIELDS, batch_rows, None, profile
     )
     completion = F.col("completion")
     if strip_echo:
@@ -128,6 +132,34 @@ def judge(
     return _run(_spread(df, key, workers), make, _judgements, prompt, JUDGEMENT_FIELDS, batch_rows, share)
 
 
+def _finished(spark: SparkSession, path: str) -> bool:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def in_rounds(
+    df: DataFrame, key: Sequence[str], rounds: int, step: Callable[[DataFrame], DataFrame], folder: str
+) -> DataFrame:
+    """Apply a calling ``step`` to ``rounds`` slices of the table in turn, each stored before the next.
+
+    A slice is a hash class of the unique key, so slices are alike in size. Started again on the same
+    ``folder``, finished slices are kept and only the others are called for.
+    """
+    spark = df.sparkSession
+    asked = f"{folder}/asked"
+    if not _finished(spark, asked):
+        sliced = df.withColumn("call_slice", F.pmod(F.xxhash64(*key), F.lit(rounds)).cast("int"))
+        sliced.write.mode("overwrite").partitionBy("call_slice").parquet(asked)
+    stored = spark.read.schema(df.schema.add("call_slice", "int")).parquet(asked)
+    for number in range(rounds):
+        answers = f"{folder}/answers/call_slice={number}"
+        if not _finished(spark, answers):
+            part = stored.filter(F.col("call_slice") == number).drop("call_slice")
+            step(part).write.mode("overwrite").parquet(answers)
+    schema = step(stored.drop("call_slice")).schema
+    return spark.read.schema(schema.add("call_slice", "int")).parquet(f"{folder}/answers").drop("call_slice")
+
+
 def cap_tokens(ids: str, limit: int = fixed.MAX_NEW_TOKENS):
     """The first ``limit`` generated ids."""
     return F.slice(F.col(ids), 1, limit)

@@ -8,11 +8,12 @@ are numbered bucket by bucket. Keys must be unique for positions to be reproduci
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.functions import fixed
 
@@ -72,12 +73,8 @@ def shuffled_position(
     ).drop("_hash")
 
 
-def _key_value(order: Sequence[str]) -> Column:
-    return F.struct(*order) if len(order) > 1 else F.col(order[0])
-
-
-def key_bounds(df: DataFrame, order: Sequence[str], buckets: int = BUCKETS) -> list[tuple[Any, ...]]:
-    """Up to ``buckets - 1`` ascending key values that cut the table into similar parts.
+def key_bounds(df: DataFrame, order: Sequence[str], buckets: int = BUCKETS) -> list[Row]:
+    """Up to ``buckets - 1`` ascending key values, as text, that cut the table into similar parts.
 
     They come from a hash sample of distinct keys whose expected size does not depend on the table.
     A poor sample costs balance only, never correctness.
@@ -87,25 +84,25 @@ def key_bounds(df: DataFrame, order: Sequence[str], buckets: int = BUCKETS) -> l
     rows = keys.count()
     slots = 1 << 40
     keep = slots if rows <= wanted else max(1, slots * wanted // rows)
-    sampled = keys.filter(F.pmod(F.xxhash64(*order), F.lit(slots)) < keep).distinct()
-    found = sorted(tuple(r) for r in sampled.dropna().limit(4 * wanted).collect())
+    sampled = keys.dropna().filter(F.pmod(F.xxhash64(*order), F.lit(slots)) < keep).distinct()
+    found = sampled.orderBy(*order).limit(4 * wanted).select(*[F.col(c).cast("string") for c in order]).collect()
     step = max(1, len(found) // buckets)
     return found[step::step][: buckets - 1]
 
 
-def bucket_by_bounds(df: DataFrame, order: Sequence[str], bounds: Sequence[tuple[Any, ...]]) -> Column:
+def bucket_by_bounds(df: DataFrame, order: Sequence[str], bounds: Sequence[Row]) -> Column:
     """How many bounds are at or below the key, by binary search over a literal array."""
     if not bounds:
         return F.lit(0)
-    types = {f.name: f.dataType for f in df.select(*order).schema.fields}
-
-    def literal(bound: tuple[Any, ...]) -> Column:
-        values = [F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, bound)]
-        return F.struct(*values) if len(order) > 1 else values[0]
-
-    array = F.array(*[literal(b) for b in bounds])
+    schema = df.select(*order).schema
+    # One JSON literal, folded into an array while the plan is optimized.
+    as_text = F.from_json(
+        F.lit(json.dumps([b.asDict() for b in bounds])),
+        T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in order])),
+    )
+    array = as_text.cast(T.ArrayType(T.StructType([T.StructField(c, schema[c].dataType) for c in order])))
+    key = F.struct(*order)
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    key = _key_value(order)
 
     def search(found: Column, step: Column) -> Column:
         probe = found + step

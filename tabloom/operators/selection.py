@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.functions.tokens import split_tokens
 from tabloom.operators.ordering import key_position
 
 # Up to this many keys the head is found by a top-n of keys, above it by numbering the table.
@@ -58,6 +59,21 @@ def split_missing(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Dat
     return split_by(df, keep)
 
 
-def split_too_long(df: DataFrame, length: Column, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Prompts that fit the model length, and prompts that do not."""
-    return split_by(df, length <= limit)
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds a costly value that filters read rather than repeat.
+
+    A filter on a plain projection is pushed below it together with a copy of the expression; it does
+    not pass a one-element explode.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def split_too_long(df: DataFrame, text: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Prompts of at most ``limit`` tokens, and longer ones with their number of ``tokens``.
+
+    A text of ``limit`` characters cannot have more tokens, so only longer ones are counted.
+    """
+    may_be_long = F.coalesce(F.length(text) > limit, F.lit(False))
+    counted = once(df, F.when(may_be_long, F.size(split_tokens(F.col(text)))).otherwise(0), "tokens")
+    long = once(df.filter(may_be_long), F.size(split_tokens(F.col(text))), "tokens")
+    return counted.filter(F.col("tokens") <= limit).drop("tokens"), long.filter(F.col("tokens") > limit)

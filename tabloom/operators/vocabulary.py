@@ -123,7 +123,7 @@ def decode(
         named = salted.join(spread, ["id", "_salt"], "left")
     token = F.coalesce("token", F.lit(UNKNOWN_TOKEN))
     pair = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), token.alias("token")))
-    gathered = named.groupBy(*key).agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
+    gathered = named.groupBy(*key).agg(F.sort_array(F.collect_list(pair)).alias("_pairs"))
     return gathered.select(*key, F.array_join(F.transform("_pairs", lambda p: p["token"]), " ").alias(out))
 
 

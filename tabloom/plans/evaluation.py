@@ -13,7 +13,7 @@ from tabloom.functions import chat, prompts
 from tabloom.operators import calls
 from tabloom.operators.plugins import Generator, Judge
 from tabloom.operators.summaries import score_summary, with_scores
-from tabloom.session import materialize
+from tabloom.session import materialize, work_path
 
 MakeGenerator = Callable[[], Generator]
 MakeJudge = Callable[[], Judge]
@@ -79,22 +79,40 @@ class Evaluation:
         return score_summary(with_scores(self.comparisons, strict=strict), by)
 
 
+def stored_calls(
+    df: DataFrame, key: Sequence[str], rounds: int, step: Callable[[DataFrame], DataFrame], label: str,
+    folder: str | None = None,
+) -> DataFrame:
+    """Run a calling step once and keep its answers, in rounds when there are several."""
+    if rounds <= 1 and folder is None:
+        return materialize(step(df), label)
+    return calls.in_rounds(df, key, rounds, step, f"{folder}/{label}" if folder else work_path(df.sparkSession, label))
+
+
 def evaluate(
     results: DataFrame, make_base: MakeGenerator, make_judge: MakeJudge | None, key: Sequence[str],
-    settings: EvaluationSettings = EvaluationSettings(), stored: bool = True,
+    settings: EvaluationSettings = EvaluationSettings(), stored: bool = True, folder: str | None = None,
 ) -> Evaluation:
-    """Base outputs and judged comparisons of stored results; without a judge the comparisons are empty.
+    """Base outputs and judged comparisons of results; without a judge the comparisons are empty.
 
-    Calls are stored before they are read twice. With ``stored=False`` the caller promises to read
-    the result once.
+    Calls are stored before they are read twice, below ``folder`` if the evaluation should be
+    resumable. With ``stored=False`` the caller promises to read the result once.
     """
-    carried = [*key, "problem", "generated_solution", "base_solution"]
-    paired = with_base_outputs(results, make_base, key, settings)
+
+    def answered(rows: DataFrame) -> DataFrame:
+        return with_base_outputs(rows, make_base, key, settings)
+
+    def scored(rows: DataFrame) -> DataFrame:
+        return judged(rows, make_judge, key, settings)
+
     if stored:
-        paired = materialize(paired, "base_outputs")
+        paired = stored_calls(results, key, settings.rounds, answered, "base_outputs", folder)
+    else:
+        paired = answered(results)
+    carried = paired.select(*key, "problem", "generated_solution", "base_solution")
     if make_judge is None:
-        empty = paired.filter(F.lit(False)).select(*carried, F.lit(None).cast("string").alias("raw"),
-                                                   F.lit(None).cast("string").alias("error"))
-        return Evaluation(paired, empty)
-    comparisons = judged(paired.select(*carried), make_judge, key, settings)
-    return Evaluation(paired, materialize(comparisons, "comparisons") if stored else comparisons)
+        nothing = [F.lit(None).cast("string").alias(n) for n in ("raw", "error")]
+        return Evaluation(paired, carried.filter(F.lit(False)).select("*", *nothing))
+    if stored:
+        return Evaluation(paired, stored_calls(carried, key, settings.rounds, scored, "comparisons", folder))
+    return Evaluation(paired, scored(carried))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabloom.config import EvaluationSettings, TrainingSettings, as_text
 from tabloom.operators.pairing import pair_outputs
 from tabloom.operators.summaries import score_summary, with_scores
-from tabloom.plans.evaluation import MakeGenerator, MakeJudge, generate_results, judged
+from tabloom.plans.evaluation import MakeGenerator, MakeJudge, generate_results, judged, stored_calls
 from tabloom.session import materialize
 from tabloom.sources import experiment_log
 from tabloom.sources.results import write_results
@@ -67,7 +67,12 @@ def compare_all(problems: DataFrame, results: DataFrame, experiment: Experiment)
     paired = pair_outputs(
         results.select(*key, "engine", "problem", "generated_solution"), base, key, "generated_solution"
     )
-    return materialize(judged(paired, experiment.make_judge, (*key, "engine"), experiment.settings), "comparisons")
+    pair_key = (*key, "engine")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        return judged(rows, experiment.make_judge, pair_key, experiment.settings)
+
+    return stored_calls(paired, pair_key, experiment.settings.rounds, scored, "comparisons")
 
 
 def log_all(comparisons: DataFrame, experiment: Experiment, log: str, output: str) -> None:

@@ -90,7 +90,7 @@ def entries(
     """
     parts = micro_batches(comparisons, ["evaluation_type", *key], rows, out="part")
     listed = parts.groupBy("evaluation_type", "part").agg(
-        F.array_sort(F.collect_list(F.struct(*key, "raw"))).alias("_rows"), F.count("*").alias("_n")
+        F.sort_array(F.collect_list(F.struct(*key, "raw"))).alias("_rows"), F.count("*").alias("_n")
     )
     metadata = F.struct(
         F.lit(inference_output_file).alias("inference_output_file"), F.col("evaluation_type"),
