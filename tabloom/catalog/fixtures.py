@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.functions.text import whole
 from tabloom.operators.pairing import salted_left_join
 from tabloom.operators.vocabulary import build_vocabulary
 from tabloom.session import materialize
@@ -46,7 +47,7 @@ def instructions(spark: SparkSession, folder: str) -> DataFrame:
 
 def chats(spark: SparkSession, folder: str) -> DataFrame:
     """``conv_id, segment, turn, role, text``."""
-    segment = F.floor(F.col("turn") / SEGMENT_TURNS).alias("segment")
+    segment = whole(F.col("turn"), SEGMENT_TURNS).alias("segment")
     return table(spark, folder, "conversations").select("conv_id", segment, "turn", "role", "text")
 
 

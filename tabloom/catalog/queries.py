@@ -366,7 +366,7 @@ def evaluate_engine(spark, folder):
 
 @query
 def engines_side_by_side(spark, folder):
-    scored = summaries.with_scores(fixtures.responses(spark, folder)).withColumn("batch_id", F.floor(F.col("example_id") / 20))
+    scored = summaries.with_scores(fixtures.responses(spark, folder)).withColumn("batch_id", texts.whole(F.col("example_id"), 20))
     means = scored.groupBy("batch_id", "evaluation_type").agg(
         F.sum("first_score").alias("first"), F.sum("second_score").alias("second")
     )

@@ -94,6 +94,16 @@ def mean_or_zero(column: Column) -> Column:
     return F.coalesce(F.avg(column), F.lit(0.0))
 
 
+def whole(column: Column, unit: int) -> Column:
+    """Integer division, exact for any long."""
+    return F.call_function("div", column, F.lit(unit))
+
+
+def whole_up(column: Column, unit: int) -> Column:
+    """Integer division rounding up."""
+    return whole(column + (unit - 1), unit)
+
+
 def at_most(column: Column, bound: int) -> Column:
     return F.least(column, F.lit(bound))
 

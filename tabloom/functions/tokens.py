@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabloom.functions import fixed
+from tabloom.functions.text import whole_up
 
 # Words of letters, digits and underscores, or single other visible characters.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
@@ -73,4 +74,4 @@ def without_ids(ids: Column, dropped: Sequence[int]) -> Column:
 
 
 def rounded_up(length: Column, multiple: int = fixed.PAD_MULTIPLE) -> Column:
-    return (F.ceil(length / F.lit(multiple)) * multiple).cast("int")
+    return (whole_up(length, multiple) * multiple).cast("int")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import fixed, tokens
+from tabloom.functions.text import whole, whole_up
 from tabloom.functions.tokens import SpecialIds
 from tabloom.operators.ordering import key_position, shuffled_position
 
@@ -15,7 +16,7 @@ from tabloom.operators.ordering import key_position, shuffled_position
 def micro_batches(df: DataFrame, key: Sequence[str], size: int, out: str = "batch_id") -> DataFrame:
     """Slices of ``size`` consecutive rows in key order; the last one may be shorter."""
     numbered = key_position(df, key, out="_position")
-    return numbered.withColumn(out, F.floor(F.col("_position") / size)).drop("_position")
+    return numbered.withColumn(out, whole(F.col("_position"), size)).drop("_position")
 
 
 def training_schedule(
@@ -29,11 +30,11 @@ def training_schedule(
     """
     repeated = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     placed = shuffled_position(repeated, key, seed=seed, epoch="epoch", total="_rows")
-    micro = F.floor(F.col("position") / batch_size)
-    steps_per_epoch = F.ceil(F.col("_rows") / (batch_size * accumulation))
+    micro = whole(F.col("position"), batch_size)
+    steps_per_epoch = whole_up(F.col("_rows"), batch_size * accumulation)
     scheduled = (
         placed.withColumn("micro_batch", micro)
-        .withColumn("step", F.col("epoch") * steps_per_epoch + F.floor(F.col("micro_batch") / accumulation))
+        .withColumn("step", F.col("epoch") * steps_per_epoch + whole(F.col("micro_batch"), accumulation))
         .drop("_rows")
     )
     return scheduled if max_steps is None else scheduled.filter(F.col("step") < max_steps)
@@ -52,6 +53,12 @@ def padded_columns(ids: Column, length: Column | int, special: SpecialIds) -> li
     ]
 
 
+def lengths_of(encoded: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``key, length``, from the stored length where the table has one."""
+    length = F.col("length") if "length" in encoded.columns else F.size("input_ids")
+    return encoded.select(*key, length.alias("length"))
+
+
 def pad_in_batches(
     encoded: DataFrame, key: Sequence[str], size: int, special: SpecialIds = SpecialIds(), multiple: int = 1
 ) -> DataFrame:
@@ -59,11 +66,11 @@ def pad_in_batches(
 
     Batches are found on keys and lengths alone; the id arrays move once, to meet their length.
     """
-    lengths = encoded.select(*key, F.size("input_ids").alias("length"))
+    lengths = lengths_of(encoded, key)
     sized = longest_in_batch(micro_batches(lengths, key, size), ["batch_id"])
     width = tokens.rounded_up(F.col("longest"), multiple) if multiple > 1 else F.col("longest")
     return (
-        encoded.join(sized.select(*key, "batch_id", width.alias("longest")), list(key))
+        encoded.select(*key, "input_ids").join(sized.select(*key, "batch_id", width.alias("longest")), list(key))
         .select(*key, "batch_id", "longest", *padded_columns(F.col("input_ids"), F.col("longest"), special))
     )
 
@@ -75,15 +82,16 @@ def collate(
 ) -> DataFrame:
     """Training batches: schedule, padding to a multiple of the longest row, mask and labels.
 
-    ``encoded`` is read twice, once for its lengths, so it should be a stored table.
+    ``encoded`` is read twice, once for its lengths, so it should be a stored table, best with a
+    ``length`` column, which spares reading the ids for it.
     """
-    lengths = encoded.select(*key, F.size("input_ids").alias("length"))
+    lengths = lengths_of(encoded, key)
     schedule = training_schedule(lengths, key, batch_size, accumulation, epochs, seed, max_steps)
     sized = longest_in_batch(schedule, ["epoch", "micro_batch"])
     placed = sized.select(
         *key, "epoch", "position", "micro_batch", "step", tokens.rounded_up(F.col("longest"), multiple).alias("width")
     )
-    batches = encoded.join(placed, list(key)).select(
+    batches = encoded.select(*key, "input_ids").join(placed, list(key)).select(
         *key, "epoch", "position", "micro_batch", "step", "width",
         *padded_columns(F.col("input_ids"), F.col("width"), special),
     )

@@ -150,14 +150,15 @@ def in_rounds(
     if not _finished(spark, asked):
         sliced = df.withColumn("call_slice", F.pmod(F.xxhash64(*key), F.lit(rounds)).cast("int"))
         sliced.write.mode("overwrite").partitionBy("call_slice").parquet(asked)
-    stored = spark.read.schema(df.schema.add("call_slice", "int")).parquet(asked)
+    slice_field = T.StructField("call_slice", T.IntegerType())
+    stored = spark.read.schema(T.StructType([*df.schema.fields, slice_field])).parquet(asked)
     for number in range(rounds):
         answers = f"{folder}/answers/call_slice={number}"
         if not _finished(spark, answers):
             part = stored.filter(F.col("call_slice") == number).drop("call_slice")
             step(part).write.mode("overwrite").parquet(answers)
-    schema = step(stored.drop("call_slice")).schema
-    return spark.read.schema(schema.add("call_slice", "int")).parquet(f"{folder}/answers").drop("call_slice")
+    schema = T.StructType([*step(stored.drop("call_slice")).schema.fields, slice_field])
+    return spark.read.schema(schema).parquet(f"{folder}/answers").drop("call_slice")
 
 
 def cap_tokens(ids: str, limit: int = fixed.MAX_NEW_TOKENS):

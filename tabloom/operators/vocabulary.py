@@ -61,14 +61,13 @@ def fits_broadcast(vocabulary: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (vocabulary.agg(F.coalesce(size, F.lit(0)).alias("size")).first()["size"]) <= limit
 
 
-def _with_ids(exploded: DataFrame, vocabulary: DataFrame, key: Sequence[str], broadcast: bool) -> DataFrame:
-    """Left-join token ids. Without a broadcast, frequent tokens are spread over salts."""
-    entries = vocabulary.select("token", "id")
+def _look_up(exploded: DataFrame, entries: DataFrame, on: str, key: Sequence[str], broadcast: bool) -> DataFrame:
+    """Left-join vocabulary entries. Without a broadcast, frequent tokens are spread over salts."""
     if broadcast:
-        return exploded.join(F.broadcast(entries), "token", "left")
+        return exploded.join(F.broadcast(entries), on, "left")
     salted = exploded.withColumn("_salt", F.pmod(F.xxhash64(*key, "_pos"), F.lit(SALTS)))
     spread = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return salted.join(spread, ["token", "_salt"], "left")
+    return salted.join(spread, [on, "_salt"], "left")
 
 
 def encode(
@@ -76,7 +75,7 @@ def encode(
     max_length: int | None = fixed.MAX_LENGTH, add_special: bool = False, special: SpecialIds = SpecialIds(),
     broadcast: bool | None = None,
 ) -> DataFrame:
-    """``key, input_ids`` of every text, unknown tokens included, cut to ``max_length``.
+    """``key, input_ids, length`` of every text, unknown tokens included, cut to ``max_length``.
 
     Texts are split and cut where they are read, and the remaining tokens travel once, by key, as one
     compact blank-separated text. Exploding, looking up and regrouping then happen inside those
@@ -89,16 +88,18 @@ def encode(
         words = tokens.truncated(words, max_length - (2 if add_special else 0))
     compact = texts.select(*key, F.array_join(words, " ").alias("_words")).repartition(*key)
     listed = F.when(F.col("_words") != "", F.split("_words", " "))
-    exploded = compact.select(*key, F.posexplode_outer(listed).alias("_pos", "token"))
+    exploded = compact.select(*key, F.posexplode_outer(listed).alias("_pos", "_token"))
     # Position above, id below: one long per token sorts without comparing structs.
-    packed = F.shiftleft(F.col("_pos").cast("long"), 32) + F.coalesce("id", F.lit(special.unknown))
+    packed = F.shiftleft(F.col("_pos").cast("long"), 32) + F.coalesce("_id", F.lit(special.unknown))
+    entries = vocabulary.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
     ids = (
-        _with_ids(exploded, vocabulary, key, broadcast)
+        _look_up(exploded, entries, "_token", key, broadcast)
         .groupBy(*key)
         .agg(F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), packed))).alias("_packed"))
     )
     unpacked = F.transform("_packed", lambda p: (p % F.lit(1 << 32)).cast("int"))
-    return ids.select(*key, (tokens.framed(unpacked, special) if add_special else unpacked).alias("input_ids"))
+    framed = tokens.framed(unpacked, special) if add_special else unpacked
+    return ids.select(*key, framed.alias("input_ids"), (F.size("_packed") + (2 if add_special else 0)).alias("length"))
 
 
 def decode(
@@ -112,16 +113,11 @@ def decode(
     kept = tokens.without_ids(F.col(ids), reserved) if skip_special else F.col(ids)
     exploded = (
         encoded.select(*key, ids).repartition(*key)
-        .select(*key, F.posexplode_outer(kept).alias("_pos", "id"))
+        .select(*key, F.posexplode_outer(kept).alias("_pos", "_id"))
     )
-    entries = vocabulary.select("id", "token")
-    if broadcast:
-        named = exploded.join(F.broadcast(entries), "id", "left")
-    else:
-        salted = exploded.withColumn("_salt", F.pmod(F.xxhash64(*key, "_pos"), F.lit(SALTS)))
-        spread = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-        named = salted.join(spread, ["id", "_salt"], "left")
-    token = F.coalesce("token", F.lit(UNKNOWN_TOKEN))
+    entries = vocabulary.select(F.col("id").alias("_id"), F.col("token").alias("_token"))
+    named = _look_up(exploded, entries, "_id", key, broadcast)
+    token = F.coalesce("_token", F.lit(UNKNOWN_TOKEN))
     pair = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), token.alias("token")))
     gathered = named.groupBy(*key).agg(F.sort_array(F.collect_list(pair)).alias("_pairs"))
     return gathered.select(*key, F.array_join(F.transform("_pairs", lambda p: p["token"]), " ").alias(out))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.operators.batching import micro_batches
+from tabloom.operators.selection import split_by
 from tabloom.schemas import EXPERIMENT, LOG_DOCUMENT
 
 EXPERIMENTS = T.StructType(
@@ -103,24 +104,27 @@ def entries(
 
 
 def upgraded(documents: DataFrame) -> DataFrame:
-    """One row per experiment of log documents in either layout."""
-    single = F.struct(*[F.col(f.name) for f in EXPERIMENT.fields])
-    listed = F.coalesce(F.col("experiments"), F.array(single))
-    return documents.filter(F.col("_corrupt").isNull()).select("file", F.inline(listed))
+    """One row per experiment of parsed log documents in either layout."""
+    single = F.struct(*[F.col("_log")[f.name].alias(f.name) for f in EXPERIMENT.fields])
+    return documents.select("file", F.inline(F.coalesce(F.col("_log")["experiments"], F.array(single))))
 
 
 def read_log_documents(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Experiments of JSON log documents, and the unreadable documents; none for a missing path.
+    """Experiments of JSON log documents, and ``file, document`` of unreadable ones; none for a missing path.
 
     A document is a file, or a line when ``multi_line`` is off.
     """
     try:
-        read = spark.read.schema(LOG_DOCUMENT).json(
-            path, multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt"
+        read = spark.read.text(path, wholetext=multi_line).select(
+            F.col("_metadata.file_name").alias("file"), F.col("value").alias("document")
         )
-        documents = read.withColumn("file", F.col("_metadata.file_name"))
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        documents = spark.createDataFrame([], T.StructType([*LOG_DOCUMENT.fields, T.StructField("file", T.StringType())]))
-    return upgraded(documents), documents.filter(F.col("_corrupt").isNotNull()).select("file", "_corrupt")
+        read = spark.createDataFrame([], "file string, document string")
+    if not multi_line:
+        read = read.filter(F.trim("document") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    documents = read.withColumn("_log", F.from_json("document", LOG_DOCUMENT, options))
+    sound, broken = split_by(documents, F.col("_log").isNotNull() & F.col("_log")["_corrupt"].isNull())
+    return upgraded(sound), broken.select("file", "document")
