@@ -81,6 +81,7 @@ INSTRUCTION_TEXT = (
 )
 
 ORACLES["render_instruction_training"] = f"SELECT conv_id, turn, {INSTRUCTION_TEXT} AS text FROM ({INSTRUCTIONS})"
+ORACLES["batched_map"] = ORACLES["render_instruction_training"]
 ORACLES["render_chat_training"] = f"SELECT conv_id, turn, {MATH_TEXT} AS text FROM ({PAIRS})"
 ORACLES["render_conversation"] = f"""
 SELECT conv_id, turn // 64 AS segment,
@@ -177,18 +178,19 @@ FROM ({TIMINGS}) GROUP BY engine
 """
 
 
-def vocabulary(source: str) -> str:
+def vocabulary(source: str, limit: str = "LIMIT 150000") -> str:
     return f"""
 SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 2 AS id
 FROM (
   SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS}) AS token FROM {source})
-  GROUP BY token ORDER BY n DESC, token LIMIT 150000
+  GROUP BY token ORDER BY n DESC, token {limit}
 )
 """
 
 
 DOC_VOCAB = vocabulary("documents")
 ORACLES["vocab"] = DOC_VOCAB
+ORACLES["vocab_whole"] = vocabulary("documents", "")
 
 
 def encoded(key: str, source: str, vocab: str, limit: int) -> str:
@@ -207,6 +209,7 @@ encoded AS (SELECT {key}, text, toks, coalesce(ids, []) AS ids FROM source LEFT
 
 DOCS = "(SELECT doc_id AS example_id, text FROM documents)"
 DOC_IDS = encoded("example_id", DOCS, DOC_VOCAB, 512)
+DOC_IDS_WHOLE = encoded("example_id", DOCS, DOC_VOCAB, 1_000_000_000)
 DOC_IDS_510 = encoded("example_id", DOCS, DOC_VOCAB, 510)
 
 
@@ -216,6 +219,9 @@ def fill(value: str, n: str) -> str:
 
 
 ORACLES["encode"] = DOC_IDS + "SELECT example_id, array_to_string(ids, ' ') AS input_ids FROM encoded"
+ORACLES["encode_whole"] = DOC_IDS_WHOLE + """
+SELECT example_id, len(ids) AS length, array_to_string(ids, ' ') AS input_ids FROM encoded
+"""
 
 
 def decoded(n: int) -> str:

@@ -7,6 +7,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.catalog import fixtures
 from tabloom.catalog.fixtures import TEXT_KEY, TURN_KEY
@@ -14,7 +15,7 @@ from tabloom.config import EvaluationSettings, resolved, unknown_keys
 from tabloom.functions import chat, fixed, prompts, tokens
 from tabloom.functions import text as texts
 from tabloom.functions.tokens import SpecialIds
-from tabloom.operators import batching, calls, pairing, selection, summaries, vocabulary
+from tabloom.operators import batching, calls, mapping, pairing, selection, summaries, vocabulary
 from tabloom.operators.plugins import LeadingWords, WordCountJudge
 from tabloom.plans import evaluation, experiment, training
 from tabloom.session import materialize, work_path
@@ -108,6 +109,21 @@ def typed_training_text(spark, folder):
     return experiment.bag_union(parts)
 
 
+def instruction_texts(columns):
+    """The instruction text as a plain function over lists, the form a user function has."""
+    rows = zip(columns["instruction"], columns["input"], columns["output"])
+    return {"text": [
+        f"### Instruction:\n{i}\n" + (f"### Input:\n{x}\n" if x else "") + f"### Response:\n{o}\n<|endoftext|>" for i, x, o in rows
+    ]}
+
+
+@query
+def batched_map(spark, folder):
+    rows, sources = fixtures.instructions(spark, folder), ["instruction", "input", "output"]
+    added = T.StructType([T.StructField("text", T.StringType())])
+    return mapping.map_batches(rows, instruction_texts, added, sources, remove=sources)
+
+
 # Selection
 
 
@@ -209,6 +225,11 @@ def vocab(spark, folder):
     return vocabulary.build_vocabulary(fixtures.texts(spark, folder)).withColumn("id", F.col("id").cast("long"))
 
 
+@query
+def vocab_whole(spark, folder):
+    return vocabulary.build_vocabulary(fixtures.texts(spark, folder), size=None).withColumn("id", F.col("id").cast("long"))
+
+
 def encoded_texts(spark, folder, **options) -> DataFrame:
     return vocabulary.encode(fixtures.texts(spark, folder), fixtures.vocabulary(spark, folder), TEXT_KEY, **options)
 
@@ -218,6 +239,12 @@ def encode(spark, folder):
     return encoded_texts(spark, folder).select(*TEXT_KEY, joined("input_ids").alias("input_ids"))
 
 
+@query
+def encode_whole(spark, folder):
+    rows = encoded_texts(spark, folder, max_length=None)
+    return rows.select(*TEXT_KEY, F.col("length").cast("long").alias("length"), joined("input_ids").alias("input_ids"))
+
+
 @query
 def decode(spark, folder):
     return vocabulary.decode(encoded_texts(spark, folder), fixtures.vocabulary(spark, folder), TEXT_KEY)

@@ -114,7 +114,10 @@ def bucket_by_bounds(df: DataFrame, order: Sequence[str], bounds: Sequence[Row])
 def key_position(
     df: DataFrame, order: Sequence[str], out: str = "position", buckets: int = BUCKETS, total: str | None = None
 ) -> DataFrame:
-    """Position along ascending ``order`` columns. Samples the keys once while the plan is built."""
+    """Position along ascending ``order`` columns.
+
+    Counts and samples the keys while the plan is built, so ``df`` should be a scan or a stored table.
+    """
     bounds = key_bounds(df, order, buckets)
     bucket = bucket_by_bounds(df, order, bounds)
     return bucketed_position(df, bucket, [F.col(c) for c in order], out=out, total=total)

@@ -45,13 +45,19 @@ def score_summary(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def latency_summary(df: DataFrame, by: Sequence[str] = ("engine",), latency: str = "latency_us") -> DataFrame:
-    """Total, mean and extreme times; summed as whole microseconds, so the order of rows is immaterial."""
+    """Total, mean and extreme times; summed as whole microseconds, so the order of rows is immaterial.
+
+    The mean time to the first token is added where it was measured.
+    """
+    first = "first_token_us"
+    to_first = [(F.sum(first) / F.count(first)).alias("mean_first_token_us")] if first in df.columns else []
     return df.groupBy(*by).agg(
         F.sum(latency).alias("total_us"),
         (F.sum(latency) / F.count(latency)).alias("mean_us"),
         F.min(latency).alias("min_us"),
         F.max(latency).alias("max_us"),
         F.count(latency).alias("samples"),
+        *to_first,
     )
 
 

@@ -14,6 +14,7 @@ from tabloom.operators import calls
 from tabloom.operators.plugins import Generator, Judge
 from tabloom.operators.summaries import score_summary, with_scores
 from tabloom.session import materialize, work_path
+from tabloom.sources.experiment_log import append_experiment
 
 MakeGenerator = Callable[[], Generator]
 MakeJudge = Callable[[], Judge]
@@ -116,3 +117,16 @@ def evaluate(
     if stored:
         return Evaluation(paired, stored_calls(carried, key, settings.rounds, scored, "comparisons", folder))
     return Evaluation(paired, scored(carried))
+
+
+def evaluate_and_log(
+    results: DataFrame, make_base: MakeGenerator, make_judge: MakeJudge | None, key: Sequence[str], log: str,
+    experiment_id: str, evaluation_type: str, inference_output_file: str, timestamp: str,
+    settings: EvaluationSettings = EvaluationSettings(), folder: str | None = None,
+) -> DataFrame:
+    """Judge one engine's results, add the responses to the log and return the one-row summary."""
+    done = evaluate(results, make_base, make_judge, key, settings, folder=folder)
+    append_experiment(
+        done.comparisons.select(*key, "raw"), log, experiment_id, evaluation_type, inference_output_file, timestamp
+    )
+    return done.summary()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions import chat, fixed, prompts, tokens
@@ -13,9 +13,8 @@ from tabloom.operators.batching import collate, padded_columns
 from tabloom.operators.selection import head
 from tabloom.operators.vocabulary import encode
 from tabloom.session import materialize
-
-SOURCE_COLUMNS = {"math": ("Problem", "Solution"), "alpaca": ("instruction", "input", "output")}
-
+from tabloom.sources.problems import ingest_problems
+from tabloom.sources.tables import load_split, scan_dataset
 
 def _math(template: chat.ChatTemplate) -> Column:
     return chat.render(chat.training_turns(F.col("Problem"), F.col("Solution")), template)
@@ -35,6 +34,15 @@ def _kind(kind: str) -> str:
     return name
 
 
+def training_source(
+    spark: SparkSession, kind: str, source: str, work: str, key: Sequence[str] = ("example_id",), split: str = f"train[:{fixed.HEAD_ROWS}]"
+) -> DataFrame:
+    """Source rows by dataset type: a problem CSV ingested below ``work``, or a split of an instruction dataset."""
+    if _kind(kind) == "math":
+        return ingest_problems(spark, source, work)[0]
+    return load_split(scan_dataset(spark, source), key, split)
+
+
 def training_texts(df: DataFrame, kind: str, template: chat.ChatTemplate = chat.CHATML) -> DataFrame:
     """Adds ``text``, rendered the way the dataset type asks for."""
     return df.withColumn("text", RENDERERS[_kind(kind)](template))

@@ -49,9 +49,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[context.applicationId]
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tabloom/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/tabloom/{uuid.uuid4().hex}/{label}"
+    """A fresh path below the shared folder, in a folder of this application."""
+    return f"{_application_folder(spark)}/{uuid.uuid4().hex}/{label}"
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Delete what this application stored in between; frames read from it are gone with it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,11 @@ def with_list_position(spark: SparkSession, path: str, schema) -> DataFrame:
     return tagged.withColumn("position", placed).drop("_seen")
 
 
+def in_input_order(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows in key order, for presentation only: nothing in between relies on the order of rows."""
+    return df.orderBy(*key)
+
+
 def write_comparisons(df: DataFrame, path: str) -> None:
     """Raw judge responses, kept as text next to their keys."""
     df.write.mode("overwrite").json(path)

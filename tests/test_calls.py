@@ -142,3 +142,22 @@ def test_rounds_resume(spark, tmp_path):
 def test_cap_tokens(spark):
     row = spark.range(1).select(F.sequence(F.lit(1), F.lit(9)).alias("ids")).select(calls.cap_tokens("ids", 3).alias("c"))
     assert row.first()["c"] == [1, 2, 3]
+
+
+def test_map_batches(spark):
+    from pyspark.sql import types as T
+
+    from tabloom.operators.mapping import map_batches
+
+    frame = spark.range(10).withColumns({"a": F.col("id") + 1, "b": F.lit("x")})
+    added = T.StructType([T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("sum", T.LongType())])
+
+    def total(columns):
+        assert set(columns) == {"id", "a"} and len(columns["a"]) <= 3
+        return {"sum": [i + a for i, a in zip(columns["id"], columns["a"])], "sizes": [[len(columns["a"])]] * len(columns["a"])}
+
+    made = map_batches(frame, total, added, ["id", "a"], remove=["a"], rows=3)
+    assert made.columns == ["id", "b", "sizes", "sum"]
+    assert {r["id"]: r["sum"] for r in made.collect()} == {i: 2 * i + 1 for i in range(10)}
+    with pytest.raises(Exception, match="one value per row"):
+        map_batches(frame, lambda c: {"sum": [1] * 99, "sizes": [[]] * 99}, added, ["id"]).collect()

@@ -1,17 +1,20 @@
 """Whole flows."""
 
+import os
 from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom.catalog import fixtures
 from tabloom.config import EvaluationSettings, TrainingSettings, as_text, resolve, resolved, unknown_keys
 from tabloom.operators import pairing
 from tabloom.operators.plugins import LeadingWords, WordCountJudge
 from tabloom.operators.vocabulary import build_vocabulary
 from tabloom.plans import evaluation, experiment, training
+from tabloom.session import drop_work, materialize
 from tabloom.sources import experiment_log
-from tabloom.sources.results import read_results
+from tabloom.sources.results import in_input_order, read_results
 
 KEY = ("example_id",)
 TUNED, BASE = partial(LeadingWords, 4), partial(LeadingWords, 2)
@@ -152,3 +155,32 @@ def test_bag_union_keeps_duplicates(spark):
 def test_json_lines_of_results(spark, tmp_path):
     spark.createDataFrame([("p", "g")], "problem string, generated_solution string").write.json(str(tmp_path / "r"))
     assert read_results(spark, str(tmp_path / "r"), multi_line=False).first()["generated_solution"] == "g"
+
+
+def test_evaluate_and_log(spark, problems, tmp_path):
+    log = str(tmp_path / "log")
+    results = evaluation.generate_results(problems, TUNED, KEY, "standard_inference")
+    made = evaluation.evaluate_and_log(results, BASE, WordCountJudge, KEY, log, "e1", "standard_inference", "f.json", "t", ONE)
+    assert tuple(made.first()) == (*expected(4, 2), 6, 6)
+    assert experiment_log.read_experiments(spark, log).first()["total_comparisons"] == 6
+
+
+def test_training_source(spark, tmp_path):
+    csv = tmp_path / "p.csv"
+    csv.write_text("Problem,Solution\na,b\n,c\n")
+    made = training.training_source(spark, "math", str(csv), str(tmp_path / "work"))
+    assert [(r["Problem"], r["Solution"]) for r in made.collect()] == [("a", "b")]
+    spark.range(9).withColumn("split", F.lit("train")).write.parquet(str(tmp_path / "set"))
+    made = training.training_source(spark, "alpaca", str(tmp_path / "set"), "", ["id"], "train[:4]")
+    assert sorted(r["id"] for r in made.collect()) == [0, 1, 2, 3]
+
+
+def test_presentation_order_and_cleaning_up(spark, problems):
+    stored = materialize(problems, "kept")
+    assert [r["example_id"] for r in in_input_order(stored, KEY).collect()] == [1, 2, 3, 4, 5, 6]
+    assert stored.inputFiles()
+    path = stored.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(path)
+    drop_work(spark)
+    fixtures._vocabularies.clear()
+    assert not os.path.isdir(path)

@@ -9,7 +9,7 @@ from tabloom.catalog import fixtures
 
 QUERIES = (
     "render_conversation", "render_instruction_training", "render_chat_training", "render_judge_prompt", "zip_columns",
-    "head_split", "instruction_scan_split", "encode", "decode", "vocab", "pad_longest_in_batch", "training_batches",
+    "head_split", "instruction_scan_split", "encode", "encode_whole", "decode", "vocab", "vocab_whole", "batched_map", "pad_longest_in_batch", "training_batches",
     "collated_batches", "generate_stub", "pair_outputs", "judge_stub", "evaluate_engine", "experiment_run", "score_by_engine",
     "engines_side_by_side", "run_status", "latency_by_engine", "experiment_log_history", "score_stream", "calibration_sample",
 )
