@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.text import whole
-from tabloom.operators.pairing import salted_left_join
+from tabloom.operators.pairing import chunked_left_join
 from tabloom.operators.vocabulary import build_vocabulary
 from tabloom.session import materialize
 from tabloom.sources.tables import spread
@@ -15,6 +15,8 @@ TURN_KEY = ("conv_id", "turn")
 TEXT_KEY = ("example_id",)
 # Turns of a conversation rendered or listed together; longer conversations continue in further segments.
 SEGMENT_TURNS = 64
+# Turns of a conversation that meet its system text in one task.
+CHUNK_TURNS = 1_024
 
 _vocabularies: dict[tuple[str, str], DataFrame] = {}
 
@@ -38,7 +40,7 @@ def instructions(spark: SparkSession, folder: str) -> DataFrame:
     system = table(spark, folder, "conversations").filter(F.col("role") == "system").select(
         "conv_id", F.col("text").alias("_system")
     )
-    joined = salted_left_join(pairs(spark, folder), system, "conv_id", F.col("turn"))
+    joined = chunked_left_join(pairs(spark, folder), system, "conv_id", whole(F.col("turn"), CHUNK_TURNS))
     return joined.select(
         *TURN_KEY, F.col("Problem").alias("instruction"), F.coalesce("_system", F.lit("")).alias("input"),
         F.col("Solution").alias("output"),

@@ -17,7 +17,10 @@ from pyspark.sql import types as T
 
 from tabloom.functions import fixed
 
-BUCKETS = 256
+# Key buckets grow with the table between these bounds.
+FEWEST_BUCKETS = 256
+MOST_BUCKETS = 4_096
+ROWS_PER_BUCKET = 1_000_000
 SAMPLED_PER_BUCKET = 20
 
 
@@ -73,15 +76,17 @@ def shuffled_position(
     ).drop("_hash")
 
 
-def key_bounds(df: DataFrame, order: Sequence[str], buckets: int = BUCKETS) -> list[Row]:
+def key_bounds(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> list[Row]:
     """Up to ``buckets - 1`` ascending key values, as text, that cut the table into similar parts.
 
     They come from a hash sample of distinct keys whose expected size does not depend on the table.
     A poor sample costs balance only, never correctness.
     """
     keys = df.select(*order)
-    wanted = buckets * SAMPLED_PER_BUCKET
     rows = keys.count()
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, max(FEWEST_BUCKETS, rows // ROWS_PER_BUCKET))
+    wanted = buckets * SAMPLED_PER_BUCKET
     slots = 1 << 40
     keep = slots if rows <= wanted else max(1, slots * wanted // rows)
     sampled = keys.dropna().filter(F.pmod(F.xxhash64(*order), F.lit(slots)) < keep).distinct()
@@ -112,7 +117,7 @@ def bucket_by_bounds(df: DataFrame, order: Sequence[str], bounds: Sequence[Row])
 
 
 def key_position(
-    df: DataFrame, order: Sequence[str], out: str = "position", buckets: int = BUCKETS, total: str | None = None
+    df: DataFrame, order: Sequence[str], out: str = "position", buckets: int | None = None, total: str | None = None
 ) -> DataFrame:
     """Position along ascending ``order`` columns.
 

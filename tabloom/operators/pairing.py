@@ -35,11 +35,13 @@ def unzip_rows(df: DataFrame, keep: Sequence[str], columns: Sequence[str], posit
     return exploded.select(*keep, position, *[F.col("_row")[c].alias(c) for c in columns])
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, on: str, spread: Column, salts: int = 16) -> DataFrame:
+def chunked_left_join(left: DataFrame, right: DataFrame, on: str, chunk: Column) -> DataFrame:
     """Left join on a key that may hold a large share of the left rows.
 
-    The left rows of a key are spread by ``spread`` and the right rows repeated for every salt.
+    ``chunk`` cuts the left rows of a key into parts of bounded size. The right rows of a key are
+    repeated once per part it has, so small keys cost nothing extra and a hot one is spread as widely
+    as it is large.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return salted.join(repeated, [on, "_salt"], "left").drop("_salt")
+    parts = left.withColumn("_chunk", chunk)
+    placed = parts.select(on, "_chunk").distinct().join(right, on)
+    return parts.join(placed, [on, "_chunk"], "left").drop("_chunk")

@@ -13,7 +13,7 @@ from tabloom.operators.ordering import key_position
 
 # Up to this many keys the head is found by a top-n of keys, above it by numbering the table.
 TOP_LIMIT = 100_000
-SALTS = 64
+SALTS = 1_024
 
 _SPLIT = re.compile(r"^(\w+)(?:\[:(\d+)\])?$")
 

@@ -24,7 +24,8 @@ TOP_LIMIT = 1_000_000
 BROADCAST_BYTES = 64 << 20
 ENTRY_BYTES = 64
 UNKNOWN_TOKEN = "<unk>"
-SALTS = 32
+# Entries of a large vocabulary that are broadcast on their own.
+FREQUENT_ENTRIES = 50_000
 
 
 def token_counts(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -63,13 +64,26 @@ def fits_broadcast(vocabulary: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (vocabulary.agg(F.coalesce(size, F.lit(0)).alias("size")).first()["size"]) <= limit
 
 
-def _look_up(exploded: DataFrame, entries: DataFrame, on: str, key: Sequence[str], broadcast: bool) -> DataFrame:
-    """Left-join vocabulary entries. Without a broadcast, frequent tokens are spread over salts."""
+def _look_up(exploded: DataFrame, vocabulary: DataFrame, on: str, broadcast: bool, hopeless: Column) -> DataFrame:
+    """Left-join ``_token, _id`` by either of them.
+
+    A vocabulary too large to broadcast is split. Its most frequent entries, which could each hold a
+    large share of all tokens, are broadcast when they fit; only what they leave open is shuffled, and no
+    single one of the remaining entries is frequent. ``hopeless`` rows, which match nothing and may be
+    many, are not shuffled either.
+    """
+    found, kind = ("_id", "int") if on == "_token" else ("_token", "string")
+    entries = vocabulary.select(F.col("token").alias("_token"), F.col("id").cast("int").alias("_id"))
     if broadcast:
         return exploded.join(F.broadcast(entries), on, "left")
-    salted = exploded.withColumn("_salt", F.pmod(F.xxhash64(*key, "_pos"), F.lit(SALTS)))
-    spread = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return salted.join(spread, [on, "_salt"], "left")
+    frequent = vocabulary.orderBy(F.desc("n"), "token").limit(FREQUENT_ENTRIES)
+    if fits_broadcast(frequent):
+        head = frequent.select(F.col("token").alias("_token"), F.col("id").cast("int").alias("_id"))
+        met = exploded.join(F.broadcast(head), on, "left")
+    else:
+        met = exploded.withColumn(found, F.lit(None).cast(kind))
+    settled = F.col(found).isNotNull() | hopeless
+    return met.filter(settled).unionByName(met.filter(~settled).drop(found).join(entries, on, "left"))
 
 
 def encode(
@@ -93,9 +107,8 @@ def encode(
     exploded = compact.select(*key, F.posexplode_outer(listed).alias("_pos", "_token"))
     # Position above, id below: one long per token sorts without comparing structs.
     packed = F.shiftleft(F.col("_pos").cast("long"), 32) + F.coalesce("_id", F.lit(special.unknown))
-    entries = vocabulary.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
     ids = (
-        _look_up(exploded, entries, "_token", key, broadcast)
+        _look_up(exploded, vocabulary, "_token", broadcast, F.col("_token").isNull())
         .groupBy(*key)
         .agg(F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), packed))).alias("_packed"))
     )
@@ -117,8 +130,8 @@ def decode(
         encoded.select(*key, ids).repartition(*key)
         .select(*key, F.posexplode_outer(kept).alias("_pos", "_id"))
     )
-    entries = vocabulary.select(F.col("id").alias("_id"), F.col("token").alias("_token"))
-    named = _look_up(exploded, entries, "_id", key, broadcast)
+    hopeless = F.col("_id").isNull() | (F.col("_id") == special.unknown)
+    named = _look_up(exploded, vocabulary, "_id", broadcast, F.coalesce(hopeless, F.lit(True)))
     token = F.coalesce("_token", F.lit(UNKNOWN_TOKEN))
     pair = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), token.alias("token")))
     gathered = named.groupBy(*key).agg(F.sort_array(F.collect_list(pair)).alias("_pairs"))

@@ -49,11 +49,12 @@ def test_encoding_moves_texts_once(spark, folder):
     assert len(re.findall(r"(?<!Broadcast)Exchange hashpartitioning", shown)) == 1
 
 
-def test_large_vocabularies_are_not_broadcast(spark, folder):
-    known = fixtures.vocabulary(spark, folder)
-    texts = fixtures.texts(spark, folder)
+def test_only_frequent_entries_of_a_large_vocabulary_are_broadcast(spark, folder):
+    known, texts = fixtures.vocabulary(spark, folder), fixtures.texts(spark, folder)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert "BroadcastHashJoin" not in plan(vocabulary.encode(texts, known, ["example_id"], broadcast=False))
+        shown = plan(vocabulary.encode(texts, known, ["example_id"], broadcast=False))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in shown
+    assert all("limit=50000" in part[:600] for part in re.split(r"BroadcastExchange", shown)[1:])

@@ -139,10 +139,10 @@ def test_zipping_stops_at_the_shortest(spark):
     assert sorted((r["k"], r["position"], r["x"], r["y"]) for r in made.collect()) == [(1, 0, "a", 7), (1, 1, "b", None)]
 
 
-def test_salted_left_join(spark):
+def test_chunked_left_join(spark):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0)], "k int, t int")
-    right = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
-    made = pairing.salted_left_join(left, right, "k", F.col("t"))
+    right = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z")], "k int, v string")
+    made = pairing.chunked_left_join(left, right, "k", F.floor(F.col("t") / 8))
     assert sorted(tuple(r) for r in made.select("k", "t", F.coalesce("v", F.lit("-"))).collect()) == sorted(
         [(1, i, v) for i in range(50) for v in "xy"] + [(2, 0, "-")]
     )

@@ -30,9 +30,10 @@ def test_large_vocabulary_path(texts, monkeypatch):
     assert listed(build_vocabulary(texts, size=4)) == ALL[:4]
 
 
-@pytest.mark.parametrize("broadcast", [True, False, None])
+@pytest.mark.parametrize("broadcast, frequent", [(True, 9), (None, 9), (False, 0), (False, 2), (False, 9)])
 @pytest.mark.parametrize("add_special", [True, False])
-def test_encode_and_decode(texts, broadcast, add_special):
+def test_encode_and_decode(texts, broadcast, frequent, add_special, monkeypatch):
+    monkeypatch.setattr(vocabulary, "FREQUENT_ENTRIES", frequent)
     known = build_vocabulary(texts, size=4)
     made = encode(texts, known, ["id"], max_length=5, add_special=add_special, broadcast=broadcast)
     plain = {1: [4, 3, 3, 5, 6], 2: [3, 4], 3: [], 4: [], 5: [0, 3], 6: []}
@@ -52,6 +53,13 @@ def test_whole_texts_are_encoded_without_a_limit(spark):
     assert made.first()["input_ids"] == [3] * 3000
 
 
+def test_neither_part_fits_a_broadcast(texts, monkeypatch):
+    known = build_vocabulary(texts, size=4)
+    whole = encode(texts, known, ["id"]).collect()
+    monkeypatch.setattr(vocabulary, "fits_broadcast", lambda *a, **k: False)
+    assert sorted(map(str, encode(texts, known, ["id"]).collect())) == sorted(map(str, whole))
+
+
 def test_size_check(spark):
     small = spark.createDataFrame([("a", 1)], "token string, id int")
     assert vocabulary.fits_broadcast(small) and not vocabulary.fits_broadcast(small, limit=10)
