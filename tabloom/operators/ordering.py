@@ -1,54 +1,44 @@
-"""Exact positions over whole tables without sorting them in one task.
+"""Exact positions over whole tables without numbering them in one task.
 
-A position is computed in two parts. Rows are put into buckets by an expression that never decreases
-along the wanted order, and each bucket's starting position is the number of rows in lower buckets.
-Only the per-bucket counts, whose number is fixed beforehand, meet in one task; the rows themselves
-are numbered bucket by bucket. Keys must be unique for positions to be reproducible.
+A position is the number of rows in lower buckets plus the place inside the own bucket. Only the
+bucket sizes, whose number is fixed beforehand, meet in one task. In the seeded random order a bucket is
+a prefix of the hash sorted by; in key order it is a range partition. Keys must be unique for positions
+to be reproducible.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabloom.functions import fixed
+from tabloom.session import materialize
 
-# Key buckets grow with the table between these bounds.
-FEWEST_BUCKETS = 256
-MOST_BUCKETS = 4_096
-ROWS_PER_BUCKET = 1_000_000
-SAMPLED_PER_BUCKET = 20
+# Inside monotonically increasing ids the partition stands above this many bits of row number.
+ROW_BITS = 33
 
 
-def bucketed_position(
-    df: DataFrame, bucket: Column, order: Sequence[Column], within: Sequence[str] = (), out: str = "position",
-    total: str | None = None,
+def _with_starts(
+    placed: DataFrame, inside: Column, within: Sequence[str] = (), out: str = "position", total: str | None = None
 ) -> DataFrame:
-    """Zero-based position along ``order``, given a bucket expression that is monotone in it.
+    """Turn ``_bucket`` and the zero-based place ``inside`` it into a position.
 
-    ``bucket`` must take few values, a number fixed by its definition, because the table of bucket
-    sizes is broadcast. ``within`` restarts the numbering per group of a likewise bounded number of
-    groups. ``total`` names an optional column for the row count.
+    ``_bucket`` takes a number of values fixed by its definition, so its sizes are small enough to
+    sum up in one task and to broadcast.
     """
-    marked = df.withColumn("_bucket", bucket)
+    sizes = placed.groupBy(*within, "_bucket").agg(F.count("*").alias("_n"))
     groups = [F.col(c) for c in within]
-    sizes = marked.groupBy(*within, "_bucket").agg(F.count("*").alias("_n"))
     below = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
     starts = sizes.select(
-        *within, "_bucket",
-        F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_start"),
-        *([F.sum("_n").over(whole).alias(total)] if total else []),
+        *within, "_bucket", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_start"),
+        *([F.sum("_n").over(Window.partitionBy(*groups)).alias(total)] if total else []),
     )
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(*order)
-    numbered = marked.withColumn("_inside", F.row_number().over(inside))
     return (
-        numbered.join(F.broadcast(starts), [*within, "_bucket"])
-        .withColumn(out, F.col("_start") + F.col("_inside") - 1)
+        placed.withColumn("_inside", inside)
+        .join(F.broadcast(starts), [*within, "_bucket"])
+        .withColumn(out, F.col("_start") + F.col("_inside"))
         .drop("_bucket", "_start", "_inside")
     )
 
@@ -63,66 +53,33 @@ def shuffled_position(
     df: DataFrame, key: Sequence[str], seed: int = fixed.SEED, epoch: str | int = 0, digits: int = 3,
     out: str = "position", total: str | None = None,
 ) -> DataFrame:
-    """Position in the seeded random order, per epoch when ``epoch`` names a column.
+    """Zero-based position in the seeded random order, per epoch when ``epoch`` names a column.
 
-    The leading ``digits`` of the hash are the bucket: ``16 ** digits`` evenly filled buckets.
+    The leading ``digits`` of the hash are the bucket: ``16 ** digits`` evenly filled buckets. ``total``
+    names an optional column for the row count of the epoch.
     """
     within = [epoch] if isinstance(epoch, str) else []
     epoch_value = F.col(epoch) if isinstance(epoch, str) else epoch
-    hashed = df.withColumn("_hash", shuffle_hash(key, seed, epoch_value))
-    order = [F.col("_hash"), *[F.col(k) for k in key]]
-    return bucketed_position(
-        hashed, F.substring("_hash", 1, digits), order, within=within, out=out, total=total
-    ).drop("_hash")
-
-
-def key_bounds(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> list[Row]:
-    """Up to ``buckets - 1`` ascending key values, as text, that cut the table into similar parts.
-
-    They come from a hash sample of distinct keys whose expected size does not depend on the table.
-    A poor sample costs balance only, never correctness.
-    """
-    keys = df.select(*order)
-    rows = keys.count()
-    if buckets is None:
-        buckets = min(MOST_BUCKETS, max(FEWEST_BUCKETS, rows // ROWS_PER_BUCKET))
-    wanted = buckets * SAMPLED_PER_BUCKET
-    slots = 1 << 40
-    keep = slots if rows <= wanted else max(1, slots * wanted // rows)
-    sampled = keys.dropna().filter(F.pmod(F.xxhash64(*order), F.lit(slots)) < keep).distinct()
-    found = sampled.orderBy(*order).limit(4 * wanted).select(*[F.col(c).cast("string") for c in order]).collect()
-    step = max(1, len(found) // buckets)
-    return found[step::step][: buckets - 1]
-
-
-def bucket_by_bounds(df: DataFrame, order: Sequence[str], bounds: Sequence[Row]) -> Column:
-    """How many bounds are at or below the key, by binary search over a literal array."""
-    if not bounds:
-        return F.lit(0)
-    schema = df.select(*order).schema
-    # One JSON literal, folded into an array while the plan is optimized.
-    as_text = F.from_json(
-        F.lit(json.dumps([b.asDict() for b in bounds])),
-        T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in order])),
+    hashed = df.withColumn("_hash", shuffle_hash(key, seed, epoch_value)).withColumn(
+        "_bucket", F.substring("_hash", 1, digits)
     )
-    array = as_text.cast(T.ArrayType(T.StructType([T.StructField(c, schema[c].dataType) for c in order])))
-    key = F.struct(*order)
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-
-    def search(found: Column, step: Column) -> Column:
-        probe = found + step
-        return F.when((probe <= len(bounds)) & (F.get(array, probe - 1) <= key), probe).otherwise(found)
-
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), search)
+    inside = Window.partitionBy(*within, "_bucket").orderBy("_hash", *key)
+    return _with_starts(hashed, F.row_number().over(inside) - 1, within, out, total).drop("_hash")
 
 
 def key_position(
-    df: DataFrame, order: Sequence[str], out: str = "position", buckets: int | None = None, total: str | None = None
+    df: DataFrame, order: Sequence[str], out: str = "position", partitions: int | None = None, total: str | None = None
 ) -> DataFrame:
-    """Position along ascending ``order`` columns.
+    """Zero-based position along ascending ``order`` columns.
 
-    Counts and samples the keys while the plan is built, so ``df`` should be a scan or a stored table.
+    The rows are range-partitioned, sorted inside their partitions and stored with partition and row
+    number, so they are shuffled once and every later pass sees the same numbers. Pass the columns to
+    carry only.
     """
-    bounds = key_bounds(df, order, buckets)
-    bucket = bucket_by_bounds(df, order, bounds)
-    return bucketed_position(df, bucket, [F.col(c) for c in order], out=out, total=total)
+    if partitions is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    stored = materialize(ranged.withColumn("_place", F.monotonically_increasing_id()), "positions")
+    placed = stored.withColumn("_bucket", F.shiftright("_place", ROW_BITS))
+    inside = F.col("_place").bitwiseAND((1 << ROW_BITS) - 1)
+    return _with_starts(placed, inside, out=out, total=total).drop("_place")

@@ -26,18 +26,23 @@ def parse_split(split: str) -> tuple[str, int | None]:
     return found[1], None if found[2] is None else int(found[2])
 
 
+def _first_keys(keys: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
+    if n > TOP_LIMIT:
+        return key_position(keys, key, out="_position").filter(F.col("_position") < n).select(*key)
+    salted = keys.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)))
+    per_salt = Window.partitionBy("_salt").orderBy(*key)
+    survivors = salted.withColumn("_n", F.row_number().over(per_salt)).filter(F.col("_n") <= n)
+    return survivors.select(*key).orderBy(*key).limit(n)
+
+
 def head(df: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
     """The first ``n`` rows in key order, as a filter.
 
     Only keys travel: the n-th key is found from the key columns alone, first per salt and then over
-    the survivors, and the wide rows are kept or dropped where they are. Keys must be unique.
+    the survivors, or by numbering them when ``n`` is large. The wide rows are kept or dropped where
+    they are. Keys must be unique.
     """
-    if n > TOP_LIMIT:
-        return key_position(df, key, out="_position").filter(F.col("_position") < n).drop("_position")
-    salted = df.select(*key).withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)))
-    per_salt = Window.partitionBy("_salt").orderBy(*key)
-    survivors = salted.withColumn("_n", F.row_number().over(per_salt)).filter(F.col("_n") <= n)
-    first_keys = survivors.select(*key).orderBy(*key).limit(n)
+    first_keys = _first_keys(df.select(*key), n, key)
     leading = F.col(key[0]) <= first_keys.agg(F.max(key[0])).scalar()
     if len(key) == 1:
         return df.filter(leading)

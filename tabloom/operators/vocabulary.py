@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from tabloom.functions import fixed, tokens
 from tabloom.functions.tokens import SpecialIds
 from tabloom.operators.ordering import key_position
-from tabloom.session import materialize
 
 VOCABULARY_SIZE = 150_000
 # Vocabularies up to this many entries are numbered after a top-n, larger ones bucket by bucket.
@@ -44,7 +43,6 @@ def build_vocabulary(
     """
     counted = token_counts(texts, text)
     if size is None or size > TOP_LIMIT:
-        counted = materialize(counted, "token_counts")
         ranked = key_position(counted.withColumn("_rare", -F.col("n")), ["_rare", "token"], out="_rank").drop("_rare")
         if size is not None:
             ranked = ranked.filter(F.col("_rank") < size)
