@@ -81,7 +81,9 @@ INSTRUCTION_TEXT = (
 )
 
 ORACLES["render_instruction_training"] = f"SELECT conv_id, turn, {INSTRUCTION_TEXT} AS text FROM ({INSTRUCTIONS})"
-ORACLES["batched_map"] = ORACLES["render_instruction_training"]
+ORACLES["batched_map"] = f"""
+SELECT conv_id, turn, instruction, length(instruction) + length(input) + length(output) AS characters FROM ({INSTRUCTIONS})
+"""
 ORACLES["render_chat_training"] = f"SELECT conv_id, turn, {MATH_TEXT} AS text FROM ({PAIRS})"
 ORACLES["render_conversation"] = f"""
 SELECT conv_id, turn // 64 AS segment,

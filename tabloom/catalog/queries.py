@@ -109,19 +109,16 @@ def typed_training_text(spark, folder):
     return experiment.bag_union(parts)
 
 
-def instruction_texts(columns):
-    """The instruction text as a plain function over lists, the form a user function has."""
-    rows = zip(columns["instruction"], columns["input"], columns["output"])
-    return {"text": [
-        f"### Instruction:\n{i}\n" + (f"### Input:\n{x}\n" if x else "") + f"### Response:\n{o}\n<|endoftext|>" for i, x, o in rows
-    ]}
+def characters(columns):
+    """A user function: lists of column values in, a list per new column out."""
+    return {"characters": [sum(map(len, row)) for row in zip(*columns.values())]}
 
 
 @query
 def batched_map(spark, folder):
     rows, sources = fixtures.instructions(spark, folder), ["instruction", "input", "output"]
-    added = T.StructType([T.StructField("text", T.StringType())])
-    return mapping.map_batches(rows, instruction_texts, added, sources, remove=sources)
+    added = T.StructType([T.StructField("characters", T.LongType())])
+    return mapping.map_batches(rows, characters, added, sources, remove=["input", "output"])
 
 
 # Selection

@@ -10,9 +10,20 @@ from tabloom.operators.summaries import score_summary, with_scores
 from tabloom.schemas import COMPARISON_FILE
 
 
-def comparison_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Judge responses as JSON-line files arrive below ``path``."""
-    reader = spark.readStream.schema(COMPARISON_FILE)
+# Partial sums are formed where files are read, so a handful of state partitions serves any input.
+STATE_PARTITIONS = 4
+
+
+def comparison_stream(
+    spark: SparkSession, path: str, files_per_batch: int | None = None, state_partitions: int = STATE_PARTITIONS
+) -> DataFrame:
+    """Judge responses as JSON-line files arrive below ``path``.
+
+    The stream has a session of its own, whose number of shuffle partitions fits its small state.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    reader = own.readStream.schema(COMPARISON_FILE)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.json(path)
