@@ -14,6 +14,8 @@ from tabloom.functions import fixed
 
 @dataclass(frozen=True)
 class TrainingSettings:
+    """Batch shape and order are used here; the rest is for the external trainer and kept with the run."""
+
     output_dir: str = "training_output"
     batch_size: int = 2
     gradient_accumulation_steps: int = 4
@@ -24,6 +26,7 @@ class TrainingSettings:
     warmup_steps: int = 5
     lr_scheduler_type: str = "linear"
     seed: int = fixed.SEED
+    max_steps: int | None = None
     max_length: int = fixed.MAX_LENGTH
     lora_r: int = 8
     lora_alpha: int = 16
@@ -33,13 +36,15 @@ class TrainingSettings:
 
 @dataclass(frozen=True)
 class EvaluationSettings:
+    """How generators and judges are called. What a model itself takes, such as its token limit or
+    sampling, is given to the plug-in when it is built."""
+
     cpu_workers: int | None = None
     io_workers: int = 25
     cpu_batch_size: int | None = None
     io_batch_size: int | None = None
     calls_per_second: float | None = None
     rounds: int = 1
-    max_new_tokens: int = fixed.MAX_NEW_TOKENS
     stop: tuple[str, ...] = ()
     system_message: str | None = None
 

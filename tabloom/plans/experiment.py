@@ -16,6 +16,7 @@ from tabloom.plans.evaluation import MakeGenerator, MakeJudge, generate_results,
 from tabloom.session import materialize
 from tabloom.sources import experiment_log
 from tabloom.sources.results import write_results
+from tabloom.sources.runs import write_run
 
 
 @dataclass(frozen=True)
@@ -54,20 +55,17 @@ def generate_all(problems: DataFrame, experiment: Experiment) -> DataFrame:
     return materialize(bag_union(parts), "results")
 
 
-def compare_all(problems: DataFrame, results: DataFrame, experiment: Experiment) -> DataFrame:
-    """Judged comparisons of every engine.
+def base_outputs(problems: DataFrame, experiment: Experiment) -> DataFrame:
+    """The base model's answers, stored once. Each problem is answered once, however many engines there are."""
+    answers = generate_results(problems, experiment.make_base, experiment.key, "base", settings=experiment.settings)
+    return materialize(answers, "base_outputs")
 
-    The base model answers each problem once, however many engines there are; its answers are stored
-    and meet the results by key.
-    """
-    key = experiment.key
-    base = materialize(
-        generate_results(problems, experiment.make_base, key, "base", settings=experiment.settings), "base_outputs"
-    )
-    paired = pair_outputs(
-        results.select(*key, "engine", "problem", "generated_solution"), base, key, "generated_solution"
-    )
-    pair_key = (*key, "engine")
+
+def compare_all(results: DataFrame, base: DataFrame, experiment: Experiment) -> DataFrame:
+    """Judged comparisons of every engine with the base answers, paired by key."""
+    key, pair_key = experiment.key, (*experiment.key, "engine")
+    tuned = results.select(*pair_key, "problem", "generated_solution")
+    paired = pair_outputs(tuned, base, key, "generated_solution")
 
     def scored(rows: DataFrame) -> DataFrame:
         return judged(rows, experiment.make_judge, pair_key, experiment.settings)
@@ -117,7 +115,8 @@ def run_record(summary: DataFrame, experiment: Experiment, log: str | None = Non
         where = [F.lit(None if folder is None else f"{folder}/{n}").cast("string").alias(n) for n in names]
         return F.struct(*where)
 
-    text_map = {**as_text(experiment.settings)}
+    settings = {f"training.{k}": v for k, v in as_text(t).items()}
+    settings |= {f"evaluation.{k}": v for k, v in as_text(experiment.settings).items()}
     results = experiment.training_results
     return gathered.select(
         F.lit(experiment.run_id).alias("run_id"), F.lit(experiment.timestamp).alias("timestamp"), "status",
@@ -136,17 +135,22 @@ def run_record(summary: DataFrame, experiment: Experiment, log: str | None = Non
         ).alias("training_results"),
         *[f"{n}_results" for n in names],
         files(output).alias("inference_outputs"), files(log).alias("comparison_scores"),
-        F.create_map(*[F.lit(x) for pair in text_map.items() for x in pair]).alias("settings"),
+        F.create_map(*[F.lit(x) for pair in settings.items() for x in pair]).alias("settings"),
     )
 
 
-def run_experiment(problems: DataFrame, experiment: Experiment, output: str | None = None, log: str | None = None) -> DataFrame:
-    """Generate, judge and average; optionally write results and log. Returns the run record."""
-    results = generate_all(problems, experiment)
+def run_experiment(
+    problems: DataFrame, experiment: Experiment, output: str | None = None, log: str | None = None, runs: str | None = None
+) -> DataFrame:
+    """Generate, judge and average; optionally write all outputs, the log and the record. Returns the record."""
+    results, base = generate_all(problems, experiment), base_outputs(problems, experiment)
     if output is not None:
-        write_results(results, output)
-    comparisons = compare_all(problems, results, experiment)
+        write_results(bag_union([results, base]), output)
+    comparisons = compare_all(results, base, experiment)
     if log is not None:
         log_all(comparisons, experiment, log, output or "")
     summary = score_summary(with_scores(comparisons), ["engine"])
-    return run_record(summary, experiment, log, output)
+    record = run_record(summary, experiment, log, output)
+    if runs is not None:
+        write_run(record, runs)
+    return record

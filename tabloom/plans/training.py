@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.config import TrainingSettings
 from tabloom.functions import chat, fixed, prompts, tokens
 from tabloom.functions.tokens import SpecialIds
 from tabloom.operators.batching import collate, padded_columns
@@ -79,10 +80,12 @@ def calibration_sample(
 
 
 def training_batches(
-    texts: DataFrame, vocabulary: DataFrame, key: Sequence[str], batch_size: int = 2, accumulation: int = 4,
-    epochs: int = 1, seed: int = fixed.SEED, max_steps: int | None = None, max_length: int = fixed.MAX_LENGTH,
+    texts: DataFrame, vocabulary: DataFrame, key: Sequence[str], settings: TrainingSettings = TrainingSettings(),
     multiple: int = fixed.PAD_MULTIPLE, special: SpecialIds = SpecialIds(),
 ) -> DataFrame:
     """Collated batches for an external trainer. The encoded rows are stored once in between."""
-    encoded = materialize(encode(texts, vocabulary, key, max_length=max_length, special=special), "encoded")
-    return collate(encoded, key, batch_size, accumulation, epochs, seed, max_steps, multiple, special)
+    encoded = materialize(encode(texts, vocabulary, key, max_length=settings.max_length, special=special), "encoded")
+    return collate(
+        encoded, key, settings.batch_size, settings.gradient_accumulation_steps, settings.num_epochs, settings.seed,
+        settings.max_steps, multiple, special,
+    )

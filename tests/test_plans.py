@@ -61,7 +61,7 @@ def test_calibration_rows_are_unpadded(instructions):
 
 def test_training_batches(problems):
     texts = training.training_texts(problems, "math")
-    rows = training.training_batches(texts, build_vocabulary(texts), KEY, epochs=2, max_length=32).collect()
+    rows = training.training_batches(texts, build_vocabulary(texts), KEY, TrainingSettings(num_epochs=2, max_length=32)).collect()
     assert len(rows) == 12 and {r["epoch"] for r in rows} == {0, 1}
     assert all(len(r["input_ids"]) == len(r["labels"]) == r["width"] == 32 for r in rows)
 
@@ -95,15 +95,17 @@ def make_experiment(**changes):
 
 
 def test_experiment(spark, problems, tmp_path):
-    output, log = str(tmp_path / "results"), str(tmp_path / "log")
-    row = experiment.run_experiment(problems, make_experiment(), output, log).first().asDict(True)
+    output, log, record = (str(tmp_path / n) for n in ("results", "log", "runs"))
+    row = experiment.run_experiment(problems, make_experiment(), output, log, record).first().asDict(True)
     assert row["status"] == "success" and row["lora_config"]["lora_dropout"] == 0.1
     for engine, cap in (("standard", 4), ("plain", 3)):
         found = row[f"{engine}_results"]
         assert (found["finetuned_avg_score"], found["base_avg_score"]) == expected(cap, 2) and found["total_comparisons"] == 6
     assert row["comparison_scores"] == {"standard": f"{log}/standard", "plain": f"{log}/plain"}
-    assert row["settings"]["io_workers"] == "2"
-    assert spark.read.parquet(output).count() == 12
+    assert row["settings"]["evaluation.io_workers"] == "2" and row["settings"]["training.seed"] == "108"
+    stored = spark.read.parquet(output).groupBy("engine").count().collect()
+    assert {r["engine"]: r["count"] for r in stored} == {"standard": 6, "plain": 6, "base": 6}
+    assert spark.read.json(record).first()["status"] == "success"
     logged = {r["experiment_id"]: r["total_comparisons"] for r in experiment_log.read_experiments(spark, log).collect()}
     assert logged == {"r-standard": 6, "r-plain": 6}
 
@@ -117,8 +119,8 @@ def test_status_follows_the_judged_engines(spark, engines, status):
 
 
 def test_settings_precedence():
-    made = resolve(EvaluationSettings, {"io_workers": 5, "max_new_tokens": 64}, max_new_tokens=32)
-    assert (made.io_workers, made.max_new_tokens, made.cpu_workers) == (5, 32, None)
+    made = resolve(EvaluationSettings, {"io_workers": 5, "rounds": 64}, rounds=32)
+    assert (made.io_workers, made.rounds, made.cpu_workers) == (5, 32, None)
     assert [resolve(EvaluationSettings, {"io_workers": n}).judge_batch for n in (5, 100)] == [5, 20]
     assert resolve(EvaluationSettings, io_batch_size=7).judge_batch == 7
     with pytest.raises(KeyError):
