@@ -1,9 +1,10 @@
 """The history of judged experiments.
 
-A log is two append-only tables below one path: ``comparisons``, one row per judge response in
-folders per evaluation type and experiment, and ``experiments``, one row per experiment, written last.
-A comparison counts once its experiment row exists, and repeating an append of the same experiment
-replaces its folder, so retries and parallel writers lose and double nothing.
+A log is two tables below one path: ``comparisons``, one row per judge response in folders per
+evaluation type and experiment, and ``experiments``, one row per experiment in a folder of its own,
+written last. A comparison counts once its experiment row exists. Appending never touches other
+experiments, and repeating an append replaces the folders of that experiment, so retries and parallel
+writers lose and double nothing.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from tabloom.schemas import EXPERIMENT, LOG_DOCUMENT
 
 EXPERIMENTS = T.StructType(
     [
-        T.StructField("experiment_id", T.StringType()),
         T.StructField("timestamp", T.StringType()),
         T.StructField("inference_output_file", T.StringType()),
         T.StructField("evaluation_type", T.StringType()),
         T.StructField("total_comparisons", T.LongType()),
+        T.StructField("experiment_id", T.StringType()),
     ]
 )
 ENTRY_ROWS = 1_000
@@ -40,6 +41,10 @@ def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> Data
         return spark.createDataFrame([], schema)
 
 
+def _replace(df: DataFrame, path: str, *folders: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
+
+
 def append_experiment(
     comparisons: DataFrame, log: str, experiment_id: str, evaluation_type: str, inference_output_file: str, timestamp: str
 ) -> None:
@@ -49,9 +54,7 @@ def append_experiment(
         {"evaluation_type": F.lit(evaluation_type), "experiment_id": F.lit(experiment_id)}
     )
     folder = f"{log}/comparisons"
-    tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "evaluation_type", "experiment_id"
-    ).parquet(folder)
+    _replace(tagged, folder, "evaluation_type", "experiment_id")
     stored = spark.read.schema(tagged.schema).parquet(folder).filter(
         (F.col("evaluation_type") == evaluation_type) & (F.col("experiment_id") == experiment_id)
     )
@@ -60,14 +63,12 @@ def append_experiment(
         F.lit(inference_output_file).alias("inference_output_file"),
         F.lit(evaluation_type).alias("evaluation_type"), "total_comparisons",
     )
-    header.coalesce(1).write.mode("append").parquet(f"{log}/experiments")
+    _replace(header.coalesce(1), f"{log}/experiments", "experiment_id")
 
 
 def read_experiments(spark: SparkSession, log: str) -> DataFrame:
-    """One row per experiment; of repeated appends of an experiment the newest counts."""
-    rows = _read_or_empty(spark, f"{log}/experiments", EXPERIMENTS)
-    newest = F.max_by(F.struct(*[c for c in rows.columns if c != "experiment_id"]), "timestamp").alias("_row")
-    return rows.groupBy("experiment_id").agg(newest).select("experiment_id", "_row.*")
+    """One row per finished experiment."""
+    return _read_or_empty(spark, f"{log}/experiments", EXPERIMENTS)
 
 
 def read_comparisons(spark: SparkSession, log: str, key: T.StructType) -> DataFrame:
