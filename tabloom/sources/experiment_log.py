@@ -9,6 +9,7 @@ writers lose and double nothing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -41,8 +42,13 @@ def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> Data
         return spark.createDataFrame([], schema)
 
 
-def _replace(df: DataFrame, path: str, *folders: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
+def _folder(table: str, **values: str) -> str:
+    """The partition folder of the given column values; other letters than ASCII stand as they are."""
+
+    def escaped(value: str) -> str:
+        return re.sub(r"[^\w .~-]", lambda c: f"%{ord(c[0]):02X}" if c[0].isascii() else c[0], value)
+
+    return "/".join([table, *[f"{name}={escaped(value)}" for name, value in values.items()]])
 
 
 def append_experiment(
@@ -50,20 +56,14 @@ def append_experiment(
 ) -> None:
     """Add one experiment; ``comparisons`` holds key columns and ``raw``."""
     spark = comparisons.sparkSession
-    tagged = comparisons.withColumns(
-        {"evaluation_type": F.lit(evaluation_type), "experiment_id": F.lit(experiment_id)}
-    )
-    folder = f"{log}/comparisons"
-    _replace(tagged, folder, "evaluation_type", "experiment_id")
-    stored = spark.read.schema(tagged.schema).parquet(folder).filter(
-        (F.col("evaluation_type") == evaluation_type) & (F.col("experiment_id") == experiment_id)
-    )
+    own = _folder(f"{log}/comparisons", evaluation_type=evaluation_type, experiment_id=experiment_id)
+    comparisons.write.mode("overwrite").parquet(own)
+    stored = spark.read.schema(comparisons.schema).parquet(own)
     header = stored.agg(F.count("*").alias("total_comparisons")).select(
-        F.lit(experiment_id).alias("experiment_id"), F.lit(timestamp).alias("timestamp"),
-        F.lit(inference_output_file).alias("inference_output_file"),
+        F.lit(timestamp).alias("timestamp"), F.lit(inference_output_file).alias("inference_output_file"),
         F.lit(evaluation_type).alias("evaluation_type"), "total_comparisons",
     )
-    _replace(header.coalesce(1), f"{log}/experiments", "experiment_id")
+    header.coalesce(1).write.mode("overwrite").parquet(_folder(f"{log}/experiments", experiment_id=experiment_id))
 
 
 def read_experiments(spark: SparkSession, log: str) -> DataFrame:

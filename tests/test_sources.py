@@ -118,8 +118,14 @@ def test_log_appends_and_repeats(spark, tmp_path):
     assert entries == {"e1": ("2024-01-03 00:00:00", 3), "e2": ("2024-01-02 00:00:00", 2), "e3": ("2024-01-03 00:00:00", 0)}
     stored = experiment_log.read_comparisons(spark, log, rows.select("k").schema).groupBy("experiment_id").count().collect()
     assert {r["experiment_id"]: r["count"] for r in stored} == {"e1": 3, "e2": 2}
+    experiment_log.append_experiment(rows.limit(0), log, "e1", "a", "f", "t")
+    experiment_log.append_experiment(rows, log, "2024-01-01 10:00/é=%", "a b", "f", "t")
+    again = {r["experiment_id"]: r["total_comparisons"] for r in experiment_log.read_experiments(spark, log).collect()}
+    assert again == {"e1": 0, "e2": 2, "e3": 0, "2024-01-01 10:00/é=%": 5}
+    stored = experiment_log.read_comparisons(spark, log, rows.select("k").schema)
+    assert {(r["evaluation_type"], r["experiment_id"]) for r in stored.collect()} == {("b", "e2"), ("a b", "2024-01-01 10:00/é=%")}
     counted = experiment_log.experiment_count(experiment_log.read_experiments(spark, log)).collect()
-    assert {r["evaluation_type"]: r["experiments"] for r in counted} == {"a": 1, "b": 2}
+    assert {r["evaluation_type"]: r["experiments"] for r in counted} == {"a": 1, "b": 2, "a b": 1}
 
 
 def test_unfinished_append_is_invisible(spark, tmp_path):
