@@ -111,8 +111,8 @@ def run_record(summary: DataFrame, experiment: Experiment, log: str | None = Non
     names = [e.name for e in experiment.engines]
     gathered = summary.agg(status.otherwise("success").alias("status"), *[scores(n) for n in names])
 
-    def files(folder: str | None) -> Column:
-        where = [F.lit(None if folder is None else f"{folder}/{n}").cast("string").alias(n) for n in names]
+    def files(folder: str | None, column: str) -> Column:
+        where = [F.lit(None if folder is None else f"{folder}/{column}={n}").cast("string").alias(n) for n in names]
         return F.struct(*where)
 
     settings = {f"training.{k}": v for k, v in as_text(t).items()}
@@ -134,7 +134,8 @@ def run_record(summary: DataFrame, experiment: Experiment, log: str | None = Non
             F.lit(results.get("peak_memory", "N/A")).alias("peak_memory"),
         ).alias("training_results"),
         *[f"{n}_results" for n in names],
-        files(output).alias("inference_outputs"), files(log).alias("comparison_scores"),
+        files(output, "engine").alias("inference_outputs"),
+        files(None if log is None else f"{log}/comparisons", "evaluation_type").alias("comparison_scores"),
         F.create_map(*[F.lit(x) for pair in settings.items() for x in pair]).alias("settings"),
     )
 
