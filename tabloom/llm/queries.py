@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, chat_windows, licenses, sharding
+from tabloom.llm import bpe, chat_windows, decontamination, licenses, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,3 +49,13 @@ def op1_chat_windows(spark, folder):
 def op5_byte_bpe(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op6_token_counts(spark, folder):
+    return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op7_decontamination(spark, folder):
+    return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
