@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, chat_windows, decontamination, licenses, sharding, token_counts
+from tabloom.llm import bpe, chat_windows, decontamination, licenses, quality_rules, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,3 +59,8 @@ def op6_token_counts(spark, folder):
 @query
 def op7_decontamination(spark, folder):
     return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op3_quality_rules(spark, folder):
+    return quality_rules.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
