@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, chat_windows, decontamination, licenses, quality_rules, sharding, token_counts
+from tabloom.llm import bpe, chat_windows, decontamination, licenses, near_duplicates, quality_rules, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,3 +64,8 @@ def op7_decontamination(spark, folder):
 @query
 def op3_quality_rules(spark, folder):
     return quality_rules.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op2_near_duplicates(spark, folder):
+    return near_duplicates.report(table(spark, folder, "documents"))
