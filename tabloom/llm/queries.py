@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, chat_windows, decontamination, licenses, near_duplicates, quality_rules, sharding, token_counts
+from tabloom.llm import bpe, chat_windows, decontamination, licenses, lm_scoring, near_duplicates, quality_rules, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,3 +69,8 @@ def op3_quality_rules(spark, folder):
 @query
 def op2_near_duplicates(spark, folder):
     return near_duplicates.report(table(spark, folder, "documents"))
+
+
+@query
+def op9_suffix_tree(spark, folder):
+    return lm_scoring.score_documents(table(spark, folder, "documents"))
