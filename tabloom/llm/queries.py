@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, chat_windows, decontamination, licenses, lm_scoring, near_duplicates, quality_rules, sharding, token_counts
+from tabloom.llm import bpe, chat_windows, decontamination, licenses, lm_scoring, near_duplicates, quality_rules, secrets, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,3 +74,8 @@ def op2_near_duplicates(spark, folder):
 @query
 def op9_suffix_tree(spark, folder):
     return lm_scoring.score_documents(table(spark, folder, "documents"))
+
+
+@query
+def op8_secrets(spark, folder):
+    return secrets.scan(table(spark, folder, "documents"))
