@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import duckdb
 import numpy as np
@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import arrow_map, column, pieces
+from tabloom.llm.common import arrow_map, pieces
 
 BLOCK_BYTES = 300_000
 PIECE_BYTES = 128
@@ -246,30 +246,46 @@ def decoded_texts(ids: list[str], path: str, pattern: str) -> list[bytes]:
     return [next(texts) if len(one) else b"" for one in lists]
 
 
-def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, carried: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows with ``ids`` and ``decoded`` in place of the text, a block of texts at a time."""
+Finish = Callable[[list[str], list[bytes]], list[pa.Array]]
+
+
+def digests(ids: list[str], decoded: list[bytes]) -> list[pa.Array]:
+    return [pa.array([hashlib.sha256(i.encode()).hexdigest() for i in ids]), pa.array([hashlib.sha256(d).hexdigest() for d in decoded])]
+
+
+def values(ids: list[str], decoded: list[bytes]) -> list[pa.Array]:
+    return [pa.array([np.fromstring(i, np.int32, sep=",") for i in ids], pa.list_(pa.int32())), pa.array(decoded, pa.binary())]
+
+
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, names: list[str], finish: Finish) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of ids and two results in place of the text, which comes last, a block of texts at a time."""
     for batch in batches:
-        texts = column(batch, "_text")
+        texts = batch.column(batch.num_columns - 1).to_pylist()
         for start, end in pieces(texts, TEXT_BLOCK):
             ids = encoded_ids(texts[start:end], path, pattern)
             decoded = decoded_texts(ids, path, pattern)
-            part = batch.slice(start, end - start)
-            columns = [part.column(part.schema.get_field_index(c)) for c in carried]
-            digests = [hashlib.sha256(i.encode()).hexdigest() for i in ids], [hashlib.sha256(d).hexdigest() for d in decoded]
+            carried = batch.slice(start, end - start).columns[:-1]
             counts = pa.array([i.count(",") + 1 if i else 0 for i in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*columns, counts, *map(pa.array, digests)], [*carried, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([*carried, counts, *finish(ids, decoded)], names)
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, text: str, finish: Finish, new: dict[str, str]) -> DataFrame:
+    carried = [c for c in docs.columns if c != text and c not in new]
+    rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(text).cast("string").alias("_text"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]]
+    names = [*carried, *new]
+    return arrow_map(rows, lambda b: encode_batches(b, path, pattern, names, finish), ", ".join([*fields, *(f"{n} {t}" for n, t in new.items())]))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """Every row with ``n_tokens, ids_sha256, decoded_sha256`` in place of ``text``.
+    """Every row with ``n_tokens, ids, decoded`` in place of ``text``: the ids, and the bytes decoded from them again.
 
-    The digests are those of the decimal ids joined by commas, and of the bytes decoded from these ids. Null
-    counts as empty, which has no ids; repeated rows are encoded each; columns of the input with the names of
+    Null counts as empty, which has no ids; repeated rows are encoded each; columns of the input with the names of
     the new ones are replaced; an empty table gives no rows.
     """
-    new = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    carried = [c for c in docs.columns if c != text and c not in new]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in carried]).schema]
-    ready = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(text).cast("string").alias("_text"))
-    schema = ", ".join([*fields, "n_tokens long", "ids_sha256 string", "decoded_sha256 string"])
-    return arrow_map(ready, lambda b: encode_batches(b, path, pattern, carried), schema)
+    return encoded(docs, path, pattern, text, values, {"n_tokens": "long", "ids": "array<int>", "decoded": "binary"})
+
+
+def encode_digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """As ``encode_documents``, with digests of the decimal ids joined by commas and of the decoded bytes instead of both."""
+    return encoded(docs, path, pattern, text, digests, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})

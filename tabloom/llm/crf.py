@@ -13,7 +13,9 @@ import numpy as np
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 TAGS = 3
 FORBIDDEN = -1e4
-RATE, STEPS, DECAY = 0.3, 120, 1e-4
+RATE, STEPS, DECAY = 0.3, 80, 1e-4
+# Before it learns anything the field takes every token to be outside by so much.
+PRIOR = 4.0
 
 
 @dataclass
@@ -29,6 +31,7 @@ class Field:
             sizes = {"here": (self.shapes,), "before": (self.shapes,), "before2": (self.shapes,), "after": (self.shapes,),
                      "pair": (self.shapes, self.shapes), "file": (self.files, self.shapes), "tag": (TAGS,)}
             self.tables = {name: np.zeros((*size, TAGS)) for name, size in sizes.items()}
+            self.tables["here"][:, OUTSIDE] = PRIOR
 
     def views(self, shapes: np.ndarray, files: np.ndarray) -> dict[str, tuple]:
         """For rows of shapes, padded by 0 at both ends, the cells of each table that score each token."""
@@ -60,8 +63,15 @@ def summed(scores: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(scores - top).sum(axis=axis)) + np.squeeze(top, axis)
 
 
+def gathered(sizes: tuple[int, ...], where: tuple, values: np.ndarray) -> np.ndarray:
+    """Values per tag summed by cell."""
+    flat = np.ravel_multi_index(where, sizes).ravel()
+    sums = [np.bincount(flat, values[:, :, tag].ravel(), int(np.prod(sizes))) for tag in range(TAGS)]
+    return np.stack(sums, axis=-1).reshape(*sizes, TAGS)
+
+
 def trained(rows: list[list[int]], tags: list[list[int]], files: list[int], shapes: int, kinds: int) -> Field:
-    """The field of greatest conditional likelihood, by adaptive full-batch gradient steps with a small decay."""
+    """The field of greatest conditional likelihood, by adaptive full-batch gradient steps with a small decay to the prior."""
     model = Field(shapes, kinds)
     if not rows:
         return model
@@ -76,6 +86,7 @@ def trained(rows: list[list[int]], tags: list[list[int]], files: list[int], shap
     steps = np.zeros((TAGS, TAGS))
     np.add.at(steps, (gold[:, :-1][follows], gold[:, 1:][follows]), 1)
     power = {name: np.full_like(t, 1e-8) for name, t in model.tables.items()}
+    prior = {name: t.copy() for name, t in model.tables.items()}
     for _ in range(STEPS):
         emit, trans = model.emissions(table, files), model.transitions()
         # A first tag follows an outside one.
@@ -96,11 +107,11 @@ def trained(rows: list[list[int]], tags: list[list[int]], files: list[int], shap
         difference = target - chance
         gradient = {name: np.zeros_like(t) for name, t in model.tables.items()}
         for name, where in cells.items():
-            np.add.at(gradient[name], where, difference)
+            gradient[name] += gathered(gradient[name].shape[:-1], where, difference)
         gradient["tag"] += steps - pairs
         gradient["tag"][OUTSIDE] += difference[:, 0].sum(axis=0)
         for name, slope in gradient.items():
-            slope = slope / len(rows) - DECAY * model.tables[name]
+            slope = slope / len(rows) - DECAY * (model.tables[name] - prior[name])
             power[name] += slope**2
             model.tables[name] += RATE * slope / np.sqrt(power[name])
     return model
@@ -140,12 +151,17 @@ def decoded(model: Field, rows: list[list[int]], files: list[int]) -> list[np.nd
 def always_outside(model: Field, plain: list[int]) -> bool:
     """Whether a row of ``plain`` shapes alone is sure to be all outside.
 
-    A tag other than outside gains at most the sum of the greatest differences of each table, and of two
-    transitions, over staying outside.
+    Taken over all neighbourhoods of plain shapes and ends, the most that a begin and an inside can score over an
+    outside bounds what any stretch of them gains: entering and leaving must lose, and going on must not gain.
     """
-    over = lambda t: (t[..., 1:] - t[..., :1]).max()
     some = np.array([0, *plain])
+    before2, before, here, after, file = np.meshgrid(some, some, np.array(plain), some, np.arange(model.files), indexing="ij")
     tables, trans = model.tables, model.transitions()
-    gain = over(tables["here"][plain]) + over(tables["before"][some]) + over(tables["before2"][some]) + over(tables["after"][some])
-    gain += over(tables["pair"][np.ix_(some, plain)]) + over(tables["file"][:, plain])
-    return bool(gain + 2 * max(0.0, trans.max() - trans[OUTSIDE, OUTSIDE]) < 0)
+    scores = tables["here"][here] + tables["before"][before] + tables["before2"][before2] + tables["after"][after]
+    scores = scores + tables["pair"][before, here] + tables["file"][file, here]
+    begin, inside = ((scores[..., tag] - scores[..., OUTSIDE]).max() for tag in (BEGIN, INSIDE))
+    stay = trans[OUTSIDE, OUTSIDE]
+    enter = trans[OUTSIDE, BEGIN] - stay + begin
+    go_on = max(trans[BEGIN, BEGIN] + begin, trans[INSIDE, BEGIN] + begin, trans[BEGIN, INSIDE] + inside, trans[INSIDE, INSIDE] + inside) - stay
+    leave = max(trans[BEGIN, OUTSIDE] - stay, trans[INSIDE, OUTSIDE] - stay, 0.0)
+    return bool(enter + leave < 0 and go_on < 0)

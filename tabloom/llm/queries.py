@@ -48,7 +48,7 @@ def op1_chat_windows(spark, folder):
 @query
 def op5_byte_bpe(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 @query

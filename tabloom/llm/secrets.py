@@ -38,7 +38,7 @@ TRAINING_LINES, TRAINING_CHARS, TRAINING_TOKENS = 1_500, 2_000, 48
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
 LONG_LETTERS = 24
 SHAPES, FILES = 24, 3
-PLAIN = [4, 5, 6, 7, 8, 9]
+PLAIN = [3, 4, 5, 6, 7, 8, 9]
 IS_HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
 IS_ODD = np.isin(np.arange(256), list(b"0123456789="))
 IS_WORD = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"))
@@ -52,7 +52,7 @@ def shape(token: str) -> int:
         return 1
     if size == 1 and not token.isalnum():
         return {"=": 2, ":": 3, '"': 4, "'": 4, "`": 4}.get(token, 5)
-    digits, letters = any(map(str.isdigit, token)), any(map(str.isalpha, token))
+    digits, letters = any(c in "0123456789" for c in token), any(map(str.isalpha, token))
     if not digits:
         if size >= LONG_LETTERS:
             return 22
