@@ -271,7 +271,8 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, n
 
 def encoded(docs: DataFrame, path: str, pattern: str, text: str, finish: Finish, new: dict[str, str]) -> DataFrame:
     carried = [c for c in docs.columns if c != text and c not in new]
-    rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(text).cast("string").alias("_text"))
+    body = "_text" + "_" * max(map(len, carried), default=0)
+    rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(text).cast("string").alias(body))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]]
     names = [*carried, *new]
     return arrow_map(rows, lambda b: encode_batches(b, path, pattern, names, finish), ", ".join([*fields, *(f"{n} {t}" for n, t in new.items())]))

@@ -13,6 +13,7 @@ other lines of all texts are decoded.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -178,7 +179,12 @@ def training_rows(lines: list[str]) -> tuple[list[list[int]], list[list[int]], l
         tags.append(tag[first: first + TRAINING_TOKENS])
         kinds.append(file_kind(codes))
     keep = [n for n, row in enumerate(rows) if row]
-    return [rows[n] for n in keep], [tags[n] for n in keep], [kinds[n] for n in keep]
+    # Every way that plain shapes can follow each other, once, as an example of nothing.
+    plain = [list(row) for row in itertools.product(PLAIN, repeat=3)]
+    return (
+        [rows[n] for n in keep] + plain, [tags[n] for n in keep] + [[crf.OUTSIDE] * 3] * len(plain),
+        [kinds[n] for n in keep] + [n % FILES for n in range(len(plain))],
+    )
 
 
 def trained_field(docs: DataFrame) -> crf.Field:
