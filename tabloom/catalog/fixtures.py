@@ -9,17 +9,14 @@ from tabloom.functions.text import whole
 from tabloom.operators.pairing import chunked_left_join
 from tabloom.operators.vocabulary import build_vocabulary
 from tabloom.session import materialize
-from tabloom.sources.tables import spread
 
 TURN_KEY = ("conv_id", "turn")
 TEXT_KEY = ("example_id",)
-# Turns of a conversation rendered or listed together; longer conversations continue in further segments.
+# Turns of a conversation rendered or numbered in one task; segments of a longer one are put together again.
 SEGMENT_TURNS = 64
 # Turns of a conversation that meet its system text in one task.
 CHUNK_TURNS = 1_024
 
-_vocabularies: dict[tuple[str, str], DataFrame] = {}
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -60,7 +57,7 @@ def held_out(spark: SparkSession, folder: str) -> DataFrame:
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """``example_id, text``."""
-    return spread(table(spark, folder, "documents").select(F.col("doc_id").alias("example_id"), "text"))
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("example_id"), "text")
 
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,7 +69,9 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
     )
     raw = (
         F.when(event % 13 == 0, "not json").when(event % 13 == 1, '{"first_score": 4}')
-        .when(event % 13 == 2, F.lit(None)).when(event % 13 == 3, "[1]").otherwise(whole)
+        .when(event % 13 == 2, F.lit(None)).when(event % 13 == 3, "[1]")
+        .when(event % 13 == 4, F.replace(whole, F.lit('"'), F.lit("'"))).when(event % 13 == 5, F.concat(whole, F.lit(" done")))
+        .when(event % 13 == 6, F.concat(whole, whole)).otherwise(whole)
     )
     kind = F.when(user % 2 == 0, "standard_inference").otherwise("vllm_inference")
     return table(spark, folder, "events").select(
@@ -100,8 +99,5 @@ def run_steps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    """The vocabulary of the texts, built and stored once per application."""
-    place = (spark.sparkContext.applicationId, folder)
-    if place not in _vocabularies:
-        _vocabularies[place] = materialize(build_vocabulary(texts(spark, folder)), "vocabulary")
-    return _vocabularies[place]
+    """The vocabulary of the texts, built and stored."""
+    return materialize(build_vocabulary(texts(spark, folder)), "vocabulary")

@@ -30,9 +30,12 @@ RESPONSES = """
 SELECT event_id AS example_id,
   CASE WHEN user_id % 2 = 0 THEN 'standard_inference' ELSE 'vllm_inference' END AS evaluation_type,
   CASE event_id % 13 WHEN 0 THEN 'not json' WHEN 1 THEN '{"first_score": 4}' WHEN 2 THEN NULL WHEN 3 THEN '[1]'
-    ELSE '{"problem": "p' || event_id || '", "first_score": ' || (1 + event_id % 10) || ', "second_score": '
-      || (1 + user_id % 10) || '}' END AS raw
-FROM events
+    WHEN 4 THEN replace(sound, '"', chr(39)) WHEN 5 THEN sound || ' done' WHEN 6 THEN sound || sound ELSE sound END AS raw
+FROM (
+  SELECT *, '{"problem": "p' || event_id || '", "first_score": ' || (1 + event_id % 10) || ', "second_score": '
+    || (1 + user_id % 10) || '}' AS sound
+  FROM events
+)
 """
 SCORED = f"""
 SELECT example_id, evaluation_type, raw, coalesce(ok AND first IS NOT NULL AND second IS NOT NULL, false) AS valid,
@@ -86,9 +89,8 @@ SELECT conv_id, turn, instruction, length(instruction) + length(input) + length(
 """
 ORACLES["render_chat_training"] = f"SELECT conv_id, turn, {MATH_TEXT} AS text FROM ({PAIRS})"
 ORACLES["render_conversation"] = f"""
-SELECT conv_id, turn // 64 AS segment,
-  string_agg('<|im_start|>' || role || chr(10) || text || {lit('<|im_end|>' + chr(10))}, '' ORDER BY turn) AS text
-FROM conversations GROUP BY conv_id, turn // 64
+SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || {lit('<|im_end|>' + chr(10))}, '' ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id
 """
 HELD_OUT = 'SELECT item_id AS example_id, text AS "Problem" FROM benchmark'
 ORACLES["render_math_prompt"] = f"SELECT example_id, {MATH_PROMPT} AS prompt FROM ({HELD_OUT})"
@@ -155,19 +157,17 @@ FROM (SELECT *, least(nullif(strpos(text, chr(10)), 0), nullif(strpos(text, '. '
 ORACLES["strip_echo"] = f'SELECT conv_id, turn, "Solution" AS completion FROM ({PAIRS})'
 ORACLES["zip_columns"] = """
 WITH lists AS (
-  SELECT conv_id, turn // 64 AS segment, list(role ORDER BY turn) AS roles,
-    list(text ORDER BY turn) FILTER (WHERE turn % 7 <> 6) AS texts
-  FROM conversations GROUP BY conv_id, turn // 64
+  SELECT conv_id, list(role ORDER BY turn) AS roles, list(text ORDER BY turn) FILTER (WHERE turn % 7 <> 6) AS texts
+  FROM conversations GROUP BY conv_id
 ), counted AS (
   SELECT *, least(len(roles), len(texts)) AS n FROM lists WHERE texts IS NOT NULL
 )
-SELECT conv_id, segment, i - 1 AS position, roles[i] AS role, texts[i] AS text
-FROM (SELECT conv_id, segment, roles, texts, unnest(range(1, n + 1)) AS i FROM counted)
+SELECT conv_id, i - 1 AS position, roles[i] AS role, texts[i] AS text
+FROM (SELECT conv_id, roles, texts, unnest(range(1, n + 1)) AS i FROM counted)
 """
 ORACLES["result_access"] = "SELECT conv_id, turn, [{'outputs': [{'text': text}]}][1].outputs[1].text AS text FROM conversations"
 ORACLES["json_encode"] = """
-SELECT conv_id, turn, json_extract_string(j, '$.role') AS role, json_extract_string(j, '$.text') AS text
-FROM (SELECT conv_id, turn, to_json({'role': role, 'text': text}) AS j FROM conversations)
+SELECT conv_id, turn, CAST(to_json({'role': role, 'text': text}) AS VARCHAR) AS json FROM conversations
 """
 ORACLES["timestamps"] = f"""
 SELECT example_id, strftime(started_at, '%Y-%m-%d %H:%M:%S') AS started_at, least(latency_us, 20000) AS latency_us
@@ -175,31 +175,30 @@ FROM ({TIMINGS})
 """
 ORACLES["elapsed"] = f"""
 SELECT engine, epoch_us(max(started_at)) - epoch_us(min(started_at)) AS elapsed_us,
-  coalesce(avg(latency_us) FILTER (WHERE latency_us > 1000000000000), 0.0) AS mean_slow_us
+  coalesce(avg(latency_us) FILTER (WHERE latency_us > 10000), 0.0) AS mean_slow_us
 FROM ({TIMINGS}) GROUP BY engine
 """
 
 
-def vocabulary(source: str, limit: str = "LIMIT 150000") -> str:
+def vocabulary(source: str, tokens: str = TOKENS, reserved: int = 2) -> str:
     return f"""
-SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 2 AS id
-FROM (
-  SELECT token, count(*) AS n FROM (SELECT unnest({TOKENS}) AS token FROM {source})
-  GROUP BY token ORDER BY n DESC, token {limit}
-)
+SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + {reserved} AS id
+FROM (SELECT token, count(*) AS n FROM (SELECT unnest({tokens}) AS token FROM {source}) GROUP BY token)
 """
 
 
 DOC_VOCAB = vocabulary("documents")
 ORACLES["vocab"] = DOC_VOCAB
-ORACLES["vocab_whole"] = vocabulary("documents", "")
+ORACLES["vocab_whole"] = DOC_VOCAB
+ORACLES["vocab_frequent"] = f"{DOC_VOCAB} ORDER BY n DESC, token LIMIT 1000"
 
 
-def encoded(key: str, source: str, vocab: str, limit: int) -> str:
-    """Id lists of ``source (key.., text)``, cut to ``limit`` tokens."""
+def encoded(key: str, source: str, vocab: str, limit: int | None = None, tokens: str = TOKENS) -> str:
+    """Id lists of ``source (key.., text)``, cut to ``limit`` tokens if there is one."""
+    tokens = tokens if limit is None else f"list_slice({tokens}, 1, {limit})"
     return f"""
 WITH vocab AS MATERIALIZED ({vocab}),
-source AS MATERIALIZED (SELECT {key}, text, list_slice({TOKENS}, 1, {limit}) AS toks FROM {source}),
+source AS MATERIALIZED (SELECT {key}, text, {tokens} AS toks FROM {source}),
 exploded AS (SELECT {key}, unnest(toks) AS token, unnest(range(1, len(toks) + 1)) AS pos FROM source),
 found AS (
   SELECT {key}, list(coalesce(id, 0) ORDER BY pos) AS ids
@@ -210,9 +209,8 @@ encoded AS (SELECT {key}, text, toks, coalesce(ids, []) AS ids FROM source LEFT
 
 
 DOCS = "(SELECT doc_id AS example_id, text FROM documents)"
-DOC_IDS = encoded("example_id", DOCS, DOC_VOCAB, 512)
-DOC_IDS_WHOLE = encoded("example_id", DOCS, DOC_VOCAB, 1_000_000_000)
-DOC_IDS_510 = encoded("example_id", DOCS, DOC_VOCAB, 510)
+DOC_IDS = encoded("example_id", DOCS, DOC_VOCAB)
+DOC_IDS_512 = encoded("example_id", DOCS, DOC_VOCAB, 512)
 
 
 def fill(value: str, n: str) -> str:
@@ -221,30 +219,25 @@ def fill(value: str, n: str) -> str:
 
 
 ORACLES["encode"] = DOC_IDS + "SELECT example_id, array_to_string(ids, ' ') AS input_ids FROM encoded"
-ORACLES["encode_whole"] = DOC_IDS_WHOLE + """
+ORACLES["encode_whole"] = DOC_IDS + """
 SELECT example_id, len(ids) AS length, array_to_string(ids, ' ') AS input_ids FROM encoded
 """
 
 
-def decoded(n: int) -> str:
-    return DOC_IDS + f""",
-words AS (
-  SELECT example_id, string_agg(CASE WHEN v.token IS NULL THEN '<unk>' ELSE e.token END, ' ' ORDER BY pos) AS text
-  FROM exploded e LEFT JOIN vocab v ON v.token = e.token WHERE pos <= {n} GROUP BY example_id
-)
-SELECT s.example_id, coalesce(w.text, '') AS text FROM source s LEFT JOIN words w USING (example_id)
+ORACLES["decode"] = DOC_IDS + """
+SELECT example_id, array_to_string(toks, ' ') AS text FROM source
 """
-
-
-ORACLES["decode"] = decoded(512)
-ORACLES["decoded_clean"] = decoded(127)
-ORACLES["truncate_pad_mask"] = DOC_IDS + f"""
+ORACLES["decoded_clean"] = ORACLES["decode"]
+ORACLES["generated_capped"] = DOC_IDS + """
+SELECT example_id, array_to_string(list_slice(ids, 1, 128), ' ') AS input_ids FROM encoded
+"""
+ORACLES["truncate_pad_mask"] = DOC_IDS_512 + f"""
 SELECT example_id, array_to_string(list_concat(ids, {fill('2', '512 - len(ids)')}), ' ') AS input_ids,
   array_to_string(list_concat({fill('1', 'len(ids)')}, {fill('0', '512 - len(ids)')}), ' ') AS attention_mask
 FROM encoded
 """
-ORACLES["labels_masked"] = DOC_IDS_510 + f"""
-SELECT example_id, array_to_string(list_concat([1], ids, {fill('-100', '511 - len(ids)')}), ' ') AS labels
+ORACLES["labels_masked"] = DOC_IDS + f"""
+SELECT example_id, array_to_string(list_concat([1], ids, {fill('-100', 'greatest(511 - len(ids), 1)')}), ' ') AS labels
 FROM encoded
 """
 _ALPACA = f"(SELECT conv_id, turn, {INSTRUCTION_TEXT} AS text FROM ({INSTRUCTIONS}))"
@@ -268,8 +261,8 @@ SELECT example_id, batch_id, longest,
   array_to_string(list_concat({fill('1', 'len(ids)')}, {fill('0', 'longest - len(ids)')}), ' ') AS attention_mask
 FROM sized
 """
-ORACLES["training_batches"] = f"""
-WITH sized AS (SELECT doc_id AS example_id, least(512, len({TOKENS})) AS length FROM documents),
+SCHEDULED = f"""
+WITH sized AS (SELECT doc_id AS example_id, len({TOKENS}) AS length FROM documents),
 placed AS (
   SELECT example_id, epoch, length, count(*) OVER (PARTITION BY epoch) AS total,
     row_number() OVER (PARTITION BY epoch ORDER BY md5('108:' || epoch || ':' || example_id), example_id) - 1 AS position
@@ -282,7 +275,25 @@ stepped AS (
   FROM batched
 )
 SELECT example_id, epoch, position, micro_batch, step, CAST(ceil(longest / 8) * 8 AS BIGINT) AS width
-FROM stepped WHERE step < 2000
+FROM stepped
+"""
+ORACLES["training_batches"] = SCHEDULED
+ORACLES["training_steps_capped"] = f"{SCHEDULED} WHERE step < 30"
+_MARKED_TOKENS = r"regexp_extract_all(text, '<\|endoftext\|>|<\|im_start\|>|<\|im_end\|>|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
+_MARKS = "('<|endoftext|>', '<|im_start|>', '<|im_end|>')"
+_TYPED = f"({ORACLES['typed_training_text']})"
+_MARKED_VOCAB = f"""
+SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 5 AS id
+FROM (
+  SELECT token, count(*) AS n FROM (SELECT unnest({_MARKED_TOKENS}) AS token FROM {_TYPED})
+  WHERE token NOT IN {_MARKS} GROUP BY token
+)
+UNION ALL VALUES ('<|endoftext|>', 0, 3), ('<|im_start|>', 0, 4), ('<|im_end|>', 0, 5)
+"""
+ORACLES["encode_marked"] = encoded("kind, conv_id, turn", _TYPED, _MARKED_VOCAB, tokens=_MARKED_TOKENS) + """
+SELECT kind, conv_id, turn, array_to_string(ids, ' ') AS input_ids, CAST(ids[-1] AS BIGINT) AS last,
+  array_to_string(toks, ' ') AS text
+FROM encoded
 """
 ORACLES["collated_batches"] = DOC_IDS + f""",
 placed AS (
@@ -386,13 +397,9 @@ SELECT event_id AS example_id, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'k' END A
 FROM events
 """
 ORACLES["experiment_log_history"] = f"""
-WITH placed AS (
-  SELECT evaluation_type, (row_number() OVER (ORDER BY evaluation_type, example_id) - 1) // 1000 AS part FROM ({RESPONSES})
-),
-documents AS (SELECT evaluation_type, part, count(*) AS n FROM placed GROUP BY evaluation_type, part)
-SELECT evaluation_type, 1 + count(*) AS entries, CAST(1 AS BIGINT) AS experiments,
-  CAST(2 * sum(n) AS BIGINT) AS responses, CAST(2 * sum(n) AS BIGINT) AS total_comparisons
-FROM documents GROUP BY evaluation_type
+SELECT evaluation_type, CAST(2 AS BIGINT) AS entries, CAST(2 AS BIGINT) AS experiments, 2 * count(*) AS responses,
+  2 * count(*) AS total_comparisons
+FROM ({RESPONSES}) GROUP BY evaluation_type
 """
 
 
@@ -425,3 +432,19 @@ UNION ALL
 SELECT 'vllm_inference', {capped_words('"Problem"', 6)}, {capped_words('"Problem"', 16)}, true FROM ({PAIRS})
 """
 )
+ORACLES["experiment_failures"] = f"""
+SELECT failing, status, CAST(share * n AS BIGINT) AS errors
+FROM (VALUES ('judge', 'failed', 2), ('engine', 'partial_success', 1), ('none', 'success', 0)) v(failing, status, share),
+  (SELECT count(*) AS n FROM ({PAIRS}))
+"""
+_PLAIN_PROMPT = (
+    f"{lit('Solve the following problem with logically complete and formally justified solutions:' + chr(10) * 2 + '### Problem:' + chr(10))}"
+    f" || \"Problem\" || {lit(chr(10) * 2 + '### Solution:')}"
+)
+ORACLES["engine_options"] = f"""
+SELECT conv_id, turn,
+  CASE WHEN long THEN NULL
+    ELSE regexp_extract({_TUNED}, '^(?s:\\s*(?:[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s])){{0,8}}', 0) END AS generated_solution,
+  CASE WHEN long THEN 'prompt too long' END AS error
+FROM (SELECT *, len({TOKENS}) > 64 AS long FROM (SELECT *, {_PLAIN_PROMPT} AS text FROM ({PAIRS})))
+"""

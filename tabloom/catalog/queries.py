@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,15 +12,15 @@ from pyspark.sql import types as T
 
 from tabloom.catalog import fixtures
 from tabloom.catalog.fixtures import TEXT_KEY, TURN_KEY
-from tabloom.config import EvaluationSettings, resolved, unknown_keys
+from tabloom.config import EvaluationSettings, TrainingSettings, resolved, unknown_keys
 from tabloom.functions import chat, fixed, prompts, tokens
 from tabloom.functions import text as texts
 from tabloom.functions.tokens import SpecialIds
 from tabloom.operators import batching, calls, mapping, pairing, selection, summaries, vocabulary
-from tabloom.operators.plugins import LeadingWords, WordCountJudge
+from tabloom.operators.plugins import EchoingWords, LeadingWords, NeverAnswers, WordCountJudge
 from tabloom.plans import evaluation, experiment, training
 from tabloom.session import materialize, work_path
-from tabloom.sources import experiment_log, files, problems, results, tables
+from tabloom.sources import experiment_log, problems, results, tables
 from tabloom.streaming import scoreboard
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,7 +63,9 @@ def render_conversation(spark, folder):
         F.sort_array(F.collect_list(turn)).alias("turns")
     )
     messages = F.transform("turns", lambda t: t["message"])
-    return listed.select("conv_id", "segment", chat.render_messages(messages).alias("text"))
+    parts = listed.select("conv_id", F.struct("segment", chat.render_messages(messages).alias("text")).alias("part"))
+    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    return whole.select("conv_id", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
 
 
 @query
@@ -149,11 +152,6 @@ def dataset_shape(spark, folder):
     return summaries.shape(fixtures.table(spark, folder, "documents"))
 
 
-@query
-def storage_footprint(spark, folder):
-    return summaries.total_megabytes(files.scan_files(spark, folder))
-
-
 # Text
 
 
@@ -171,31 +169,25 @@ def strip_echo(spark, folder):
 
 @query
 def zip_columns(spark, folder):
-    lists = fixtures.chats(spark, folder).groupBy("conv_id", "segment").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("_roles"),
-        F.sort_array(F.collect_list(F.when(F.col("turn") % 7 != 6, F.struct("turn", "text")))).alias("_texts"),
-    )
-    columns = lists.select(
-        "conv_id", "segment", F.transform("_roles", lambda r: r["role"]).alias("role"),
-        F.transform("_texts", lambda t: t["text"]).alias("text"),
-    )
-    rows = pairing.unzip_rows(columns, ["conv_id", "segment"], ["role", "text"])
-    return rows.withColumn("position", F.col("position").cast("long"))
+    turns = fixtures.chats(spark, folder)
+    roles = pairing.numbered(turns.select("conv_id", "segment", "turn", "role"), "conv_id", "segment", "turn")
+    texts_ = pairing.numbered(turns.filter(F.col("turn") % 7 != 6).select("conv_id", "segment", "turn", "text"), "conv_id", "segment", "turn")
+    # Rows beyond the end of the shorter list meet nothing.
+    return roles.select("conv_id", "position", "role").join(texts_.select("conv_id", "position", "text"), ["conv_id", "position"])
 
 
 @query
 def result_access(spark, folder):
     output = F.array(F.struct(F.array(F.struct("text")).alias("outputs")))
-    rows = fixtures.chats(spark, folder).withColumn("response", output)
-    return rows.select("conv_id", "turn", F.col("response")[0]["outputs"][0]["text"].alias("text"))
+    rows = fixtures.chats(spark, folder).select("conv_id", "turn", output.alias("response"))
+    path = work_path(spark, "responses")
+    rows.write.json(path)
+    return spark.read.schema(rows.schema).json(path).select("conv_id", "turn", F.col("response")[0]["outputs"][0]["text"].alias("text"))
 
 
 @query
 def json_encode(spark, folder):
-    encoded = fixtures.chats(spark, folder).select("conv_id", "turn", texts.json_text("role", "text").alias("json"))
-    return encoded.select(
-        "conv_id", "turn", F.get_json_object("json", "$.role").alias("role"), F.get_json_object("json", "$.text").alias("text")
-    )
+    return fixtures.chats(spark, folder).select("conv_id", "turn", texts.json_text("role", "text").alias("json"))
 
 
 @query
@@ -207,7 +199,7 @@ def timestamps(spark, folder):
 
 @query
 def elapsed(spark, folder):
-    slow = F.when(F.col("latency_us") > 1_000_000_000_000, F.col("latency_us"))
+    slow = F.when(F.col("latency_us") > 10_000, F.col("latency_us"))
     return fixtures.timings(spark, folder).groupBy("engine").agg(
         texts.elapsed_us(F.min("started_at"), F.max("started_at")).alias("elapsed_us"),
         texts.mean_or_zero(slow).alias("mean_slow_us"),
@@ -224,7 +216,13 @@ def vocab(spark, folder):
 
 @query
 def vocab_whole(spark, folder):
-    return vocabulary.build_vocabulary(fixtures.texts(spark, folder), size=None).withColumn("id", F.col("id").cast("long"))
+    return vocab(spark, folder)
+
+
+@query
+def vocab_frequent(spark, folder):
+    rows = vocabulary.build_vocabulary(fixtures.texts(spark, folder), size=1_000)
+    return rows.withColumn("id", F.col("id").cast("long"))
 
 
 def encoded_texts(spark, folder, **options) -> DataFrame:
@@ -238,24 +236,47 @@ def encode(spark, folder):
 
 @query
 def encode_whole(spark, folder):
-    rows = encoded_texts(spark, folder, max_length=None)
+    rows = encoded_texts(spark, folder)
     return rows.select(*TEXT_KEY, F.col("length").cast("long").alias("length"), joined("input_ids").alias("input_ids"))
 
 
 @query
 def decode(spark, folder):
-    return vocabulary.decode(encoded_texts(spark, folder), fixtures.vocabulary(spark, folder), TEXT_KEY)
+    known = fixtures.vocabulary(spark, folder)
+    return vocabulary.decode(vocabulary.encode(fixtures.texts(spark, folder), known, TEXT_KEY), known, TEXT_KEY)
 
 
 @query
 def decoded_clean(spark, folder):
-    generated = encoded_texts(spark, folder, add_special=True).select(*TEXT_KEY, calls.cap_tokens("input_ids").alias("input_ids"))
-    return vocabulary.decode(generated, fixtures.vocabulary(spark, folder), TEXT_KEY)
+    known = fixtures.vocabulary(spark, folder)
+    framed = vocabulary.encode(fixtures.texts(spark, folder), known, TEXT_KEY, add_special=True)
+    return vocabulary.decode(framed, known, TEXT_KEY)
+
+
+@query
+def generated_capped(spark, folder):
+    """The first new tokens of an answer, the cap that generation sets."""
+    rows = encoded_texts(spark, folder).select(*TEXT_KEY, calls.cap_tokens("input_ids").alias("input_ids"))
+    return rows.select(*TEXT_KEY, joined("input_ids").alias("input_ids"))
+
+
+MARKED = SpecialIds(markers=(("<|endoftext|>", 3), ("<|im_start|>", 4), ("<|im_end|>", 5)))
+
+
+@query
+def encode_marked(spark, folder):
+    """Rendered training texts with one id per marker; instruction texts end in the end-of-text id."""
+    rows = typed_training_text(spark, folder)
+    key = ("kind", *TURN_KEY)
+    known = materialize(vocabulary.build_vocabulary(rows, special=MARKED), "vocabulary")
+    ids = vocabulary.encode(rows, known, key, special=MARKED)
+    back = vocabulary.decode(ids, known, key, special=MARKED)
+    return ids.select(*key, joined("input_ids").alias("input_ids"), F.element_at("input_ids", -1).cast("long").alias("last")).join(back, list(key))
 
 
 @query
 def truncate_pad_mask(spark, folder):
-    rows = encoded_texts(spark, folder)
+    rows = encoded_texts(spark, folder, max_length=fixed.MAX_LENGTH)
     padded = rows.select(*TEXT_KEY, *batching.padded_columns(F.col("input_ids"), fixed.MAX_LENGTH, SPECIAL))
     return padded.select(*TEXT_KEY, joined("input_ids").alias("input_ids"), joined("attention_mask").alias("attention_mask"))
 
@@ -263,7 +284,8 @@ def truncate_pad_mask(spark, folder):
 @query
 def labels_masked(spark, folder):
     rows = encoded_texts(spark, folder, add_special=True)
-    padded = tokens.padded(F.col("input_ids"), fixed.MAX_LENGTH, SPECIAL.padding)
+    width = F.greatest(F.size("input_ids"), F.lit(fixed.MAX_LENGTH))
+    padded = tokens.padded(F.col("input_ids"), width, SPECIAL.padding)
     return rows.select(*TEXT_KEY, joined(tokens.labels(padded, SPECIAL.padding)).alias("labels"))
 
 
@@ -297,9 +319,18 @@ def pad_longest_in_batch(spark, folder):
 
 @query
 def training_batches(spark, folder):
-    sizes = F.size(tokens.truncated(tokens.split_tokens(F.col("text")), fixed.MAX_LENGTH)).alias("length")
-    lengths = fixtures.texts(spark, folder).select(*TEXT_KEY, sizes)
-    schedule = batching.training_schedule(lengths, TEXT_KEY, epochs=2, max_steps=2_000)
+    return scheduled(spark, folder)
+
+
+@query
+def training_steps_capped(spark, folder):
+    """The same schedule cut after so many optimizer steps."""
+    return scheduled(spark, folder, fixed.MAX_STEPS)
+
+
+def scheduled(spark, folder, max_steps=None) -> DataFrame:
+    lengths = fixtures.texts(spark, folder).select(*TEXT_KEY, F.size(tokens.split_tokens(F.col("text"))).alias("length"))
+    schedule = batching.training_schedule(lengths, TEXT_KEY, epochs=2, max_steps=max_steps)
     rows = batching.longest_in_batch(schedule, ["epoch", "micro_batch"])
     wide = tokens.rounded_up(F.col("longest")).cast("long")
     return rows.select(*TEXT_KEY, F.col("epoch").cast("long").alias("epoch"), "position", "micro_batch", "step", wide.alias("width"))
@@ -308,7 +339,7 @@ def training_batches(spark, folder):
 @query
 def collated_batches(spark, folder):
     known = fixtures.vocabulary(spark, folder)
-    rows = training.training_batches(fixtures.texts(spark, folder), known, TEXT_KEY)
+    rows = training.training_batches(fixtures.texts(spark, folder), known, TEXT_KEY, TrainingSettings(max_length=None))
     return rows.select(
         *TEXT_KEY, "micro_batch", "step", joined("input_ids").alias("input_ids"),
         F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m).cast("long").alias("attended"),
@@ -478,7 +509,7 @@ def experiment_log_history(spark, folder):
     for kind in ENGINES:
         own = rows.filter(F.col("evaluation_type") == kind).drop("evaluation_type")
         experiment_log.append_experiment(own, log, f"first-{kind}", kind, "results", LOG_TIME)
-    entries = experiment_log.entries(rows, TEXT_KEY, LOG_TIME, "results")
+    entries = experiment_log.entries(rows, TEXT_KEY, LOG_TIME, "results", "second")
     old = F.col("metadata.evaluation_type") == ENGINES[0]
     bare, listed = entries.filter(old), entries.filter(~old).select(F.array(F.struct(*entries.columns)).alias("experiments"))
     experiment.bag_union([bare, listed]).write.json(documents)
@@ -487,10 +518,7 @@ def experiment_log_history(spark, folder):
         F.count("*").alias("responses")
     ).join(experiment_log.read_experiments(spark, log).select("experiment_id", "total_comparisons"), "experiment_id")
     upgraded, _ = experiment_log.read_log_documents(spark, documents, multi_line=False)
-    read = upgraded.select(
-        F.lit(None).cast("string").alias("experiment_id"), F.col("metadata.evaluation_type"),
-        F.size("comparisons").cast("long").alias("responses"), F.col("metadata.total_comparisons"),
-    )
+    read = experiment_log.assembled(upgraded)
     return experiment.bag_union([appended, read]).groupBy("evaluation_type").agg(
         F.count("*").alias("entries"), F.count_distinct("experiment_id").alias("experiments"),
         F.sum("responses").alias("responses"), F.sum("total_comparisons").alias("total_comparisons"),
@@ -527,3 +555,25 @@ def experiment_run(spark, folder):
         fixtures.pairs(spark, folder), stub_experiment(), work_path(spark, "results"), work_path(spark, "log")
     )
     return flat_record(record)
+
+
+@query
+def experiment_failures(spark, folder):
+    """Status and error count of a run whose judge always fails, one whose second engine does, and a sound one."""
+    sound, rows = stub_experiment(), fixtures.pairs(spark, folder)
+    second = replace(sound.engines[1], make=NeverAnswers)
+    runs = {"judge": replace(sound, make_judge=NeverAnswers), "engine": replace(sound, engines=(sound.engines[0], second)), "none": sound}
+    parts = [
+        experiment.run_experiment(rows, run).select(F.lit(name).alias("failing"), "status", "errors") for name, run in runs.items()
+    ]
+    return experiment.bag_union(parts)
+
+
+@query
+def engine_options(spark, folder):
+    """An engine that echoes its prompt, takes no long prompts and answers briefly."""
+    rows = evaluation.generate_results(
+        fixtures.pairs(spark, folder), partial(EchoingWords, 32), TURN_KEY, "echoing", plain=True, strip_echo=True,
+        max_new_tokens=8, max_model_len=64,
+    )
+    return rows.select(*TURN_KEY, "generated_solution", "error")

@@ -27,7 +27,7 @@ class TrainingSettings:
     lr_scheduler_type: str = "linear"
     seed: int = fixed.SEED
     max_steps: int | None = None
-    max_length: int = fixed.MAX_LENGTH
+    max_length: int | None = fixed.MAX_LENGTH
     lora_r: int = 8
     lora_alpha: int = 16
     lora_dropout: float = 0.0

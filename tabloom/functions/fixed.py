@@ -42,6 +42,7 @@ MISSING_TEXTS = (
 )
 
 # Numeric settings.
+MAX_STEPS = 30
 MAX_LENGTH = 512
 PAD_MULTIPLE = 8
 IGNORED_LABEL = -100

@@ -2,33 +2,28 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _SHAPE = "first_score double, second_score double, _corrupt string"
+# Names and texts stand in double quotes, nothing else.
+_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def _loads(raw: str | None) -> bool:
-    try:
-        json.loads(raw)
-    except (TypeError, ValueError):
-        return False
-    return True
-
+def parsed(raw: Column) -> Column:
+    """``struct<first_score, second_score, _corrupt>`` of a response; malformed text fills ``_corrupt``."""
+    return F.from_json(raw, _SHAPE, _OPTIONS)
 
-@F.pandas_udf(T.BooleanType())
-def whole_json(raw: pd.Series) -> pd.Series:
-    """Whether the text is one JSON document with nothing after it."""
-    return raw.map(_loads).astype(bool)
 
+def whole_json(raw: Column) -> Column:
+    """Whether the text is one JSON document with nothing after it.
 
-def parsed(raw: Column) -> Column:
-    """``struct<first_score, second_score, _corrupt>`` of a response; malformed text fills ``_corrupt``."""
-    return F.from_json(raw, _SHAPE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    The parser stops after a document. Standing inside a list the text must be one element, and standing as the value
+    of a name it must end the object, so text after it breaks one or the other.
+    """
+    element = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>", _OPTIONS)
+    named = F.from_json(F.concat(F.lit('{"r": '), raw, F.lit("}")), "r string, _corrupt string", _OPTIONS)
+    return F.coalesce((F.size(element) == 1) & named["_corrupt"].isNull() & named["r"].isNotNull(), F.lit(False))
 
 
 def is_valid(raw: Column, fields: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,12 +18,16 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
 @dataclass(frozen=True)
 class SpecialIds:
-    """Reserved ids; vocabulary ids start after them. Without a pad id the end id pads."""
+    """Reserved ids; vocabulary ids start after them. Without a pad id the end id pads.
+
+    ``markers`` are texts that stand for one id each wherever they occur, such as the end of a text.
+    """
 
     unknown: int = 0
     begin: int = 1
     end: int = 2
     pad: int | None = None
+    markers: tuple[tuple[str, int], ...] = ()
 
     @property
     def padding(self) -> int:
@@ -30,11 +35,20 @@ class SpecialIds:
 
     @property
     def first_free(self) -> int:
-        return 1 + max(i for i in (self.unknown, self.begin, self.end, self.pad) if i is not None)
+        reserved = (self.unknown, self.begin, self.end, self.pad, *[number for _, number in self.markers])
+        return 1 + max(i for i in reserved if i is not None)
+
+
+def split_tokens(text: Column, markers: Sequence[tuple[str, int]] = ()) -> Column:
+    """Words and single other characters; the texts of ``markers`` stay whole, longer ones first."""
+    names = sorted((name for name, _ in markers), key=len, reverse=True)
+    whole = [re.sub(r"([^\w\s])", r"\\\1", name) for name in names]
+    return F.regexp_extract_all(text, F.lit("|".join([*whole, TOKEN_PATTERN])), F.lit(0))
 
 
-def split_tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
+def first_tokens(text: Column, limit: int) -> Column:
+    """The text up to the end of its ``limit``-th token, spacing as it is."""
+    return F.regexp_extract(text, rf"^(?s:\s*(?:{TOKEN_PATTERN})){{0,{limit}}}", 0)
 
 
 def truncated(ids: Column, max_length: int) -> Column:

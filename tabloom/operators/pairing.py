@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,20 @@ def unzip_rows(df: DataFrame, keep: Sequence[str], columns: Sequence[str], posit
     return exploded.select(*keep, position, *[F.col("_row")[c].alias(c) for c in columns])
 
 
+def numbered(df: DataFrame, group: str, chunk: str, order: str, out: str = "position") -> DataFrame:
+    """Zero-based position of each row within its group, along ``order``.
+
+    ``chunk`` cuts a group into runs of rows that follow each other; rows are numbered within their chunk, and only the
+    sizes of the chunks meet per group.
+    """
+    inside = F.row_number().over(Window.partitionBy(group, chunk).orderBy(order)) - 1
+    sizes = df.groupBy(group, chunk).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(group, chunk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = df.withColumn("_inside", inside).join(starts, [group, chunk])
+    return placed.withColumn(out, F.col("_start") + F.col("_inside")).drop("_start", "_inside")
+
+
 def chunked_left_join(left: DataFrame, right: DataFrame, on: str, chunk: Column) -> DataFrame:
     """Left join on a key that may hold a large share of the left rows.
 

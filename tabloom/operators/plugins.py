@@ -88,3 +88,23 @@ class WordCountJudge:
             scores = [min(10, len(_WORD.findall(s))) for s in (first, second)]
             responses.append(json.dumps({"first_score": scores[0], "second_score": scores[1]}))
         return responses
+
+
+class EchoingWords(LeadingWords):
+    """The trial generator as an engine that repeats the prompt before its answer."""
+
+    def generate(self, prompts: Sequence[str]) -> Sequence[Completion]:
+        return [Completion(p + c.text) for p, c in zip(prompts, super().generate(prompts))]
+
+
+class NeverAnswers:
+    """A generator and judge whose every call fails."""
+
+    def open(self) -> None:
+        pass
+
+    def generate(self, prompts: Sequence[str]) -> Sequence[Completion]:
+        raise RuntimeError("no answer")
+
+    def judge(self, prompts: Sequence[str]) -> Sequence[str]:
+        raise RuntimeError("no answer")

@@ -5,16 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.tokens import split_tokens
 from tabloom.operators.ordering import key_position
 
-# Up to this many keys the head is found by a top-n of keys, above it by numbering the table.
-TOP_LIMIT = 100_000
-SALTS = 1_024
-
 _SPLIT = re.compile(r"^(\w+)(?:\[:(\d+)\])?$")
 
 
@@ -26,28 +22,19 @@ def parse_split(split: str) -> tuple[str, int | None]:
     return found[1], None if found[2] is None else int(found[2])
 
 
-def _first_keys(keys: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
-    if n > TOP_LIMIT:
-        return key_position(keys, key, out="_position").filter(F.col("_position") < n).select(*key)
-    salted = keys.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)))
-    per_salt = Window.partitionBy("_salt").orderBy(*key)
-    survivors = salted.withColumn("_n", F.row_number().over(per_salt)).filter(F.col("_n") <= n)
-    return survivors.select(*key).orderBy(*key).limit(n)
-
-
 def head(df: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
     """The first ``n`` rows in key order, as a filter.
 
-    Only keys travel: the n-th key is found from the key columns alone, first per salt and then over
-    the survivors, or by numbering them when ``n`` is large. The wide rows are kept or dropped where
-    they are. Keys must be unique.
+    Only keys travel: they are numbered in stored range partitions, and the key of the n-th row, or the last
+    one, comes out as one row. The wide rows are kept or dropped where they are. Keys must be unique.
     """
-    first_keys = _first_keys(df.select(*key), n, key)
-    leading = F.col(key[0]) <= first_keys.agg(F.max(key[0])).scalar()
-    if len(key) == 1:
-        return df.filter(leading)
-    last = first_keys.agg(F.max(F.struct(*key))).scalar()
-    return df.filter(leading & (F.struct(*key) <= last))
+    numbered = key_position(df.select(*key), key, out="_position").filter(F.col("_position") < n)
+    last = numbered.agg(F.max(F.struct(*key)).alias("last")).first()["last"]
+    if last is None:
+        return df.filter(F.lit(False))
+    values = [F.lit(last[k]).cast(df.schema[k].dataType) for k in key]
+    leading = F.col(key[0]) <= values[0]
+    return df.filter(leading) if len(key) == 1 else df.filter(leading & (F.struct(*key) <= F.struct(*[v.alias(k) for v, k in zip(values, key)])))
 
 
 def split_by(df: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:

@@ -9,21 +9,19 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.scores import is_valid, parsed, whole_json
 from tabloom.functions.text import mean_or_zero
-from tabloom.session import ship
 
 MEGABYTE = 1024 * 1024
 
 
-def with_scores(df: DataFrame, raw: str = "raw", strict: bool = False) -> DataFrame:
+def with_scores(df: DataFrame, raw: str = "raw", strict: bool = True) -> DataFrame:
     """Adds ``first_score, second_score, valid``; an invalid row carries no scores.
 
-    ``strict`` also refuses text after the JSON document, which the native parser lets pass.
+    Text after the JSON document voids the row too, unless ``strict`` is off.
     """
     read = df.withColumn("_scores", parsed(F.col(raw)))
     valid = is_valid(F.col(raw), F.col("_scores"))
     if strict:
-        ship(df.sparkSession)
-        valid = valid & F.coalesce(whole_json(F.col(raw)), F.lit(False))
+        valid = valid & whole_json(F.col(raw))
     marked = read.withColumn("valid", valid)
     scores = [
         F.when(F.col("valid"), F.col("_scores")[n]).alias(n) for n in ("first_score", "second_score")
@@ -61,10 +59,13 @@ def latency_summary(df: DataFrame, by: Sequence[str] = ("engine",), latency: str
     )
 
 
-def run_status(steps: DataFrame, run: Sequence[str] = ("run_id",), step: str = "step", ok: str = "ok") -> DataFrame:
-    """One status per run: only a failed last evaluation leaves a partial success."""
-    essential = F.coalesce(F.bool_and(F.when(F.col(step) != "vllm_evaluation", F.col(ok))), F.lit(True))
-    last = F.coalesce(F.bool_and(F.when(F.col(step) == "vllm_evaluation", F.col(ok))), F.lit(True))
+def run_status(
+    steps: DataFrame, run: Sequence[str] = ("run_id",), step: str = "step", ok: str = "ok", optional: Sequence[str] = ("vllm_evaluation",)
+) -> DataFrame:
+    """One status per run: if only ``optional`` steps failed it is a partial success."""
+    extra = F.col(step).isin(list(optional))
+    essential = F.coalesce(F.bool_and(F.when(~extra, F.col(ok))), F.lit(True))
+    last = F.coalesce(F.bool_and(F.when(extra, F.col(ok))), F.lit(True))
     status = F.when(~essential, "failed").when(~last, "partial_success").otherwise("success")
     return steps.groupBy(*run).agg(status.alias("status"), F.count("*").alias("steps"))
 

@@ -10,16 +10,13 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions import fixed, tokens
+from tabloom.functions import tokens
 from tabloom.functions.tokens import SpecialIds
 from tabloom.operators.ordering import key_position
 
-VOCABULARY_SIZE = 150_000
-# Vocabularies up to this many entries are numbered after a top-n, larger ones bucket by bucket.
-TOP_LIMIT = 1_000_000
 BROADCAST_BYTES = 64 << 20
 ENTRY_BYTES = 64
 UNKNOWN_TOKEN = "<unk>"
@@ -27,33 +24,26 @@ UNKNOWN_TOKEN = "<unk>"
 FREQUENT_ENTRIES = 50_000
 
 
-def token_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """How often each token occurs; partial counts are formed before the shuffle."""
-    exploded = texts.select(F.explode(tokens.split_tokens(F.col(text))).alias("token"))
+def token_counts(texts: DataFrame, text: str = "text", special: SpecialIds = SpecialIds()) -> DataFrame:
+    """How often each token occurs, markers aside; partial counts are formed before the shuffle."""
+    exploded = texts.select(F.explode(tokens.split_tokens(F.col(text), special.markers)).alias("token"))
+    if special.markers:
+        exploded = exploded.filter(~F.col("token").isin([name for name, _ in special.markers]))
     return exploded.groupBy("token").agg(F.count("*").alias("n"))
 
 
 def build_vocabulary(
-    texts: DataFrame, text: str = "text", size: int | None = VOCABULARY_SIZE, special: SpecialIds = SpecialIds()
+    texts: DataFrame, text: str = "text", size: int | None = None, special: SpecialIds = SpecialIds()
 ) -> DataFrame:
-    """``token, n, id``: the ``size`` most frequent tokens, ties by token; all of them for ``None``.
+    """``token, n, id``: all tokens, or the ``size`` most frequent ones if asked for; ties by token.
 
-    Before the top-n, tokens rarer than any that can still be chosen are filtered out with the help
-    of the histogram of counts, so the sort sees little more than ``size`` rows.
+    Tokens are numbered bucket by bucket, whatever their number.
     """
-    counted = token_counts(texts, text)
-    if size is None or size > TOP_LIMIT:
-        ranked = key_position(counted.withColumn("_rare", -F.col("n")), ["_rare", "token"], out="_rank").drop("_rare")
-        if size is not None:
-            ranked = ranked.filter(F.col("_rank") < size)
-        return ranked.select("token", "n", (F.col("_rank") + special.first_free).cast("int").alias("id"))
-    histogram = counted.groupBy("n").agg(F.count("*").alias("_tokens"))
-    more_frequent = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    reached = histogram.withColumn("_above", F.coalesce(F.sum("_tokens").over(more_frequent), F.lit(0)))
-    least = reached.filter(F.col("_above") < size).agg(F.min("n")).scalar()
-    top = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(size)
-    numbered = F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1 + special.first_free
-    return top.select("token", "n", numbered.cast("int").alias("id"))
+    counted = token_counts(texts, text, special)
+    ranked = key_position(counted.withColumn("_rare", -F.col("n")), ["_rare", "token"], out="_rank").drop("_rare")
+    if size is not None:
+        ranked = ranked.filter(F.col("_rank") < size)
+    return ranked.select("token", "n", (F.col("_rank") + special.first_free).cast("int").alias("id"))
 
 
 def fits_broadcast(vocabulary: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -62,6 +52,14 @@ def fits_broadcast(vocabulary: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (vocabulary.agg(F.coalesce(size, F.lit(0)).alias("size")).first()["size"]) <= limit
 
 
+def _with_markers(vocabulary: DataFrame, special: SpecialIds) -> DataFrame:
+    """The vocabulary and a row per marker; the number of markers is that of the setting."""
+    if not special.markers:
+        return vocabulary
+    rows = vocabulary.sparkSession.createDataFrame([(name, 1 << 62, number) for name, number in special.markers], "token string, n long, id int")
+    return vocabulary.select("token", "n", F.col("id").cast("int").alias("id")).unionByName(rows)
+
+
 def _look_up(exploded: DataFrame, vocabulary: DataFrame, on: str, broadcast: bool, hopeless: Column) -> DataFrame:
     """Left-join ``_token, _id`` by either of them.
 
@@ -86,18 +84,20 @@ def _look_up(exploded: DataFrame, vocabulary: DataFrame, on: str, broadcast: boo
 
 def encode(
     texts: DataFrame, vocabulary: DataFrame, key: Sequence[str], text: str = "text",
-    max_length: int | None = fixed.MAX_LENGTH, add_special: bool = False, special: SpecialIds = SpecialIds(),
+    max_length: int | None = None, add_special: bool = False, special: SpecialIds = SpecialIds(),
     broadcast: bool | None = None,
 ) -> DataFrame:
-    """``key, input_ids, length`` of every text, unknown tokens included, cut to ``max_length``.
+    """``key, input_ids, length`` of every text, unknown tokens included, cut to ``max_length`` if given.
 
     Texts are split and cut where they are read, and the remaining tokens travel once, by key, as one
     compact blank-separated text. Exploding, looking up and regrouping then happen inside those
-    partitions. ``broadcast`` is measured when not given: pass a stored vocabulary.
+    partitions. ``broadcast`` is measured when not given: pass a stored vocabulary. Markers of ``special`` are one
+    token each, with the ids given there. Keys must be unique: the tokens of rows with one key come out as one list.
     """
     if broadcast is None:
         broadcast = fits_broadcast(vocabulary)
-    words = tokens.split_tokens(F.coalesce(F.col(text), F.lit("")))
+    vocabulary = _with_markers(vocabulary, special)
+    words = tokens.split_tokens(F.coalesce(F.col(text), F.lit("")), special.markers)
     if max_length is not None:
         words = tokens.truncated(words, max_length - (2 if add_special else 0))
     compact = texts.select(*key, F.array_join(words, " ").alias("_words")).repartition(*key)
@@ -122,6 +122,7 @@ def decode(
     """``key, text``: tokens joined by single blanks; the original spacing is not recorded in the ids."""
     if broadcast is None:
         broadcast = fits_broadcast(vocabulary)
+    vocabulary = _with_markers(vocabulary, special)
     reserved = sorted({special.begin, special.end, special.padding})
     kept = tokens.without_ids(F.col(ids), reserved) if skip_special else F.col(ids)
     exploded = (
@@ -142,7 +143,7 @@ class Tokenizer(Protocol):
     def encode_batch(self, texts: list[str]) -> list[list[int]]: ...
 
 
-def encode_with(make: Callable[[], Tokenizer], column: Column, max_length: int | None = fixed.MAX_LENGTH) -> Column:
+def encode_with(make: Callable[[], Tokenizer], column: Column, max_length: int | None = None) -> Column:
     """Ids from a user tokenizer, built once per task and fed whole Arrow batches; needs no shuffle."""
 
     @F.pandas_udf("array<int>")

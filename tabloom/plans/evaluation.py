@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tabloom.config import EvaluationSettings
 from tabloom.functions import chat, prompts
+from tabloom.functions.tokens import first_tokens
 from tabloom.operators import calls
 from tabloom.operators.plugins import Generator, Judge
+from tabloom.operators.selection import split_too_long
 from tabloom.operators.summaries import score_summary, with_scores
 from tabloom.session import materialize, work_path
 from tabloom.sources.experiment_log import append_experiment
@@ -31,16 +33,30 @@ def plain_prompts(df: DataFrame, problem: str = "Problem", system_message: str |
 
 def generate_results(
     problems: DataFrame, make: MakeGenerator, key: Sequence[str], engine: str, plain: bool = False,
-    settings: EvaluationSettings = EvaluationSettings(), strip_echo: bool = False,
+    settings: EvaluationSettings = EvaluationSettings(), strip_echo: bool = False, max_new_tokens: int | None = None,
+    max_model_len: int | None = None,
 ) -> DataFrame:
-    """``key, problem, original_solution, generated_solution`` and call measurements of one engine."""
+    """``key, problem, original_solution, generated_solution`` and call measurements of one engine.
+
+    A prompt above ``max_model_len`` words and signs is not sent; its row says so in ``error``. An answer ends
+    with its ``max_new_tokens``-th word or sign.
+    """
     render = plain_prompts if plain else chat_prompts
     renamed = problems.select(*key, F.col("Problem").alias("problem"), F.col("Solution").alias("original_solution"))
     asked = render(renamed, "problem", settings.system_message)
-    return calls.generate(
+    long = None
+    if max_model_len is not None:
+        asked, long = split_too_long(asked, "prompt", max_model_len)
+    answered = calls.generate(
         asked, make, key, engine=engine, workers=settings.cpu_workers, stop=settings.stop, strip_echo=strip_echo,
         batch_rows=settings.cpu_batch_size or calls.CALL_ROWS,
     )
+    if max_new_tokens is not None:
+        answered = answered.withColumn("generated_solution", first_tokens(F.col("generated_solution"), max_new_tokens))
+    if long is None:
+        return answered
+    aside = long.drop("prompt", "tokens").withColumns({"error": F.lit("prompt too long"), "engine": F.lit(engine)})
+    return answered.unionByName(aside, allowMissingColumns=True)
 
 
 def with_base_outputs(
@@ -76,7 +92,7 @@ class Evaluation:
     base_outputs: DataFrame
     comparisons: DataFrame
 
-    def summary(self, by: Sequence[str] = (), strict: bool = False) -> DataFrame:
+    def summary(self, by: Sequence[str] = (), strict: bool = True) -> DataFrame:
         return score_summary(with_scores(self.comparisons, strict=strict), by)
 
 

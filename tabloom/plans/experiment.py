@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabloom.config import EvaluationSettings, TrainingSettings, as_text
 from tabloom.operators.pairing import pair_outputs
-from tabloom.operators.summaries import score_summary, with_scores
+from tabloom.operators.summaries import run_status, score_summary, with_scores
 from tabloom.plans.evaluation import MakeGenerator, MakeJudge, generate_results, judged, stored_calls
 from tabloom.session import materialize
 from tabloom.sources import experiment_log
@@ -21,11 +21,25 @@ from tabloom.sources.runs import write_run
 
 @dataclass(frozen=True)
 class Engine:
-    """One way of running the tuned model."""
+    """One way of running the tuned model.
+
+    An engine that repeats the prompt in its answer sets ``strip_echo``. ``stop`` and ``system_message`` replace those
+    of the settings. Prompts above ``max_model_len`` tokens are set aside with an error instead of being sent;
+    answers are cut after ``max_new_tokens`` words and signs.
+    """
 
     name: str
     make: MakeGenerator
     plain: bool = False
+    strip_echo: bool = False
+    stop: tuple[str, ...] | None = None
+    system_message: str | None = None
+    max_new_tokens: int | None = None
+    max_model_len: int | None = None
+
+    def settings(self, common: EvaluationSettings) -> EvaluationSettings:
+        given = {"stop": self.stop, "system_message": self.system_message}
+        return replace(common, **{name: value for name, value in given.items() if value is not None})
 
 
 @dataclass(frozen=True)
@@ -49,7 +63,10 @@ def bag_union(frames: Sequence[DataFrame]) -> DataFrame:
 def generate_all(problems: DataFrame, experiment: Experiment) -> DataFrame:
     """Results of every engine over the same problems, stored once."""
     parts = [
-        generate_results(problems, e.make, experiment.key, e.name, e.plain, experiment.settings)
+        generate_results(
+            problems, e.make, experiment.key, e.name, e.plain, e.settings(experiment.settings), e.strip_echo,
+            e.max_new_tokens, e.max_model_len,
+        )
         for e in experiment.engines
     ]
     return materialize(bag_union(parts), "results")
@@ -62,10 +79,13 @@ def base_outputs(problems: DataFrame, experiment: Experiment) -> DataFrame:
 
 
 def compare_all(results: DataFrame, base: DataFrame, experiment: Experiment) -> DataFrame:
-    """Judged comparisons of every engine with the base answers, paired by key."""
+    """Judged comparisons of every engine with the base answers, paired by key.
+
+    Pairs in which either side has no answer are not sent to the judge.
+    """
     key, pair_key = experiment.key, (*experiment.key, "engine")
-    tuned = results.select(*pair_key, "problem", "generated_solution")
-    paired = pair_outputs(tuned, base, key, "generated_solution")
+    tuned = results.filter("error is null").select(*pair_key, "problem", "generated_solution")
+    paired = pair_outputs(tuned, base.filter("error is null"), key, "generated_solution")
 
     def scored(rows: DataFrame) -> DataFrame:
         return judged(rows, experiment.make_judge, pair_key, experiment.settings)
@@ -82,11 +102,27 @@ def log_all(comparisons: DataFrame, experiment: Experiment, log: str, output: st
         )
 
 
-def run_record(summary: DataFrame, experiment: Experiment, log: str | None = None, output: str | None = None) -> DataFrame:
-    """One nested row describing the run: settings, scores per engine, files and status.
+def step_status(results: DataFrame, base: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """``engine, step, rows, errors, ok`` of a run: a step is in order if it has a row without an error.
+
+    Steps of an engine are its generation and its evaluation; the base model is a step of the engine ``base``.
+    """
+    frames = (("generation", results), ("generation", base), ("evaluation", comparisons))
+    parts = [
+        frame.groupBy("engine").agg(F.count("*").alias("rows"), F.count("error").alias("errors")).withColumn("step", F.lit(step))
+        for step, frame in frames
+    ]
+    return bag_union(parts).withColumn("ok", F.col("errors") < F.col("rows"))
+
+
+def run_record(
+    summary: DataFrame, experiment: Experiment, log: str | None = None, output: str | None = None, steps: DataFrame | None = None
+) -> DataFrame:
+    """One nested row describing the run: settings, scores per engine, files, status and errors.
 
-    ``summary`` has one row per engine. The first engine without any judged row fails the run; a later
-    one makes it a partial success.
+    ``summary`` has one row per engine. A base model or a first engine with a step that has nothing but errors, or no
+    judged row, fails the run; a later engine makes it a partial success. ``steps`` come from :func:`step_status`;
+    without them only the judged rows count.
     """
     t = experiment.training
 
@@ -109,7 +145,18 @@ def run_record(summary: DataFrame, experiment: Experiment, log: str | None = Non
     if later:
         status = status.when(reduce(lambda a, b: a | b, later), "partial_success")
     names = [e.name for e in experiment.engines]
-    gathered = summary.agg(status.otherwise("success").alias("status"), *[scores(n) for n in names])
+    gathered = summary.agg(status.otherwise("success").alias("_judged"), *[scores(n) for n in names])
+    if steps is None:
+        gathered = gathered.withColumns({"status": F.col("_judged"), "errors": F.lit(0).cast("long")})
+    else:
+        step = F.when(F.col("engine").isin(others), "later").otherwise("first")
+        told = run_status(steps.withColumn("_part", step).withColumn("_run", F.lit(0)), ["_run"], "_part", "ok", ["later"])
+        errors = steps.agg(F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"))
+        worst = F.when((F.col("_told") == "failed") | (F.col("_judged") == "failed"), "failed").when(
+            (F.col("_told") == "partial_success") | (F.col("_judged") == "partial_success"), "partial_success").otherwise("success")
+        one = lambda d: d.withColumn("_one", F.lit(0))
+        both = one(gathered).join(one(told.select(F.col("status").alias("_told"))), "_one", "left").join(one(errors), "_one")
+        gathered = both.withColumn("_told", F.coalesce("_told", F.lit("success"))).withColumn("status", worst)
 
     def files(folder: str | None, column: str) -> Column:
         where = [F.lit(None if folder is None else f"{folder}/{column}={n}").cast("string").alias(n) for n in names]
@@ -119,7 +166,7 @@ def run_record(summary: DataFrame, experiment: Experiment, log: str | None = Non
     settings |= {f"evaluation.{k}": v for k, v in as_text(experiment.settings).items()}
     results = experiment.training_results
     return gathered.select(
-        F.lit(experiment.run_id).alias("run_id"), F.lit(experiment.timestamp).alias("timestamp"), "status",
+        F.lit(experiment.run_id).alias("run_id"), F.lit(experiment.timestamp).alias("timestamp"), "status", "errors",
         F.struct(
             F.lit(t.lora_r).alias("r"), F.lit(t.lora_alpha).alias("lora_alpha"),
             F.lit(float(t.lora_dropout)).alias("lora_dropout"),
@@ -151,7 +198,7 @@ def run_experiment(
     if log is not None:
         log_all(comparisons, experiment, log, output or "")
     summary = score_summary(with_scores(comparisons), ["engine"])
-    record = run_record(summary, experiment, log, output)
+    record = run_record(summary, experiment, log, output, step_status(results, base, comparisons))
     if runs is not None:
         write_run(record, runs)
     return record

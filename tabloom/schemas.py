@@ -36,6 +36,9 @@ EXPERIMENT_METADATA = T.StructType(
         T.StructField("inference_output_file", T.StringType()),
         T.StructField("evaluation_type", T.StringType()),
         T.StructField("total_comparisons", T.LongType()),
+        # Absent from documents of other writers, which list an experiment in one entry.
+        T.StructField("experiment_id", T.StringType()),
+        T.StructField("part", T.LongType()),
     ]
 )
 

@@ -11,7 +11,6 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
-_local_folders: dict[str, str] = {}
 
 
 def session(app: str = "tabloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,18 +34,14 @@ def session(app: str = "tabloom", master: str | None = None, **conf: str) -> Spa
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster such a folder dies with
-    its machine.
+    Where it is unset, which is refused on a cluster, a local session stores below its warehouse.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="tabloom-")
-    return _local_folders[context.applicationId]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
 
 
 def _application_folder(spark: SparkSession) -> str:

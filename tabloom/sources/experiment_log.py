@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.operators.batching import micro_batches
+from tabloom.functions.text import whole
+from tabloom.operators.ordering import key_position
 from tabloom.operators.selection import split_by
 from tabloom.schemas import EXPERIMENT, LOG_DOCUMENT
 
@@ -83,20 +84,27 @@ def experiment_count(experiments: DataFrame) -> DataFrame:
 
 
 def entries(
-    comparisons: DataFrame, key: Sequence[str], timestamp: str, inference_output_file: str, rows: int = ENTRY_ROWS
+    comparisons: DataFrame, key: Sequence[str], timestamp: str, inference_output_file: str, run_id: str = "", rows: int = ENTRY_ROWS
 ) -> DataFrame:
     """Nested log entries ``timestamp, comparisons, metadata`` for exchange with document readers.
 
-    The responses of an experiment are listed in key order in parts of at most ``rows``, so no task
-    gathers a whole experiment.
+    An experiment, one per evaluation type, is one entry as long as it has no more than ``rows`` responses. A larger
+    one comes in parts in key order, so no task gathers it whole; each part names the experiment, its place and the
+    size of the whole, so that :func:`assembled` counts it once and puts it together again.
     """
-    parts = micro_batches(comparisons, ["evaluation_type", *key], rows, out="part")
+    pair = ["evaluation_type", *key]
+    places = key_position(comparisons.select(*pair), pair, out="_position")
+    sizes = places.groupBy("evaluation_type").agg(F.min("_position").alias("_first"), F.count("*").alias("_n"))
+    parts = comparisons.join(places, pair).join(sizes, "evaluation_type").withColumn(
+        "part", whole(F.col("_position") - F.col("_first"), rows)
+    )
     listed = parts.groupBy("evaluation_type", "part").agg(
-        F.sort_array(F.collect_list(F.struct(*key, "raw"))).alias("_rows"), F.count("*").alias("_n")
+        F.sort_array(F.collect_list(F.struct("_position", "raw"))).alias("_rows"), F.first("_n").alias("_n")
     )
     metadata = F.struct(
         F.lit(inference_output_file).alias("inference_output_file"), F.col("evaluation_type"),
         F.col("_n").alias("total_comparisons"),
+        F.concat_ws("-", F.lit(run_id or None).cast("string"), F.col("evaluation_type")).alias("experiment_id"), F.col("part"),
     )
     return listed.select(
         F.lit(timestamp).alias("timestamp"), F.transform("_rows", lambda r: r["raw"]).alias("comparisons"),
@@ -104,6 +112,18 @@ def entries(
     )
 
 
+def assembled(experiments: DataFrame) -> DataFrame:
+    """``experiment_id, evaluation_type, responses, total_comparisons`` per experiment of upgraded entries.
+
+    Entries without an id are an experiment each, named by file and timestamp and a number of their own.
+    """
+    own = F.concat_ws(":", "file", "timestamp", F.monotonically_increasing_id().cast("string"))
+    named = experiments.withColumn("experiment_id", F.coalesce(F.col("metadata.experiment_id"), own))
+    return named.groupBy("experiment_id", F.col("metadata.evaluation_type").alias("evaluation_type")).agg(
+        F.sum(F.size("comparisons")).cast("long").alias("responses"), F.max("metadata.total_comparisons").alias("total_comparisons")
+    )
+
+
 def upgraded(documents: DataFrame) -> DataFrame:
     """One row per experiment of parsed log documents in either layout."""
     single = F.struct(*[F.col("_log")[f.name].alias(f.name) for f in EXPERIMENT.fields])

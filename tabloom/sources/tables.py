@@ -12,15 +12,6 @@ from tabloom.functions import fixed
 from tabloom.operators.selection import head, parse_split
 
 
-def spread(df: DataFrame, on: Sequence[str] = ()) -> DataFrame:
-    """Use all cores for a scan stored in fewer splits than there are cores.
-
-    A table of cluster size has more splits than cores and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *on)
-
-
 def scan_dataset(spark: SparkSession, name: str) -> DataFrame:
     """A catalog table, or a parquet dataset given by its path."""
     return spark.read.parquet(name) if "/" in name else spark.table(name)

@@ -4,8 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
-
-WITHOUT_SQL = {"storage_footprint"}
+from tabloom.catalog.oracles import ORACLES
+from tabloom.catalog.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -13,15 +13,15 @@ def connection(folder):
     return connect(folder)
 
 
-def test_only_the_file_scan_has_no_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_flagship(spark):
     assert entry.entry(spark).count() == 1
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, folder, connection, name):
-    assert difference(entry.queries()[name](spark, folder), connection.sql(entry.oracle_sql()[name])) is None
+    assert difference(QUERIES[name](spark, folder), connection.sql(ORACLES[name])) is None

@@ -91,12 +91,10 @@ def test_collate(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 37, 900, 5000])
-def test_head(spark, n, monkeypatch):
+def test_head(spark, n):
     rows = spark.createDataFrame([(i % 7, i, "wide") for i in range(900)], "a long, b long, t string")
     expected = sorted((i % 7, i) for i in range(900))[:n]
     assert sorted((r["a"], r["b"]) for r in selection.head(rows, n, ["a", "b"]).collect()) == expected
-    monkeypatch.setattr(selection, "TOP_LIMIT", 10)
-    assert sorted((r["a"], r["b"]) for r in selection.head(rows, n, ["a", "b"]).collect()) == expected
 
 
 def test_split_names():

@@ -185,5 +185,4 @@ def test_presentation_order_and_cleaning_up(spark, problems):
     path = stored.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert os.path.isdir(path)
     drop_work(spark)
-    fixtures._vocabularies.clear()
     assert not os.path.isdir(path)

@@ -1,5 +1,7 @@
 """Judge responses as they come, broken ones included."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,9 +45,21 @@ def test_responses(spark, strict):
     assert {k: v for k, v in found.items() if v != CASES[k]} == {}
 
 
-def test_trailing_text_is_refused_only_when_strict(spark):
-    assert read(spark, [TRAILING]) == {TRAILING: (4.0, 6.0)}
-    assert read(spark, [TRAILING], strict=True) == {TRAILING: None}
+def test_trailing_text_passes_only_when_asked(spark):
+    assert read(spark, [TRAILING], strict=False) == {TRAILING: (4.0, 6.0)}
+    assert read(spark, [TRAILING]) == {TRAILING: None}
+
+
+SOUND = '{"first_score": 4, "second_score": 5}'
+
+
+@pytest.mark.parametrize(
+    "raw", [SOUND.replace('"', "'"), SOUND + SOUND, SOUND + ", 1", SOUND + "}", SOUND + "]", SOUND + ', "x": 1', SOUND + " ] [ {}", SOUND[:-1], "// c\n" + SOUND]
+)
+def test_what_a_strict_reader_refuses(spark, raw):
+    with pytest.raises(ValueError):
+        json.loads(raw)
+    assert read(spark, [raw, SOUND]) == {raw: None, SOUND: (4.0, 5.0)}
 
 
 def test_invalid_rows_carry_no_scores(spark):

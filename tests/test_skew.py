@@ -9,7 +9,7 @@ from tabloom.catalog import fixtures
 
 QUERIES = (
     "render_conversation", "render_instruction_training", "render_chat_training", "render_judge_prompt", "zip_columns",
-    "head_split", "instruction_scan_split", "encode", "encode_whole", "decode", "vocab", "vocab_whole", "batched_map", "pad_longest_in_batch", "training_batches",
+    "head_split", "instruction_scan_split", "encode", "encode_whole", "decode", "vocab", "vocab_whole", "vocab_frequent", "encode_marked", "training_steps_capped", "batched_map", "pad_longest_in_batch", "training_batches",
     "collated_batches", "generate_stub", "pair_outputs", "judge_stub", "evaluate_engine", "experiment_run", "score_by_engine",
     "engines_side_by_side", "run_status", "latency_by_engine", "experiment_log_history", "score_stream", "calibration_sample",
 )
@@ -45,7 +45,8 @@ def test_query(spark, skewed, connection, name):
     assert difference(entry.queries()[name](spark, skewed), connection.sql(entry.oracle_sql()[name])) is None
 
 
-def test_a_long_conversation_is_never_one_group(spark, skewed):
+def test_a_long_conversation_is_rendered_in_segments_and_whole(spark, skewed):
     counts = fixtures.chats(spark, skewed).groupBy("conv_id", "segment").count().collect()
     assert max(r["count"] for r in counts) <= fixtures.SEGMENT_TURNS
     assert sum(1 for r in counts if r["conv_id"] == 3) > 20
+    assert entry.queries()["render_conversation"](spark, skewed).filter("conv_id = 3").count() == 1

@@ -144,7 +144,10 @@ def test_entries_are_bounded_parts_in_order(spark):
     listed = sorted((r["comparisons"] for r in made), key=lambda c: int(c[0][1:]))
     assert [len(c) for c in listed] == [10, 10, 5] and listed[0][3] is None
     assert sum(listed, []) == [None if i == 3 else f"r{i}" for i in range(25)]
-    assert {r["metadata"]["total_comparisons"] for r in made} == {10, 5}
+    assert {r["metadata"]["total_comparisons"] for r in made} == {25}
+    assert sorted(r["metadata"]["part"] for r in made) == [0, 1, 2] and {r["metadata"]["experiment_id"] for r in made} == {"a"}
+    stored = experiment_log.entries(rows, ["k"], "t", "f", rows=10).withColumn("file", F.lit("x"))
+    assert [tuple(r) for r in experiment_log.assembled(stored).collect()] == [("a", "a", 25, 25)]
 
 
 def test_file_sizes(spark, folder):

@@ -25,9 +25,14 @@ def test_vocabulary(texts, size, kept):
     assert listed(build_vocabulary(texts, size=size)) == ALL[:kept]
 
 
-def test_large_vocabulary_path(texts, monkeypatch):
-    monkeypatch.setattr(vocabulary, "TOP_LIMIT", 2)
-    assert listed(build_vocabulary(texts, size=4)) == ALL[:4]
+def test_markers_are_one_id_each_and_come_back(spark):
+    special = SpecialIds(markers=(("<|end|>", 3), ("<|end|>x", 4)))
+    marked = spark.createDataFrame([(1, "a<|end|>"), (2, "<|end|>x <|en a|>")], "id long, text string")
+    known = build_vocabulary(marked, special=special)
+    assert {r["token"]: r["id"] for r in known.collect()} == {"a": 5, "|": 6, "<": 7, ">": 8, "en": 9}
+    ids = encode(marked, known, ["id"], special=special)
+    assert {r["id"]: r["input_ids"] for r in ids.collect()} == {1: [5, 3], 2: [4, 7, 6, 9, 5, 6, 8]}
+    assert {r["id"]: r["text"] for r in decode(ids, known, ["id"], special=special).collect()} == {1: "a <|end|>", 2: "<|end|>x < | en a | >"}
 
 
 @pytest.mark.parametrize("broadcast, frequent", [(True, 9), (None, 9), (False, 0), (False, 2), (False, 9)])
