@@ -25,13 +25,17 @@ def test_no_cross_joins_and_no_row_at_a_time_python(spark, folder, name):
     "name, columns",
     [
         ("run_status", "event_id:bigint,user_id:bigint"), ("latency_by_engine", "event_type:string,value:double"),
-        ("dataset_shape", ""), ("stop_cut", "doc_id:bigint,text:string"), ("vocab", "text:string"),
+        ("dataset_shape", ""), ("stop_cut", "doc_id:bigint,text:string"),
     ],
 )
 def test_only_needed_columns_are_read(spark, folder, name, columns):
     assert f"ReadSchema: struct<{columns}>" in plan(entry.queries()[name](spark, folder))
 
 
+def test_tokens_are_counted_from_texts_alone(spark, folder):
+    assert "ReadSchema: struct<text:string>" in plan(vocabulary.token_counts(fixtures.texts(spark, folder)))
+
+
 def test_role_filters_reach_the_scan(spark, folder):
     assert "EqualTo(role,user)" in plan(fixtures.pairs(spark, folder))
 
