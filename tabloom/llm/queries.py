@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import bpe, chat_windows, decontamination, licenses, lm_scoring, near_duplicates, quality_rules, secrets, sharding, token_counts
+from tabloom.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(build: Query) -> Query:
@@ -58,7 +58,7 @@ def op6_token_counts(spark, folder):
 
 @query
 def op7_decontamination(spark, folder):
-    return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("n_near")
 
 
 @query
