@@ -448,3 +448,10 @@ SELECT conv_id, turn,
   CASE WHEN long THEN 'prompt too long' END AS error
 FROM (SELECT *, len({TOKENS}) > 64 AS long FROM (SELECT *, {_PLAIN_PROMPT} AS text FROM ({PAIRS})))
 """
+ORACLES["evaluate_from_file"] = ORACLES["evaluate_engine"]
+ORACLES["outputs_written"] = f"""
+SELECT kind, CASE WHEN kind = 'run success' THEN 1 ELSE n END AS n
+FROM (SELECT unnest(['base', 'compared standard_inference', 'compared vllm_inference', 'run success']) AS kind),
+  (SELECT count(*) AS n FROM ({PAIRS}))
+"""
+ORACLES["experiment_counts"] = f"SELECT DISTINCT evaluation_type, CAST(2 AS BIGINT) AS experiments FROM ({RESPONSES})"

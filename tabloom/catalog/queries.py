@@ -577,3 +577,38 @@ def engine_options(spark, folder):
         max_new_tokens=8, max_model_len=64,
     )
     return rows.select(*TURN_KEY, "generated_solution", "error")
+
+
+@query
+def evaluate_from_file(spark, folder):
+    """Results written as JSON lines with their keys, read again and judged."""
+    path, key = work_path(spark, "results"), fixtures.pairs(spark, folder).select(*TURN_KEY).schema
+    results.write_results(tuned_results(spark, folder).select(*RECORD, "engine"), path, "json")
+    return evaluation.evaluate_file(
+        spark, path, "standard_inference", key, BASE, WordCountJudge, EvaluationSettings(io_workers=8)
+    )
+
+
+@query
+def outputs_written(spark, folder):
+    """What a run leaves behind, read back: base outputs, comparisons and the record."""
+    out, log, runs = work_path(spark, "results"), work_path(spark, "log"), work_path(spark, "runs")
+    rows = fixtures.pairs(spark, folder)
+    experiment.run_experiment(rows, stub_experiment(), out, log, runs)
+    base = spark.read.parquet(out).filter("engine = 'base'").groupBy(F.lit("base").alias("kind")).agg(F.count("generated_solution").alias("n"))
+    compared = experiment_log.read_comparisons(spark, log, rows.select(*TURN_KEY).schema).groupBy(
+        F.concat(F.lit("compared "), "evaluation_type").alias("kind")
+    ).agg(F.count("raw").alias("n"))
+    record = spark.read.json(runs).groupBy(F.concat(F.lit("run "), "status").alias("kind")).agg(F.count("*").alias("n"))
+    return experiment.bag_union([base, compared, record])
+
+
+@query
+def experiment_counts(spark, folder):
+    """Experiments per evaluation type in a log of two runs."""
+    log, rows = work_path(spark, "log"), fixtures.responses(spark, folder)
+    for run in ("first", "second"):
+        for kind in ENGINES:
+            own = rows.filter(F.col("evaluation_type") == kind).drop("evaluation_type")
+            experiment_log.append_experiment(own, log, f"{run}-{kind}", kind, "results", LOG_TIME)
+    return experiment_log.experiment_count(experiment_log.read_experiments(spark, log))

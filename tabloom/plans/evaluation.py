@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.config import EvaluationSettings
 from tabloom.functions import chat, prompts
@@ -17,6 +18,7 @@ from tabloom.operators.selection import split_too_long
 from tabloom.operators.summaries import score_summary, with_scores
 from tabloom.session import materialize, work_path
 from tabloom.sources.experiment_log import append_experiment
+from tabloom.sources.results import read_results
 
 MakeGenerator = Callable[[], Generator]
 MakeJudge = Callable[[], Judge]
@@ -135,6 +137,15 @@ def evaluate(
     return Evaluation(paired, scored(carried))
 
 
+def evaluate_file(
+    spark: SparkSession, path: str, engine: str, key: T.StructType, make_base: MakeGenerator, make_judge: MakeJudge,
+    settings: EvaluationSettings = EvaluationSettings(), multi_line: bool = False, folder: str | None = None,
+) -> DataFrame:
+    """The one-row summary of one engine's results, as written to files with their keys."""
+    results = read_results(spark, path, multi_line, key).filter(F.col("engine") == engine)
+    return evaluate(results, make_base, make_judge, key.fieldNames(), settings, folder=folder).summary()
+
+
 def evaluate_and_log(
     results: DataFrame, make_base: MakeGenerator, make_judge: MakeJudge | None, key: Sequence[str], log: str,
     experiment_id: str, evaluation_type: str, inference_output_file: str, timestamp: str,

@@ -13,7 +13,6 @@ from tabloom.config import EvaluationSettings, TrainingSettings, as_text
 from tabloom.operators.pairing import pair_outputs
 from tabloom.operators.summaries import run_status, score_summary, with_scores
 from tabloom.plans.evaluation import MakeGenerator, MakeJudge, generate_results, judged, stored_calls
-from tabloom.session import materialize
 from tabloom.sources import experiment_log
 from tabloom.sources.results import write_results
 from tabloom.sources.runs import write_run
@@ -60,25 +59,31 @@ def bag_union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def generate_all(problems: DataFrame, experiment: Experiment) -> DataFrame:
-    """Results of every engine over the same problems, stored once."""
-    parts = [
-        generate_results(
-            problems, e.make, experiment.key, e.name, e.plain, e.settings(experiment.settings), e.strip_echo,
-            e.max_new_tokens, e.max_model_len,
-        )
-        for e in experiment.engines
-    ]
-    return materialize(bag_union(parts), "results")
+def generate_all(problems: DataFrame, experiment: Experiment, folder: str | None = None) -> DataFrame:
+    """Results of every engine over the same problems, stored once, in rounds if the settings say so."""
+
+    def stored(e: Engine) -> DataFrame:
+        def step(rows: DataFrame) -> DataFrame:
+            return generate_results(
+                rows, e.make, experiment.key, e.name, e.plain, e.settings(experiment.settings), e.strip_echo,
+                e.max_new_tokens, e.max_model_len,
+            )
+
+        return stored_calls(problems, experiment.key, experiment.settings.rounds, step, f"results-{e.name}", folder)
 
+    return bag_union([stored(e) for e in experiment.engines])
 
-def base_outputs(problems: DataFrame, experiment: Experiment) -> DataFrame:
+
+def base_outputs(problems: DataFrame, experiment: Experiment, folder: str | None = None) -> DataFrame:
     """The base model's answers, stored once. Each problem is answered once, however many engines there are."""
-    answers = generate_results(problems, experiment.make_base, experiment.key, "base", settings=experiment.settings)
-    return materialize(answers, "base_outputs")
+
+    def step(rows: DataFrame) -> DataFrame:
+        return generate_results(rows, experiment.make_base, experiment.key, "base", settings=experiment.settings)
+
+    return stored_calls(problems, experiment.key, experiment.settings.rounds, step, "base_outputs", folder)
 
 
-def compare_all(results: DataFrame, base: DataFrame, experiment: Experiment) -> DataFrame:
+def compare_all(results: DataFrame, base: DataFrame, experiment: Experiment, folder: str | None = None) -> DataFrame:
     """Judged comparisons of every engine with the base answers, paired by key.
 
     Pairs in which either side has no answer are not sent to the judge.
@@ -90,7 +95,7 @@ def compare_all(results: DataFrame, base: DataFrame, experiment: Experiment) ->
     def scored(rows: DataFrame) -> DataFrame:
         return judged(rows, experiment.make_judge, pair_key, experiment.settings)
 
-    return stored_calls(paired, pair_key, experiment.settings.rounds, scored, "comparisons")
+    return stored_calls(paired, pair_key, experiment.settings.rounds, scored, "comparisons", folder)
 
 
 def log_all(comparisons: DataFrame, experiment: Experiment, log: str, output: str) -> None:
@@ -188,13 +193,18 @@ def run_record(
 
 
 def run_experiment(
-    problems: DataFrame, experiment: Experiment, output: str | None = None, log: str | None = None, runs: str | None = None
+    problems: DataFrame, experiment: Experiment, output: str | None = None, log: str | None = None, runs: str | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
-    """Generate, judge and average; optionally write all outputs, the log and the record. Returns the record."""
-    results, base = generate_all(problems, experiment), base_outputs(problems, experiment)
+    """Generate, judge and average; optionally write all outputs, the log and the record. Returns the record.
+
+    Answers are kept below ``folder``: started again with the same one, finished slices of generation, base model
+    and judge are read and not called for.
+    """
+    results, base = generate_all(problems, experiment, folder), base_outputs(problems, experiment, folder)
     if output is not None:
         write_results(bag_union([results, base]), output)
-    comparisons = compare_all(results, base, experiment)
+    comparisons = compare_all(results, base, experiment, folder)
     if log is not None:
         log_all(comparisons, experiment, log, output or "")
     summary = score_summary(with_scores(comparisons), ["engine"])

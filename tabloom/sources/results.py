@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.schemas import BASE_OUTPUT_FILE, GENERATION_FILE
 
@@ -25,15 +26,16 @@ def write_results(df: DataFrame, path: str, form: str = "parquet") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("engine").format(form).save(path)
 
 
-def read_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_results(spark: SparkSession, path: str, multi_line: bool = True, key: T.StructType | None = None) -> DataFrame:
     """Generation records of JSON array files, or of JSON lines when ``multi_line`` is off.
 
-    The generated text is found under either name it is written with. Lines split over tasks;
-    array files do not.
+    The generated text is found under either name it is written with. Lines split over tasks; array files do not.
+    With ``key``, the fields that tell examples apart, these and the engine, from the folder's name, come along.
     """
-    read = spark.read.schema(GENERATION_FILE).json(path, multiLine=multi_line)
+    own = [] if key is None else [*key.fields, T.StructField("engine", T.StringType())]
+    read = spark.read.schema(T.StructType([*own, *GENERATION_FILE.fields])).json(path, multiLine=multi_line)
     generated = F.coalesce("generated_solution", "solution").alias("generated_solution")
-    return read.select("problem", "original_solution", generated)
+    return read.select(*[f.name for f in own], "problem", "original_solution", generated)
 
 
 def read_base_outputs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

@@ -1,12 +1,13 @@
 """Whole flows."""
 
 import os
+import uuid
+from dataclasses import replace
 from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.catalog import fixtures
 from tabloom.config import EvaluationSettings, TrainingSettings, as_text, resolve, resolved, unknown_keys
 from tabloom.operators import pairing
 from tabloom.operators.plugins import LeadingWords, WordCountJudge
@@ -186,3 +187,30 @@ def test_presentation_order_and_cleaning_up(spark, problems):
     assert os.path.isdir(path)
     drop_work(spark)
     assert not os.path.isdir(path)
+
+
+def test_a_restarted_experiment_repeats_no_call(spark, problems, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    class Counted(LeadingWords):
+        def generate(self, prompts):
+            for _ in prompts:
+                (calls / uuid.uuid4().hex).touch()
+            return super().generate(prompts)
+
+    class BreaksOnce(WordCountJudge):
+        def open(self):
+            if not (calls / "broken").exists():
+                (calls / "broken").touch()
+                raise RuntimeError("the machine is gone")
+
+    made = make_experiment()
+    engines = tuple(replace(e, make=partial(Counted, 4)) for e in made.engines)
+    run = replace(made, engines=engines, make_base=partial(Counted, 2), make_judge=BreaksOnce, settings=EvaluationSettings(io_workers=2, rounds=3))
+    folder = str(tmp_path / "kept")
+    with pytest.raises(Exception, match="the machine is gone"):
+        experiment.run_experiment(problems, run, folder=folder).first()
+    assert len(os.listdir(calls)) == 1 + 3 * problems.count()
+    row = experiment.run_experiment(problems, run, folder=folder).first()
+    assert len(os.listdir(calls)) == 1 + 3 * problems.count() and row["status"] == "success"
