@@ -21,19 +21,48 @@ INSTRUCTION_PREAMBLE = (
     "Write a response that appropriately completes the request."
 )
 
-# Judge rubric: lines around the spliced problem and solutions; indentation is added per line.
-JUDGE_INTRODUCTION = (
-    "You are an expert in evaluating the solutions of math problems with respect to their logical completeness "
-    "and formally justified solutions",
-    "Compare these two solutions to the same problem and provide scoring.",
-)
-JUDGE_RUBRIC = (
-    "Evaluate both solutions on:",
-    "1. Correctness (is the answer right?)",
-    "2. Clarity and explanation quality",
-    "3. Mathematical rigor",
-    "4. Completeness",
-)
+INSTRUCTION_PROMPT = INSTRUCTION_PREAMBLE + """
+
+### Instruction:
+{}
+
+### Input:
+{}
+
+### Response:
+{}"""
+
+# The judge's prompt at its own margin of eight; another margin is set by ``text.with_margin``.
+JUDGE_MARGIN = 8
+JUDGE_PROMPT = """
+        You are an expert in evaluating the solutions of math problems with respect to their logical completeness and formally justified solutions
+        Compare these two solutions to the same problem and provide scoring.
+
+        ### Problem:
+        {}
+
+        ### 1st Solution:
+        {}
+
+        ### 2nd Solution:
+        {}
+
+        Evaluate both solutions on:
+        1. Correctness (is the answer right?)
+        2. Clarity and explanation quality
+        3. Mathematical rigor
+        4. Completeness
+
+        Give the Final answer in this exact JSON format:
+       \x20
+        {
+            "problem": {},
+            "first_score": 5,
+            "second_score": 5
+        }
+
+        Replace the numbers with the actual values.
+        """
 
 # Texts a CSV reader of the data-frame kind takes as missing.
 MISSING_TEXTS = (

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tabloom.functions import fixed
-from tabloom.functions.text import Part, filled, has_text, or_literal, text
+from tabloom.functions.text import Part, filled, has_text, or_literal, text, with_margin
 
 
 def instruction_training_text(
@@ -24,12 +22,7 @@ def instruction_training_text(
 
 def instruction_prompt(instruction: Column, input_text: Part = "", indent: int = 0) -> Column:
     """Prompt with an always present input section and an empty response slot."""
-    margin = " " * indent
-    sections = "".join(
-        "\n\n" + margin + heading.rstrip("\n") + "\n" + margin + "{}"
-        for heading in (fixed.INSTRUCTION_HEADING, fixed.INPUT_HEADING, fixed.RESPONSE_HEADING)
-    )
-    return filled(fixed.INSTRUCTION_PREAMBLE + sections, instruction, input_text, "")
+    return filled(with_margin(fixed.INSTRUCTION_PROMPT, 0, indent), instruction, input_text, "")
 
 
 def plain_problem_prompt(problem: Column, system_message: str | None = None) -> Column:
@@ -44,23 +37,9 @@ def judge_prompt(problem: Column, first: Column, second: Column, indent: int = 8
     The problem is spliced into the skeleton as it is, so quotes and line breaks in it make the shown
     JSON invalid; ``escape`` writes it as a proper JSON string instead.
     """
-    margin = " " * indent
-
-    def lines(rows: Sequence[str]) -> str:
-        return "".join(margin + row + "\n" for row in rows)
-
-    quoted: tuple[Part, ...] = ('"problem": "', problem, '",\n')
     if escape:
         encoded = F.to_json(F.struct(problem.alias("problem")))
-        quoted = ('"problem": ', F.substring(encoded, F.lit(12), F.length(encoded) - 12), ",\n")
-    sections: list[Part] = ["\n" + lines(fixed.JUDGE_INTRODUCTION)]
-    for heading, body in (("### Problem:", problem), ("### 1st Solution:", first), ("### 2nd Solution:", second)):
-        sections += ["\n" + margin + heading + "\n" + margin, body, "\n"]
-    return text(
-        *sections,
-        "\n" + lines(fixed.JUDGE_RUBRIC),
-        "\n" + lines(("Give the Final answer in this exact JSON format:", "", "{")),
-        margin + "    ", *quoted,
-        lines(('    "first_score": 5,', '    "second_score": 5', "}")),
-        "\n" + lines(("Replace the numbers with the actual values.",)) + margin,
-    )
+        quoted = F.substring(encoded, F.lit(12), F.length(encoded) - 12)
+    else:
+        quoted = text('"', problem, '"')
+    return filled(with_margin(fixed.JUDGE_PROMPT, fixed.JUDGE_MARGIN, indent), problem, first, second, quoted)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -28,6 +29,12 @@ def text(*parts: Part) -> Column:
     return columns[0] if len(columns) == 1 else F.concat(*columns)
 
 
+def with_margin(template: str, old: int, new: int) -> str:
+    """A template with another margin on all of its lines but the first, and those without the old one."""
+    line = "\n" + " " * old if old else "\n(?!\n)"
+    return re.sub(line, "\n" + " " * new, template)
+
+
 def filled(template: str, *values: Part) -> Column:
     """Positional ``{}`` template, braces in the values are left as they are."""
     pieces = template.split("{}")
