@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from tabloom.functions import fixed
-
 ORACLES: dict[str, str] = {}
+# Fixed values, spelled here too so that the product's own texts are checked.
+TRAINING_SYSTEM = "Solve mathematical problems with logically complete and formally justified solutions:"
+INFERENCE_SYSTEM = "Solve the following problem with logically complete and formally justified solutions:"
+PREAMBLE = (
+    "Below is an instruction that describes a task, paired with an input that provides further context. "
+    "Write a response that appropriately completes the request."
+)
 
 
 def lit(text: str) -> str:
@@ -65,14 +70,14 @@ def chatml(role: str, content: str) -> str:
 
 MATH_TEXT = " || ".join(
     [
-        chatml("system", lit(fixed.TRAINING_SYSTEM)),
+        chatml("system", lit(TRAINING_SYSTEM)),
         chatml("user", lit("### Problem:\n") + ' || "Problem"'),
         chatml("assistant", lit("### Solution:\n") + ' || "Solution"'),
     ]
 )
 MATH_PROMPT = " || ".join(
     [
-        chatml("system", lit(fixed.INFERENCE_SYSTEM)),
+        chatml("system", lit(INFERENCE_SYSTEM)),
         chatml("user", lit("### Problem:\n") + ' || "Problem" || ' + lit("\n\n### Solution:")),
         lit("<|im_start|>assistant\n"),
     ]
@@ -95,13 +100,13 @@ FROM conversations GROUP BY conv_id
 HELD_OUT = 'SELECT item_id AS example_id, text AS "Problem" FROM benchmark'
 ORACLES["render_math_prompt"] = f"SELECT example_id, {MATH_PROMPT} AS prompt FROM ({HELD_OUT})"
 ORACLES["render_math_prompt_plain"] = f"""
-SELECT example_id, {lit(fixed.INFERENCE_SYSTEM + chr(10) + chr(10) + '### Problem:' + chr(10))} || "Problem"
+SELECT example_id, {lit(INFERENCE_SYSTEM + chr(10) + chr(10) + '### Problem:' + chr(10))} || "Problem"
   || {lit(chr(10) + chr(10) + '### Solution:')} AS prompt
 FROM ({HELD_OUT})
 """
 ORACLES["render_instruction_prompt"] = f"""
 SELECT conv_id, turn,
-  {lit(fixed.INSTRUCTION_PREAMBLE)} || {lit(chr(10) * 2 + '### Instruction:' + chr(10))} || instruction
+  {lit(PREAMBLE)} || {lit(chr(10) * 2 + '### Instruction:' + chr(10))} || instruction
   || {lit(chr(10) * 2 + '### Input:' + chr(10))} || input || {lit(chr(10) * 2 + '### Response:' + chr(10))} AS prompt
 FROM ({INSTRUCTIONS})
 """
@@ -438,7 +443,7 @@ FROM (VALUES ('judge', 'failed', 2), ('engine', 'partial_success', 1), ('none',
   (SELECT count(*) AS n FROM ({PAIRS}))
 """
 _PLAIN_PROMPT = (
-    f"{lit('Solve the following problem with logically complete and formally justified solutions:' + chr(10) * 2 + '### Problem:' + chr(10))}"
+    f"{lit(INFERENCE_SYSTEM + chr(10) * 2 + '### Problem:' + chr(10))}"
     f" || \"Problem\" || {lit(chr(10) * 2 + '### Solution:')}"
 )
 ORACLES["engine_options"] = f"""
