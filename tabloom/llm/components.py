@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     driver is one row that tells whether a round changed anything.
     """
     larger = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    current = materialize(_small_star(larger.distinct()), "edges")
+    # Stored first: a round reads its edges several times, and these may be costly to make.
+    current = materialize(_small_star(materialize(larger.distinct(), "edges")), "edges")
     state = _state(current)
     while state[0]:
         following = materialize(_small_star(_large_star(current).filter(F.col("a") != F.col("b")).distinct()), "edges")

@@ -189,7 +189,7 @@ def in_blocks(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
 def tied(rows: DataFrame, key: str, judge: Callable[[pa.Table], np.ndarray]) -> DataFrame:
     order = [key, "left", "right"]
     sorted_rows = rows.repartition(*order).sortWithinPartitions(*order)
-    return arrow_map(sorted_rows, lambda b: tied_batches(b, judge, order), "a long, b long").distinct()
+    return arrow_map(sorted_rows, lambda b: tied_batches(b, judge, order), "a long, b long")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -214,7 +214,8 @@ def links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     members = clusters.join(nodes.select("id", "n"), "id")
     sizes = members.groupBy("component").agg(F.count("*").alias("_n"), F.sum("n").alias("_s"))
     blocks = sizes.select("component", F.greatest(F.ceil(F.col("_n") / CLUSTER_BLOCK), F.ceil(F.col("_s") / BLOCK_SHINGLES)).alias("_blocks"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(clusters, "id")
+    # The members grow with the corpus, so they are never broadcast.
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(clusters.hint("merge"), "id")
     return tied(in_blocks(texts, "component", blocks), "component", confirmed)
 
 
@@ -248,6 +249,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, as they are; of rows that repeat an id, those of the kept document."""
+    """The rows of ``docs`` that are kept, as they are.
+
+    Rows that repeat an id stay or go together, and so do rows without an id: they stay if one of them is kept.
+    """
     kept = materialize(report(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
     return docs.join(kept, same(docs["doc_id"].cast("long"), F.col("_kept")), "left_semi")
