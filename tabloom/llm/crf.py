@@ -13,18 +13,23 @@ import numpy as np
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 TAGS = 3
 FORBIDDEN = -1e4
-RATE, STEPS, DECAY = 0.3, 80, 1e-4
+RATE, STEPS, DECAY = 0.3, 40, 1e-4
 # Before it learns anything the field takes every token to be outside by so much.
 PRIOR = 4.0
 
 
 @dataclass
 class Field:
-    """Tables by offset of the shape looked at, of pairs of shapes, of files, and of tag after tag."""
+    """Tables by offset of the shape looked at, of pairs of shapes, of files, and of tag after tag.
+
+    Tokens of the ``plain`` shapes are outside whatever stands around them. So a row may be cut within a run of
+    them, as long as the neighbours that the other tokens look at stay with these.
+    """
 
     shapes: int
     files: int
     tables: dict[str, np.ndarray] = field(default_factory=dict)
+    plain: tuple[int, ...] = ()
 
     def __post_init__(self) -> None:
         if not self.tables:
@@ -40,7 +45,9 @@ class Field:
                 "file": (np.broadcast_to(files[:, None], here.shape), here)}
 
     def emissions(self, shapes: np.ndarray, files: np.ndarray) -> np.ndarray:
-        return sum(self.tables[name][cells] for name, cells in self.views(shapes, files).items())
+        scores = sum(self.tables[name][cells] for name, cells in self.views(shapes, files).items())
+        scores[..., OUTSIDE + 1:] += np.where(np.isin(shapes[:, 2:-1], self.plain), FORBIDDEN, 0.0)[..., None]
+        return scores
 
     def transitions(self) -> np.ndarray:
         """Scores of a tag, column, after another, row; nothing is inside without a begin."""
@@ -70,9 +77,9 @@ def gathered(sizes: tuple[int, ...], where: tuple, values: np.ndarray) -> np.nda
     return np.stack(sums, axis=-1).reshape(*sizes, TAGS)
 
 
-def trained(rows: list[list[int]], tags: list[list[int]], files: list[int], shapes: int, kinds: int) -> Field:
+def trained(rows: list[list[int]], tags: list[list[int]], files: list[int], shapes: int, kinds: int, plain: tuple[int, ...] = ()) -> Field:
     """The field of greatest conditional likelihood, by adaptive full-batch gradient steps with a small decay to the prior."""
-    model = Field(shapes, kinds)
+    model = Field(shapes, kinds, plain=plain)
     if not rows:
         return model
     table, lengths = padded(rows)
@@ -147,21 +154,3 @@ def decoded(model: Field, rows: list[list[int]], files: list[int]) -> list[np.nd
         start = end
     return found
 
-
-def always_outside(model: Field, plain: list[int]) -> bool:
-    """Whether a row of ``plain`` shapes alone is sure to be all outside.
-
-    Taken over all neighbourhoods of plain shapes and ends, the most that a begin and an inside can score over an
-    outside bounds what any stretch of them gains: entering and leaving must lose, and going on must not gain.
-    """
-    some = np.array([0, *plain])
-    before2, before, here, after, file = np.meshgrid(some, some, np.array(plain), some, np.arange(model.files), indexing="ij")
-    tables, trans = model.tables, model.transitions()
-    scores = tables["here"][here] + tables["before"][before] + tables["before2"][before2] + tables["after"][after]
-    scores = scores + tables["pair"][before, here] + tables["file"][file, here]
-    begin, inside = ((scores[..., tag] - scores[..., OUTSIDE]).max() for tag in (BEGIN, INSIDE))
-    stay = trans[OUTSIDE, OUTSIDE]
-    enter = trans[OUTSIDE, BEGIN] - stay + begin
-    go_on = max(trans[BEGIN, BEGIN] + begin, trans[INSIDE, BEGIN] + begin, trans[BEGIN, INSIDE] + inside, trans[INSIDE, INSIDE] + inside) - stay
-    leave = max(trans[BEGIN, OUTSIDE] - stay, trans[INSIDE, OUTSIDE] - stay, 0.0)
-    return bool(enter + leave < 0 and go_on < 0)

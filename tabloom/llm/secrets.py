@@ -6,14 +6,13 @@ file. It learns from lines of the corpus in which the patterns found something a
 equals signs in which they did not, a bounded sample of each. So it marks strings that look and stand like
 secrets where no pattern fits.
 
-Lines whose tokens are all of plain shapes are left out where the trained weights prove that they hold nothing; all
-other lines of all texts are decoded.
+Words without digits, shorter than ``LONG_LETTERS``, and signs are plain: the field takes them to be outside. So only the stretches
+around the other tokens, wide enough for all they look at, need to be decoded; those of all texts are.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import re
 from collections.abc import Iterator
 
@@ -35,11 +34,14 @@ KINDS = ("assign", "access", "hex", "crf")
 # Names of credentials as a neighbouring word may spell them.
 NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential", "credentials", "private", "access")
 # The bounded sample of lines that the field learns from.
-TRAINING_LINES, TRAINING_CHARS, TRAINING_TOKENS = 1_500, 2_000, 48
+TRAINING_LINES, TRAINING_CHARS, TRAINING_TOKENS = 1_000, 2_000, 48
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
 LONG_LETTERS = 24
 SHAPES, FILES = 24, 3
-PLAIN = [3, 4, 5, 6, 7, 8, 9]
+PLAIN = (3, 4, 5, 6, 7, 8, 9)
+PLAIN_SET = frozenset(PLAIN)
+# A token looks at neighbours up to two places off.
+AROUND = 3
 IS_HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
 IS_ODD = np.isin(np.arange(256), list(b"0123456789="))
 IS_WORD = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"))
@@ -121,25 +123,40 @@ def odd_lines(low: bytes, codes: np.ndarray) -> set[int]:
     return set(np.unique(np.searchsorted(lines, np.concatenate(places))).tolist())
 
 
-def field_spans(texts: list[str], lows: list[bytes], codes: list[np.ndarray], model: crf.Field, skip: bool, shapes: Shapes) -> list[list[tuple[int, int]]]:
-    """Spans that the field tags as secrets, per text."""
+def near_odd(shapes: list[int]) -> Iterator[tuple[int, int]]:
+    """Stretches of a line around its tokens that are not plain, wide enough for all that their shapes bear upon."""
+    start = end = None
+    for at, kind in enumerate(shapes):
+        if kind not in PLAIN_SET:
+            if end is not None and at - AROUND > end:
+                yield start, end
+                start = None
+            start = max(0, at - AROUND) if start is None else start
+            end = min(len(shapes), at + AROUND + 1)
+    if start is not None:
+        yield start, end
+
+
+def field_spans(texts: list[str], lows: list[bytes], codes: list[np.ndarray], model: crf.Field, shapes: Shapes, whole: bool = False) -> list[list[tuple[int, int]]]:
+    """Spans that the field tags as secrets, per text; ``whole`` decodes every token, to the same end."""
     rows, places, owners, kinds = [], [], [], []
     for n, text in enumerate(texts):
-        wanted = odd_lines(lows[n], codes[n]) if skip else None
+        wanted = None if whole else odd_lines(lows[n], codes[n])
         kind, start = file_kind(codes[n]), 0
         for number, line in enumerate(text.split("\n")):
             if wanted is None or number in wanted:
-                tokens = [(start + m.start(), start + m.end(), m[0]) for m in TOKEN.finditer(line)]
-                if tokens:
-                    rows.append([shapes[t] for _, _, t in tokens])
-                    places.append(tokens)
+                tokens = [(start + m.start(), start + m.end()) for m in TOKEN.finditer(line)]
+                row = [shapes[t] for t in TOKEN.findall(line)]
+                for first, last in [(0, len(row))] * bool(row) if whole else near_odd(row):
+                    rows.append(row[first:last])
+                    places.append(tokens[first:last])
                     owners.append(n)
                     kinds.append(kind)
             start += len(line) + 1
     found: list[list[tuple[int, int]]] = [[] for _ in texts]
     for n, tokens, tags in zip(owners, places, crf.decoded(model, rows, kinds)):
         open_ = None
-        for (begin, end, _), tag in zip(tokens, tags):
+        for (begin, end), tag in zip(tokens, tags):
             if tag != crf.INSIDE and open_:
                 found[n].append(open_)
                 open_ = None
@@ -170,21 +187,20 @@ def training_rows(lines: list[str]) -> tuple[list[list[int]], list[list[int]], l
             spans.append((value, end))
         tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(line)]
         tag, last = [], None
-        for start, end, _ in tokens:
+        for start, end, token in tokens:
             span = next((s for s in spans if start < s[1] and s[0] < end), None)
-            tag.append(crf.OUTSIDE if span is None else crf.INSIDE if last is not None and span[0] < last[1] else crf.BEGIN)
-            last = span
+            if span is None or shape(token) in PLAIN_SET:
+                tag.append(crf.OUTSIDE)
+                last = None
+            else:
+                tag.append(crf.BEGIN if last is None or span != last else crf.INSIDE)
+                last = span
         first = max(0, next((n for n, t in enumerate(tag) if t), 0) - TRAINING_TOKENS // 2)
         rows.append([shape(t) for _, _, t in tokens[first: first + TRAINING_TOKENS]])
         tags.append(tag[first: first + TRAINING_TOKENS])
         kinds.append(file_kind(codes))
     keep = [n for n, row in enumerate(rows) if row]
-    # Every way that plain shapes can follow each other, once, as an example of nothing.
-    plain = [list(row) for row in itertools.product(PLAIN, repeat=3)]
-    return (
-        [rows[n] for n in keep] + plain, [tags[n] for n in keep] + [[crf.OUTSIDE] * 3] * len(plain),
-        [kinds[n] for n in keep] + [n % FILES for n in range(len(plain))],
-    )
+    return [rows[n] for n in keep], [tags[n] for n in keep], [kinds[n] for n in keep]
 
 
 def trained_field(docs: DataFrame) -> crf.Field:
@@ -196,27 +212,27 @@ def trained_field(docs: DataFrame) -> crf.Field:
     marked = lines.select("line", likely.alias("likely"), F.xxhash64("line").alias("_h"))
     parts = [marked.filter(F.col("likely") == flag).orderBy("_h", "line").limit(TRAINING_LINES) for flag in (True, False)]
     sample = [r["line"] for r in parts[0].unionByName(parts[1]).collect()]
-    return crf.trained(*training_rows(sorted(sample)), SHAPES, FILES)
+    return crf.trained(*training_rows(sorted(sample)), SHAPES, FILES, PLAIN)
 
 
 def spelled(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def found_spans(texts: list[str], model: crf.Field, skip: bool, shapes: Shapes) -> list[tuple[list, list]]:
+def found_spans(texts: list[str], model: crf.Field, shapes: Shapes) -> list[tuple[list, list]]:
     lows = [t.encode().translate(LOWER_BYTES) for t in texts]
     codes = [np.frombuffer(t.encode(), np.uint8) for t in texts]
     base = [base_spans(t, low, code) for t, low, code in zip(texts, lows, codes)]
-    more = field_spans(texts, lows, codes, model, skip, shapes)
+    more = field_spans(texts, lows, codes, model, shapes)
     return [(b, joined(b, m)) for b, m in zip(base, more)]
 
 
-def scanned(batches: Iterator[pa.RecordBatch], model: crf.Field, skip: bool) -> Iterator[pa.RecordBatch]:
+def scanned(batches: Iterator[pa.RecordBatch], model: crf.Field) -> Iterator[pa.RecordBatch]:
     shapes = Shapes()
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
-            results = found_spans([t or "" for t in column(part, "text")], model, skip, shapes)
+            results = found_spans([t or "" for t in column(part, "text")], model, shapes)
             counts = [[sum(k == kind for _, _, k in base) for base, _ in results] for kind in KINDS[:3]]
             yield pa.RecordBatch.from_arrays([
                 part.column(0), *[pa.array(c, pa.int64()) for c in counts],
@@ -233,9 +249,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = trained_field(narrow)
-    skip = crf.always_outside(model, PLAIN)
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return arrow_map(narrow, lambda b: scanned(b, model, skip), schema)
+    return arrow_map(narrow, lambda b: scanned(b, model), schema)
 
 
 def masked(text: str | None, spans: list[tuple[int, int, str]], mark: str) -> str | None:
@@ -249,14 +264,14 @@ def masked(text: str | None, spans: list[tuple[int, int, str]], mark: str) -> st
     return "".join([*kept, text[last:]])
 
 
-def masked_batches(batches: Iterator[pa.RecordBatch], model: crf.Field, skip: bool, mark: str) -> Iterator[pa.RecordBatch]:
+def masked_batches(batches: Iterator[pa.RecordBatch], model: crf.Field, mark: str) -> Iterator[pa.RecordBatch]:
     shapes = Shapes()
     for batch in batches:
         at = batch.schema.get_field_index("text")
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
             texts = column(part, "text")
-            results = found_spans([t or "" for t in texts], model, skip, shapes)
+            results = found_spans([t or "" for t in texts], model, shapes)
             new = pa.array([masked(t, spans, mark) for t, (_, spans) in zip(texts, results)], pa.string())
             yield part.set_column(at, part.schema.field(at).name, new)
 
@@ -265,5 +280,4 @@ def mask(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span found in ``text`` replaced by ``mark``; spans that overlap are one."""
     typed = docs.withColumn("text", F.col("text").cast("string"))
     model = trained_field(typed)
-    skip = crf.always_outside(model, PLAIN)
-    return arrow_map(typed, lambda b: masked_batches(b, model, skip, mark), typed.schema)
+    return arrow_map(typed, lambda b: masked_batches(b, model, mark), typed.schema)
