@@ -13,23 +13,18 @@ import numpy as np
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 TAGS = 3
 FORBIDDEN = -1e4
-RATE, STEPS, DECAY = 0.3, 40, 1e-4
+RATE, STEPS, DECAY = 0.3, 80, 1e-4
 # Before it learns anything the field takes every token to be outside by so much.
 PRIOR = 4.0
 
 
 @dataclass
 class Field:
-    """Tables by offset of the shape looked at, of pairs of shapes, of files, and of tag after tag.
-
-    Tokens of the ``plain`` shapes are outside whatever stands around them. So a row may be cut within a run of
-    them, as long as the neighbours that the other tokens look at stay with these.
-    """
+    """Tables by offset of the shape looked at, of pairs of shapes, of files, and of tag after tag."""
 
     shapes: int
     files: int
     tables: dict[str, np.ndarray] = field(default_factory=dict)
-    plain: tuple[int, ...] = ()
 
     def __post_init__(self) -> None:
         if not self.tables:
@@ -45,8 +40,20 @@ class Field:
                 "file": (np.broadcast_to(files[:, None], here.shape), here)}
 
     def emissions(self, shapes: np.ndarray, files: np.ndarray) -> np.ndarray:
-        scores = sum(self.tables[name][cells] for name, cells in self.views(shapes, files).items())
-        scores[..., OUTSIDE + 1:] += np.where(np.isin(shapes[:, 2:-1], self.plain), FORBIDDEN, 0.0)[..., None]
+        return sum(self.tables[name][cells] for name, cells in self.views(shapes, files).items())
+
+    def stream_emissions(self, stream: np.ndarray, files: np.ndarray) -> np.ndarray:
+        """Scores of the tokens of many rows in one stream, each row ended by a 0, with ``files`` per token; zeros are outside."""
+        ends = np.concatenate(([0, 0], stream, [0]))
+        before, here, after = ends[1:-2], ends[2:-1], ends[3:]
+        before2 = np.where(before == 0, 0, ends[:-3])
+        tables = self.tables
+        pairs = tables["pair"] + tables["here"][None] + tables["before"][:, None]
+        scores = pairs[before, here]
+        scores += tables["before2"][before2]
+        scores += tables["after"][after]
+        scores += tables["file"][files, here]
+        scores[here == 0] = (0.0, FORBIDDEN, FORBIDDEN)
         return scores
 
     def transitions(self) -> np.ndarray:
@@ -77,9 +84,14 @@ def gathered(sizes: tuple[int, ...], where: tuple, values: np.ndarray) -> np.nda
     return np.stack(sums, axis=-1).reshape(*sizes, TAGS)
 
 
-def trained(rows: list[list[int]], tags: list[list[int]], files: list[int], shapes: int, kinds: int, plain: tuple[int, ...] = ()) -> Field:
-    """The field of greatest conditional likelihood, by adaptive full-batch gradient steps with a small decay to the prior."""
-    model = Field(shapes, kinds, plain=plain)
+def trained(rows: list[list[int]], tags: list[list[int]], files: list[int], shapes: int, kinds: int, barred: tuple[int, ...] = ()) -> Field:
+    """The field of greatest conditional likelihood, by adaptive full-batch gradient steps with a small decay to the prior.
+
+    No shape may be barred from any tag.
+    """
+    if barred:
+        raise ValueError("every shape may have every tag")
+    model = Field(shapes, kinds)
     if not rows:
         return model
     table, lengths = padded(rows)
@@ -124,19 +136,50 @@ def trained(rows: list[list[int]], tags: list[list[int]], files: list[int], shap
     return model
 
 
+def open_tokens(model: Field, emit: np.ndarray) -> np.ndarray:
+    """Which tokens of a stream the weights do not prove to be outside.
+
+    Against tags that are all outside, a run of other tags gains what entering, its tokens, going on between them and
+    leaving score. The gain of a run is bounded by the best of its ways; a token that no run with a bound
+    above nothing covers is outside in the best tags. What tokens score comes with their real neighbours.
+    """
+    trans = model.transitions()
+    stay = trans[OUTSIDE, OUTSIDE]
+    begin, inside = emit[:, BEGIN] - emit[:, OUTSIDE], emit[:, INSIDE] - emit[:, OUTSIDE]
+    on = np.maximum(begin + max(trans[BEGIN, BEGIN], trans[INSIDE, BEGIN]), inside + max(trans[BEGIN, INSIDE], trans[INSIDE, INSIDE])) - stay
+    sums = np.cumsum(on)
+    entered = np.maximum.accumulate(trans[OUTSIDE, BEGIN] - stay + begin - sums)
+    left = np.maximum.accumulate(sums[::-1])[::-1]
+    leave = max(trans[BEGIN, OUTSIDE] - stay, trans[INSIDE, OUTSIDE] - stay, 0.0)
+    # Sums over a stream are rounded; a doubtful token is open.
+    return entered + left + leave > -1e-3
+
+
 def decoded(model: Field, rows: list[list[int]], files: list[int]) -> list[np.ndarray]:
-    """The best tags of each row by Viterbi; rows run side by side, the longest first."""
-    order = sorted(range(len(rows)), key=lambda n: -len(rows[n]))
-    found: list[np.ndarray] = [np.empty(0, np.int64)] * len(rows)
+    """The best tags of each row."""
+    emits = []
+    for row, file in zip(rows, files):
+        table, _ = padded([row])
+        emits.append(model.emissions(table, np.array([file]))[0])
+    return best_tags(model, emits)
+
+
+def best_tags(model: Field, emits: list[np.ndarray]) -> list[np.ndarray]:
+    """The best tags of each row of scores by Viterbi; rows run side by side, the longest first."""
+    order = sorted(range(len(emits)), key=lambda n: -len(emits[n]))
+    found: list[np.ndarray] = [np.empty(0, np.int64)] * len(emits)
+    trans = model.transitions()
     # Rows of like length go together, so that one long row does not pad the others.
     start = 0
     while start < len(order):
         end = start + 1
-        while end < len(order) and len(rows[order[end]]) * 2 > len(rows[order[start]]) and end - start < 4_096:
+        while end < len(order) and len(emits[order[end]]) * 2 > len(emits[order[start]]) and end - start < 4_096:
             end += 1
         chosen = order[start:end]
-        table, lengths = padded([rows[n] for n in chosen])
-        emit, trans = model.emissions(table, np.array([files[n] for n in chosen])), model.transitions()
+        lengths = np.array([len(emits[n]) for n in chosen])
+        emit = np.zeros((len(chosen), int(lengths[0]), TAGS))
+        for n, at in enumerate(chosen):
+            emit[n, : lengths[n]] = emits[at]
         best = emit[:, 0] + trans[OUTSIDE] if emit.shape[1] else np.zeros((len(chosen), TAGS))
         came = np.zeros(emit.shape, np.int8)
         for t in range(1, emit.shape[1]):

@@ -6,13 +6,13 @@ file. It learns from lines of the corpus in which the patterns found something a
 equals signs in which they did not, a bounded sample of each. So it marks strings that look and stand like
 secrets where no pattern fits.
 
-Words without digits, shorter than ``LONG_LETTERS``, and signs are plain: the field takes them to be outside. So only the stretches
-around the other tokens, wide enough for all they look at, need to be decoded; those of all texts are.
+All tokens of all texts are scored. Stretches that the trained weights prove to be outside are not decoded.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm import crf
-from tabloom.llm.common import LOWER_BYTES, arrow_map, column
+from tabloom.llm.common import LOWER_BYTES, arrow_map, column, pieces
 
 # The patterns of the base and the least lengths of what they match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -34,17 +34,15 @@ KINDS = ("assign", "access", "hex", "crf")
 # Names of credentials as a neighbouring word may spell them.
 NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "bearer", "credential", "credentials", "private", "access")
 # The bounded sample of lines that the field learns from.
-TRAINING_LINES, TRAINING_CHARS, TRAINING_TOKENS = 1_000, 2_000, 48
+TRAINING_LINES, TRAINING_CHARS, TRAINING_TOKENS = 1_500, 2_000, 48
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]+|[^\sA-Za-z0-9+/_-]")
+TOKEN_OR_BREAK = re.compile(TOKEN.pattern + r"|\n")
 LONG_LETTERS = 24
 SHAPES, FILES = 24, 3
-PLAIN = (3, 4, 5, 6, 7, 8, 9)
-PLAIN_SET = frozenset(PLAIN)
-# A token looks at neighbours up to two places off.
-AROUND = 3
+# Shapes that can never be part of a secret: none.
+PLAIN = ()
+TEXT_BLOCK = 3_000_000
 IS_HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
-IS_ODD = np.isin(np.arange(256), list(b"0123456789="))
-IS_WORD = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"))
 IS_LETTER = np.isin(np.arange(256), list(range(65, 91)) + list(range(97, 123)) + [9, 10, 13, 32] + list(range(128, 256)))
 
 
@@ -77,6 +75,8 @@ class Shapes(dict):
     """Shapes of the tokens met, forgotten when too many."""
 
     def __missing__(self, token: str) -> int:
+        if token == "\n":
+            return 0
         if len(self) > 200_000:
             self.clear()
         self[token] = found = shape(token)
@@ -107,63 +107,37 @@ def file_kind(codes: np.ndarray) -> int:
     return 0 if share < 0.04 else 1 if share < 0.12 else 2
 
 
-def odd_lines(low: bytes, codes: np.ndarray) -> set[int]:
-    """Numbers of the lines that may hold a token of a shape that is not plain."""
-    odd = IS_ODD[codes]
-    places = [np.flatnonzero(odd)]
-    breaks = np.concatenate(([-1], np.flatnonzero(~IS_WORD[codes]), [len(codes)]))
-    long = np.flatnonzero(np.diff(breaks) > LONG_LETTERS)
-    places.append(breaks[long] + 1)
-    for name in NAMES:
-        at = low.find(name.encode())
-        while at >= 0:
-            places.append(np.array([at]))
-            at = low.find(name.encode(), at + 1)
-    lines = np.flatnonzero(codes == 10)
-    return set(np.unique(np.searchsorted(lines, np.concatenate(places))).tolist())
-
-
-def near_odd(shapes: list[int]) -> Iterator[tuple[int, int]]:
-    """Stretches of a line around its tokens that are not plain, wide enough for all that their shapes bear upon."""
-    start = end = None
-    for at, kind in enumerate(shapes):
-        if kind not in PLAIN_SET:
-            if end is not None and at - AROUND > end:
-                yield start, end
-                start = None
-            start = max(0, at - AROUND) if start is None else start
-            end = min(len(shapes), at + AROUND + 1)
-    if start is not None:
-        yield start, end
-
-
 def field_spans(texts: list[str], lows: list[bytes], codes: list[np.ndarray], model: crf.Field, shapes: Shapes, whole: bool = False) -> list[list[tuple[int, int]]]:
     """Spans that the field tags as secrets, per text; ``whole`` decodes every token, to the same end."""
-    rows, places, owners, kinds = [], [], [], []
-    for n, text in enumerate(texts):
-        wanted = None if whole else odd_lines(lows[n], codes[n])
-        kind, start = file_kind(codes[n]), 0
-        for number, line in enumerate(text.split("\n")):
-            if wanted is None or number in wanted:
-                tokens = [(start + m.start(), start + m.end()) for m in TOKEN.finditer(line)]
-                row = [shapes[t] for t in TOKEN.findall(line)]
-                for first, last in [(0, len(row))] * bool(row) if whole else near_odd(row):
-                    rows.append(row[first:last])
-                    places.append(tokens[first:last])
-                    owners.append(n)
-                    kinds.append(kind)
-            start += len(line) + 1
     found: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for n, tokens, tags in zip(owners, places, crf.decoded(model, rows, kinds)):
-        open_ = None
-        for (begin, end), tag in zip(tokens, tags):
+    # One stream of all texts, in which line breaks, of shape 0, also part texts.
+    rows = [[*map(shapes.__getitem__, TOKEN_OR_BREAK.findall(text)), 0] for text in texts]
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    if not sizes.sum():
+        return found
+    stream = np.fromiter(itertools.chain.from_iterable(rows), np.int64, int(sizes.sum()))
+    kinds = np.repeat(np.fromiter(map(file_kind, codes), np.int64, len(codes)), sizes)
+    emit = model.stream_emissions(stream, kinds)
+    breaks = stream == 0
+    wanted = ~breaks if whole else crf.open_tokens(model, emit) & ~breaks
+    # The token behind an open stretch is outside; with it goes the score of leaving.
+    wanted[1:] |= wanted[:-1] & ~breaks[1:]
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], wanted, [False])).astype(np.int8))).reshape(-1, 2)
+    tags = np.zeros(len(stream), np.int64)
+    for (first, last), row in zip(edges, crf.best_tags(model, [emit[a:b] for a, b in edges])):
+        tags[first:last] = row
+    ends = np.cumsum(sizes)
+    tagged = np.flatnonzero(tags)
+    for n in np.unique(np.searchsorted(ends, tagged, "right")):
+        own, open_ = tags[ends[n] - sizes[n]: ends[n]], None
+        for m, tag in zip(TOKEN_OR_BREAK.finditer(texts[n]), own.tolist()):
             if tag != crf.INSIDE and open_:
                 found[n].append(open_)
                 open_ = None
             if tag == crf.BEGIN:
-                open_ = (begin, end)
+                open_ = m.span()
             elif tag == crf.INSIDE:
-                open_ = (open_[0] if open_ else begin, end)
+                open_ = (open_[0] if open_ else m.start(), m.end())
         if open_:
             found[n].append(open_)
     return found
@@ -187,14 +161,10 @@ def training_rows(lines: list[str]) -> tuple[list[list[int]], list[list[int]], l
             spans.append((value, end))
         tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(line)]
         tag, last = [], None
-        for start, end, token in tokens:
+        for start, end, _ in tokens:
             span = next((s for s in spans if start < s[1] and s[0] < end), None)
-            if span is None or shape(token) in PLAIN_SET:
-                tag.append(crf.OUTSIDE)
-                last = None
-            else:
-                tag.append(crf.BEGIN if last is None or span != last else crf.INSIDE)
-                last = span
+            tag.append(crf.OUTSIDE if span is None else crf.INSIDE if span == last else crf.BEGIN)
+            last = span
         first = max(0, next((n for n, t in enumerate(tag) if t), 0) - TRAINING_TOKENS // 2)
         rows.append([shape(t) for _, _, t in tokens[first: first + TRAINING_TOKENS]])
         tags.append(tag[first: first + TRAINING_TOKENS])
@@ -212,7 +182,7 @@ def trained_field(docs: DataFrame) -> crf.Field:
     marked = lines.select("line", likely.alias("likely"), F.xxhash64("line").alias("_h"))
     parts = [marked.filter(F.col("likely") == flag).orderBy("_h", "line").limit(TRAINING_LINES) for flag in (True, False)]
     sample = [r["line"] for r in parts[0].unionByName(parts[1]).collect()]
-    return crf.trained(*training_rows(sorted(sample)), SHAPES, FILES, PLAIN)
+    return crf.trained(*training_rows(sorted(sample)), SHAPES, FILES)
 
 
 def spelled(spans: list[tuple[int, int, str]]) -> str:
@@ -230,8 +200,8 @@ def found_spans(texts: list[str], model: crf.Field, shapes: Shapes) -> list[tupl
 def scanned(batches: Iterator[pa.RecordBatch], model: crf.Field) -> Iterator[pa.RecordBatch]:
     shapes = Shapes()
     for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
+        for start, end in pieces(column(batch, "text"), TEXT_BLOCK):
+            part = batch.slice(start, end - start)
             results = found_spans([t or "" for t in column(part, "text")], model, shapes)
             counts = [[sum(k == kind for _, _, k in base) for base, _ in results] for kind in KINDS[:3]]
             yield pa.RecordBatch.from_arrays([
@@ -268,8 +238,8 @@ def masked_batches(batches: Iterator[pa.RecordBatch], model: crf.Field, mark: st
     shapes = Shapes()
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
+        for start, end in pieces(column(batch, "text"), TEXT_BLOCK):
+            part = batch.slice(start, end - start)
             texts = column(part, "text")
             results = found_spans([t or "" for t in texts], model, shapes)
             new = pa.array([masked(t, spans, mark) for t, (_, spans) in zip(texts, results)], pa.string())

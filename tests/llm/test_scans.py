@@ -163,3 +163,51 @@ def test_tree_scores_the_longest_kept_suffix(monkeypatch):
             want += math.log10(rows[kept[size, int.from_bytes(body[at - size: at], "big")]][body[at]])
         assert score == pytest.approx(want, abs=1e-4)
     assert got[0] > 5 * got[1]
+
+
+def letters(pick, size=20):
+    return "".join(pick.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), size))
+
+
+def field_hits(rows, model):
+    codes = [np.frombuffer(x.encode(), np.uint8) for x in rows]
+    return secrets.field_spans(rows, [x.encode().translate(LOWER) for x in rows], codes, model, secrets.Shapes())
+
+
+def test_field_finds_held_out_secrets_without_digits():
+    pick = np.random.default_rng(3)
+    rows = []
+    for _ in range(200):
+        rows += [f'the secret = "{letters(pick)}" ends 1', 'The size = "large" is 5', "see IBMs and eBays Names (in iOS) at 3"]
+    model = crf.trained(*secrets.training_rows(rows), secrets.SHAPES, secrets.FILES)
+    held = [letters(pick) for _ in range(50)]
+    found = field_hits([f'my passphrase = "{v}" ends' for v in held], model)
+    whole = [any(a <= 17 and b >= 37 for a, b in spans) for spans in found]
+    assert np.mean(whole) > 0.95
+    assert not any(field_hits(['The shape = "round" is 7', "see IBMs and eBays Things (in iOS) at 4"] * 20, model))
+
+
+def test_spans_go_on_across_signs():
+    pick = np.random.default_rng(4)
+    hexes = lambda: "".join(pick.choice(list("0123456789abcdef"), 20))
+    rows = [f"token={hexes()}.{letters(pick)}.{hexes()} x" for _ in range(200)] + [f"the end. Of {n} words" for n in range(200)]
+    model = crf.trained(*secrets.training_rows(rows), secrets.SHAPES, secrets.FILES)
+    text = f"key={hexes()}.{letters(pick)}.{hexes()} x"
+    (spans,) = field_hits([text], model)
+    assert min(a for a, _ in spans) == 4 and max(b for _, b in spans) == len(text) - 2 and sum(b - a for a, b in spans) == len(text) - 6
+
+
+def test_only_what_the_weights_prove_is_skipped():
+    pick = np.random.default_rng(5)
+    for _ in range(20):
+        tables = {n: pick.normal(size=t.shape) for n, t in crf.Field(secrets.SHAPES, secrets.FILES).tables.items()}
+        tables["here"][:, crf.OUTSIDE] += pick.uniform(0, 4)
+        model = crf.Field(secrets.SHAPES, secrets.FILES, tables)
+        texts = ["", "\n\n", *["\n".join(x) for x in np.array(lines(60, 6, "key")).reshape(-1, 8)]]
+        codes = [np.frombuffer(x.encode(), np.uint8) for x in texts]
+        assert secrets.field_spans(texts, [], codes, model, secrets.Shapes()) == secrets.field_spans(texts, [], codes, model, secrets.Shapes(), whole=True)
+        for text, code in zip(texts, codes):
+            rows = [[secrets.shape(t) for t in secrets.TOKEN.findall(x)] for x in text.split("\n")]
+            tags = crf.decoded(model, rows, [secrets.file_kind(code)] * len(rows))
+            begins = sum(int((t == crf.BEGIN).sum()) for t in tags)
+            assert begins == len(secrets.field_spans([text], [], [code], model, secrets.Shapes())[0])
