@@ -11,6 +11,7 @@ All tokens of all texts are scored. Stretches that the trained weights prove to
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
 import re
@@ -144,9 +145,20 @@ def field_spans(texts: list[str], lows: list[bytes], codes: list[np.ndarray], mo
 
 
 def joined(base: list[tuple[int, int, str]], more: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    """Base spans, and those of the field that touch none of them."""
-    free = [(s, e, "crf") for s, e in more if not any(s < be and bs < e for bs, be, _ in base)]
-    return sorted(base + free, key=lambda s: (s[0], KINDS.index(s[2])))
+    """Base spans, and those of the field, whole, that do not lie inside what base spans cover."""
+    runs: list[list[int]] = []
+    for start, end, _ in sorted(base):
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([start, end])
+    firsts = [start for start, _ in runs]
+    new = []
+    for start, end in more:
+        at = bisect.bisect_right(firsts, start) - 1
+        if at < 0 or end > runs[at][1]:
+            new.append((start, end, "crf"))
+    return sorted(base + new, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def training_rows(lines: list[str]) -> tuple[list[list[int]], list[list[int]], list[int]]:

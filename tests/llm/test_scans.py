@@ -211,3 +211,14 @@ def test_only_what_the_weights_prove_is_skipped():
             tags = crf.decoded(model, rows, [secrets.file_kind(code)] * len(rows))
             begins = sum(int((t == crf.BEGIN).sum()) for t in tags)
             assert begins == len(secrets.field_spans([text], [], [code], model, secrets.Shapes())[0])
+
+
+def test_field_spans_wider_than_base_spans_stay_whole():
+    text = "key sk-XyZ0123456789abcdef0QwRt9 end"
+    base = secrets.base_spans(text, text.encode().translate(LOWER), np.frombuffer(text.encode(), np.uint8))
+    assert base == [(10, 27, "hex")]
+    assert secrets.joined(base, [(4, 32)]) == [(4, 32, "crf"), *base]
+    assert secrets.masked(text, secrets.joined(base, [(4, 32)]), "[SECRET]") == "key [SECRET] end"
+    assert secrets.masked(text, secrets.joined(base, [(12, 32)]), "[SECRET]") == "key sk-XyZ[SECRET] end"
+    assert secrets.joined(base, [(10, 27), (12, 20)]) == base
+    assert secrets.joined([(0, 5, "assign"), (5, 9, "hex")], [(2, 8), (8, 10)]) == [(0, 5, "assign"), (5, 9, "hex"), (8, 10, "crf")]
