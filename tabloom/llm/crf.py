@@ -1,7 +1,8 @@
 """A linear-chain conditional random field over three tags, trained by gradient and decoded by Viterbi, in numpy.
 
 A token is seen as the number of its shape. Scores of a tag add up from tables over the shapes of the token, of its
-neighbours and of the pair with the token before, over the kind of file, and over the tag before.
+neighbours and of the pair with the token before, over the kind of file, and over the tag before, and from tables over
+the hashed parts of the names that stand next to it: the two before and the one behind.
 """
 
 from __future__ import annotations
@@ -16,11 +17,22 @@ FORBIDDEN = -1e4
 RATE, STEPS, DECAY = 0.3, 80, 1e-4
 # Before it learns anything the field takes every token to be outside by so much.
 PRIOR = 4.0
+# Hashed parts of names, and the places of the names that a token looks at.
+BUCKETS = 4_096
+NEAR = ("name", "name2", "next")
+
+
+class Row(list):
+    """The shapes of a row's tokens; ``names`` has, per token and place in ``NEAR``, the buckets of the name there."""
+
+    def __init__(self, shapes: list[int], names: list[list[list[int]]]) -> None:
+        super().__init__(shapes)
+        self.names = names
 
 
 @dataclass
 class Field:
-    """Tables by offset of the shape looked at, of pairs of shapes, of files, and of tag after tag."""
+    """Tables by offset of the shape looked at, of pairs of shapes, of files, of near names, and of tag after tag."""
 
     shapes: int
     files: int
@@ -29,7 +41,8 @@ class Field:
     def __post_init__(self) -> None:
         if not self.tables:
             sizes = {"here": (self.shapes,), "before": (self.shapes,), "before2": (self.shapes,), "after": (self.shapes,),
-                     "pair": (self.shapes, self.shapes), "file": (self.files, self.shapes), "tag": (TAGS,)}
+                     "pair": (self.shapes, self.shapes), "file": (self.files, self.shapes), "tag": (TAGS,),
+                     **{name: (BUCKETS,) for name in NEAR}}
             self.tables = {name: np.zeros((*size, TAGS)) for name, size in sizes.items()}
             self.tables["here"][:, OUTSIDE] = PRIOR
 
@@ -42,8 +55,12 @@ class Field:
     def emissions(self, shapes: np.ndarray, files: np.ndarray) -> np.ndarray:
         return sum(self.tables[name][cells] for name, cells in self.views(shapes, files).items())
 
-    def stream_emissions(self, stream: np.ndarray, files: np.ndarray) -> np.ndarray:
-        """Scores of the tokens of many rows in one stream, each row ended by a 0, with ``files`` per token; zeros are outside."""
+    def stream_emissions(self, stream: np.ndarray, files: np.ndarray, spelled: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Scores of the tokens of many rows in one stream, each row ended by a 0; zeros are outside.
+
+        ``files`` is the kind per token, ``near`` the number, by place and token, of the name there, and ``spelled``
+        has the scores by place of every number.
+        """
         ends = np.concatenate(([0, 0], stream, [0]))
         before, here, after = ends[1:-2], ends[2:-1], ends[3:]
         before2 = np.where(before == 0, 0, ends[:-3])
@@ -53,6 +70,8 @@ class Field:
         scores += tables["before2"][before2]
         scores += tables["after"][after]
         scores += tables["file"][files, here]
+        for place in range(len(NEAR)):
+            scores += spelled[place][near[place]]
         scores[here == 0] = (0.0, FORBIDDEN, FORBIDDEN)
         return scores
 
@@ -63,6 +82,20 @@ class Field:
         return scores
 
 
+def near_cells(rows: list[list[int]], width: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each place in ``NEAR`` the flat positions, in rows of ``width`` tokens, and the buckets that score them."""
+    cells = {}
+    for place, name in enumerate(NEAR):
+        pairs = [(n * width + at, bucket) for n, row in enumerate(rows) for at, names in enumerate(getattr(row, "names", ())) for bucket in names[place]]
+        cells[name] = tuple(np.array(pairs, np.int64).reshape(-1, 2).T)
+    return cells
+
+
+def added(values: np.ndarray, where: np.ndarray, size: int) -> np.ndarray:
+    """Rows of values per tag summed by number."""
+    return np.stack([np.bincount(where, values[:, tag], size) for tag in range(TAGS)], axis=-1)
+
+
 def padded(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of shapes with two zeros before and at least one behind, and their lengths."""
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
@@ -99,7 +132,7 @@ def trained(rows: list[list[int]], tags: list[list[int]], files: list[int], shap
     gold, files = gold[:, 2:-1], np.array(files)
     width = gold.shape[1]
     real = np.arange(width)[None, :] < lengths[:, None]
-    cells = model.views(table, files)
+    cells, near = model.views(table, files), near_cells(rows, width)
     target = np.eye(TAGS)[gold] * real[:, :, None]
     follows = real[:, 1:]
     steps = np.zeros((TAGS, TAGS))
@@ -108,6 +141,8 @@ def trained(rows: list[list[int]], tags: list[list[int]], files: list[int], shap
     prior = {name: t.copy() for name, t in model.tables.items()}
     for _ in range(STEPS):
         emit, trans = model.emissions(table, files), model.transitions()
+        for name, (places, buckets) in near.items():
+            emit = emit + added(model.tables[name][buckets], places, emit.shape[0] * width).reshape(emit.shape)
         # A first tag follows an outside one.
         forward = np.empty_like(emit)
         forward[:, 0] = emit[:, 0] + trans[OUTSIDE]
@@ -127,6 +162,8 @@ def trained(rows: list[list[int]], tags: list[list[int]], files: list[int], shap
         gradient = {name: np.zeros_like(t) for name, t in model.tables.items()}
         for name, where in cells.items():
             gradient[name] += gathered(gradient[name].shape[:-1], where, difference)
+        for name, (places, buckets) in near.items():
+            gradient[name] += added(difference.reshape(-1, TAGS)[places], buckets, BUCKETS)
         gradient["tag"] += steps - pairs
         gradient["tag"][OUTSIDE] += difference[:, 0].sum(axis=0)
         for name, slope in gradient.items():
@@ -160,7 +197,10 @@ def decoded(model: Field, rows: list[list[int]], files: list[int]) -> list[np.nd
     emits = []
     for row, file in zip(rows, files):
         table, _ = padded([row])
-        emits.append(model.emissions(table, np.array([file]))[0])
+        emit = model.emissions(table, np.array([file]))[0]
+        for name, (places, buckets) in near_cells([row], len(row)).items():
+            emit = emit + added(model.tables[name][buckets], places, len(row))
+        emits.append(emit)
     return best_tags(model, emits)
 
 

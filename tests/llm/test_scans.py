@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -207,7 +208,7 @@ def test_only_what_the_weights_prove_is_skipped():
         codes = [np.frombuffer(x.encode(), np.uint8) for x in texts]
         assert secrets.field_spans(texts, [], codes, model, secrets.Shapes()) == secrets.field_spans(texts, [], codes, model, secrets.Shapes(), whole=True)
         for text, code in zip(texts, codes):
-            rows = [[secrets.shape(t) for t in secrets.TOKEN.findall(x)] for x in text.split("\n")]
+            rows = [secrets.token_row(secrets.TOKEN.findall(x)) for x in text.split("\n")]
             tags = crf.decoded(model, rows, [secrets.file_kind(code)] * len(rows))
             begins = sum(int((t == crf.BEGIN).sum()) for t in tags)
             assert begins == len(secrets.field_spans([text], [], [code], model, secrets.Shapes())[0])
@@ -222,3 +223,28 @@ def test_field_spans_wider_than_base_spans_stay_whole():
     assert secrets.masked(text, secrets.joined(base, [(12, 32)]), "[SECRET]") == "key sk-XyZ[SECRET] end"
     assert secrets.joined(base, [(10, 27), (12, 20)]) == base
     assert secrets.joined([(0, 5, "assign"), (5, 9, "hex")], [(2, 8), (8, 10)]) == [(0, 5, "assign"), (5, 9, "hex"), (8, 10, "crf")]
+
+
+def test_names_are_taken_apart():
+    for name in ("AWS_SECRET_ACCESS_KEY", "client_secret_value", "my-secret", "clientSecret", "SecretHTTP"):
+        assert set(secrets.name_buckets("secret")) <= set(secrets.name_buckets(name)), name
+    assert not secrets.name_buckets("12-3") and len(secrets.name_buckets("HTTPServer")) == 2
+    named, breaks = np.array([1, 0, 1, 0, 0, 1], bool), np.array([0, 0, 0, 0, 1, 0], bool)
+    assert secrets.near_names(named, breaks).tolist() == [[-1, 0, 0, 2, -1, -1], [-1, -1, -1, 0, -1, -1], [2, 2, -1, -1, -1, -1]]
+
+
+def test_field_sees_compound_names(spark):
+    pick = np.random.default_rng(7)
+    value = lambda: "Zq" + "".join(pick.choice(list("abcdefghijklmnop0123456789"), 9)) + "Q7"
+    rows = [f"the secret = {value()} is set\nthe colour = {value()} is set" for _ in range(300)]
+    model = secrets.trained_field(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    hits = [bool(x) for x in field_hits([f"the AWS_SECRET_VALUE = {value()} is set" for _ in range(50)], model)]
+    others = [bool(x) for x in field_hits([f"the AWS_COLOUR_VALUE = {value()} is set" for _ in range(50)], model)]
+    assert np.mean(hits) > 0.95 and np.mean(others) < 0.05
+
+
+def test_training_lines_have_any_length_and_the_kind_of_their_file(spark):
+    long = "word " * 3_000 + 'token = "0123456789abcdef0123" ' + "word " * 3_000
+    docs = spark.createDataFrame([(1, long), (2, "1 2 3 4 5 6 7 8 9\n" * 3 + "plain words here"), (3, None), (4, "plain words here")], "doc_id long, text string")
+    rows = [json.loads(r["row"]) for r in secrets.arrow_map(docs.select("text").coalesce(1), secrets.sampled, "class int, hash long, row string").collect()]
+    assert sorted((len(shapes), sum(map(bool, tags)), kind) for shapes, _, tags, kind in rows) == [(3, 0, 0), (3, 0, 2), (9, 0, 2), (48, 1, 0)]
