@@ -34,11 +34,15 @@ def keyed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
-    """``win, terms, items``: distinct windows with the items they occur in. Items without words have none."""
+    """``win, terms, items, unnamed``: distinct windows with the items they occur in, and whether one of these has no id.
+
+    Items without words have none.
+    """
     listed = benchmark.select(F.col(item).cast("string").alias("item"), plain_words(F.col(text)).alias("_words")).filter(F.size("_words") > 0)
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("_words") - size, F.lit(0)))).alias("_first")
     cut = listed.select("item", "_words", starts).select("item", F.slice("_words", F.col("_first") + 1, size).alias("terms"))
-    return cut.groupBy("terms").agg(F.collect_set("item").alias("items")).select(F.xxhash64("terms").alias("win"), "terms", "items")
+    named = cut.groupBy("terms").agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull()).alias("unnamed"))
+    return named.select(F.xxhash64("terms").alias("win"), "terms", "items", "unnamed")
 
 
 def small(terms: DataFrame) -> DataFrame:
@@ -77,10 +81,10 @@ def covered(spans: Column) -> Column:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP, text: str = "text") -> DataFrame:
-    """``_k1, _k2, n_hit, items, n_near`` for every text with a phrase or proximity match.
+    """``_k1, _k2, n_hit, items, unnamed, n_near`` for every text with a phrase or proximity match.
 
-    ``items`` are the sorted ids of the items with an exact window, ``n_near`` the number of windows that are
-    only near.
+    ``items`` are the sorted ids of the items with an exact window, ``unnamed`` tells whether an item without an id has
+    one, and ``n_near`` is the number of windows that are only near.
     """
     texts = keyed(docs.select(F.col(text)), text)
     wins = materialize(windows(benchmark, size), "benchmark-windows")
@@ -98,8 +102,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int
     exact = whole.select(*KEY, F.transform(true, lambda c: F.struct(c["start"], c["end"], c["win"])).alias("_true"))
     exact = materialize(exact.filter(F.size("_true") > 0).dropDuplicates(list(KEY)), "exact-windows")
     found = exact.select(*KEY, F.explode(F.array_distinct(F.transform("_true", lambda c: c["win"]))).alias("win"))
-    items = found.join(wins.select("win", F.explode("items").alias("item")), "win").groupBy(*KEY).agg(
-        F.sort_array(F.collect_set("item")).alias("items")
+    items = found.join(wins.select("win", F.explode_outer("items").alias("item"), "unnamed"), "win").groupBy(*KEY).agg(
+        F.sort_array(F.collect_set("item")).alias("items"), F.max("unnamed").alias("unnamed")
     )
     phrases = exact.select(*KEY, covered(F.col("_true")).alias("n_hit")).join(items, list(KEY))
     own = Window.partitionBy(*KEY, "win").orderBy("start", "rank")
@@ -108,7 +112,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int
     near = near.groupBy(*KEY).agg(F.count("*").alias("n_near"))
     return phrases.join(near, list(KEY), "full").select(
         *KEY, F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("unnamed", F.lit(False)).alias("unnamed"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
     )
 
 
@@ -116,7 +120,8 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near`` for every row of ``docs``.
 
     Null and empty texts and items have no words, and nothing matches them; null ids pass through; repeated rows
-    are reported each; an empty table gives no rows, and an empty benchmark leaves every row clean.
+    are reported each; an empty table gives no rows, and an empty benchmark leaves every row clean. Items without an
+    id are matched as others are; together they count as one item, which has no part in the digest.
     """
     found = materialize(matches(docs, benchmark, size, slop), "matches")
     rows = keyed(docs.select("doc_id", "text"), "text").select("doc_id", *KEY, F.size(plain_words(F.col("_text"))).cast("long").alias("n_words"))
@@ -124,7 +129,7 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int
     items = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        "doc_id", "n_words", hit.alias("n_hit"), (F.size(items) + F.coalesce("unnamed", F.lit(False)).cast("int")).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
     )

@@ -130,6 +130,16 @@ def test_contamination(spark):
     assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 4, 7]
 
 
+def test_items_without_an_id_contaminate(spark):
+    docs = spark.createDataFrame(TESTED, "doc_id long, text string")
+    items = spark.createDataFrame([(None, ITEMS[0][1]), (None, "odd epsilon"), (2, "Short Item")], "item_id long, text string")
+    rows = {r["doc_id"]: r for r in decontamination.report(docs, items).collect()}
+    digest = lambda names: hashlib.sha256(names.encode()).hexdigest()
+    assert [(rows[d]["n_hit"], rows[d]["n_items"], rows[d]["items_sha256"], rows[d]["contaminated"]) for d in (1, 7, 5, 2)] == [
+        (12, 2, digest("2"), True), (2, 1, digest(""), True), (4, 1, digest("2"), True), (0, 0, digest(""), False)]
+    assert sorted(r["doc_id"] for r in decontamination.clean(docs, items).collect()) == [2, 3, 4, 6]
+
+
 def test_contamination_of_nothing(spark, hard_docs, empty_docs):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontamination.report(empty_docs, items).count() == 0
