@@ -1,10 +1,11 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 Test items are cut into windows of consecutive words. Over the whole corpus the words of the windows are counted;
-a window with a word that the corpus lacks cannot occur. The postings (text, word, position) of the two rarest
-words of each other window are stored, and intersected after taking off each word's offset in the window.
-Where both lists agree on a start, the whole window is compared with the text, so matches are exact.
-Where the two words only stand near each other, the window counts as a proximity match.
+a window with a word that the corpus lacks cannot occur as it is, but its other words may stand near each other. The
+postings (text, word, position) of the two rarest words of each window that the corpus has are stored, and intersected
+after taking off each word's offset in the window. Where both lists agree on a start, the whole window is compared with
+the text, so matches are exact. Where the two words only stand near each other, the window counts as a proximity match.
+A text that lacks one of these two words, which others have, is not near.
 
 Texts are known by two hashes of the text, so copies have one entry in the index; a collision could only
 add places to compare. Everything is a DataFrame expression.
@@ -51,7 +52,10 @@ def small(terms: DataFrame) -> DataFrame:
 
 
 def rarest(wins: DataFrame, texts: DataFrame) -> DataFrame:
-    """``win, term, offset, rank, needed``: the rarest words of each window that can occur in the corpus."""
+    """``win, term, offset, rank, needed, possible``: the rarest words of each window among those that the corpus has.
+
+    A window is possible if the corpus has all its words; others can only be near.
+    """
     offsets = wins.select("win", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
     vocabulary = materialize(offsets.select("term").distinct(), "benchmark-terms")
     words = texts.select(F.explode(plain_words(F.col("_text"))).alias("term"))
@@ -59,9 +63,9 @@ def rarest(wins: DataFrame, texts: DataFrame) -> DataFrame:
     chosen = offsets.join(counts, "term").groupBy("win").agg(
         F.first("size").alias("size"), F.count("*").alias("_here"),
         F.slice(F.sort_array(F.collect_list(F.struct("found", "offset", "term"))), 1, RARE).alias("_rare"),
-    ).filter(F.col("_here") == F.col("size"))
-    return chosen.select("win", F.size("_rare").alias("needed"), F.posexplode("_rare").alias("rank", "_r")).select(
-        "win", "needed", "rank", F.col("_r.term").alias("term"), F.col("_r.offset").alias("offset")
+    ).withColumn("possible", F.col("_here") == F.col("size")).filter(F.col("possible") | (F.size("_rare") > 1))
+    return chosen.select("win", "possible", F.size("_rare").alias("needed"), F.posexplode("_rare").alias("rank", "_r")).select(
+        "win", "needed", "possible", "rank", F.col("_r.term").alias("term"), F.col("_r.offset").alias("offset")
     )
 
 
@@ -80,19 +84,15 @@ def covered(spans: Column) -> Column:
     return F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), step, lambda acc: acc["n"].cast("long"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP, text: str = "text") -> DataFrame:
-    """``_k1, _k2, n_hit, items, unnamed, n_near`` for every text with a phrase or proximity match.
-
-    ``items`` are the sorted ids of the items with an exact window, ``unnamed`` tells whether an item without an id has
-    one, and ``n_near`` is the number of windows that are only near.
-    """
+def located(docs: DataFrame, benchmark: DataFrame, size: int, slop: int, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows; texts with the places of their exact windows, ``_true``; and ``_k1, _k2, win, start`` of windows only near."""
     texts = keyed(docs.select(F.col(text)), text)
     wins = materialize(windows(benchmark, size), "benchmark-windows")
     rare = materialize(rarest(wins, texts), "rarest-terms")
     index = postings(texts, rare.select("term").distinct())
-    places = index.join(rare, "term").select(*KEY, "win", "needed", "rank", (F.col("pos") - F.col("offset")).alias("start"))
+    places = index.join(rare, "term").select(*KEY, "win", "needed", "possible", "rank", (F.col("pos") - F.col("offset")).alias("start"))
     places = materialize(places.distinct(), "placed-windows")
-    agreed = places.groupBy(*KEY, "win", "start").agg(F.count("*").alias("_n"), F.first("needed").alias("needed"))
+    agreed = places.filter("possible").groupBy(*KEY, "win", "start").agg(F.count("*").alias("_n"), F.first("needed").alias("needed"))
     agreed = agreed.filter((F.col("_n") == F.col("needed")) & (F.col("start") >= 0))
     claims = agreed.join(wins.select("win", "terms"), "win").groupBy(*KEY).agg(
         F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.size("terms")).alias("end"), "win", "terms"))).alias("_claims")
@@ -101,21 +101,46 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int
     true = F.filter("_claims", lambda c: F.slice(F.col("_words"), c["start"] + 1, F.size(c["terms"])) == c["terms"])
     exact = whole.select(*KEY, F.transform(true, lambda c: F.struct(c["start"], c["end"], c["win"])).alias("_true"))
     exact = materialize(exact.filter(F.size("_true") > 0).dropDuplicates(list(KEY)), "exact-windows")
+    own = Window.partitionBy(*KEY, "win").orderBy("start", "rank")
+    near = places.filter("needed > 1").withColumn("_before", F.lag("start").over(own)).withColumn("_other", F.lag("rank").over(own) != F.col("rank"))
+    near = near.filter(F.col("_other") & (F.col("start") - F.col("_before") <= slop)).select(*KEY, "win", F.greatest("_before", F.lit(0)).alias("start"))
+    found = exact.select(*KEY, F.explode(F.array_distinct(F.transform("_true", lambda c: c["win"]))).alias("win"))
+    return wins, exact, near.distinct().join(found, [*KEY, "win"], "left_anti")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP, text: str = "text") -> DataFrame:
+    """``_k1, _k2, n_hit, items, unnamed, n_near`` for every text with a phrase or proximity match.
+
+    ``items`` are the sorted ids of the items with an exact window, ``unnamed`` tells whether an item without an id has
+    one, and ``n_near`` is the number of windows that are only near.
+    """
+    wins, exact, near = located(docs, benchmark, size, slop, text)
     found = exact.select(*KEY, F.explode(F.array_distinct(F.transform("_true", lambda c: c["win"]))).alias("win"))
     items = found.join(wins.select("win", F.explode_outer("items").alias("item"), "unnamed"), "win").groupBy(*KEY).agg(
         F.sort_array(F.collect_set("item")).alias("items"), F.max("unnamed").alias("unnamed")
     )
     phrases = exact.select(*KEY, covered(F.col("_true")).alias("n_hit")).join(items, list(KEY))
-    own = Window.partitionBy(*KEY, "win").orderBy("start", "rank")
-    near = places.filter("needed > 1").withColumn("_far", F.col("start") - F.lag("start").over(own)).withColumn("_other", F.lag("rank").over(own) != F.col("rank"))
-    near = near.filter(F.col("_other") & (F.col("_far") <= slop)).select(*KEY, "win").distinct().join(found, [*KEY, "win"], "left_anti")
-    near = near.groupBy(*KEY).agg(F.count("*").alias("n_near"))
+    near = near.select(*KEY, "win").distinct().groupBy(*KEY).agg(F.count("*").alias("n_near"))
     return phrases.join(near, list(KEY), "full").select(
         *KEY, F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("unnamed", F.lit(False)).alias("unnamed"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
     )
 
 
+def places(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """``doc_id, item, start, kind``: every match of a row of ``docs``, ``exact`` or ``near``, with the word it starts at.
+
+    A match of a window that several items share is a row for each; items without an id have a null item. A near window
+    starts where the earlier of its two rarest words puts it, at 0 at least.
+    """
+    wins, exact, near = located(docs, benchmark, size, slop, "text")
+    both = exact.select(*KEY, F.explode("_true").alias("_c")).select(*KEY, "_c.win", "_c.start", F.lit("exact").alias("kind"))
+    both = both.unionByName(near.withColumn("kind", F.lit("near")))
+    listed = F.explode(F.when(F.col("unnamed"), F.concat("items", F.array(F.lit(None).cast("string")))).otherwise(F.col("items"))).alias("item")
+    rows = both.join(wins.select("win", listed), "win").select(*KEY, "item", "start", "kind").distinct()
+    return keyed(docs.select("doc_id", "text"), "text").select("doc_id", *KEY).join(rows, list(KEY)).select("doc_id", "item", "start", "kind")
+
+
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near`` for every row of ``docs``.
 

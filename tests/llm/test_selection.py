@@ -140,6 +140,19 @@ def test_items_without_an_id_contaminate(spark):
     assert sorted(r["doc_id"] for r in decontamination.clean(docs, items).collect()) == [2, 3, 4, 6]
 
 
+def test_a_changed_name_leaves_a_passage_near(spark):
+    passage = "the river ran past Zanzibar mill before noon and turned south"
+    docs = spark.createDataFrame([(1, "so " + passage.replace("Zanzibar", "Timbuktu")), (2, "mill " + "so " * 30 + "noon"), (3, passage[4:])], "doc_id long, text string")
+    other = passage.replace("Zanzibar", "Qumran")
+    near = {r["doc_id"]: (r["n_hit"], r["n_near"] > 0) for r in decontamination.report(docs, spark.createDataFrame([(1, other)], "item_id long, text string")).collect()}
+    assert near == {1: (0, True), 2: (0, False), 3: (0, True)}
+    items = spark.createDataFrame([(1, other), (None, passage)], "item_id long, text string")
+    rows = {tuple(r) for r in decontamination.places(docs, items).collect()}
+    assert {r for r in rows if r[3] == "exact"} == {(3, None, 0, "exact")}
+    assert {(r[0], r[1]) for r in rows if r[3] == "near"} >= {(1, "1"), (3, "1")} and not any(r[0] == 2 for r in rows)
+    assert (1, "1", 1, "near") in rows
+
+
 def test_contamination_of_nothing(spark, hard_docs, empty_docs):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontamination.report(empty_docs, items).count() == 0
