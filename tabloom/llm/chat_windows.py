@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import arrow_map, column, same
+from tabloom.llm.common import arrow_map, column, pieces, same
+from tabloom.llm.token_counts import TEXT_BLOCK, transducer
 from tabloom.session import materialize
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -56,16 +57,39 @@ def unescaped_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescaped(role))
 
 
+def counted_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    machine = transducer(path)
+    for batch in batches:
+        messages = column(batch, "_message")
+        counts = [n for start, end in pieces(messages, TEXT_BLOCK) for n in machine.counts(messages[start:end])]
+        kept = batch.select([c for c in batch.schema.names if c != "_message"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(counts, pa.int64())], [*kept.schema.names, "tokens"])
+
+
+def counted(turns: DataFrame, path: str) -> DataFrame:
+    """``conv_id, turn, role, text, tokens``: the tokens of every turn as it stands in a window, by the tokenizer of ``path``.
+
+    Role and text are counted together, as escaped; the two markers and the line break after them are a token each.
+    """
+    narrow = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    body = F.concat(escaped_role(F.coalesce("role", F.lit(""))), F.lit("\n"), escaped(F.coalesce("text", F.lit(""))))
+    schema = ", ".join(f"{name} {kind}" for name, kind in narrow.dtypes) + ", tokens long"
+    rows = arrow_map(narrow.withColumn("_message", body), lambda b: counted_batches(b, path), schema)
+    return rows.withColumn("tokens", F.col("tokens") + 3)
+
+
 def placed_turns(turns: DataFrame, budget: Budget, tokens: Column | None = None) -> DataFrame:
     """Turns with their place: ``conv_id, turn, role, text, at, start, end, system_tokens, is_system``.
 
-    ``start`` and ``end`` are prefix sums of the tokens of a conversation's turns, the system turn aside.
+    ``start`` and ``end`` are prefix sums of the tokens of a conversation's turns, the system turn aside. ``tokens`` are
+    those of a turn, of columns of ``turns``; without them a token is taken to be ``CHARS_PER_TOKEN`` characters.
     """
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
-    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    given = F.lit(None) if tokens is None else F.coalesce(tokens, F.lit(0))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), given.cast("long").alias("cost"))
     message = F.length(F.lit(OPEN + "\n" + CLOSE)) + F.length("role") + F.length(escaped(F.col("text")))
-    cost = F.ceil(message / CHARS_PER_TOKEN) if tokens is None else tokens
-    rows = rows.withColumn("cost", cost.cast("long")).withColumn("chunk", F.floor(F.col("turn") / CHUNK_TURNS))
+    cost = F.coalesce("cost", F.ceil(message / CHARS_PER_TOKEN).cast("long"))
+    rows = rows.withColumn("cost", cost).withColumn("chunk", F.floor(F.col("turn") / CHUNK_TURNS))
     order = [F.col("turn").asc_nulls_first(), "role", "text"]
     own = Window.partitionBy("conv_id", "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_in", F.sum("cost").over(own)).withColumn("_n", F.count("*").over(own))

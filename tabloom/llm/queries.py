@@ -42,7 +42,8 @@ def op1_chat_windows(spark, folder):
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"),
     )
     turns = table(spark, folder, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
-    return chat_windows.digests(chat_windows.windows(turns.unionByName(own)))
+    turns = chat_windows.counted(turns.unionByName(own), public_tokenizers.path("piece_bpe_32k.model"))
+    return chat_windows.digests(chat_windows.windows(turns, tokens=F.col("tokens")))
 
 
 @query
