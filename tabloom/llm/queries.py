@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, chat_windows, decontamination, licenses, lm_scoring, near_duplicates, quality_rules, secrets, sharding, token_counts
+from tabloom.llm import bpe, chat_windows, decontamination, licenses, lm_scoring, near_duplicates, page_text, quality_rules, secrets, sharding, spelling_variants, token_counts
 from tabloom.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,13 @@ def op9_suffix_tree(spark, folder):
 @query
 def op8_secrets(spark, folder):
     return secrets.scan(table(spark, folder, "documents"))
+
+
+@query
+def op12_page_text(spark, folder):
+    return page_text.extract(table(spark, folder, "pages"))
+
+
+@query
+def op13_spelling_variants(spark, folder):
+    return spelling_variants.variants(table(spark, folder, "documents"))
