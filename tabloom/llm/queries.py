@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import bpe, chat_windows, decontamination, licenses, lm_scoring, near_duplicates, page_text, quality_rules, secrets, sharding, spelling_variants, token_counts
+from tabloom.llm import bpe, chat_windows, decontamination, licenses, lm_scoring, near_duplicates, page_text, quality_rules, secrets, sharding, spelling_variants, token_counts, whitening
 from tabloom.llm.oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,8 @@ def op12_page_text(spark, folder):
 @query
 def op13_spelling_variants(spark, folder):
     return spelling_variants.variants(table(spark, folder, "documents"))
+
+
+@query
+def op11_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
