@@ -328,6 +328,16 @@ SELECT "Problem", CASE WHEN conv_id % 5 = 0 THEN NULL ELSE "Solution" END AS "So
   CAST(CASE WHEN conv_id % 5 = 0 THEN 0 ELSE 1 END AS BIGINT) AS complete
 FROM ({PAIRS})
 """
+ORACLES["csv_problems_split"] = f"""
+SELECT conv_id, turn, '"Quoted", she said,' || chr(10) || chr(10) || '"' || "Problem" || '"' || chr(10) AS "Problem", "Solution"
+FROM ({PAIRS})
+"""
+ORACLES["json_array_split"] = "SELECT doc_id AS example_id, text FROM documents"
+ORACLES["experiment_log_split"] = f"""
+SELECT evaluation_type, count(*) AS responses, count(*) AS total_comparisons, count(raw) AS answered,
+  CAST(sum(length(raw)) AS BIGINT) AS characters, max(raw) AS last
+FROM ({RESPONSES}) GROUP BY evaluation_type
+"""
 ORACLES["pair_outputs"] = f"""
 SELECT conv_id, turn, "Problem" AS problem, {_TUNED} AS generated_solution, {_BASE} AS base_solution FROM ({PAIRS})
 """

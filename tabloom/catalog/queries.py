@@ -382,6 +382,39 @@ def csv_problems(spark, folder):
     return experiment.bag_union(flagged).withColumn("complete", F.col("complete").cast("long"))
 
 
+@query
+def csv_problems_split(spark, folder):
+    """Texts with line breaks and doubled quotes in one CSV file, read in as many tasks as it has splits."""
+    quoted = F.concat(F.lit('"Quoted", she said,\n\n"'), "Problem", F.lit('"\n')).alias("Problem")
+    path, columns = work_path(spark, "problems-csv"), (*TURN_KEY, *problems.COLUMNS)
+    problems.write_problems(fixtures.pairs(spark, folder).select(*TURN_KEY, quoted, "Solution").repartition(1), path, columns)
+    return problems.read_problems_split(spark, path, columns).select(
+        *[F.col(c).cast("long").alias(c) for c in TURN_KEY], *problems.COLUMNS
+    )
+
+
+@query
+def json_array_split(spark, folder):
+    """All texts in one JSON array file, read in as many tasks as it has splits."""
+    rows, path = fixtures.texts(spark, folder), work_path(spark, "array")
+    results.write_json_array(rows.repartition(1), path)
+    return results.read_json_array(spark, path, rows.schema).select(*TEXT_KEY, "text")
+
+
+@query
+def experiment_log_split(spark, folder):
+    """Log documents that list all experiments of a folder, read in as many tasks as they have splits."""
+    path = work_path(spark, "log")
+    entries = experiment_log.entries(fixtures.responses(spark, folder), TEXT_KEY, LOG_TIME, "results", "run")
+    results.write_json_array(entries, path, '{"experiments": [', "]}")
+    read = experiment_log.read_log_arrays(spark, path)
+    scored = read.select("metadata", F.explode("comparisons").alias("raw"))
+    return scored.groupBy(F.col("metadata.evaluation_type").alias("evaluation_type")).agg(
+        F.count("*").alias("responses"), F.max("metadata.total_comparisons").alias("total_comparisons"),
+        F.count("raw").alias("answered"), F.sum(F.length("raw")).alias("characters"), F.max("raw").alias("last"),
+    )
+
+
 @query
 def pair_outputs(spark, folder):
     rows = fixtures.pairs(spark, folder)

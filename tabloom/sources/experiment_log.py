@@ -21,6 +21,7 @@ from tabloom.functions.text import whole
 from tabloom.operators.ordering import key_position
 from tabloom.operators.selection import split_by
 from tabloom.schemas import EXPERIMENT, LOG_DOCUMENT
+from tabloom.sources import results
 
 EXPERIMENTS = T.StructType(
     [
@@ -149,3 +150,11 @@ def read_log_documents(spark: SparkSession, path: str, multi_line: bool = True)
     documents = read.withColumn("_log", F.from_json("document", LOG_DOCUMENT, options))
     sound, broken = split_by(documents, F.col("_log").isNotNull() & F.col("_log")["_corrupt"].isNull())
     return upgraded(sound), broken.select("file", "document")
+
+
+def read_log_arrays(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """``file, position`` and the experiments of log documents that list them, each file in as many tasks as it has splits.
+
+    A document in the old layout is one experiment and lists none: it is read by :func:`read_log_documents`.
+    """
+    return results.read_json_array(spark, path, EXPERIMENT, level=2)

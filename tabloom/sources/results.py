@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.schemas import BASE_OUTPUT_FILE, GENERATION_FILE
+from tabloom.session import ship
+from tabloom.sources import splits
 
 
 def result_columns(df: DataFrame, problem: str = "Problem", solution: str = "Solution") -> list:
@@ -29,7 +32,8 @@ def write_results(df: DataFrame, path: str, form: str = "parquet") -> None:
 def read_results(spark: SparkSession, path: str, multi_line: bool = True, key: T.StructType | None = None) -> DataFrame:
     """Generation records of JSON array files, or of JSON lines when ``multi_line`` is off.
 
-    The generated text is found under either name it is written with. Lines split over tasks; array files do not.
+    The generated text is found under either name it is written with. Lines split over tasks; array files do with
+    :func:`read_json_array`.
     With ``key``, the fields that tell examples apart, these and the engine, from the folder's name, come along.
     """
     own = [] if key is None else [*key.fields, T.StructField("engine", T.StringType())]
@@ -38,6 +42,36 @@ def read_results(spark: SparkSession, path: str, multi_line: bool = True, key: T
     return read.select(*[f.name for f in own], "problem", "original_solution", generated)
 
 
+def read_json_array(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, level: int = 1) -> DataFrame:
+    """``file, position`` and the fields of the objects of JSON array files, each file in as many tasks as it has splits.
+
+    ``position`` is the place in the list. With ``level`` 2 the objects are those of a list inside an object, as in a log document.
+    An object that does not parse has null fields.
+    """
+    rows = splits.records(spark, path, splits.json_elements(level))
+    return rows.select("file", "position", F.from_json("text", schema).alias("_object")).select("file", "position", "_object.*")
+
+
+def write_json_array(df: DataFrame, path: str, head: str = "[", tail: str = "]") -> None:
+    """The rows as JSON arrays, one file per task, an object a line; tasks without rows leave no array."""
+    ship(df.sparkSession)
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, first = None, True
+        for batch in batches:
+            lines = []
+            for value in batch.column(0).to_pylist():
+                if waiting is not None:
+                    lines.append((head if first else "") + waiting + ",")
+                    first = False
+                waiting = value
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        if waiting is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([(head if first else "") + waiting + tail], pa.string())], names=["value"])
+
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
+
+
 def read_base_outputs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     return spark.read.schema(BASE_OUTPUT_FILE).json(path, multiLine=multi_line)
 

@@ -56,7 +56,7 @@ def main(folder: str, names: list[str]) -> int:
     import __spark_entry__ as entry
     from tabloom.session import session
 
-    spark = session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(folder)
     oracles, bad = entry.oracle_sql(), 0
