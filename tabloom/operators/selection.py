@@ -7,10 +7,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tabloom.functions import fixed
 from tabloom.functions.tokens import split_tokens
-from tabloom.operators.ordering import key_position
 
+# Keys that a selection may sort at its end, the keys it samples per pass, and the ranges it counts.
+SORTED_ROWS = 100_000
+SAMPLED = 4_096
+SPLITTERS = 64
 _SPLIT = re.compile(r"^(\w+)(?:\[:(\d+)\])?$")
 
 
@@ -22,19 +27,73 @@ def parse_split(split: str) -> tuple[str, int | None]:
     return found[1], None if found[2] is None else int(found[2])
 
 
+def _up_to(values: Sequence, schema: T.StructType, at: int = 0) -> Column:
+    """Keys at or before the given one, column by column; nulls come first."""
+    field, value, last = F.col(schema.fieldNames()[at]), values[at], at + 1 == len(values)
+    if value is None:
+        return field.isNull() if last else field.isNull() & _up_to(values, schema, at + 1)
+    end = F.lit(value).cast(schema.fields[at].dataType)
+    if last:
+        return field.isNull() | (field <= end)
+    return field.isNull() | (field < end) | ((field == end) & _up_to(values, schema, at + 1))
+
+
+def _from_start(values: Sequence, schema: T.StructType) -> Column:
+    """:func:`_up_to`, with a bound of the leading column on its own that reaches the scan."""
+    return _up_to(values, schema) & _up_to(values[:1], schema)
+
+
+def _range_of(splitters: Sequence[tuple], schema: T.StructType, first: int = 0) -> Column:
+    """How many splitters lie before a key, by halving."""
+    if not splitters:
+        return F.lit(first)
+    middle = len(splitters) // 2
+    return F.when(_up_to(splitters[middle], schema), _range_of(splitters[:middle], schema, first)).otherwise(
+        _range_of(splitters[middle + 1:], schema, first + middle + 1)
+    )
+
+
+def nth_key(keys: DataFrame, n: int) -> tuple | None:
+    """The ``n``-th row of ``keys`` in their order, counting from 1; None if there are fewer.
+
+    By selection: a sample of the range that holds it gives splitters, one pass counts exactly how many keys lie between any two,
+    and one of these ranges is what is left, until it is small enough to sort. Keys are neither stored nor shuffled before that;
+    what comes to the driver is the sample, of about ``SAMPLED`` keys, ``SPLITTERS`` counts per pass, and one key.
+    """
+    schema, names = keys.schema, keys.columns
+    place, held = n, keys.count()
+    if n < 1 or place > held:
+        return None
+    while held > SORTED_ROWS:
+        sample = keys.sample(min(1.0, SAMPLED / held), seed=fixed.SEED).orderBy(*names).collect()
+        splitters = list(dict.fromkeys(tuple(row) for row in sample[:: max(1, len(sample) // SPLITTERS)]))
+        counted = keys.groupBy(_range_of(splitters, schema).alias("range")).count().orderBy("range").collect()
+        before = 0
+        for row in counted:
+            if before + row["count"] >= place:
+                break
+            before += row["count"]
+        if row["count"] == held:
+            break
+        if row["range"]:
+            keys = keys.filter(~_up_to(splitters[row["range"] - 1], schema))
+        if row["range"] < len(splitters):
+            keys = keys.filter(_from_start(splitters[row["range"]], schema))
+        place, held = place - before, row["count"]
+    return tuple(keys.orderBy(*names).offset(place - 1).limit(1).first())
+
+
 def head(df: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
-    """The first ``n`` rows in key order, as a filter.
+    """The first ``n`` rows in key order, as a filter; nulls come first.
 
-    Only keys travel: they are numbered in stored range partitions, and the key of the n-th row, or the last
-    one, comes out as one row. The wide rows are kept or dropped where they are. Keys must be unique.
+    The key of the ``n``-th row is found by :func:`nth_key`; the wide rows are kept or dropped where they are. Keys must be unique:
+    rows that share the last key all stay.
     """
-    numbered = key_position(df.select(*key), key, out="_position").filter(F.col("_position") < n)
-    last = numbered.agg(F.max(F.struct(*key)).alias("last")).first()["last"]
-    if last is None:
+    if n < 1:
         return df.filter(F.lit(False))
-    values = [F.lit(last[k]).cast(df.schema[k].dataType) for k in key]
-    leading = F.col(key[0]) <= values[0]
-    return df.filter(leading) if len(key) == 1 else df.filter(leading & (F.struct(*key) <= F.struct(*[v.alias(k) for v, k in zip(values, key)])))
+    keys = df.select(*key)
+    last = nth_key(keys, n)
+    return df if last is None else df.filter(_from_start(last, keys.schema))
 
 
 def split_by(df: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:

@@ -97,6 +97,26 @@ def test_head(spark, n):
     assert sorted((r["a"], r["b"]) for r in selection.head(rows, n, ["a", "b"]).collect()) == expected
 
 
+@pytest.mark.parametrize("n", [1, 2_999, 3_000, 3_001, 5_500, 8_999, 9_000])
+def test_head_by_selection(spark, monkeypatch, n):
+    """A third of the keys share their leading column, some of them have none, and ranges are cut several times."""
+    monkeypatch.setattr(selection, "SORTED_ROWS", 50)
+    monkeypatch.setattr(selection, "SAMPLED", 200)
+    monkeypatch.setattr(selection, "SPLITTERS", 8)
+    data = [(5 if i % 3 == 0 else None if i % 50 == 1 else i % 40, f"é{i * 7919 % 9000:05}", i) for i in range(9_000)]
+    rows = spark.createDataFrame(data, "a int, b string, wide int").repartition(5)
+    expected = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    assert selection.nth_key(rows.select("a", "b"), n) == expected[n - 1][:2]
+    assert sorted(r["wide"] for r in selection.head(rows, n, ["a", "b"]).collect()) == sorted(r[2] for r in expected[:n])
+
+
+def test_head_of_equal_keys_ends(spark, monkeypatch):
+    monkeypatch.setattr(selection, "SORTED_ROWS", 10)
+    rows = spark.range(500).selectExpr("1 AS a", "id")
+    assert selection.nth_key(rows.select("a"), 20) == (1,) and selection.nth_key(rows.select("a"), 501) is None
+    assert selection.nth_key(rows.limit(0).select("a"), 1) is None
+
+
 def test_split_names():
     assert selection.parse_split("train[:10000]") == ("train", 10000)
     assert selection.parse_split("test") == ("test", None)
