@@ -6,11 +6,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_step: ContextVar[str] = ContextVar("step", default="")
 
 
 def session(app: str = "tabloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,14 +53,36 @@ def _application_folder(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, in a folder of this application."""
-    return f"{_application_folder(spark)}/{uuid.uuid4().hex}/{label}"
+    """A fresh path below the shared folder, in a folder of this application and of the step at work, if any."""
+    return "/".join(filter(None, (_application_folder(spark), _step.get(), uuid.uuid4().hex, label)))
+
+
+@contextmanager
+def work_step(name: str) -> Iterator[None]:
+    """What is stored in between meanwhile can be dropped on its own by :func:`drop_step`."""
+    token = _step.set(f"step-{name}")
+    try:
+        yield
+    finally:
+        _step.reset(token)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_step(spark: SparkSession, name: str, unless_read_by: DataFrame | None = None) -> None:
+    """Delete what a step stored in between, unless the given frame still reads from there."""
+    folder = f"{_application_folder(spark)}/step-{name}"
+    if unless_read_by is not None and any(f"/step-{name}/" in f for f in unless_read_by.inputFiles()):
+        return
+    _delete(spark, folder)
 
 
 def drop_work(spark: SparkSession) -> None:
     """Delete what this application stored in between; frames read from it are gone with it."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, _application_folder(spark))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
