@@ -10,6 +10,8 @@ from tabloom.operators.pairing import chunked_left_join
 from tabloom.operators.vocabulary import build_vocabulary
 from tabloom.session import materialize
 
+# Rank file of a published vocabulary on this box; a parameter everywhere else.
+SUBWORD_FILE = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 TURN_KEY = ("conv_id", "turn")
 TEXT_KEY = ("example_id",)
 # Turns of a conversation rendered or numbered in one task; segments of a longer one are put together again.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tabloom.catalog.subword_sql import subword_ids
+
 ORACLES: dict[str, str] = {}
 # Fixed values, spelled here too so that the product's own texts are checked.
 TRAINING_SYSTEM = "Solve mathematical problems with logically complete and formally justified solutions:"
@@ -314,6 +316,30 @@ SELECT example_id, micro_batch, micro_batch // 4 AS step,
 FROM sized
 """
 
+ORACLES["decode_exact"] = "SELECT doc_id AS example_id, text FROM documents"
+ORACLES["subword_decode"] = "SELECT doc_id AS example_id, text FROM documents"
+_DOC_SUBWORDS = subword_ids("SELECT doc_id AS example_id, text FROM documents", "example_id")
+ORACLES["subword_encode"] = _DOC_SUBWORDS + """
+SELECT example_id, CAST(len(ids) AS BIGINT) AS length, array_to_string(ids, ' ') AS input_ids FROM subword_rows
+"""
+ORACLES["subword_vocab"] = _DOC_SUBWORDS + """
+SELECT id, token, n FROM (SELECT id, count(*) AS n FROM (SELECT unnest(ids) AS id FROM subword_rows) GROUP BY id) JOIN ranks USING (id)
+"""
+ORACLES["subword_training_rows"] = subword_ids(_MATH, "conv_id, turn") + f"""
+SELECT conv_id, turn, text, array_to_string(list_concat(ids[:512], {fill('50256', '512 - len(ids)')}), ' ') AS input_ids,
+  array_to_string(list_concat({fill('1', 'least(len(ids), 512)')}, {fill('0', '512 - len(ids)')}), ' ') AS attention_mask
+FROM subword_rows
+"""
+ORACLES["subword_batches"] = subword_ids(_ALPACA, "conv_id, turn") + """,
+placed AS (
+  SELECT ids[:512] AS ids, (row_number() OVER (ORDER BY md5('108:0:' || conv_id || ':' || turn), conv_id, turn) - 1) // 2 AS micro_batch
+  FROM subword_rows
+)
+SELECT CAST(0 AS BIGINT) AS epoch, micro_batch, count(*) AS row_count, CAST(ceil(max(len(ids)) / 8) * 8 AS BIGINT) AS width,
+  CAST(sum(len(ids)) AS BIGINT) AS kept, CAST(sum(list_sum(ids)) AS BIGINT) AS label_sum
+FROM placed GROUP BY micro_batch
+"""
+
 _TUNED, _BASE = words('"Problem"', 32), words('"Problem"', 16)
 ORACLES["generate_stub"] = f"""
 SELECT conv_id, turn, "Problem" AS problem, "Solution" AS original_solution, {_TUNED} AS generated_solution,

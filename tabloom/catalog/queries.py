@@ -16,8 +16,9 @@ from tabloom.config import EvaluationSettings, TrainingSettings, resolved, unkno
 from tabloom.functions import chat, fixed, prompts, tokens
 from tabloom.functions import text as texts
 from tabloom.functions.tokens import SpecialIds
-from tabloom.operators import batching, calls, mapping, pairing, selection, summaries, vocabulary
+from tabloom.operators import batching, calls, mapping, pairing, selection, subwords, summaries, vocabulary
 from tabloom.operators.plugins import EchoingWords, LeadingWords, NeverAnswers, WordCountJudge
+from tabloom.operators.subwords import Subwords
 from tabloom.plans import evaluation, experiment, training
 from tabloom.session import materialize, work_path
 from tabloom.sources import experiment_log, problems, results, tables
@@ -253,6 +254,57 @@ def decoded_clean(spark, folder):
     return vocabulary.decode(framed, known, TEXT_KEY)
 
 
+@query
+def decode_exact(spark, folder):
+    """Tokens that hold the blanks before them give back every text as it was."""
+    rows = fixtures.texts(spark, folder)
+    known = materialize(vocabulary.build_vocabulary(rows, spaced=True), "vocabulary")
+    return vocabulary.decode(vocabulary.encode(rows, known, TEXT_KEY, spaced=True), known, TEXT_KEY, spaced=True)
+
+
+# Subwords of a published model; the first free id ends a text.
+SUBWORDS = Subwords(fixtures.SUBWORD_FILE, SpecialIds(unknown=50256, begin=50256, end=50256))
+
+
+@query
+def subword_encode(spark, folder):
+    rows = subwords.encode(fixtures.texts(spark, folder), SUBWORDS, TEXT_KEY)
+    return rows.select(*TEXT_KEY, F.col("length").cast("long").alias("length"), joined("input_ids").alias("input_ids"))
+
+
+@query
+def subword_decode(spark, folder):
+    """Ids of a published vocabulary give back every text as it was."""
+    return subwords.decode(subwords.encode(fixtures.texts(spark, folder), SUBWORDS, TEXT_KEY), SUBWORDS, TEXT_KEY)
+
+
+@query
+def subword_vocab(spark, folder):
+    rows = subwords.count_subwords(fixtures.texts(spark, folder), SUBWORDS)
+    return rows.select(F.col("id").cast("long").alias("id"), F.hex("token").alias("token"), "n")
+
+
+@query
+def subword_training_rows(spark, folder):
+    """From source rows to fixed-length rows under a published vocabulary."""
+    ready = training.prepare(fixtures.pairs(spark, folder), SUBWORDS, "math", TURN_KEY)
+    return ready.select(
+        *TURN_KEY, "text", joined("input_ids").alias("input_ids"), joined("attention_mask").alias("attention_mask")
+    )
+
+
+@query
+def subword_batches(spark, folder):
+    """Collated training batches under a published vocabulary, as figures per batch."""
+    rows = training.training_texts(fixtures.instructions(spark, folder), "alpaca")
+    batches = training.training_batches(rows, SUBWORDS, TURN_KEY, TrainingSettings(max_steps=None))
+    return batches.groupBy("epoch", "micro_batch").agg(
+        F.count("*").alias("row_count"), F.max("width").cast("long").alias("width"),
+        F.sum(F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m)).alias("kept"),
+        F.sum(F.aggregate("labels", F.lit(0).cast("long"), lambda a, i: a + F.when(i >= 0, i).otherwise(0))).alias("label_sum"),
+    ).select(F.col("epoch").cast("long").alias("epoch"), F.col("micro_batch").cast("long").alias("micro_batch"), "row_count", "width", "kept", "label_sum")
+
+
 @query
 def generated_capped(spark, folder):
     """The first new tokens of an answer, the cap that generation sets."""

@@ -39,11 +39,16 @@ class SpecialIds:
         return 1 + max(i for i in reserved if i is not None)
 
 
-def split_tokens(text: Column, markers: Sequence[tuple[str, int]] = ()) -> Column:
-    """Words and single other characters; the texts of ``markers`` stay whole, longer ones first."""
+def split_tokens(text: Column, markers: Sequence[tuple[str, int]] = (), spaced: bool = False) -> Column:
+    """Words and single other characters; the texts of ``markers`` stay whole, longer ones first.
+
+    ``spaced`` tokens take the blanks before them along, and blanks at the end are a token, so that they join to the text.
+    """
     names = sorted((name for name, _ in markers), key=len, reverse=True)
     whole = [re.sub(r"([^\w\s])", r"\\\1", name) for name in names]
-    return F.regexp_extract_all(text, F.lit("|".join([*whole, TOKEN_PATTERN])), F.lit(0))
+    ahead = f"(?!{'|'.join(whole)})" if whole else ""
+    pattern = rf"\s*+{ahead}(?:{TOKEN_PATTERN})|\s++" if spaced else TOKEN_PATTERN
+    return F.regexp_extract_all(text, F.lit("|".join([*whole, pattern])), F.lit(0))
 
 
 def first_tokens(text: Column, limit: int) -> Column:

@@ -1,7 +1,7 @@
 """Word-level vocabulary: counting, encoding and decoding.
 
-It stands in where no pretrained tokenizer is at hand; a real one plugs in through
-:func:`encode_with`.
+It stands in where no pretrained tokenizer is at hand; rank files of one are read by
+:mod:`tabloom.operators.subwords`, and any other plugs in through :func:`encode_with`.
 """
 
 from __future__ import annotations
@@ -24,22 +24,23 @@ UNKNOWN_TOKEN = "<unk>"
 FREQUENT_ENTRIES = 50_000
 
 
-def token_counts(texts: DataFrame, text: str = "text", special: SpecialIds = SpecialIds()) -> DataFrame:
+def token_counts(texts: DataFrame, text: str = "text", special: SpecialIds = SpecialIds(), spaced: bool = False) -> DataFrame:
     """How often each token occurs, markers aside; partial counts are formed before the shuffle."""
-    exploded = texts.select(F.explode(tokens.split_tokens(F.col(text), special.markers)).alias("token"))
+    exploded = texts.select(F.explode(tokens.split_tokens(F.col(text), special.markers, spaced)).alias("token"))
     if special.markers:
         exploded = exploded.filter(~F.col("token").isin([name for name, _ in special.markers]))
     return exploded.groupBy("token").agg(F.count("*").alias("n"))
 
 
 def build_vocabulary(
-    texts: DataFrame, text: str = "text", size: int | None = None, special: SpecialIds = SpecialIds()
+    texts: DataFrame, text: str = "text", size: int | None = None, special: SpecialIds = SpecialIds(), spaced: bool = False
 ) -> DataFrame:
     """``token, n, id``: all tokens, or the ``size`` most frequent ones if asked for; ties by token.
 
-    Tokens are numbered bucket by bucket, whatever their number.
+    Tokens are numbered bucket by bucket, whatever their number. ``spaced`` tokens hold the blanks before them, for ids that give
+    back the exact text: encode and decode with it as well.
     """
-    counted = token_counts(texts, text, special)
+    counted = token_counts(texts, text, special, spaced)
     ranked = key_position(counted.withColumn("_rare", -F.col("n")), ["_rare", "token"], out="_rank").drop("_rare")
     if size is not None:
         ranked = ranked.filter(F.col("_rank") < size)
@@ -85,7 +86,7 @@ def _look_up(exploded: DataFrame, vocabulary: DataFrame, on: str, broadcast: boo
 def encode(
     texts: DataFrame, vocabulary: DataFrame, key: Sequence[str], text: str = "text",
     max_length: int | None = None, add_special: bool = False, special: SpecialIds = SpecialIds(),
-    broadcast: bool | None = None,
+    broadcast: bool | None = None, spaced: bool = False,
 ) -> DataFrame:
     """``key, input_ids, length`` of every text, unknown tokens included, cut to ``max_length`` if given.
 
@@ -97,11 +98,12 @@ def encode(
     if broadcast is None:
         broadcast = fits_broadcast(vocabulary)
     vocabulary = _with_markers(vocabulary, special)
-    words = tokens.split_tokens(F.coalesce(F.col(text), F.lit("")), special.markers)
+    words = tokens.split_tokens(F.coalesce(F.col(text), F.lit("")), special.markers, spaced)
     if max_length is not None:
         words = tokens.truncated(words, max_length - (2 if add_special else 0))
-    compact = texts.select(*key, F.array_join(words, " ").alias("_words")).repartition(*key)
-    listed = F.when(F.col("_words") != "", F.split("_words", " "))
+    # Tokens without blanks travel as one text; those with blanks cannot be told apart in one.
+    compact = texts.select(*key, (words if spaced else F.array_join(words, " ")).alias("_words")).repartition(*key)
+    listed = F.col("_words") if spaced else F.when(F.col("_words") != "", F.split("_words", " "))
     exploded = compact.select(*key, F.posexplode_outer(listed).alias("_pos", "_token"))
     # Position above, id below: one long per token sorts without comparing structs.
     packed = F.shiftleft(F.col("_pos").cast("long"), 32) + F.coalesce("_id", F.lit(special.unknown))
@@ -117,9 +119,9 @@ def encode(
 
 def decode(
     encoded: DataFrame, vocabulary: DataFrame, key: Sequence[str], ids: str = "input_ids", out: str = "text",
-    special: SpecialIds = SpecialIds(), skip_special: bool = True, broadcast: bool | None = None,
+    special: SpecialIds = SpecialIds(), skip_special: bool = True, broadcast: bool | None = None, spaced: bool = False,
 ) -> DataFrame:
-    """``key, text``: tokens joined by single blanks; the original spacing is not recorded in the ids."""
+    """``key, text``: tokens joined by single blanks, or as they are if ``spaced``, which gives the text that was encoded."""
     if broadcast is None:
         broadcast = fits_broadcast(vocabulary)
     vocabulary = _with_markers(vocabulary, special)
@@ -134,7 +136,7 @@ def decode(
     token = F.coalesce("_token", F.lit(UNKNOWN_TOKEN))
     pair = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), token.alias("token")))
     gathered = named.groupBy(*key).agg(F.sort_array(F.collect_list(pair)).alias("_pairs"))
-    return gathered.select(*key, F.array_join(F.transform("_pairs", lambda p: p["token"]), " ").alias(out))
+    return gathered.select(*key, F.array_join(F.transform("_pairs", lambda p: p["token"]), "" if spaced else " ").alias(out))
 
 
 class Tokenizer(Protocol):

@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 from tabloom.config import TrainingSettings
 from tabloom.functions import chat, fixed, prompts, tokens
 from tabloom.functions.tokens import SpecialIds
+from tabloom.operators import subwords
 from tabloom.operators.batching import collate, padded_columns
 from tabloom.operators.selection import head
+from tabloom.operators.subwords import Subwords
 from tabloom.operators.vocabulary import encode
 from tabloom.session import materialize
 from tabloom.sources.problems import ingest_problems
 from tabloom.sources.tables import load_split, scan_dataset
 
+# A vocabulary built from the texts, or the subwords of a published model, which then bring their own special ids.
+Vocabulary = DataFrame | Subwords
+
+
 def _math(template: chat.ChatTemplate) -> Column:
     return chat.render(chat.training_turns(F.col("Problem"), F.col("Solution")), template)
 
@@ -49,19 +55,35 @@ def training_texts(df: DataFrame, kind: str, template: chat.ChatTemplate = chat.
     return df.withColumn("text", RENDERERS[_kind(kind)](template))
 
 
+def _special(vocabulary: Vocabulary, special: SpecialIds) -> SpecialIds:
+    return vocabulary.special if isinstance(vocabulary, Subwords) else special
+
+
+def _encoded(
+    texts: DataFrame, vocabulary: Vocabulary, key: Sequence[str], max_length: int, special: SpecialIds, keep_text: bool,
+    add_special: bool = False,
+) -> DataFrame:
+    """``key, input_ids, length``, and the text if it is kept; subwords need neither a shuffle nor a join for it."""
+    if isinstance(vocabulary, Subwords):
+        kept = [*key, "text"] if keep_text else key
+        return subwords.encode(texts, vocabulary, kept, max_length=max_length, add_special=add_special)
+    rows = encode(texts, vocabulary, key, max_length=max_length, add_special=add_special, special=special)
+    return rows.join(texts.select(*key, "text"), list(key)) if keep_text else rows
+
+
 def tokenized(
-    texts: DataFrame, vocabulary: DataFrame, kind: str, key: Sequence[str], max_length: int = fixed.MAX_LENGTH,
+    texts: DataFrame, vocabulary: Vocabulary, kind: str, key: Sequence[str], max_length: int = fixed.MAX_LENGTH,
     special: SpecialIds = SpecialIds(),
 ) -> DataFrame:
     """``input_ids, attention_mask`` of fixed length; math rows keep their text, instruction rows do not."""
-    name = _kind(kind)
-    encoded = encode(texts, vocabulary, key, max_length=max_length, special=special)
-    fixed_length = encoded.select(*key, *padded_columns(F.col("input_ids"), max_length, special))
-    return fixed_length.join(texts.select(*key, "text"), list(key)) if name == "math" else fixed_length
+    keep = _kind(kind) == "math"
+    rows = _encoded(texts, vocabulary, key, max_length, special, keep)
+    padded = padded_columns(F.col("input_ids"), max_length, _special(vocabulary, special))
+    return rows.select(*key, *padded, *(["text"] if keep else []))
 
 
 def prepare(
-    df: DataFrame, vocabulary: DataFrame, kind: str, key: Sequence[str], max_length: int = fixed.MAX_LENGTH,
+    df: DataFrame, vocabulary: Vocabulary, kind: str, key: Sequence[str], max_length: int = fixed.MAX_LENGTH,
     special: SpecialIds = SpecialIds(), template: chat.ChatTemplate = chat.CHATML,
 ) -> DataFrame:
     """From source rows to fixed-length token rows."""
@@ -69,23 +91,22 @@ def prepare(
 
 
 def calibration_sample(
-    instructions: DataFrame, vocabulary: DataFrame, key: Sequence[str], rows: int = fixed.CALIBRATION_ROWS,
+    instructions: DataFrame, vocabulary: Vocabulary, key: Sequence[str], rows: int = fixed.CALIBRATION_ROWS,
     max_length: int = fixed.MAX_LENGTH, special: SpecialIds = SpecialIds(),
 ) -> DataFrame:
     """Unpadded token rows, special ids included, of the first instruction examples, with their text."""
     chosen = training_texts(head(instructions, rows, key), "alpaca").select(*key, "text")
-    encoded = encode(chosen, vocabulary, key, max_length=max_length, add_special=True, special=special)
-    masked = encoded.select(*key, "input_ids", tokens.mask(F.col("input_ids"), F.size("input_ids")).alias("attention_mask"))
-    return masked.join(chosen, list(key))
+    rows = _encoded(chosen, vocabulary, key, max_length, special, keep_text=True, add_special=True)
+    return rows.select(*key, "input_ids", tokens.mask(F.col("input_ids"), F.size("input_ids")).alias("attention_mask"), "text")
 
 
 def training_batches(
-    texts: DataFrame, vocabulary: DataFrame, key: Sequence[str], settings: TrainingSettings = TrainingSettings(),
+    texts: DataFrame, vocabulary: Vocabulary, key: Sequence[str], settings: TrainingSettings = TrainingSettings(),
     multiple: int = fixed.PAD_MULTIPLE, special: SpecialIds = SpecialIds(),
 ) -> DataFrame:
     """Collated batches for an external trainer. The encoded rows are stored once in between."""
-    encoded = materialize(encode(texts, vocabulary, key, max_length=settings.max_length, special=special), "encoded")
+    encoded = materialize(_encoded(texts, vocabulary, key, settings.max_length, special, keep_text=False), "encoded")
     return collate(
         encoded, key, settings.batch_size, settings.gradient_accumulation_steps, settings.num_epochs, settings.seed,
-        settings.max_steps, multiple, special,
+        settings.max_steps, multiple, _special(vocabulary, special),
     )

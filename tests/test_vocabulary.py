@@ -82,3 +82,16 @@ def test_user_tokenizer(texts):
 
 def test_ids_start_after_the_special_ones(texts):
     assert build_vocabulary(texts, size=1, special=SpecialIds(pad=9)).first()["id"] == 10
+
+
+def test_spaced_tokens_give_back_the_text(spark):
+    texts = ["", " ", "a  b\n\n\tc ", "x y 　z", "(a, b) -- c!\r\n", "\n", "word", "<|im_end|>  <|im_end|>a", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    special = SpecialIds(markers=(("<|im_end|>", 3),))
+    known = vocabulary.build_vocabulary(rows, spaced=True, special=special).cache()
+    for broadcast in (True, False):
+        ids = vocabulary.encode(rows, known, ["id"], spaced=True, special=special, broadcast=broadcast)
+        back = vocabulary.decode(ids, known, ["id"], spaced=True, special=special, broadcast=broadcast)
+        assert {r["id"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
+        assert {r["id"]: r["length"] for r in ids.collect()}[7] == 4
+    known.unpersist()
