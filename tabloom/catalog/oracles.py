@@ -443,6 +443,12 @@ SELECT evaluation_type, CAST(2 AS BIGINT) AS entries, CAST(2 AS BIGINT) AS exper
 FROM ({RESPONSES}) GROUP BY evaluation_type
 """
 
+ORACLES["log_concurrent"] = f"""
+SELECT 'e-' || evaluation_type AS experiment_id, evaluation_type, count(*) AS responses, count(*) AS total_comparisons,
+  CAST(sum(example_id) AS BIGINT) AS id_sum, max(raw) AS last
+FROM ({RESPONSES}) WHERE evaluation_type = 'vllm_inference' OR example_id % 3 = 0 GROUP BY evaluation_type
+"""
+
 
 def record(scored: str) -> str:
     """The flattened run record over ``engine, first, second, valid``."""

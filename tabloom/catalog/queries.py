@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from functools import partial
 
@@ -610,6 +611,23 @@ def experiment_log_history(spark, folder):
     )
 
 
+@query
+def log_concurrent(spark, folder):
+    """Two writers at once, one of which then repeats its append with fewer responses."""
+    rows, log = materialize(fixtures.responses(spark, folder), "responses"), work_path(spark, "log")
+
+    def append(kind: str, chosen: DataFrame) -> None:
+        own = chosen.filter(F.col("evaluation_type") == kind).drop("evaluation_type")
+        experiment_log.append_experiment(own, log, f"e-{kind}", kind, "results", LOG_TIME)
+
+    with ThreadPoolExecutor(2) as writers:
+        list(writers.map(lambda kind: append(kind, rows), ENGINES))
+    append(ENGINES[0], rows.filter(F.col("example_id") % 3 == 0))
+    kept = experiment_log.read_comparisons(spark, log, rows.select(*TEXT_KEY).schema)
+    counted = kept.groupBy("experiment_id").agg(F.count("*").alias("responses"), F.sum("example_id").alias("id_sum"), F.max("raw").alias("last"))
+    return counted.join(experiment_log.read_experiments(spark, log).select("experiment_id", "evaluation_type", "total_comparisons"), "experiment_id")
+
+
 def flat_record(record: DataFrame) -> DataFrame:
     scores = ("finetuned_avg_score", "base_avg_score", "total_comparisons")
     return record.select(

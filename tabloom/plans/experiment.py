@@ -98,13 +98,11 @@ def compare_all(results: DataFrame, base: DataFrame, experiment: Experiment, fol
     return stored_calls(paired, pair_key, experiment.settings.rounds, scored, "comparisons", folder)
 
 
-def log_all(comparisons: DataFrame, experiment: Experiment, log: str, output: str) -> None:
-    """One log entry per engine."""
-    for engine in experiment.engines:
-        own = comparisons.filter(F.col("engine") == engine.name).select(*experiment.key, "raw")
-        experiment_log.append_experiment(
-            own, log, f"{experiment.run_id}-{engine.name}", engine.name, f"{output}/engine={engine.name}", experiment.timestamp
-        )
+def log_all(comparisons: DataFrame, experiment: Experiment, log: str, output: str) -> str:
+    """One log entry per engine, all in one write; returns its folder."""
+    rows = comparisons.select(*experiment.key, "raw", F.col("engine").alias("evaluation_type"))
+    named = {e.name: (f"{experiment.run_id}-{e.name}", f"{output}/engine={e.name}") for e in experiment.engines}
+    return experiment_log.append_experiments(rows, log, named, experiment.timestamp)
 
 
 def step_status(results: DataFrame, base: DataFrame, comparisons: DataFrame) -> DataFrame:
@@ -121,13 +119,13 @@ def step_status(results: DataFrame, base: DataFrame, comparisons: DataFrame) ->
 
 
 def run_record(
-    summary: DataFrame, experiment: Experiment, log: str | None = None, output: str | None = None, steps: DataFrame | None = None
+    summary: DataFrame, experiment: Experiment, compared: str | None = None, output: str | None = None, steps: DataFrame | None = None
 ) -> DataFrame:
     """One nested row describing the run: settings, scores per engine, files, status and errors.
 
     ``summary`` has one row per engine. A base model or a first engine with a step that has nothing but errors, or no
     judged row, fails the run; a later engine makes it a partial success. ``steps`` come from :func:`step_status`;
-    without them only the judged rows count.
+    without them only the judged rows count. ``compared`` is the folder that holds the run's comparisons.
     """
     t = experiment.training
 
@@ -187,7 +185,7 @@ def run_record(
         ).alias("training_results"),
         *[f"{n}_results" for n in names],
         files(output, "engine").alias("inference_outputs"),
-        files(None if log is None else f"{log}/comparisons", "evaluation_type").alias("comparison_scores"),
+        files(compared, "evaluation_type").alias("comparison_scores"),
         F.create_map(*[F.lit(x) for pair in settings.items() for x in pair]).alias("settings"),
     )
 
@@ -205,10 +203,9 @@ def run_experiment(
     if output is not None:
         write_results(bag_union([results, base]), output)
     comparisons = compare_all(results, base, experiment, folder)
-    if log is not None:
-        log_all(comparisons, experiment, log, output or "")
+    compared = None if log is None else log_all(comparisons, experiment, log, output or "")
     summary = score_summary(with_scores(comparisons), ["engine"])
-    record = run_record(summary, experiment, log, output, step_status(results, base, comparisons))
+    record = run_record(summary, experiment, compared, output, step_status(results, base, comparisons))
     if runs is not None:
         write_run(record, runs)
     return record

@@ -1,16 +1,15 @@
 """The history of judged experiments.
 
-A log is two tables below one path: ``comparisons``, one row per judge response in folders per
-evaluation type and experiment, and ``experiments``, one row per experiment in a folder of its own,
-written last. A comparison counts once its experiment row exists. Appending never touches other
-experiments, and repeating an append replaces the folders of that experiment, so retries and parallel
-writers lose and double nothing.
+A log is two folders below one path: ``comparisons``, one row per judge response in folders per append, evaluation type and
+experiment, and ``versions``, one small file per append that names it and its experiments.
+A comparison counts if the last version of its experiment names its append. Appending never touches other files, so readers
+see an append whole or not at all; repeating one replaces that experiment, and of parallel writers each gets a version of its own.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +20,7 @@ from tabloom.functions.text import whole
 from tabloom.operators.ordering import key_position
 from tabloom.operators.selection import split_by
 from tabloom.schemas import EXPERIMENT, LOG_DOCUMENT
-from tabloom.sources import results
+from tabloom.sources import results, versions
 
 EXPERIMENTS = T.StructType(
     [
@@ -35,49 +34,77 @@ EXPERIMENTS = T.StructType(
 ENTRY_ROWS = 1_000
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType, folders: str) -> DataFrame:
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/{folders}")
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
-def _folder(table: str, **values: str) -> str:
-    """The partition folder of the given column values; other letters than ASCII stand as they are."""
+def append_experiments(
+    comparisons: DataFrame, log: str, experiments: Mapping[str, tuple[str, str]], timestamp: str
+) -> str:
+    """Add the experiments of one run in one write and one version; returns the folder written.
 
-    def escaped(value: str) -> str:
-        return re.sub(r"[^\w .~-]", lambda c: f"%{ord(c[0]):02X}" if c[0].isascii() else c[0], value)
-
-    return "/".join([table, *[f"{name}={escaped(value)}" for name, value in values.items()]])
+    ``comparisons`` holds ``evaluation_type``, key columns and ``raw``; ``experiments`` gives each evaluation type its experiment id and
+    the file of its results. Types that are not named there are left out.
+    """
+    spark, append = comparisons.sparkSession, uuid.uuid4().hex
+    ids = F.create_map(*[F.lit(x) for kind, (name, _) in experiments.items() for x in (kind, name)])
+    own = comparisons.filter(F.col("evaluation_type").isin(list(experiments))).withColumns(
+        {"experiment_id": ids[F.col("evaluation_type")]}
+    )
+    # A folder of its own: jobs that write to one folder at the same time remove each other's files.
+    folder = f"{log}/comparisons/append_id={append}"
+    own.write.partitionBy("evaluation_type", "experiment_id").parquet(folder)
+    stored = spark.read.schema("evaluation_type string").parquet(folder)
+    found = {r["evaluation_type"]: r["count"] for r in stored.groupBy("evaluation_type").count().collect()}
+    entries = [
+        {
+            "timestamp": timestamp, "inference_output_file": file, "evaluation_type": kind,
+            "total_comparisons": found.get(kind, 0), "experiment_id": name,
+        }
+        for kind, (name, file) in experiments.items()
+    ]
+    versions.commit(spark, f"{log}/versions", {"append_id": append, "experiments": entries})
+    return folder
 
 
 def append_experiment(
     comparisons: DataFrame, log: str, experiment_id: str, evaluation_type: str, inference_output_file: str, timestamp: str
 ) -> None:
     """Add one experiment; ``comparisons`` holds key columns and ``raw``."""
-    spark = comparisons.sparkSession
-    own = _folder(f"{log}/comparisons", evaluation_type=evaluation_type, experiment_id=experiment_id)
-    comparisons.write.mode("overwrite").parquet(own)
-    stored = spark.read.schema(comparisons.schema).parquet(own)
-    header = stored.agg(F.count("*").alias("total_comparisons")).select(
-        F.lit(timestamp).alias("timestamp"), F.lit(inference_output_file).alias("inference_output_file"),
-        F.lit(evaluation_type).alias("evaluation_type"), "total_comparisons",
+    named = comparisons.withColumn("evaluation_type", F.lit(evaluation_type))
+    append_experiments(named, log, {evaluation_type: (experiment_id, inference_output_file)}, timestamp)
+
+
+def _last_versions(spark: SparkSession, log: str) -> DataFrame:
+    """``append_id`` and the fields of an experiment, as its last version has them."""
+    folder = f"{log}/versions"
+    schema = T.StructType([T.StructField("append_id", T.StringType()), T.StructField("experiments", T.ArrayType(EXPERIMENTS))])
+    if not versions.numbers(spark, folder):
+        return spark.createDataFrame([], T.StructType([schema["append_id"], *EXPERIMENTS.fields]))
+    named = spark.read.schema(schema).json(folder).select("append_id", F.col("_metadata.file_name").alias("_version"), F.inline("experiments"))
+    last = named.filter(F.col("append_id").isNotNull()).groupBy("experiment_id").agg(
+        F.max_by(F.struct("append_id", *[n for n in EXPERIMENTS.fieldNames() if n != "experiment_id"]), "_version").alias("_last")
     )
-    header.coalesce(1).write.mode("overwrite").parquet(_folder(f"{log}/experiments", experiment_id=experiment_id))
+    return last.select("_last.*", "experiment_id").select("append_id", *EXPERIMENTS.fieldNames())
 
 
 def read_experiments(spark: SparkSession, log: str) -> DataFrame:
     """One row per finished experiment."""
-    return _read_or_empty(spark, f"{log}/experiments", EXPERIMENTS)
+    return _last_versions(spark, log).drop("append_id")
 
 
 def read_comparisons(spark: SparkSession, log: str, key: T.StructType) -> DataFrame:
     """Responses of finished experiments."""
-    tail = [T.StructField(n, T.StringType()) for n in ("raw", "evaluation_type", "experiment_id")]
-    rows = _read_or_empty(spark, f"{log}/comparisons", T.StructType([*key.fields, *tail]))
-    return rows.join(read_experiments(spark, log).select("experiment_id"), "experiment_id", "left_semi")
+    tail = [T.StructField(n, T.StringType()) for n in ("raw", "append_id", "evaluation_type", "experiment_id")]
+    rows = _read_or_empty(spark, f"{log}/comparisons", T.StructType([*key.fields, *tail]), "append_id=*")
+    own = _last_versions(spark, log).select("experiment_id", "evaluation_type", "append_id")
+    kept = rows.join(own, ["experiment_id", "evaluation_type", "append_id"], "left_semi")
+    return kept.select("experiment_id", *key.fieldNames(), "raw", "evaluation_type")
 
 
 def experiment_count(experiments: DataFrame) -> DataFrame:
