@@ -412,6 +412,17 @@ FROM (SELECT evaluation_type, first, second, valid AND example_id % 5 <> 0 AS va
 GROUP BY evaluation_type
 """
 ORACLES["score_stream"] = ORACLES["score_by_engine"]
+ORACLES["score_stream_replaced"] = f"""
+WITH scored AS ({SCORED}),
+final AS (
+  SELECT s.evaluation_type,
+    CASE WHEN n.example_id IS NULL THEN s.valid ELSE n.valid END AS valid,
+    CASE WHEN n.example_id IS NULL THEN s.first ELSE n.first END AS first,
+    CASE WHEN n.example_id IS NULL THEN s.second ELSE n.second END AS second
+  FROM scored s LEFT JOIN scored n ON n.example_id = s.example_id + 1 AND s.example_id % 3 = 0
+)
+SELECT 'run-' || evaluation_type AS experiment_id, evaluation_type, {SUMMARY} FROM final GROUP BY evaluation_type
+"""
 ORACLES["run_status"] = """
 SELECT run_id,
   CASE WHEN NOT coalesce(bool_and(ok) FILTER (WHERE step <> 'vllm_evaluation'), true) THEN 'failed'

@@ -555,6 +555,25 @@ def score_stream(spark, folder):
     return scoreboard.latest_board(spark, out)
 
 
+@query
+def score_stream_replaced(spark, folder):
+    """Every response is delivered; then every third is asked again and replaced, and every second delivered once more."""
+    source, out, progress = work_path(spark, "responses"), work_path(spark, "board"), work_path(spark, "progress")
+    rows = materialize(fixtures.responses(spark, folder), "responses")
+    other = rows.select((F.col("example_id") - 1).alias("example_id"), F.col("raw").alias("_other"))
+    again = rows.filter(F.col("example_id") % 3 == 0).join(other, "example_id").select(
+        "example_id", "evaluation_type", F.col("_other").alias("raw"), F.lit(1).alias("attempt")
+    )
+    first = rows.withColumn("attempt", F.lit(0))
+    schema = rows.withColumns({"attempt": F.lit(0).cast("long"), "experiment_id": F.lit("")}).schema
+    for delivery in (first, again, first.filter(F.col("example_id") % 2 == 0)):
+        delivery.withColumn("experiment_id", F.concat(F.lit("run-"), "evaluation_type")).write.mode("append").json(source)
+        stream = scoreboard.response_stream(spark, source, schema)
+        scoreboard.start_replacing_scoreboard(stream, TEXT_KEY, out, progress, available_now=True).awaitTermination()
+    board = scoreboard.latest_board(spark, out)
+    return board.select("experiment_id", "evaluation_type", "finetuned_avg", "base_avg", F.col("valid").alias("total_comparisons"), F.col("responses").alias("all_comparisons"))
+
+
 @query
 def run_status(spark, folder):
     return summaries.run_status(fixtures.run_steps(spark, folder))

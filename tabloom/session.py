@@ -67,7 +67,8 @@ def work_step(name: str) -> Iterator[None]:
         _step.reset(token)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder with all below it; nothing happens if it is missing."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -77,12 +78,12 @@ def drop_step(spark: SparkSession, name: str, unless_read_by: DataFrame | None =
     folder = f"{_application_folder(spark)}/step-{name}"
     if unless_read_by is not None and any(f"/step-{name}/" in f for f in unless_read_by.inputFiles()):
         return
-    _delete(spark, folder)
+    delete(spark, folder)
 
 
 def drop_work(spark: SparkSession) -> None:
     """Delete what this application stored in between; frames read from it are gone with it."""
-    _delete(spark, _application_folder(spark))
+    delete(spark, _application_folder(spark))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
