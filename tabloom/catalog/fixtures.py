@@ -12,6 +12,38 @@ from tabloom.session import materialize
 
 # Rank file of a published vocabulary on this box; a parameter everywhere else.
 SUBWORD_FILE = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+# Three ways in which published models mark turns.
+TEMPLATES = {
+    "chatml": (
+        "{% for message in messages %}{{ '<|im_start|>' + message['role'] + '\n' + message['content'] + '<|im_end|>' + '\n' }}{% endfor %}"
+        "{% if add_generation_prompt %}{{ '<|im_start|>assistant\n' }}{% endif %}"
+    ),
+    "bracketed": """
+{%- if messages[0]['role'] == 'system' %}
+    {%- set rest = messages[1:] %}
+    {%- set opening = '<<SYS>>\n' + messages[0]['content'] + '\n<</SYS>>\n\n' %}
+{%- else %}
+    {%- set rest = messages %}
+    {%- set opening = '' %}
+{%- endif %}
+{%- for message in rest %}
+    {%- if loop.first %}{% set content = opening + message['content'] %}{% else %}{% set content = message['content'] %}{% endif %}
+    {%- if message['role'] == 'user' %}
+        {{- bos_token + '[INST] ' + content|trim + ' [/INST]' }}
+    {%- elif message['role'] == 'assistant' %}
+        {{- ' ' + content|trim + ' ' + eos_token }}
+    {%- endif %}
+{%- endfor %}""",
+    "effortful": """
+{%- if reasoning_effort is not defined %}{% set reasoning_effort = 'medium' %}{% endif %}
+{{- '<|start|>system<|message|>Reasoning: ' ~ reasoning_effort ~ '<|end|>' }}
+{%- for message in messages %}
+    {%- if message.role == 'system' %}{% set name = 'developer' %}{% else %}{% set name = message.role %}{% endif %}
+    {{- '<|start|>' ~ name ~ '<|message|>' ~ message.content }}
+    {%- if loop.last and message.role == 'assistant' and not add_generation_prompt %}{{ '<|return|>' }}{% else %}{{ '<|end|>' }}{% endif %}
+{%- endfor %}
+{%- if add_generation_prompt %}{{ '<|start|>assistant' }}{% endif %}""",
+}
 TURN_KEY = ("conv_id", "turn")
 TEXT_KEY = ("example_id",)
 # Turns of a conversation rendered or numbered in one task; segments of a longer one are put together again.

@@ -99,6 +99,30 @@ ORACLES["render_conversation"] = f"""
 SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || {lit('<|im_end|>' + chr(10))}, '' ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id
 """
+_TRIMMED = r"regexp_replace(%s, '^\s+|\s+$', '', 'g')"
+_OPENED = f"""CASE WHEN first THEN coalesce('<<SYS>>' || chr(10) || head || chr(10) || '<</SYS>>' || chr(10) || chr(10), '') ELSE '' END || text"""
+ORACLES["render_compiled"] = f"""
+WITH placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n,
+    first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'system' AS opened
+  FROM conversations
+),
+told AS (
+  SELECT *, n = CASE WHEN opened THEN 2 ELSE 1 END AS first,
+    CASE WHEN opened THEN first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) END AS head
+  FROM placed
+),
+rendered AS (
+  SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS chatml,
+    string_agg(CASE WHEN opened AND n = 1 THEN '' WHEN role = 'user' THEN '<s>[INST] ' || {_TRIMMED % _OPENED} || ' [/INST]'
+      WHEN role = 'assistant' THEN ' ' || {_TRIMMED % _OPENED} || ' </s>' ELSE '' END, '' ORDER BY turn) AS bracketed,
+    string_agg('<|start|>' || CASE role WHEN 'system' THEN 'developer' ELSE role END || '<|message|>' || text || '<|end|>', '' ORDER BY turn) AS turns
+  FROM told GROUP BY conv_id
+)
+SELECT conv_id, chatml, chatml || '<|im_start|>assistant' || chr(10) AS chatml_prompt, bracketed,
+  '<|start|>system<|message|>Reasoning: high<|end|>' || turns || '<|start|>assistant' AS effortful_prompt
+FROM rendered
+"""
 HELD_OUT = 'SELECT item_id AS example_id, text AS "Problem" FROM benchmark'
 ORACLES["render_math_prompt"] = f"SELECT example_id, {MATH_PROMPT} AS prompt FROM ({HELD_OUT})"
 ORACLES["render_math_prompt_plain"] = f"""

@@ -16,6 +16,7 @@ from tabloom.catalog.fixtures import TEXT_KEY, TURN_KEY
 from tabloom.config import EvaluationSettings, TrainingSettings, resolved, unknown_keys
 from tabloom.functions import chat, fixed, prompts, tokens
 from tabloom.functions import text as texts
+from tabloom.functions.templates import compile_template
 from tabloom.functions.tokens import SpecialIds
 from tabloom.operators import batching, calls, mapping, pairing, selection, subwords, summaries, vocabulary
 from tabloom.operators.plugins import EchoingWords, LeadingWords, NeverAnswers, WordCountJudge
@@ -70,6 +71,22 @@ def render_conversation(spark, folder):
     return whole.select("conv_id", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
 
 
+@query
+def render_compiled(spark, folder):
+    """Every conversation under three compiled templates, as training text and as a prompt."""
+    turn = F.struct("turn", F.struct(F.col("role"), F.col("text").alias("content")).alias("message"))
+    listed = fixtures.chats(spark, folder).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    messages = F.transform("turns", lambda t: t["message"])
+    marks = {"bos_token": "<s>", "eos_token": "</s>"}
+    rendered = {
+        "chatml": compile_template(fixtures.TEMPLATES["chatml"], messages),
+        "chatml_prompt": compile_template(fixtures.TEMPLATES["chatml"], messages, generation=True),
+        "bracketed": compile_template(fixtures.TEMPLATES["bracketed"], messages, **marks),
+        "effortful_prompt": compile_template(fixtures.TEMPLATES["effortful"], messages, generation=True, reasoning_effort="high"),
+    }
+    return listed.select("conv_id", *[text.alias(name) for name, text in rendered.items()])
+
+
 @query
 def render_math_prompt(spark, folder):
     return evaluation.chat_prompts(fixtures.held_out(spark, folder)).select(*TEXT_KEY, "prompt")
