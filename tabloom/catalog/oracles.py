@@ -388,6 +388,23 @@ SELECT evaluation_type, count(*) AS responses, count(*) AS total_comparisons, co
   CAST(sum(length(raw)) AS BIGINT) AS characters, max(raw) AS last
 FROM ({RESPONSES}) GROUP BY evaluation_type
 """
+_PLAIN = f"""{lit(INFERENCE_SYSTEM + chr(10) + chr(10) + '### Problem:' + chr(10))} || "Problem" || {lit(chr(10) + chr(10) + '### Solution:')}"""
+ORACLES["calls_resumed"] = f"""
+SELECT conv_id, turn, CASE WHEN length({_PLAIN}) % 3 < 2 THEN {_BASE} END AS generated_solution,
+  CASE WHEN length({_PLAIN}) % 3 = 2 THEN 'RuntimeError: not yet' END AS error
+FROM ({PAIRS})
+"""
+ORACLES["judge_paced"] = "SELECT count(*) AS calls, CAST(0 AS BIGINT) AS exceeded FROM benchmark"
+ORACLES["first_token_latency"] = f"""
+WITH said AS (
+  SELECT CASE WHEN length("Problem") % 2 = 0 THEN 'brief' ELSE 'long' END AS engine,
+    list_slice(regexp_extract_all("Problem", '[^ \\n]+'), 1, CASE WHEN length("Problem") % 2 = 0 THEN 8 ELSE 32 END) AS words
+  FROM ({PAIRS})
+)
+SELECT engine, count(*) AS samples, sum(1000 + 10 * length(words[1])) / count(*) AS mean_first_token_us,
+  sum(10 * (length(array_to_string(words, '')) - length(words[1]))) / sum(len(words) - 1) AS mean_between_us
+FROM said GROUP BY engine
+"""
 ORACLES["pair_outputs"] = f"""
 SELECT conv_id, turn, "Problem" AS problem, {_TUNED} AS generated_solution, {_BASE} AS base_solution FROM ({PAIRS})
 """

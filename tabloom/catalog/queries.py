@@ -19,7 +19,9 @@ from tabloom.functions import text as texts
 from tabloom.functions.templates import compile_template
 from tabloom.functions.tokens import SpecialIds
 from tabloom.operators import batching, calls, mapping, pairing, selection, subwords, summaries, vocabulary
-from tabloom.operators.plugins import EchoingWords, LeadingWords, NeverAnswers, WordCountJudge
+from tabloom.operators.plugins import (
+    ConstantJudge, EchoingWords, FailingAtFirst, LeadingWords, NeverAnswers, Streamed, TimedWords, WordCountJudge,
+)
 from tabloom.operators.subwords import Subwords
 from tabloom.plans import evaluation, experiment, training
 from tabloom.session import materialize, work_path
@@ -493,6 +495,43 @@ def pair_outputs(spark, folder):
     return pairing.pair_outputs(tuned, base, TURN_KEY)
 
 
+@query
+def calls_resumed(spark, folder):
+    """Prompts that fail at first are called again, in rounds; a third of them would need one attempt more."""
+    rows, place = evaluation.plain_prompts(fixtures.pairs(spark, folder)).select(*TURN_KEY, "prompt"), work_path(spark, "calls")
+
+    def step_of(attempt: int):
+        return lambda part: calls.generate(part, partial(FailingAtFirst, 16, attempt), TURN_KEY, workers=4, batch_rows=8)
+
+    calls.with_attempts(rows, TURN_KEY, 3, step_of, place, attempts=1)
+    answered = calls.with_attempts(rows, TURN_KEY, 3, step_of, place, attempts=2)
+    return answered.select(*TURN_KEY, "generated_solution", "error")
+
+
+@query
+def judge_paced(spark, folder):
+    """Calls of four judges under one rate: how many there are, and in how many tenths of a second the rate was exceeded."""
+    rate, callers = 2_000, 4
+    rows = evaluation.plain_prompts(fixtures.held_out(spark, folder)).select(*TEXT_KEY, "prompt")
+    sent = materialize(calls.judge(rows, ConstantJudge, TEXT_KEY, workers=callers, calls_per_second=rate, sent=True), "sent")
+    tenths = sent.groupBy((F.col("sent_us") / 100_000).cast("long").alias("tenth")).agg(F.count("*").alias("calls"))
+    return tenths.agg(
+        F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.count_if(F.col("calls") > rate // 10 + callers).alias("exceeded")
+    )
+
+
+@query
+def first_token_latency(spark, folder):
+    """Times to the first part of an answer and between parts, of a trial model on a clock of its own."""
+    rows = evaluation.plain_prompts(fixtures.pairs(spark, folder)).withColumn("short", F.length("Problem") % 2 == 0)
+    parts = [
+        calls.generate(rows.filter(F.col("short") == (words == 8)).drop("short"), partial(Streamed, partial(TimedWords, words)), TURN_KEY, engine=name, timed=True)
+        for name, words in (("brief", 8), ("long", 32))
+    ]
+    measured = experiment.bag_union([p.select(*TURN_KEY, "engine", "latency_us", "first_token_us", "last_token_us", "parts") for p in parts])
+    return summaries.latency_summary(measured).select("engine", "samples", "mean_first_token_us", "mean_between_us")
+
+
 def stub_evaluation(spark, folder, **options) -> evaluation.Evaluation:
     judge = options.pop("judge", WordCountJudge)
     return evaluation.evaluate(

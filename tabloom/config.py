@@ -36,7 +36,7 @@ class TrainingSettings:
 
 @dataclass(frozen=True)
 class EvaluationSettings:
-    """How generators and judges are called. What a model itself takes, such as its token limit or
+    """How generators and judges are called; ``rounds`` None cuts rounds by size, ``attempts`` calls failed rows again. What a model itself takes, such as its token limit or
     sampling, is given to the plug-in when it is built."""
 
     cpu_workers: int | None = None
@@ -44,7 +44,8 @@ class EvaluationSettings:
     cpu_batch_size: int | None = None
     io_batch_size: int | None = None
     calls_per_second: float | None = None
-    rounds: int = 1
+    rounds: int | None = 1
+    attempts: int = 1
     stop: tuple[str, ...] = ()
     system_message: str | None = None
 

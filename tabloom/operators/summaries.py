@@ -45,10 +45,13 @@ def score_summary(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def latency_summary(df: DataFrame, by: Sequence[str] = ("engine",), latency: str = "latency_us") -> DataFrame:
     """Total, mean and extreme times; summed as whole microseconds, so the order of rows is immaterial.
 
-    The mean time to the first token is added where it was measured.
+    The mean time to the first token is added where it was measured, and the mean time between parts where a stream was timed.
     """
     first = "first_token_us"
     to_first = [(F.sum(first) / F.count(first)).alias("mean_first_token_us")] if first in df.columns else []
+    if {"last_token_us", "parts"} <= set(df.columns):
+        between = F.try_divide(F.sum(F.col("last_token_us") - F.col(first)), F.sum(F.greatest(F.col("parts") - 1, F.lit(0))))
+        to_first.append(between.alias("mean_between_us"))
     return df.groupBy(*by).agg(
         F.sum(latency).alias("total_us"),
         (F.sum(latency) / F.count(latency)).alias("mean_us"),

@@ -99,13 +99,20 @@ class Evaluation:
 
 
 def stored_calls(
-    df: DataFrame, key: Sequence[str], rounds: int, step: Callable[[DataFrame], DataFrame], label: str,
+    df: DataFrame, key: Sequence[str], settings: EvaluationSettings, step: Callable[[DataFrame], DataFrame], label: str,
     folder: str | None = None,
 ) -> DataFrame:
-    """Run a calling step once and keep its answers, in rounds when there are several."""
-    if rounds <= 1 and folder is None:
+    """Run a calling step once and keep its answers, in rounds and attempts when there are several.
+
+    Without a number of rounds, a round is what the judge's callers answer in one task each.
+    """
+    rounds = settings.rounds
+    if rounds is None:
+        rounds = calls.rounds_for(df.count(), settings.io_workers)
+    if rounds <= 1 and settings.attempts <= 1 and folder is None:
         return materialize(step(df), label)
-    return calls.in_rounds(df, key, rounds, step, f"{folder}/{label}" if folder else work_path(df.sparkSession, label))
+    place = f"{folder}/{label}" if folder else work_path(df.sparkSession, label)
+    return calls.with_attempts(df, key, rounds, lambda attempt: step, place, settings.attempts)
 
 
 def evaluate(
@@ -125,7 +132,7 @@ def evaluate(
         return judged(rows, make_judge, key, settings)
 
     if stored:
-        paired = stored_calls(results, key, settings.rounds, answered, "base_outputs", folder)
+        paired = stored_calls(results, key, settings, answered, "base_outputs", folder)
     else:
         paired = answered(results)
     carried = paired.select(*key, "problem", "generated_solution", "base_solution")
@@ -133,7 +140,7 @@ def evaluate(
         nothing = [F.lit(None).cast("string").alias(n) for n in ("raw", "error")]
         return Evaluation(paired, carried.filter(F.lit(False)).select("*", *nothing))
     if stored:
-        return Evaluation(paired, stored_calls(carried, key, settings.rounds, scored, "comparisons", folder))
+        return Evaluation(paired, stored_calls(carried, key, settings, scored, "comparisons", folder))
     return Evaluation(paired, scored(carried))
 
 

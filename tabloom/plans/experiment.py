@@ -69,7 +69,7 @@ def generate_all(problems: DataFrame, experiment: Experiment, folder: str | None
                 e.max_new_tokens, e.max_model_len,
             )
 
-        return stored_calls(problems, experiment.key, experiment.settings.rounds, step, f"results-{e.name}", folder)
+        return stored_calls(problems, experiment.key, experiment.settings, step, f"results-{e.name}", folder)
 
     return bag_union([stored(e) for e in experiment.engines])
 
@@ -80,7 +80,7 @@ def base_outputs(problems: DataFrame, experiment: Experiment, folder: str | None
     def step(rows: DataFrame) -> DataFrame:
         return generate_results(rows, experiment.make_base, experiment.key, "base", settings=experiment.settings)
 
-    return stored_calls(problems, experiment.key, experiment.settings.rounds, step, "base_outputs", folder)
+    return stored_calls(problems, experiment.key, experiment.settings, step, "base_outputs", folder)
 
 
 def compare_all(results: DataFrame, base: DataFrame, experiment: Experiment, folder: str | None = None) -> DataFrame:
@@ -95,7 +95,7 @@ def compare_all(results: DataFrame, base: DataFrame, experiment: Experiment, fol
     def scored(rows: DataFrame) -> DataFrame:
         return judged(rows, experiment.make_judge, pair_key, experiment.settings)
 
-    return stored_calls(paired, pair_key, experiment.settings.rounds, scored, "comparisons", folder)
+    return stored_calls(paired, pair_key, experiment.settings, scored, "comparisons", folder)
 
 
 def log_all(comparisons: DataFrame, experiment: Experiment, log: str, output: str) -> str:

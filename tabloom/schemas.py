@@ -28,6 +28,12 @@ COMPLETION_FIELDS = [
     T.StructField("error", T.StringType()),
 ]
 
+# What a model that streams its answer adds to that.
+PART_FIELDS = [T.StructField("last_token_us", T.LongType()), T.StructField("parts", T.LongType())]
+
+# When a call was sent, in microseconds of the epoch.
+SENT_FIELD = T.StructField("sent_us", T.LongType())
+
 # What a judge call adds to its input row.
 JUDGEMENT_FIELDS = [T.StructField("raw", T.StringType()), T.StructField("error", T.StringType())]
 

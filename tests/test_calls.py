@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.operators import calls
-from tabloom.operators.plugins import Completion, Generator, Judge, LeadingWords, RateLimit, WordCountJudge
+from tabloom.operators.plugins import (
+    Completion, ConstantJudge, FailingAtFirst, Generator, Judge, LeadingWords, RateLimit, Streamed, TimedWords, WordCountJudge,
+)
+from tabloom.operators.summaries import latency_summary
 
 
 def tracing(folder):
@@ -139,6 +142,87 @@ def test_rounds_resume(spark, tmp_path):
     assert calls.in_rounds(frame, ["k"], 4, step, stored).count() == 30 and len(traces(traced, "open")) == 4
 
 
+def test_failed_rows_are_called_again(spark, tmp_path):
+    traced, stored = tmp_path / "traces", str(tmp_path / "stored")
+    traced.mkdir()
+    frame = prompts(spark, ["a" * (1 + i % 3) + f"{i:02}" for i in range(24)])  # a third answers in each attempt
+
+    def step_of(attempt):
+        class Noted(FailingAtFirst):
+            def generate(self, asked):
+                answers = super().generate(asked)
+                with open(f"{traced}/call-{uuid.uuid4().hex}", "w") as out:
+                    out.write("\n".join(f"{attempt}:{p}" for p in asked))
+                return answers
+
+        return lambda rows: calls.generate(rows, lambda: Noted(4, attempt), ["k"], workers=2, batch_rows=3)
+
+    def answered(attempts):
+        made = calls.with_attempts(frame, ["k"], 3, step_of, stored, attempts).collect()
+        assert len(made) == 24 and len({r["k"] for r in made}) == 24
+        return sum(r["error"] is None for r in made)
+
+    assert [answered(n) for n in (1, 1, 2, 3, 3, 4)] == [8, 8, 16, 24, 24, 24]
+    said = [line for f in traces(traced, "call") for line in (traced / f).read_text().split("\n")]
+    assert len(said) == len(set(said)) == 24  # nothing that has an answer was called again
+
+
+def test_an_attempt_cut_short_goes_on(spark, tmp_path):
+    stored, frame = str(tmp_path / "stored"), prompts(spark, ["p" * (i % 3 + 1) for i in range(12)])
+
+    def step_of(attempt):
+        def step(rows):
+            if attempt == 2 and step_of.broken:
+                raise RuntimeError("lost")
+            return calls.generate(rows, lambda: FailingAtFirst(4, attempt), ["k"], workers=1)
+
+        return step
+
+    step_of.broken = True
+    with pytest.raises(RuntimeError):
+        calls.with_attempts(frame, ["k"], 2, step_of, stored, 3)
+    step_of.broken = False
+    made = calls.with_attempts(frame, ["k"], 2, step_of, stored, 3).collect()
+    assert len(made) == 12 and all(r["error"] is None for r in made)
+
+
+def test_calls_keep_their_distance(spark):
+    frame = prompts(spark, ["a"] * 60)
+    made = calls.judge(frame, ConstantJudge, ["k"], workers=3, calls_per_second=100, sent=True).collect()
+    sent = sorted(r["sent_us"] for r in made)
+    assert len(sent) == 60 and all(r["error"] is None for r in made)
+    for first in range(len(sent)):  # in any fifth of a second, the rate and one call a task
+        assert sum(sent[first] <= t < sent[first] + 200_000 for t in sent) <= 20 + 3 + 1
+
+
+def test_a_limit_leads_and_finishes():
+    now, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(round(seconds, 6))
+        now[0] += seconds
+
+    limit = RateLimit(2.0, clock=lambda: now[0], sleep=sleep, lead=0.25)
+    limit.wait()
+    limit.wait()
+    limit.finish()
+    limit.finish()
+    assert slept == [0.25, 0.5, 0.5]
+
+
+def test_rounds_by_size():
+    assert [calls.rounds_for(n, 25, 10) for n in (0, 1, 250, 251, 100_000)] == [1, 1, 1, 2, 400]
+
+
+def test_streamed_parts(spark):
+    rows = prompts(spark, ["one three", "seventeen", ""])
+    made = calls.generate(rows, lambda: Streamed(lambda: TimedWords(9)), ["k"], workers=1, timed=True)
+    got = {r["k"]: (r["generated_solution"], r["first_token_us"], r["last_token_us"], r["parts"]) for r in made.collect()}
+    assert got == {0: ("one three", 1030, 1080, 2), 1: ("seventeen", 1090, 1090, 1), 2: ("", None, None, 0)}
+    row = latency_summary(made.withColumn("engine", F.lit("e"))).first()
+    assert (row["mean_first_token_us"], row["mean_between_us"]) == (1060, 50)  # an empty answer has no first part
+
+
 def test_cap_tokens(spark):
     row = spark.range(1).select(F.sequence(F.lit(1), F.lit(9)).alias("ids")).select(calls.cap_tokens("ids", 3).alias("c"))
     assert row.first()["c"] == [1, 2, 3]
