@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_LISTED = "array<struct<first_score: double, second_score: double, _end: int, _corrupt: string>>"
 _SHAPE = "first_score double, second_score double, _corrupt string"
 # Names and texts stand in double quotes, nothing else.
 _OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
@@ -15,15 +16,18 @@ def parsed(raw: Column) -> Column:
     return F.from_json(raw, _SHAPE, _OPTIONS)
 
 
-def whole_json(raw: Column) -> Column:
-    """Whether the text is one JSON document with nothing after it.
+def whole_document(raw: Column) -> Column:
+    """``array<struct<first_score, second_score, _end>>``: the response in a list before a mark of its own, parsed once.
 
-    The parser stops after a document. Standing inside a list the text must be one element, and standing as the value
-    of a name it must end the object, so text after it breaks one or the other.
+    The parser stops after a document. In the list a response that is one JSON document is the first of two elements; text after
+    it breaks the list, ends it early or makes more elements.
     """
-    element = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>", _OPTIONS)
-    named = F.from_json(F.concat(F.lit('{"r": '), raw, F.lit("}")), "r string, _corrupt string", _OPTIONS)
-    return F.coalesce((F.size(element) == 1) & named["_corrupt"].isNull() & named["r"].isNotNull(), F.lit(False))
+    return F.from_json(F.concat(F.lit("["), raw, F.lit(', {"_end": 1}]')), _LISTED, _OPTIONS)
+
+
+def is_whole(document: Column) -> Column:
+    """Whether the text held one JSON document and nothing after it."""
+    return F.coalesce((F.size(document) == 2) & (F.get(document, F.lit(1))["_end"] == 1), F.lit(False))
 
 
 def is_valid(raw: Column, fields: Column) -> Column:

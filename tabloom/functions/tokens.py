@@ -51,6 +51,11 @@ def split_tokens(text: Column, markers: Sequence[tuple[str, int]] = (), spaced:
     return F.regexp_extract_all(text, F.lit("|".join([*whole, pattern])), F.lit(0))
 
 
+def count_tokens(text: Column) -> Column:
+    """How many tokens :func:`split_tokens` would give, without listing them."""
+    return F.regexp_count(text, F.lit(TOKEN_PATTERN))
+
+
 def first_tokens(text: Column, limit: int) -> Column:
     """The text up to the end of its ``limit``-th token, spacing as it is."""
     return F.regexp_extract(text, rf"^(?s:\s*(?:{TOKEN_PATTERN})){{0,{limit}}}", 0)

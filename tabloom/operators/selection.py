@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.functions import fixed
-from tabloom.functions.tokens import split_tokens
+from tabloom.functions.tokens import count_tokens
 
 # Keys that a selection may sort at its end, the keys it samples per pass, and the ranges it counts.
 SORTED_ROWS = 100_000
@@ -125,6 +125,6 @@ def split_too_long(df: DataFrame, text: str, limit: int) -> tuple[DataFrame, Dat
     A text of ``limit`` characters cannot have more tokens, so only longer ones are counted.
     """
     may_be_long = F.coalesce(F.length(text) > limit, F.lit(False))
-    counted = once(df, F.when(may_be_long, F.size(split_tokens(F.col(text)))).otherwise(0), "tokens")
-    long = once(df.filter(may_be_long), F.size(split_tokens(F.col(text))), "tokens")
+    counted = once(df, F.when(may_be_long, count_tokens(F.col(text))).otherwise(0), "tokens")
+    long = once(df.filter(may_be_long), count_tokens(F.col(text)), "tokens")
     return counted.filter(F.col("tokens") <= limit).drop("tokens"), long.filter(F.col("tokens") > limit)

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.scores import is_valid, parsed, whole_json
+from tabloom.functions.scores import is_valid, is_whole, parsed, whole_document
 from tabloom.functions.text import mean_or_zero
+from tabloom.operators.selection import once
 
 MEGABYTE = 1024 * 1024
 
@@ -18,11 +19,14 @@ def with_scores(df: DataFrame, raw: str = "raw", strict: bool = True) -> DataFra
 
     Text after the JSON document voids the row too, unless ``strict`` is off.
     """
-    read = df.withColumn("_scores", parsed(F.col(raw)))
-    valid = is_valid(F.col(raw), F.col("_scores"))
     if strict:
-        valid = valid & whole_json(F.col(raw))
-    marked = read.withColumn("valid", valid)
+        document = once(df, whole_document(F.col(raw)), "_document")
+        read = document.withColumn("_scores", F.get("_document", F.lit(0)))
+        valid = is_whole(F.col("_document")) & is_valid(F.col(raw), F.col("_scores"))
+    else:
+        read = once(df, parsed(F.col(raw)), "_scores")
+        valid = is_valid(F.col(raw), F.col("_scores"))
+    marked = read.withColumn("valid", F.coalesce(valid, F.lit(False)))
     scores = [
         F.when(F.col("valid"), F.col("_scores")[n]).alias(n) for n in ("first_score", "second_score")
     ]
