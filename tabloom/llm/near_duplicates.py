@@ -1,6 +1,6 @@
 """Near duplicates by an inverted join of MinHash coordinates, confirmed on full sets.
 
-A document is the set of its 5-word shingles. Documents with equal sets are one node. A node's signature has
+A document is the set of its 5-word shingles. Rows with equal sets are one node, with or without an id. A node's signature has
 ``COORDINATES`` MinHash values; two nodes of similarity 0.75 agree in a coordinate with that probability, and agree in
 fewer than ``MATCHES`` of them about once in a million pairs. Nodes are posted under coordinate-value pairs.
 
@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import LOWER_BYTES, arrow_map, same
@@ -38,6 +38,12 @@ SLICE = 4_096
 # Similarity 75 in 100, in whole numbers.
 PART, WHOLE = 75, 100
 
+# Members of clusters that may be broadcast, some tens of bytes each: their number is counted first.
+BROADCAST_MEMBERS = 500_000
+# What tells rows apart: the id and two hashes of the text. What tells sets apart: the size and two sums over it.
+ROW = ["doc_id", "k1", "k2"]
+SET = ["n_shingles", "sum1", "sum2"]
+
 _generator = np.random.default_rng(20240229)
 MULTIPLIERS = _generator.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 WORD_FACTORS = _generator.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
@@ -88,8 +94,8 @@ def sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
         flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.ListArray.from_arrays(offsets, flat)],
-            ["doc_id", "n_shingles", "sum1", "sum2", "keys"],
+            [batch.column(0), *batch.columns[2:], pa.array(sizes, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.ListArray.from_arrays(offsets, flat)],
+            ["doc_id", *ROW[1:], *SET, "keys"],
         )
 
 
@@ -209,49 +215,79 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return tied(in_blocks(posts, "key", blocks), "key", agreeing)
 
 
-def links(clusters: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``a, b`` ties between nodes of one cluster whose sets are similar enough."""
-    members = clusters.join(nodes.select("id", "n"), "id")
+def links(clusters: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``a, b`` ties between nodes of one cluster whose sets are similar enough.
+
+    Each node is read from one row, the one named in ``first``; copies of that row come down to one before they travel.
+    """
+    members = materialize(clusters.join(nodes.select("id", "n", "first"), "id"), "members")
     sizes = members.groupBy("component").agg(F.count("*").alias("_n"), F.sum("n").alias("_s"))
     blocks = sizes.select("component", F.greatest(F.ceil(F.col("_n") / CLUSTER_BLOCK), F.ceil(F.col("_s") / BLOCK_SHINGLES)).alias("_blocks"))
-    # The members grow with the corpus, so they are never broadcast.
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(clusters.hint("merge"), "id")
+    read = members.select("id", "component", *[F.col(f"first.{c}").alias(f"_{c}") for c in ROW])
+    # The members grow with the corpus, so they are broadcast only while they are few.
+    read = F.broadcast(read) if members.count() <= BROADCAST_MEMBERS else read.hint("merge")
+    met = rows.join(read, (rows["k1"] == read["_k1"]) & (rows["k2"] == read["_k2"]) & same(rows["doc_id"], read["_doc_id"]))
+    texts = met.groupBy("id").agg(F.first("component").alias("component"), F.first("text").alias("text"))
     return tied(in_blocks(texts, "component", blocks), "component", confirmed)
 
 
+def grouped(docs: DataFrame) -> DataFrame:
+    """``doc_id, k1, k2, n_shingles, node, component_id`` per row: its group, and the least id in it.
+
+    Every distinct set is a node of its own, numbered by a hash of its size and sums, whatever the ids of its rows. Rows without
+    shingles have no node, and groups without an id no component.
+    """
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("k1"), F.hash(body).alias("k2"))
+    schema = "doc_id long, k1 long, k2 int, n_shingles long, sum1 long, sum2 long, keys array<long>"
+    signed = materialize(arrow_map(rows, sign_batches, schema), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), *ROW)).alias("first")
+    sets = signed.filter("n_shingles > 0").groupBy(*SET).agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), first)
+    nodes = materialize(sets.select(F.xxhash64(*SET).alias("id"), F.col("n_shingles").alias("n"), *SET, "keys", "least", "first"), "nodes")
+    clusters = materialize(components(candidates(nodes)), "clusters")
+    found = components(links(clusters, nodes, rows))
+    placed = nodes.select("id", *SET, "least").join(found, "id", "left").withColumn("node", F.coalesce("component", "id"))
+    leasts = placed.groupBy("node").agg(F.min("least").alias("component_id"))
+    named = placed.select(*SET, "node").join(leasts, "node")
+    return signed.select(*ROW, *SET).join(named, SET, "left").select(*ROW, "n_shingles", "node", "component_id")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
-    Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows that share an
-    id are one document. A row without an id takes the component of the documents with its set; it is kept only
-    if there are none. An empty table gives no rows.
+    Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows without an id are linked as
+    others are; they take the least id of their group and are kept only if it has none. Rows that share an id are each
+    judged by their own text; repeated rows are in one group. Long texts are whole rows; ties of ids do not matter. Other columns are
+    not read. An empty table gives no rows.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, sum1 long, sum2 long, keys array<long>"
-    signed = materialize(arrow_map(narrow, sign_batches, schema), "signatures")
-    own = ["n_shingles", "sum1", "sum2"]
-    sets = signed.filter("n_shingles > 0 and doc_id is not null").groupBy(*own).agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    nodes = materialize(sets.withColumn("n", F.col("n_shingles")), "nodes")
-    clusters = materialize(components(candidates(nodes)), "clusters")
-    found = components(links(clusters, nodes, narrow))
-    # Rows of one id with different sets belong together.
-    again = signed.filter("n_shingles > 0 and doc_id is not null").select("doc_id", *own).join(nodes.select(*own, "id"), own)
-    repeated = again.groupBy("doc_id").agg(F.min("id").alias("_least"), F.collect_set("id").alias("_ids")).filter(F.size("_ids") > 1)
-    extra = repeated.select(F.explode("_ids").alias("a"), F.col("_least").alias("b"))
-    if not extra.isEmpty():
-        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(extra))
-    named = nodes.select(*own, "id").join(found, "id", "left").select(*own, F.coalesce("component", "id").alias("_component"))
-    rows = signed.select("doc_id", *own).join(named, own, "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id"))
+    rows = grouped(docs)
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.when(F.col("doc_id").isNull(), F.col("component_id").isNull()).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, as they are.
+    """One row of each group of ``docs``, as it is: the one of the least id, of these the one of the least text hashes.
 
-    Rows that repeat an id stay or go together, and so do rows without an id: they stay if one of them is kept.
+    Rows without an id come after those with one. Of rows equal in id and text one stays, whatever their other columns hold. Rows
+    without shingles are in no group and all stay. Whole rows are met by the keys of those that go, which are few.
     """
-    kept = materialize(report(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    return docs.join(kept, same(docs["doc_id"].cast("long"), F.col("_kept")), "left_semi")
+    rows = materialize(grouped(docs).filter("n_shingles > 0").groupBy("node", *ROW).agg(F.count("*").alias("copies")), "grouped")
+    first = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), *ROW)).alias("_first"))
+    mine = (F.col("k1") == F.col("_first.k1")) & (F.col("k2") == F.col("_first.k2")) & same(F.col("doc_id"), F.col("_first.doc_id"))
+    marked = rows.join(first, "node").select(*[F.col(c).alias(f"_near_{c}") for c in ROW], (mine & (F.col("copies") > 1)).alias("_near_many"), mine.alias("_near_first"))
+    gone = materialize(marked.filter("_near_many or not _near_first").drop("_near_first"), "gone")
+
+    def met(keys: DataFrame) -> Column:
+        body = F.coalesce(docs["text"].cast("string"), F.lit(""))
+        return (F.xxhash64(body) == keys["_near_k1"]) & (F.hash(body) == keys["_near_k2"]) & same(docs["doc_id"].cast("long"), keys["_near_doc_id"])
+
+    left = docs.join(gone, met(gone), "left_anti")
+    many = gone.filter("_near_many")
+    if many.isEmpty():
+        return left
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_near_row")
+    copies = docs.join(many, met(many)).select(whole, *[f"_near_{c}" for c in ROW])
+    once = copies.groupBy(*[f"_near_{c}" for c in ROW]).agg(F.first("_near_row").alias("_near_row"))
+    return left.unionByName(once.select("_near_row.*"))

@@ -90,6 +90,30 @@ def test_first_of_each_keeps_rows_whole(hard_docs, empty_docs):
     assert near_duplicates.report(empty_docs).count() == 0
 
 
+def test_rows_without_an_id_and_texts_that_share_one(spark, monkeypatch):
+    """Near copies without an id are linked, one row of a group stays, and one id does not mix up two texts."""
+    pick = random.Random(8)
+    base, other, alone = (" ".join(f"w{pick.randint(0, 9_999)}" for _ in range(200)) for _ in range(3))
+    data = [
+        (5, base), (None, base + " and more"), (None, base), (None, base), (2, other), (3, base + " tail"), (2, alone), (2, alone), (9, other + " x"),
+        (None, "no id here"), (None, "no id here"), (None, ""), (None, None), (7, ""),
+    ]
+    names = "doc_id long, text string, _kept string, _first string, node string, k1 string, id string, component string"
+    docs = spark.createDataFrame([(*row, *"abcdef") for row in data], names)
+    for limit in (near_duplicates.BROADCAST_MEMBERS, 0):
+        monkeypatch.setattr(near_duplicates, "BROADCAST_MEMBERS", limit)
+        rows = near_duplicates.report(docs).collect()
+        assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in rows) == sorted(
+            [(5, 3, False), (0, 3, False), (0, 3, False), (0, 3, False), (2, 2, True), (3, 3, True), (2, 2, True), (2, 2, True), (9, 2, False),
+             (0, 0, True), (0, 0, True), (0, 0, True), (0, 0, True), (7, 7, True)]
+        )
+        kept = near_duplicates.first_of_each(docs)
+        assert kept.columns == docs.columns
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted(
+            [(2, other), (2, alone), (3, base + " tail"), (0, "no id here"), (0, ""), (0, ""), (7, "")]
+        )
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(n, n + 1) for n in range(0, 40)] + [(100, n) for n in range(101, 140)] + [(200, 200)]
     got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
