@@ -12,6 +12,8 @@ QUERIES = (
     "head_split", "instruction_scan_split", "encode", "encode_whole", "decode", "vocab", "vocab_whole", "vocab_frequent", "encode_marked", "training_steps_capped", "batched_map", "pad_longest_in_batch", "training_batches",
     "collated_batches", "generate_stub", "pair_outputs", "judge_stub", "evaluate_engine", "experiment_run", "score_by_engine",
     "engines_side_by_side", "run_status", "latency_by_engine", "experiment_log_history", "score_stream", "calibration_sample",
+    "csv_problems_split", "json_array_split", "experiment_log_split", "decode_exact", "subword_encode", "subword_decode", "subword_vocab",
+    "subword_training_rows", "subword_batches", "render_compiled", "calls_resumed", "first_token_latency", "log_concurrent", "score_stream_replaced",
 )
 
 
