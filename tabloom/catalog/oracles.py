@@ -284,6 +284,11 @@ SELECT conv_id, turn, text, array_to_string(list_concat(ids, {fill('2', '512 - l
   array_to_string(list_concat({fill('1', 'len(ids)')}, {fill('0', '512 - len(ids)')}), ' ') AS attention_mask
 FROM encoded
 """
+ORACLES["prepared_instruction_rows"] = encoded("conv_id, turn", _ALPACA, vocabulary(_ALPACA), 512) + f"""
+SELECT conv_id, turn, array_to_string(list_concat(ids, {fill('2', '512 - len(ids)')}), ' ') AS input_ids,
+  array_to_string(list_concat({fill('1', 'len(ids)')}, {fill('0', '512 - len(ids)')}), ' ') AS attention_mask
+FROM encoded
+"""
 ORACLES["pad_longest_in_batch"] = DOC_IDS + f""",
 batched AS (SELECT *, (row_number() OVER (ORDER BY example_id) - 1) // 8 AS batch_id FROM encoded),
 sized AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS longest FROM batched)
@@ -553,4 +558,11 @@ SELECT kind, CASE WHEN kind = 'run success' THEN 1 ELSE n END AS n
 FROM (SELECT unnest(['base', 'compared standard_inference', 'compared vllm_inference', 'run success']) AS kind),
   (SELECT count(*) AS n FROM ({PAIRS}))
 """
+_N = """len(regexp_extract_all("Problem", '[^ \\n]+'))"""
+_SAID = "'{\"first_score\": ' || least(10, %d, " + _N + ") || ', \"second_score\": ' || least(10, " + _N + ") || '}'"
+ORACLES["outputs_values"] = f"""
+SELECT 'base' AS kind, conv_id, turn, {_BASE} AS text FROM ({PAIRS})
+UNION ALL SELECT 'standard_inference', conv_id, turn, {_SAID % 32} FROM ({PAIRS})
+UNION ALL SELECT 'vllm_inference', conv_id, turn, {_SAID % 6} FROM ({PAIRS})
+"""
 ORACLES["experiment_counts"] = f"SELECT DISTINCT evaluation_type, CAST(2 AS BIGINT) AS experiments FROM ({RESPONSES})"

@@ -381,6 +381,14 @@ def prepared_training_rows(spark, folder):
     )
 
 
+@query
+def prepared_instruction_rows(spark, folder):
+    rows = fixtures.instructions(spark, folder)
+    known = materialize(vocabulary.build_vocabulary(training.training_texts(rows, "alpaca")), "vocabulary")
+    ready = training.prepare(rows, known, "Alpaca", TURN_KEY)
+    return ready.select(*TURN_KEY, joined("input_ids").alias("input_ids"), joined("attention_mask").alias("attention_mask"))
+
+
 @query
 def pad_longest_in_batch(spark, folder):
     stored = materialize(encoded_texts(spark, folder), "encoded")
@@ -781,6 +789,17 @@ def outputs_written(spark, folder):
     return experiment.bag_union([base, compared, record])
 
 
+@query
+def outputs_values(spark, folder):
+    """The same, value by value: base answers and judge responses as they were written."""
+    out, log = work_path(spark, "results"), work_path(spark, "log")
+    rows = fixtures.pairs(spark, folder)
+    experiment.run_experiment(rows, stub_experiment(), out, log)
+    base = spark.read.parquet(out).filter("engine = 'base'").select(F.lit("base").alias("kind"), *TURN_KEY, F.col("generated_solution").alias("text"))
+    compared = experiment_log.read_comparisons(spark, log, rows.select(*TURN_KEY).schema)
+    return base.unionByName(compared.select(F.col("evaluation_type").alias("kind"), *TURN_KEY, F.col("raw").alias("text")))
+
+
 @query
 def experiment_counts(spark, folder):
     """Experiments per evaluation type in a log of two runs."""
