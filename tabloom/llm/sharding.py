@@ -18,6 +18,10 @@ from tabloom.session import materialize, work_path
 
 SLOTS = 4_096
 ROW_BYTES = 16
+# Rows of a slot are numbered in this many parts, so that a key of very many rows, such as null, is spread over tasks.
+PARTS = 64
+# Repeated rows that are numbered together.
+CHUNK = 10_000
 
 
 def slot_of(key: Column, slots: int = SLOTS) -> Column:
@@ -105,8 +109,10 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     """``<key>, size, text_crc32, law, shard, slot, grown_shard, vslot`` for every row.
 
     ``slot`` numbers the rows of a shard from 0 without gaps: the virtual slots of a shard follow each
-    other, and rows follow in the order of key, size and checksum within theirs. Null keys and null
-    texts count as such and as empty; repeated rows get a number each; an empty table gives no rows.
+    other, the ``PARTS`` parts of a slot, by a hash of size and checksum, follow each other within it, and rows follow in the order of
+    key, size and checksum within theirs. Null keys and null
+    texts count as such and as empty; repeated rows get a number each; an empty table gives no rows. Of texts, long ones too, only
+    size and checksum travel. Other columns are not read.
     """
     spark = docs.sparkSession
     counted = materialize(sizes(docs, key, text, slots), "slot-rows")
@@ -119,12 +125,23 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     now, later = read_map(spark, path, 1), read_map(spark, path, 2).select("vslot", F.col("shard").alias("grown_shard"))
     earlier = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     places = now.withColumn("_offset", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).join(F.broadcast(later), "vslot")
-    within = Window.partitionBy("vslot").orderBy(F.col(key).asc_nulls_first(), "size", "text_crc32")
-    placed = counted.withColumn("_end", F.sum("copies").over(within)).join(
-        F.broadcast(places.select(F.col("vslot").alias("_v"), "shard", "grown_shard", "_offset")), same(F.col("vslot"), F.col("_v"))
+    # One row per part: bounded by ``slots`` times ``PARTS``.
+    part = F.pmod(F.xxhash64("size", "text_crc32"), F.lit(PARTS)).alias("_part")
+    parted = counted.select("*", part)
+    before = Window.partitionBy("_v").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    held = parted.groupBy(F.col("vslot").alias("_v"), F.col("_part").alias("_p")).agg(F.sum("copies").alias("_rows"))
+    starts = held.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    starts = starts.join(F.broadcast(places.select(F.col("vslot").alias("_v"), "shard", "grown_shard", "_offset")), "_v")
+    within = Window.partitionBy("vslot", "_part").orderBy(F.col(key).asc_nulls_first(), "size", "text_crc32")
+    placed = parted.withColumn("_end", F.sum("copies").over(within)).join(
+        F.broadcast(starts), same(F.col("vslot"), F.col("_v")) & same(F.col("_part"), F.col("_p"))
     )
-    last = F.col("_offset") + F.col("_end")
-    return placed.select(
-        key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "grown_shard", "vslot",
-        F.explode(F.sequence(last - F.col("copies"), last - 1)).alias("slot"),
+    first = F.col("_offset") + F.col("_start") + F.col("_end") - F.col("copies")
+    chunks = placed.select(
+        key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "grown_shard", "vslot", (first + F.col("copies") - 1).alias("_last"),
+        F.explode(F.sequence(first, first + F.col("copies") - 1, F.lit(CHUNK).cast("long"))).alias("_first"),
+    )
+    return chunks.select(
+        *[c for c in chunks.columns if not c.startswith("_")],
+        F.explode(F.sequence("_first", F.least(F.col("_first") + CHUNK - 1, F.col("_last")))).alias("slot"),
     )

@@ -230,6 +230,17 @@ def test_cutoffs_are_the_strictest_certified(spark):
     assert not stricter[3_000] and stricter[3_001] and stricter[999]
 
 
+def test_a_third_of_the_rows_without_a_key_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 7)
+    docs = spark.range(0, 3_000).selectExpr("IF(id % 3 = 0, NULL, id) AS doc_id", "concat('t', id % 900) AS text")
+    rows = sharding.shard_documents(docs, 5, slots=64).collect()
+    assert len(rows) == 3_000 and sum(r["doc_id"] is None for r in rows) == 1_000
+    for shard in range(5):
+        own = sorted(r["slot"] for r in rows if r["shard"] == shard)
+        assert own == list(range(len(own)))
+    assert len({r["shard"] for r in rows if r["doc_id"] is None}) == 1
+
+
 def test_sharding(spark, hard_docs, hard_rows, empty_docs):
     rows = sharding.shard_documents(hard_docs, 4, slots=64).collect()
     assert len(rows) == len(hard_rows)
