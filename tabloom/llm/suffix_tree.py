@@ -63,6 +63,7 @@ class SuffixAutomaton:
         symbols = np.append(np.flatnonzero(seen), np.flatnonzero(~seen)[:1] if not seen.all() else 0)
         self.following = np.zeros((len(nodes), width), np.int32)
         self.scores = np.empty((len(nodes), width), np.float32)
+        self.depths = np.zeros(len(nodes), np.int8)
         fail, row_of = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
         children: list[list[tuple[int, int]]] = [[] for _ in nodes]
         for string, n in number.items():
@@ -70,6 +71,7 @@ class SuffixAutomaton:
                 children[number[string[:-1]]].append((int(self.classes[string[-1]]), n))
         for n, string in enumerate(nodes):
             row_of[n] = strings[string] if string in strings else row_of[fail[n]]
+            self.depths[n] = len(string) if string in strings else self.depths[fail[n]]
             if n:
                 self.following[n] = self.following[fail[n]]
             for kind, child in children[n]:
@@ -78,8 +80,18 @@ class SuffixAutomaton:
                 self.following[n, kind] = child
             self.scores[n] = np.log10(rows[row_of[n]][symbols])
 
-    def score(self, stream: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Log probabilities of stretches of a byte stream; each is preceded by ``DEPTH`` bytes that set its state."""
+    def after(self, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How long the context is that is found before the last byte of packed sequences, and the log probability of that byte."""
+        states = np.zeros(len(packed), np.int64)
+        for k in range(DEPTH, 0, -1):
+            states = self.following[states, self.classes[packed >> 8 * k & 255]]
+        return self.depths[states], self.scores[states, self.classes[packed & 255]]
+
+    def score(self, stream: np.ndarray, begin: np.ndarray, size: np.ndarray, depths: np.ndarray | None = None) -> np.ndarray:
+        """Log probabilities of stretches of a byte stream; each is preceded by ``DEPTH`` bytes that set its state.
+
+        ``depths``, as long as the stream, is told how long the context is that was found before each of their bytes.
+        """
         kinds = self.classes[stream]
         order = np.argsort(-size, kind="stable")
         at, left = begin[order], -size[order]
@@ -91,6 +103,8 @@ class SuffixAutomaton:
             cell = states[:k] * width + kinds[at[:k] + step]
             if step >= 0:
                 sums[:k] += scores[cell]
+                if depths is not None:
+                    depths[at[:k] + step] = self.depths[states[:k]]
             states[:k] = following[cell]
         back = np.empty(len(order))
         back[order] = sums

@@ -139,6 +139,15 @@ def test_scores(hard_docs, hard_rows, empty_docs, monkeypatch):
     assert lm_scoring.score_documents(empty_docs).count() == 0
 
 
+@pytest.mark.parametrize("most, most_sequences", [(0, 0), (1, 60), (40, 0), (40, 60), (400, 10**6)])
+def test_scores_are_those_of_the_whole_tree(hard_docs, most, most_sequences):
+    """However many of its contexts go to every task."""
+    told = lambda rows: sorted(((r["doc_id"] or -1, r["n_tokens"], r["score"]) for r in rows))
+    whole, cut = (told(lm_scoring.score_documents(hard_docs, most=n, most_sequences=most_sequences).collect()) for n in (10**9, most))
+    assert [r[:2] for r in cut] == [r[:2] for r in whole]
+    assert [r[2] for r in cut] == pytest.approx([r[2] for r in whole], rel=1e-5)
+
+
 def test_tree_scores_the_longest_kept_suffix(monkeypatch):
     texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog"] * 30
     lists = [lm_scoring.words_of(t) for t in texts]
