@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 from tabloom.functions import tokens
 from tabloom.functions.tokens import SpecialIds
 from tabloom.operators.ordering import key_position
+from tabloom.session import materialize
 
 BROADCAST_BYTES = 64 << 20
 ENTRY_BYTES = 64
 UNKNOWN_TOKEN = "<unk>"
 # Entries of a large vocabulary that are broadcast on their own.
-FREQUENT_ENTRIES = 50_000
+FREQUENT_ENTRIES = 200_000
+# Tokens that are looked up and regrouped in one task, so that sorting them does not spill.
+TASK_TOKENS = 1_000_000
 
 
 def token_counts(texts: DataFrame, text: str = "text", special: SpecialIds = SpecialIds(), spaced: bool = False) -> DataFrame:
@@ -61,26 +64,31 @@ def _with_markers(vocabulary: DataFrame, special: SpecialIds) -> DataFrame:
     return vocabulary.select("token", "n", F.col("id").cast("int").alias("id")).unionByName(rows)
 
 
-def _look_up(exploded: DataFrame, vocabulary: DataFrame, on: str, broadcast: bool, hopeless: Column) -> DataFrame:
-    """Left-join ``_token, _id`` by either of them.
+def _entries(vocabulary: DataFrame, broadcast: bool) -> tuple[DataFrame, DataFrame | None]:
+    """``_token, _id`` to broadcast, and all of them if these are not all.
 
-    A vocabulary too large to broadcast is split. Its most frequent entries, which could each hold a
-    large share of all tokens, are broadcast when they fit; only what they leave open is shuffled, and no
-    single one of the remaining entries is frequent. ``hopeless`` rows, which match nothing and may be
-    many, are not shuffled either.
+    Of a vocabulary too large to broadcast the most frequent entries, which could each hold a large share of all tokens, are broadcast
+    when they fit. No single one of the others is frequent.
     """
-    found, kind = ("_id", "int") if on == "_token" else ("_token", "string")
-    entries = vocabulary.select(F.col("token").alias("_token"), F.col("id").cast("int").alias("_id"))
+    named = lambda rows: rows.select(F.col("token").alias("_token"), F.col("id").cast("int").alias("_id"))
     if broadcast:
-        return exploded.join(F.broadcast(entries), on, "left")
-    frequent = vocabulary.orderBy(F.desc("n"), "token").limit(FREQUENT_ENTRIES)
-    if fits_broadcast(frequent):
-        head = frequent.select(F.col("token").alias("_token"), F.col("id").cast("int").alias("_id"))
-        met = exploded.join(F.broadcast(head), on, "left")
+        return named(vocabulary), None
+    frequent = materialize(vocabulary.orderBy(F.desc("n"), "token").limit(FREQUENT_ENTRIES), "frequent-entries")
+    return named(frequent if fits_broadcast(frequent) else vocabulary.limit(0)), named(vocabulary)
+
+
+def _gathered(rows: DataFrame, rare: DataFrame | None, key: Sequence[str], vocabulary: DataFrame) -> DataFrame:
+    """Lists of rows and what was looked up for their rare parts, dealt by key; ``rare`` is ``key, _at, _found``.
+
+    They come together by key once and stay there. The counts of the vocabulary tell into how many tasks.
+    """
+    total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if "n" in vocabulary.columns else 0
+    tasks = max(1, -(-total // TASK_TOKENS))
+    if rare is None:
+        every = rows.withColumns({"_at": F.lit(None).cast("int"), "_found": F.lit(None)})
     else:
-        met = exploded.withColumn(found, F.lit(None).cast(kind))
-    settled = F.col(found).isNotNull() | hopeless
-    return met.filter(settled).unionByName(met.filter(~settled).drop(found).join(entries, on, "left"))
+        every = rows.unionByName(rare, allowMissingColumns=True)
+    return every.repartition(tasks, *key)
 
 
 def encode(
@@ -92,25 +100,33 @@ def encode(
 
     Texts are split and cut where they are read, and the remaining tokens travel once, by key, as one
     compact blank-separated text. Exploding, looking up and regrouping then happen inside those
-    partitions. ``broadcast`` is measured when not given: pass a stored vocabulary. Markers of ``special`` are one
+    partitions. Tokens that are not among the broadcast entries are looked up before, by token, and meet their text there; texts are then
+    read twice. ``broadcast`` is measured when not given: pass a stored vocabulary. Markers of ``special`` are one
     token each, with the ids given there. Keys must be unique: the tokens of rows with one key come out as one list.
     """
     if broadcast is None:
         broadcast = fits_broadcast(vocabulary)
-    vocabulary = _with_markers(vocabulary, special)
+    near, entries = _entries(_with_markers(vocabulary, special), broadcast)
     words = tokens.split_tokens(F.coalesce(F.col(text), F.lit("")), special.markers, spaced)
     if max_length is not None:
         words = tokens.truncated(words, max_length - (2 if add_special else 0))
-    # Tokens without blanks travel as one text; those with blanks cannot be told apart in one.
-    compact = texts.select(*key, (words if spaced else F.array_join(words, " ")).alias("_words")).repartition(*key)
-    listed = F.col("_words") if spaced else F.when(F.col("_words") != "", F.split("_words", " "))
-    exploded = compact.select(*key, F.posexplode_outer(listed).alias("_pos", "_token"))
+    rare = None
+    if entries is not None:
+        open_ = texts.select(*key, F.posexplode(words).alias("_at", "_token")).join(F.broadcast(near), "_token", "left_anti")
+        rare = open_.join(entries, "_token", "left").select(*key, "_at", F.coalesce("_id", F.lit(special.unknown)).alias("_found"))
+    # Tokens travel as one text; those with blanks are told apart again by the same rule.
+    compact = texts.select(*key, F.array_join(words, "" if spaced else " ").alias("_words"))
+    again = tokens.split_tokens(F.col("_words"), special.markers, spaced=True)
+    listed = again if spaced else F.when(F.col("_words") != "", F.split("_words", " "))
+    exploded = _gathered(compact, rare, key, vocabulary).select(*key, "_at", "_found", F.posexplode_outer(listed).alias("_pos", "_token"))
+    found = F.coalesce("_found", "_id") if entries is not None else F.coalesce("_id", F.lit(special.unknown))
     # Position above, id below: one long per token sorts without comparing structs.
-    packed = F.shiftleft(F.col("_pos").cast("long"), 32) + F.coalesce("_id", F.lit(special.unknown))
+    packed = F.shiftleft(F.coalesce("_at", "_pos").cast("long"), 32) + found
     ids = (
-        _look_up(exploded, vocabulary, "_token", broadcast, F.col("_token").isNull())
+        exploded.join(F.broadcast(near), "_token", "left")
+        .select(*key, packed.alias("_one"))
         .groupBy(*key)
-        .agg(F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), packed))).alias("_packed"))
+        .agg(F.sort_array(F.collect_list("_one")).alias("_packed"))
     )
     unpacked = F.transform("_packed", lambda p: (p % F.lit(1 << 32)).cast("int"))
     framed = tokens.framed(unpacked, special) if add_special else unpacked
@@ -121,21 +137,27 @@ def decode(
     encoded: DataFrame, vocabulary: DataFrame, key: Sequence[str], ids: str = "input_ids", out: str = "text",
     special: SpecialIds = SpecialIds(), skip_special: bool = True, broadcast: bool | None = None, spaced: bool = False,
 ) -> DataFrame:
-    """``key, text``: tokens joined by single blanks, or as they are if ``spaced``, which gives the text that was encoded."""
+    """``key, text``: tokens joined by single blanks, or as they are if ``spaced``, which gives the text that was encoded.
+
+    Ids are looked up as tokens are by :func:`encode`; those that are unknown are not shuffled on their own.
+    """
     if broadcast is None:
         broadcast = fits_broadcast(vocabulary)
-    vocabulary = _with_markers(vocabulary, special)
+    near, entries = _entries(_with_markers(vocabulary, special), broadcast)
     reserved = sorted({special.begin, special.end, special.padding})
     kept = tokens.without_ids(F.col(ids), reserved) if skip_special else F.col(ids)
-    exploded = (
-        encoded.select(*key, ids).repartition(*key)
-        .select(*key, F.posexplode_outer(kept).alias("_pos", "_id"))
-    )
-    hopeless = F.col("_id").isNull() | (F.col("_id") == special.unknown)
-    named = _look_up(exploded, vocabulary, "_id", broadcast, F.coalesce(hopeless, F.lit(True)))
-    token = F.coalesce("_token", F.lit(UNKNOWN_TOKEN))
-    pair = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), token.alias("token")))
-    gathered = named.groupBy(*key).agg(F.sort_array(F.collect_list(pair)).alias("_pairs"))
+    lists, rare = encoded.select(*key, kept.alias("_ids")), None
+    if entries is not None:
+        open_ = lists.select(*key, F.posexplode("_ids").alias("_at", "_id")).filter(F.col("_id") != special.unknown)
+        open_ = open_.join(F.broadcast(near), "_id", "left_anti")
+        rare = open_.join(entries, "_id", "left").select(*key, "_at", F.coalesce("_token", F.lit(UNKNOWN_TOKEN)).alias("_found"))
+    exploded = _gathered(lists, rare, key, vocabulary).select(*key, "_at", "_found", F.posexplode_outer("_ids").alias("_pos", "_id"))
+    hopeless = F.coalesce(F.col("_id") == special.unknown, F.lit(True)) if entries is not None else F.lit(True)
+    token = F.coalesce("_found", "_token", F.when(hopeless, UNKNOWN_TOKEN))
+    place = F.coalesce("_at", "_pos")
+    pair = F.when(place.isNotNull() & token.isNotNull(), F.struct(place.alias("pos"), token.alias("token")))
+    named = exploded.join(F.broadcast(near), "_id", "left").select(*key, pair.alias("_pair"))
+    gathered = named.groupBy(*key).agg(F.sort_array(F.collect_list("_pair")).alias("_pairs"))
     return gathered.select(*key, F.array_join(F.transform("_pairs", lambda p: p["token"]), "" if spaced else " ").alias(out))
 
 

@@ -95,3 +95,19 @@ def test_spaced_tokens_give_back_the_text(spark):
         assert {r["id"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
         assert {r["id"]: r["length"] for r in ids.collect()}[7] == 4
     known.unpersist()
+
+
+@pytest.mark.parametrize("spaced", [False, True])
+def test_lists_are_regrouped_in_tasks_of_few_tokens(texts, spaced, monkeypatch):
+    """Frequent tokens travel with their text alone, and the tasks follow from the counts, not from the bytes."""
+    monkeypatch.setattr(vocabulary, "FREQUENT_ENTRIES", 1)
+    monkeypatch.setattr(vocabulary, "TASK_TOKENS", 3)
+    known = build_vocabulary(texts, spaced=spaced).cache()
+    assert known.agg(F.sum("n")).first()[0] == (10 if spaced else 9)
+    ids = encode(texts, known, ["id"], broadcast=False, spaced=spaced).cache()
+    assert ids.rdd.getNumPartitions() == (4 if spaced else 3)
+    back = decode(ids, known, ["id"], broadcast=False, spaced=spaced)
+    assert back.rdd.getNumPartitions() == (4 if spaced else 3)
+    whole = decode(encode(texts, known, ["id"], broadcast=True, spaced=spaced), known, ["id"], broadcast=True, spaced=spaced)
+    assert sorted(back.collect()) == sorted(whole.collect())
+    known.unpersist(), ids.unpersist()
