@@ -26,7 +26,9 @@ from tabloom.session import ship
 # Contractions, words, numbers and signs with the blank before them, runs of white space: together they cover every text.
 PIECES = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Distinct pieces a task remembers between batches.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
+# Pieces or ids that a task handles at once, one row at least.
+AT_ONCE = 200_000
 
 
 @dataclass(frozen=True)
@@ -100,12 +102,22 @@ def pieces(text: Column, subwords: Subwords) -> Column:
     return F.flatten(joined)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], carried: int, size: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows whose lists at place ``carried`` are not long together, one row at least."""
+    for batch in batches:
+        ends, start = batch.column(carried).offsets.to_numpy(), 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, ends[start] + size, "right")) - 1)
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def _encoder(subwords: Subwords, ranks: dict[bytes, int], max_length: int | None, carried: int):
     markers = dict(subwords.special.markers)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembered: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in _parts(batches, carried):
             listed = batch.column(carried)
             coded = listed.flatten().dictionary_encode()
             known = []
@@ -120,12 +132,15 @@ def _encoder(subwords: Subwords, ranks: dict[bytes, int], max_length: int | None
             widths = np.diff(by_piece.offsets.to_numpy()) if len(by_piece) else np.empty(0, np.int64)
             ends = np.concatenate(([0], np.cumsum(widths)))
             offsets = ends[listed.offsets.to_numpy() - listed.offsets[0].as_py()]
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), by_piece.flatten())
+            flat, lengths = by_piece.flatten(), np.diff(offsets)
             if max_length is not None:
-                ids = pa.array([row[:max_length] for row in ids.to_pylist()], pa.list_(pa.int32()))
-            lengths = pa.array(np.diff(ids.offsets.to_numpy()), pa.int32())
+                lengths = np.minimum(lengths, max_length)
+                starts = np.concatenate(([0], np.cumsum(lengths)))
+                flat = flat.take(pa.array(np.arange(starts[-1]) + np.repeat(offsets[:-1] - starts[:-1], lengths)))
+                offsets = starts
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:carried], ids, lengths], names=[*batch.schema.names[:carried], "input_ids", "length"]
+                [*batch.columns[:carried], ids, pa.array(lengths, pa.int32())], names=[*batch.schema.names[:carried], "input_ids", "length"]
             )
 
     return step
@@ -158,7 +173,7 @@ def encode(
 def _decoder(table: list[bytes], carried: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(table, pa.binary())
-        for batch in batches:
+        for batch in _parts(batches, carried):
             listed = batch.column(carried)
             ids = listed.flatten().to_numpy(zero_copy_only=False)
             inside = (ids >= 0) & (ids < len(table))
@@ -166,8 +181,8 @@ def _decoder(table: list[bytes], carried: int):
             ends = np.concatenate(([0], np.cumsum(pa.compute.binary_length(parts).to_numpy(zero_copy_only=False))))
             offsets = ends[listed.offsets.to_numpy() - listed.offsets[0].as_py()].astype(np.int64)
             # The parts lie one after the other, so a text is a stretch of them.
-            joined = b"".join(parts.to_pylist())
-            texts = [joined[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
+            joined = memoryview(parts.buffers()[2] or b"")
+            texts = [str(joined[a:b], "utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:carried], pa.array(texts, pa.string())], names=[*batch.schema.names[:carried], "text"])
 
     return step

@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -104,3 +105,18 @@ def test_no_rows(spark):
 def test_nothing_is_shuffled(spark):
     ids = subwords.encode(spark.range(5).selectExpr("id", "'some text' AS text"), PLAIN, ["id"])
     assert "Exchange" not in subwords.decode(ids, PLAIN, ["id"])._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [1, 7, 10**6])
+def test_batches_are_handled_in_runs_of_rows(spark, library, size):
+    """However long they are, and for slices of batches too."""
+    texts = [t or "" for t in TEXTS] + hostile(40) + ["a b c d e f g h i"]
+    codes = [library.encode_ordinary(t) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(codes, pa.list_(pa.int32()))], ["id", "_ids"])
+    table = [b""] * (2 + max(PLAIN.ranks().values()))
+    for token, number in PLAIN.ranks().items():
+        table[number] = token
+    runs = list(subwords._parts([batch.slice(1), batch.slice(0, 1)], 1, size))
+    assert all(r.num_rows == 1 or len(r.column(1).flatten()) <= size for r in runs) and sum(r.num_rows for r in runs) == len(texts)
+    told = {i: t for r in subwords._decoder(table, 1)(iter(runs)) for i, t in zip(r.column(0).to_pylist(), r.column(1).to_pylist())}
+    assert told == dict(enumerate(texts))
