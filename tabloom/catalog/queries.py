@@ -475,9 +475,9 @@ def csv_problems_split(spark, folder):
 
 @query
 def json_array_split(spark, folder):
-    """All texts in one JSON array file, read in as many tasks as it has splits."""
+    """All texts in JSON array files, one per 256 MB, each read in as many tasks as it has splits."""
     rows, path = fixtures.texts(spark, folder), work_path(spark, "array")
-    results.write_json_array(rows.repartition(1), path)
+    results.write_json_array(results.in_files(rows, ["text"]), path)
     return results.read_json_array(spark, path, rows.schema).select(*TEXT_KEY, "text")
 
 

@@ -13,6 +13,9 @@ from tabloom.schemas import BASE_OUTPUT_FILE, GENERATION_FILE
 from tabloom.session import ship
 from tabloom.sources import splits
 
+# Text in one file that a single task writes.
+FILE_BYTES = 256 << 20
+
 
 def result_columns(df: DataFrame, problem: str = "Problem", solution: str = "Solution") -> list:
     """The projection of a generation record, for ``df.select``."""
@@ -52,6 +55,13 @@ def read_json_array(spark: SparkSession, path: str | Sequence[str], schema: T.St
     return rows.select("file", "position", F.from_json("text", schema).alias("_object")).select("file", "position", "_object.*")
 
 
+def in_files(df: DataFrame, texts: Sequence[str], size: int = FILE_BYTES) -> DataFrame:
+    """The rows dealt to as many tasks as files of about ``size`` bytes of text ask for: one if they are few."""
+    length = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0)).cast("long")
+    total = df.agg(F.coalesce(F.sum(length), F.lit(0))).first()[0]
+    return df.repartition(max(1, -(-total // size)))
+
+
 def write_json_array(df: DataFrame, path: str, head: str = "[", tail: str = "]") -> None:
     """The rows as JSON arrays, one file per task, an object a line; tasks without rows leave no array."""
     ship(df.sparkSession)

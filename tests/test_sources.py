@@ -183,3 +183,14 @@ def test_run_records_accumulate(spark, tmp_path):
     for run in ("r1", "r2"):
         runs.write_run(spark.range(1).select(F.lit(run).alias("run_id")), str(tmp_path / "runs"))
     assert spark.read.json(str(tmp_path / "runs")).count() == 2
+
+
+@pytest.mark.parametrize("size, count", [(1 << 20, 1), (100, 10), (300, 4)])
+def test_arrays_are_written_by_tasks_of_bounded_size(spark, tmp_path, size, count):
+    rows = spark.createDataFrame([*((i, "é" * 50) for i in range(10)), (10, None)], "example_id long, text string")
+    path = str(tmp_path / "array")
+    dealt = results.in_files(rows, ["text"], size)
+    assert dealt.rdd.getNumPartitions() == count
+    results.write_json_array(dealt, path)
+    read = results.read_json_array(spark, path, rows.schema).select("example_id", "text")
+    assert sorted(read.collect()) == sorted(rows.collect())
