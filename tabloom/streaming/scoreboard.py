@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
 from decimal import Decimal
 
@@ -23,6 +24,8 @@ STATE_PARTITIONS = 4
 # Where state is a row per key it is spread over more of them, and kept outside the memory of executors.
 KEYED_PARTITIONS = 32
 KEY_SHARES = 256
+# Keys of a share that are read and written together: blocks hold few keys, so a response moves few others.
+KEY_BLOCKS = 512
 KEYED_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEPT_VERSIONS = 3
 CHANGES = T.StructType(
@@ -112,28 +115,37 @@ def latest_board(spark: SparkSession, out: str, before: int | None = None) -> Da
 class LastScores(StatefulProcessor):
     """Per experiment and share of its keys: the last response of every key, and by how much it changes the sums.
 
-    A response replaces one of a lower attempt; one of the same or a higher attempt that is known already changes nothing.
+    A response replaces one of a lower attempt; one of the same or a higher attempt that is known already changes nothing. Keys are stored
+    in blocks, as every access to the state is a message to the JVM.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getMapState("last", "item string", "attempt long, valid boolean, first decimal(38,10), second decimal(38,10)")
+        self._blocks = handle.getMapState("blocks", "block int", "entries string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         newest: dict[str, tuple] = {}
         for batch in rows:
-            for item, attempt, valid, first, second in batch[["item", "attempt", "valid", "first", "second"]].itertuples(index=False):
+            for item, attempt, valid, first, second in zip(*(batch[c].tolist() for c in ("item", "attempt", "valid", "first", "second"))):
                 if item not in newest or attempt > newest[item][0]:
                     newest[item] = (int(attempt), bool(valid), first, second)
+        blocks: dict[int, list[str]] = {}
+        for item in newest:
+            blocks.setdefault(zlib.crc32(item.encode()) % KEY_BLOCKS, []).append(item)
         change = [Decimal(0), Decimal(0), 0, 0]
-        for item, now in newest.items():
-            before = self._last.getValue((item,)) if self._last.containsKey((item,)) else None
-            if before is not None and before[0] >= now[0]:
-                continue
-            self._last.updateValue((item,), now)
-            for (_, valid, first, second), sign in ((now, 1), *([(tuple(before), -1)] if before is not None else [])):
-                change[3] += sign
-                if valid:
-                    change[0], change[1], change[2] = change[0] + sign * first, change[1] + sign * second, change[2] + sign
+        for block, items in blocks.items():
+            stored, replaced = self._blocks.getValue((block,)), False
+            known = json.loads(stored[0]) if stored else {}
+            for item in items:
+                now, before = newest[item], known.get(item)
+                if before is not None and before[0] >= now[0]:
+                    continue
+                known[item], replaced = [now[0], now[1], *(map(str, now[2:]) if now[1] else ())], True
+                for (_, valid, *scores), sign in ((now, 1), *([(before, -1)] if before is not None else [])):
+                    change[3] += sign
+                    if valid:
+                        change[0], change[1], change[2] = change[0] + sign * Decimal(scores[0]), change[1] + sign * Decimal(scores[1]), change[2] + sign
+            if replaced:
+                self._blocks.updateValue((block,), (json.dumps(known),))
         if newest:
             yield pd.DataFrame({
                 "experiment_id": [key[0]], "evaluation_type": [key[1]], "first": [change[0]], "second": [change[1]],

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import types as T
 
 from tabloom.sources import versions
@@ -71,3 +73,26 @@ def test_a_batch_is_published_once(spark, tmp_path):
     assert scoreboard.latest_board(spark, out).count() == 3
     spark.range(5).write.parquet(f"{out}/boards/1-half")  # written, not named
     assert scoreboard.latest_board(spark, out).count() == 3 and scoreboard.latest_board(spark, out, before=0) is None
+
+
+def test_state_is_read_and_written_in_blocks_of_keys():
+    """Not once or more per key: every access is a message to the JVM."""
+    stored, messages = {}, []
+
+    class Map:
+        def getValue(self, key):
+            messages.append(key)
+            return stored.get(key)
+
+        def updateValue(self, key, value):
+            messages.append(key)
+            stored[key] = value
+
+    board, keys = scoreboard.LastScores(), 5_000
+    board.init(type("Handle", (), {"getMapState": lambda self, *_: Map()})())
+    for attempt, sums in ((0, (keys, keys, keys, keys)), (0, (0, 0, 0, 0)), (1, (keys, 0, 0, 0))):
+        rows = pd.DataFrame({"item": [f"k{i}" for i in range(keys)], "attempt": attempt, "valid": True, "first": Decimal(1 + attempt), "second": Decimal(1)})
+        messages.clear()
+        (told,) = board.handleInputRows(("e", "a"), iter([rows]), None)
+        assert tuple(told.loc[0, ["first", "second", "valid", "responses"]]) == sums
+        assert len(messages) <= 2 * scoreboard.KEY_BLOCKS
