@@ -16,13 +16,12 @@ from pyspark.sql import functions as F
 from tabloom.functions import tokens
 from tabloom.functions.tokens import SpecialIds
 from tabloom.operators.ordering import key_position
-from tabloom.session import materialize
 
 BROADCAST_BYTES = 64 << 20
 ENTRY_BYTES = 64
 UNKNOWN_TOKEN = "<unk>"
 # Entries of a large vocabulary that are broadcast on their own.
-FREQUENT_ENTRIES = 200_000
+FREQUENT_ENTRIES = 50_000
 # Tokens that are looked up and regrouped in one task, so that sorting them does not spill.
 TASK_TOKENS = 1_000_000
 
@@ -73,7 +72,7 @@ def _entries(vocabulary: DataFrame, broadcast: bool) -> tuple[DataFrame, DataFra
     named = lambda rows: rows.select(F.col("token").alias("_token"), F.col("id").cast("int").alias("_id"))
     if broadcast:
         return named(vocabulary), None
-    frequent = materialize(vocabulary.orderBy(F.desc("n"), "token").limit(FREQUENT_ENTRIES), "frequent-entries")
+    frequent = vocabulary.orderBy(F.desc("n"), "token").limit(FREQUENT_ENTRIES)
     return named(frequent if fits_broadcast(frequent) else vocabulary.limit(0)), named(vocabulary)
 
 
@@ -83,7 +82,7 @@ def _gathered(rows: DataFrame, rare: DataFrame | None, key: Sequence[str], vocab
     They come together by key once and stay there. The counts of the vocabulary tell into how many tasks.
     """
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if "n" in vocabulary.columns else 0
-    tasks = max(1, -(-total // TASK_TOKENS))
+    tasks = max(2, -(-total // TASK_TOKENS))
     if rare is None:
         every = rows.withColumns({"_at": F.lit(None).cast("int"), "_found": F.lit(None)})
     else:
