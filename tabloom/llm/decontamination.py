@@ -25,6 +25,8 @@ SLOP = 5
 RARE = 2
 # Terms that may be broadcast: their number is counted first, and more of them are joined by shuffle.
 BROADCAST_TERMS = 500_000
+# Texts with claimed windows whose first hash may be broadcast, counted first as well.
+BROADCAST_TEXTS = 2_000_000
 KEY = ("_k1", "_k2")
 
 
@@ -75,6 +77,16 @@ def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return materialize(words.join(small(terms), "term", "left_semi"), "postings")
 
 
+def claimed(texts: DataFrame, claims: DataFrame) -> DataFrame:
+    """The texts that may have claims: a broadcast of hashes leaves out the others before texts move, if claimed ones are few.
+
+    What it leaves is stored, as Spark loses a column where this join and the next one are planned as one.
+    """
+    if claims.count() > BROADCAST_TEXTS:
+        return texts
+    return materialize(texts.join(F.broadcast(claims.select("_k1")), "_k1", "left_semi"), "claimed-texts")
+
+
 def covered(spans: Column) -> Column:
     """Positions inside any of the sorted ``start, end`` spans."""
     step = lambda acc, s: F.struct(
@@ -97,7 +109,8 @@ def located(docs: DataFrame, benchmark: DataFrame, size: int, slop: int, text: s
     claims = agreed.join(wins.select("win", "terms"), "win").groupBy(*KEY).agg(
         F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.size("terms")).alias("end"), "win", "terms"))).alias("_claims")
     )
-    whole = texts.select(*KEY, "_text").join(claims, list(KEY)).withColumn("_words", plain_words(F.col("_text")))
+    claims = materialize(claims, "claims")
+    whole = claimed(texts.select(*KEY, "_text"), claims).join(claims, list(KEY)).withColumn("_words", plain_words(F.col("_text")))
     true = F.filter("_claims", lambda c: F.slice(F.col("_words"), c["start"] + 1, F.size(c["terms"])) == c["terms"])
     exact = whole.select(*KEY, F.transform(true, lambda c: F.struct(c["start"], c["end"], c["win"])).alias("_true"))
     exact = materialize(exact.filter(F.size("_true") > 0).dropDuplicates(list(KEY)), "exact-windows")

@@ -263,3 +263,21 @@ def test_rebalancing_moves_bytes_and_keeps_slots(spark):
     for r in moved:
         loads[r["shard"]] += r["bytes"]
     assert max(loads.values()) <= 1.4 * sum(loads.values()) / 4
+
+
+@pytest.mark.parametrize("most", (None, 0))
+def test_only_claimed_texts_move(spark, monkeypatch, most):
+    """Texts without a claimed window are left out by broadcast before the rest meet their claims; too many claims move all."""
+    if most is not None:
+        monkeypatch.setattr(decontamination, "BROADCAST_TEXTS", most)
+    plans, store = {}, decontamination.materialize
+    monkeypatch.setattr(
+        decontamination, "materialize",
+        lambda df, label: plans.update({label: df._jdf.queryExecution().optimizedPlan().toString()}) or store(df, label),
+    )
+    words = " ".join(f"w{n}" for n in range(12))
+    docs = spark.createDataFrame([(n, f"filler{n} text") for n in range(20)] + [(20, f"x {words} y"), (20, words), (21, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", words)], "item_id string, text string")
+    assert sorted(r["doc_id"] for r in decontamination.clean(docs, items).collect()) == [*range(20), 21]
+    assert ("claimed-texts" in plans) == (most is None)
+    assert most == 0 or "Join LeftSemi" in plans["claimed-texts"] and "strategy=broadcast" in plans["claimed-texts"]
