@@ -4,7 +4,8 @@ A partition splits its texts into words by the tokenizer's pattern. The words it
 DuckDB query in blocks: a row is a token at a position of a word together with the token after it, joined
 with the merge table for the pair's rank. Every step of the recursion contracts each word's leftmost pair of
 minimum rank and joins the two pairs which that changes; it ends when no word has a pair left to merge.
-Decoding joins token positions with the vocabulary and aggregates the pieces in the order of positions.
+Decoding joins token positions with the vocabulary and aggregates the pieces in the order of positions. A text's ids are
+those of its words one after another, so each word's ids are decoded once, by that query, and a text is its words' bytes joined.
 
 The merge table holds every way to split a token into two tokens; its size depends on the vocabulary alone.
 Memory is bounded by a block of words, one text and the kept words, which are dropped when too many. A
@@ -23,6 +24,7 @@ from collections.abc import Callable, Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,28 +34,25 @@ from tabloom.llm.common import arrow_map, pieces
 BLOCK_BYTES = 300_000
 PIECE_BYTES = 128
 SEAM_TOKENS = 8
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 TEXT_BLOCK = 1_000_000
 MEMORY = "256MB"
 # A pair's key, and the place of a rank above a position, in one integer each.
 PAIR, PLACE = 1 << 16, 1 << 40
 SETUP = """
-CREATE TABLE merges AS SELECT * FROM merge_rows;
+CREATE TABLE merges AS SELECT pair, made::INTEGER AS made FROM merge_rows;
 CREATE TABLE vocabulary AS SELECT * FROM vocabulary_rows;
 """
-# A row: word, position of a token, the token, the token after it (-1: none) with its position, and the
+# Whole numbers of 32 bits, as they are rewritten in every step. A row: word, position of a token, the token, the token after it (-1: none) with its position, and the
 # rank of the pair, which is also the id of what it makes (null: no merge).
 ENCODE = f"""
 WITH RECURSIVE state AS (
-    SELECT 0 AS step, s.w, s.pos, s.a, s.b, s.next, m.made
-    FROM (
-        SELECT w, pos, tok AS a, coalesce(lead(tok) OVER (PARTITION BY w ORDER BY pos), -1) AS b, pos + 1 AS next
-        FROM symbols
-    ) s LEFT JOIN merges m ON m.pair = s.a * {PAIR} + s.b
+    SELECT 0::INTEGER AS step, s.w, s.pos, s.a, s.b, (s.pos + 1)::INTEGER AS next, m.made
+    FROM symbols s LEFT JOIN merges m ON m.pair = s.a::BIGINT * {PAIR} + s.b
     UNION ALL
     SELECT n.step, n.w, n.pos, n.a, n.b, n.next, CASE WHEN n.changed THEN m.made ELSE n.made END
     FROM (
-        SELECT s.step + 1 AS step, s.w, s.pos, s.made,
+        SELECT (s.step + 1)::INTEGER AS step, s.w, s.pos, s.made,
             CASE WHEN s.pos = k.pos THEN k.made ELSE s.a END AS a,
             CASE WHEN s.pos = k.pos THEN k.after ELSE CASE WHEN s.next = k.pos THEN k.made ELSE s.b END END AS b,
             CASE WHEN s.pos = k.pos THEN k.after_pos ELSE s.next END AS next,
@@ -61,13 +60,13 @@ WITH RECURSIVE state AS (
         FROM state s JOIN (
             SELECT g.w, g.pos, g.made, r.pos AS gone, r.b AS after, r.next AS after_pos
             FROM (
-                SELECT w, best // {PLACE} AS made, best % {PLACE} AS pos
-                FROM (SELECT w, min(made * {PLACE} + pos) AS best FROM state WHERE made IS NOT NULL GROUP BY w)
+                SELECT w, (best // {PLACE})::INTEGER AS made, (best % {PLACE})::INTEGER AS pos
+                FROM (SELECT w, min(made::BIGINT * {PLACE} + pos) AS best FROM state WHERE made IS NOT NULL GROUP BY w)
             ) g
             JOIN state l ON l.w = g.w AND l.pos = g.pos
             JOIN state r ON r.w = g.w AND r.pos = l.next
         ) k ON k.w = s.w AND k.gone <> s.pos
-    ) n LEFT JOIN merges m ON n.changed AND m.pair = n.a * {PAIR} + n.b
+    ) n LEFT JOIN merges m ON n.changed AND m.pair = n.a::BIGINT * {PAIR} + n.b
 )
 SELECT s.w, list(s.a ORDER BY s.pos) AS ids
 FROM state s JOIN (SELECT w, max(step) AS step FROM state GROUP BY w) e ON e.w = s.w AND e.step = s.step
@@ -114,7 +113,7 @@ class Tokenizer:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         splits = np.array([
             (ranks[token[:at]] * PAIR + ranks[token[at:]], rank)
             for token, rank in ranks.items() for at in range(1, len(token)) if token[:at] in ranks and token[at:] in ranks
@@ -134,15 +133,20 @@ class Tokenizer:
             self.database.unregister(name)
         return found
 
-    def encode_pieces(self, words: list[bytes]) -> list[list[int]]:
+    def encode_pieces(self, words: list[bytes]) -> pa.ListArray:
         """Ids of short, non-empty words."""
         joined = np.frombuffer(b"".join(words), np.uint8)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.arange(len(joined)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        symbols = pa.table({"w": np.repeat(np.arange(len(words)), sizes), "pos": at, "tok": self.single[joined]})
-        return self.lists(ENCODE, symbols=symbols).column("ids").to_pylist()
-
-    def decode_lists(self, lists: list[list[int]]) -> list[bytes]:
+        ends = np.cumsum(sizes)
+        at = np.arange(len(joined)) - np.repeat(ends - sizes, sizes)
+        tokens = self.single[joined]
+        after = np.append(tokens[1:], np.int32(-1))
+        after[ends - 1] = -1
+        number = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        symbols = pa.table({"w": number, "pos": at.astype(np.int32), "a": tokens, "b": after})
+        return self.lists(ENCODE, symbols=symbols).column("ids").combine_chunks()
+
+    def decode_lists(self, lists: list[list[int]] | pa.ListArray) -> list[bytes]:
         """Bytes of non-empty lists of ids."""
         rows = pa.table({"w": np.arange(len(lists)), "ids": pa.array(lists, pa.list_(pa.int64()))})
         return [p.encode("latin-1") for p in self.lists(DECODE, lists=rows).column("piece").to_pylist()]
@@ -158,19 +162,25 @@ class Tokenizer:
         if block:
             yield block
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of non-empty words of any length; a word that is a token is that token."""
-        whole = [self.ranks.get(w) for w in words]
-        short = [w for w, rank in zip(words, whole) if rank is None and len(w) <= PIECE_BYTES]
-        found = iter([ids for block in self.blocks(short) for ids in self.encode_pieces(block)])
-        return [
-            [rank] if rank is not None else next(found) if len(w) <= PIECE_BYTES else self.encode_long(w)
-            for w, rank in zip(words, whole)
-        ]
+    def encode(self, words: list[bytes]) -> Iterator[tuple[bytes, str, bytes]]:
+        """Non-empty words of any length, in any order, with their ids and what these decode to; a word that is a token is that token."""
+        short = [w for w in words if w not in self.ranks and len(w) <= PIECE_BYTES]
+        for block in self.blocks(short):
+            yield from self.both(block, self.encode_pieces(block))
+        for block in self.blocks([w for w in words if w in self.ranks]):
+            yield from self.both(block, pa.array([[self.ranks[w]] for w in block], pa.list_(pa.int64())))
+        for word in words:
+            if len(word) > PIECE_BYTES and word not in self.ranks:
+                yield from self.both([word], pa.array([self.encode_long(word)], pa.list_(pa.int64())))
+
+    def both(self, words: list[bytes], ids: pa.ListArray) -> Iterator[tuple[bytes, str, bytes]]:
+        """Words with their ids in decimal, joined by commas, and the bytes decoded from them."""
+        listed = pa.ListArray.from_arrays(ids.offsets, pc.cast(ids.values, pa.string()))
+        return zip(words, pc.binary_join(listed, ",").to_pylist(), self.decode_lists(ids))
 
     def encode_long(self, word: bytes) -> list[int]:
         cut = [word[at: at + PIECE_BYTES] for at in range(0, len(word), PIECE_BYTES)]
-        parts = [ids for block in self.blocks(cut) for ids in self.encode_pieces(block)]
+        parts = [ids for block in self.blocks(cut) for ids in self.encode_pieces(block).to_pylist()]
         while len(parts) > 1:
             pairs = list(zip(parts[::2], parts[1::2]))
             parts = self.joined(pairs) + ([parts[-1]] if len(parts) % 2 else [])
@@ -184,7 +194,7 @@ class Tokenizer:
             seams = [pairs[n][0][-reach:] + pairs[n][1][:reach] for n in todo]
             texts = [t for block in self.blocks(seams) for t in self.decode_lists(block)]
             rest = []
-            for n, ids in zip(todo, (ids for block in self.blocks(texts) for ids in self.encode_pieces(block))):
+            for n, ids in zip(todo, (ids for block in self.blocks(texts) for ids in self.encode_pieces(block).to_pylist())):
                 left, right = pairs[n]
                 fits_left = len(left) <= reach or ids[0] == left[-reach]
                 fits_right = len(right) <= reach or ids[-1] == right[reach - 1]
@@ -197,26 +207,25 @@ class Tokenizer:
 
 
 class KeptWords:
-    """Ids of words as text, of this generation of words and of the last."""
+    """Words as text with their ids and the bytes decoded from these, of this generation of words and of the last."""
 
     def __init__(self) -> None:
-        self.recent: dict[str, str] = {}
-        self.older: dict[str, str] = {}
+        self.recent: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
-    def meet(self, words: set[str], tokenizer: Tokenizer) -> dict[str, str]:
+    def meet(self, words: set[str], tokenizer: Tokenizer) -> dict[str, tuple[str, bytes]]:
         """A mapping that holds all of ``words``."""
         if len(self.recent) > KEPT_WORDS // 2:
             self.recent, self.older = {}, self.recent
         missing = words.difference(self.recent)
         new = []
         for word in missing:
-            ids = self.older.get(word)
-            if ids is None:
-                new.append(word)
+            found = self.older.get(word)
+            if found is None:
+                new.append(word.encode())
             else:
-                self.recent[word] = ids
-        lists = tokenizer.encode([w.encode() for w in new])
-        self.recent.update(zip(new, (",".join(map(str, ids)) for ids in lists)))
+                self.recent[word] = found
+        self.recent.update((word.decode(), (ids, decoded)) for word, ids, decoded in tokenizer.encode(new))
         return self.recent
 
 
@@ -230,12 +239,22 @@ def opened(path: str, pattern: str) -> tuple[Tokenizer, WordSplitter, KeptWords]
     return _tokenizers[path, pattern]
 
 
-def encoded_ids(texts: list[str | None], path: str, pattern: str) -> list[str]:
-    """Ids of each text, in decimal and joined by commas; null counts as empty."""
+def encoded_and_decoded(texts: list[str | None], path: str, pattern: str) -> tuple[list[str], list[bytes]]:
+    """Ids of each text, in decimal and joined by commas, and the bytes they decode to; null counts as empty."""
     tokenizer, split, kept = opened(path, pattern)
     lists = [split(t or "") for t in texts]
     known = kept.meet(set().union(*lists), tokenizer)
-    return [",".join(map(known.__getitem__, words)) for words in lists]
+    ids, decoded = [], []
+    for words in lists:
+        numbers, parts = zip(*map(known.__getitem__, words)) if words else ((), ())
+        ids.append(",".join(numbers))
+        decoded.append(b"".join(parts))
+    return ids, decoded
+
+
+def encoded_ids(texts: list[str | None], path: str, pattern: str) -> list[str]:
+    """Ids of each text, in decimal and joined by commas; null counts as empty."""
+    return encoded_and_decoded(texts, path, pattern)[0]
 
 
 def decoded_texts(ids: list[str], path: str, pattern: str) -> list[bytes]:
@@ -262,8 +281,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, n
     for batch in batches:
         texts = batch.column(batch.num_columns - 1).to_pylist()
         for start, end in pieces(texts, TEXT_BLOCK):
-            ids = encoded_ids(texts[start:end], path, pattern)
-            decoded = decoded_texts(ids, path, pattern)
+            ids, decoded = encoded_and_decoded(texts[start:end], path, pattern)
             carried = batch.slice(start, end - start).columns[:-1]
             counts = pa.array([i.count(",") + 1 if i else 0 for i in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([*carried, counts, *finish(ids, decoded)], names)

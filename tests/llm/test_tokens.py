@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -38,6 +39,20 @@ def test_long_words_are_joined_exactly(library):
     assert bpe.encoded_ids(LONG, RANKS, public_tokenizers.PATTERN) == [ids_of(library, t) for t in LONG]
 
 
+def test_words_are_encoded_and_decoded_once(library, monkeypatch):
+    """Decoding runs over the ids of new words, however often they stand in texts."""
+    decoded, decode = [], bpe.Tokenizer.decode_lists
+    monkeypatch.setattr(bpe.Tokenizer, "decode_lists", lambda self, lists: decoded.extend(lists) or decode(self, lists))
+    monkeypatch.setattr(bpe, "_tokenizers", {})
+    texts = ["zebra quuxly zebra quuxly"] * 50 + [None, "", "zebra"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    rows = next(bpe.encode_batches(iter([batch]), RANKS, public_tokenizers.PATTERN, ["n_tokens", "ids", "decoded"], bpe.values)).to_pylist()
+    assert [r["decoded"] for r in rows] == [(t or "").encode() for t in texts]
+    assert [",".join(map(str, r["ids"])) for r in rows] == [ids_of(library, t) for t in texts]
+    # "zebra" with and without a blank before it, and " quuxly".
+    assert len(decoded) == 3
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=60), max_size=8))
 def test_any_text_encodes_and_decodes(texts):
