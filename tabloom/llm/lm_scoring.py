@@ -43,9 +43,11 @@ MOST_SEQUENCES = 1_500_000
 STEPS_PER_DOUBLING = 4
 LEAST_WORD = 5e-7
 TEXT_BLOCK = 3_000_000
-SCORED_BLOCK = 1_500_000
+SCORED_BLOCK = 750_000
 COUNTED_WORDS = 300_000
-STRETCH = 512
+STRETCH = 256
+# Rows that leave a Python worker at once.
+ROWS = 100_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -82,10 +84,17 @@ def sequences(lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(packed_of(stream)[inside[DEPTH:]], return_counts=True)
 
 
+def in_rows(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``ROWS`` rows."""
+    whole = pa.RecordBatch.from_arrays(columns, names)
+    for at in range(0, whole.num_rows, ROWS):
+        yield whole.slice(at, ROWS)
+
+
 def count_rows(words: Counter, packed: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     names = ["word", "packed", "n"]
-    yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(words.values(), pa.int64())], names)
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(packed), pa.binary()), pa.array(packed), pa.array(counts.astype(np.int64))], names)
+    yield from in_rows([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(words.values(), pa.int64())], names)
+    yield from in_rows([pa.nulls(len(packed), pa.binary()), pa.array(packed), pa.array(counts.astype(np.int64))], names)
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,17 +200,29 @@ def may_be_longer(packed: np.ndarray, depth: np.ndarray, known: np.ndarray) -> n
     return (known[place >> 6] >> (place & 63) & 1).astype(bool)
 
 
-def left_open(stream: np.ndarray, begin: np.ndarray, sizes: np.ndarray, depths: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct texts and packed sequences, with counts, that may have a longer context than the automaton's."""
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.arange(len(text)) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
-    short = depths[at] < DEPTH
-    text, at = text[short], at[short]
+def left_open(stream: np.ndarray, begin: np.ndarray, depths: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text and packed sequence of every place that may have a longer context than the automaton's."""
+    at = np.flatnonzero(depths < DEPTH)
     packed = packed_of(stream)[at - DEPTH]
     open_ = may_be_longer(packed, depths[at].astype(np.int64), known)
-    codes, number = np.unique(packed[open_], return_inverse=True)
-    both, times = np.unique(text[open_] * max(1, len(codes)) + number, return_counts=True)
-    return both // max(1, len(codes)), codes[both % max(1, len(codes))], times
+    at, packed = at[open_], packed[open_]
+    return np.repeat(np.arange(len(begin)), np.diff(np.append(np.searchsorted(at, begin), len(at)))), packed
+
+
+def settled(text: np.ndarray, packed: np.ndarray, texts: int, changing: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What known changes add to the score of each text; the text, sequence and number of the others, each once.
+
+    Changes are looked up once for each distinct sequence.
+    """
+    codes, number = np.unique(packed, return_inverse=True)
+    place = np.minimum(np.searchsorted(changing, codes), max(0, len(changing) - 1))
+    met = changing[place] == codes if len(changing) else np.zeros(len(codes), bool)
+    values = np.zeros(len(codes))
+    values[met] = change[place[met]]
+    added = np.bincount(text, values[number], texts)
+    rest = ~met[number]
+    both, times = np.unique(text[rest] * max(1, len(codes)) + number[rest], return_counts=True)
+    return added, both // max(1, len(codes)), codes[both % max(1, len(codes))], times
 
 
 def corrections(found: DataFrame, rest: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -265,15 +286,12 @@ def scored_batches(batches: Iterator[pa.RecordBatch], model, changes, common) ->
             parts = -(-sizes // STRETCH)
             text = np.repeat(np.arange(len(lists)), parts)
             nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-            depths = None if longer is None else np.empty(len(stream), np.int8)
+            depths = None if longer is None else np.full(len(stream), DEPTH, np.int8)
             scores = automaton.score(stream, begin[text] + nth * STRETCH, np.minimum(STRETCH, sizes[text] - nth * STRETCH), depths)
             scores = np.bincount(text, scores, len(lists))
             if longer is not None:
-                of, packed, held = left_open(stream, begin, sizes, depths, longer)
-                place = np.minimum(np.searchsorted(changing, packed), max(0, len(changing) - 1))
-                met = changing[place] == packed if len(changing) else np.zeros(len(packed), bool)
-                scores = scores + np.bincount(of[met], held[met] * change[place[met]], len(lists))
-                of, packed, held = of[~met], packed[~met], held[~met]
+                added, of, packed, held = settled(*left_open(stream, begin, depths, longer), len(lists), changing, change)
+                scores = scores + added
             bases, found, rest = [], [], ([], [], [])
             for n, words in enumerate(lists):
                 base, hits = known.get(END, 0.0), int(END in known)
@@ -293,14 +311,14 @@ def scored_batches(batches: Iterator[pa.RecordBatch], model, changes, common) ->
                 pa.array([len(w) + 1 for w in lists], pa.int64()), pa.array(found, pa.int64()), pa.array(bases, pa.float64()), pa.array(scores),
                 pa.nulls(size, pa.binary()), pa.nulls(size, pa.int64()), *nothing(size),
             ], SCORED)
-            yield pa.RecordBatch.from_arrays([
+            yield from in_rows([
                 pa.array(rest[0], pa.int64()), pa.nulls(more, pa.int64()), pa.nulls(more, pa.bool_()), pa.nulls(more, pa.int64()),
                 pa.nulls(more, pa.int64()), pa.nulls(more, pa.float64()), pa.nulls(more, pa.float64()),
                 pa.array(rest[1], pa.binary()), pa.array(rest[2], pa.int64()), *nothing(more),
             ], SCORED)
             if longer is not None:
                 depth, small = automaton.after(packed)
-                yield pa.RecordBatch.from_arrays([
+                yield from in_rows([
                     pa.array(of + row), *(pa.nulls(len(of), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())),
                     pa.array(held.astype(np.int64)), pa.array(packed), pa.array(depth.astype(np.int32)), pa.array(small.astype(np.float64)),
                 ], SCORED)

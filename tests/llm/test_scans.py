@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tabloom.llm import crf, licenses, lm_scoring, secrets, suffix_tree
@@ -257,3 +258,31 @@ def test_training_lines_have_any_length_and_the_kind_of_their_file(spark):
     docs = spark.createDataFrame([(1, long), (2, "1 2 3 4 5 6 7 8 9\n" * 3 + "plain words here"), (3, None), (4, "plain words here")], "doc_id long, text string")
     rows = [json.loads(r["row"]) for r in secrets.arrow_map(docs.select("text").coalesce(1), secrets.sampled, "class int, hash long, row string").collect()]
     assert sorted((len(shapes), sum(map(bool, tags)), kind) for shapes, _, tags, kind in rows) == [(3, 0, 0), (3, 0, 2), (9, 0, 2), (48, 1, 0)]
+
+
+def test_counts_leave_a_task_in_small_batches(monkeypatch):
+    """Counts of a task do not leave its worker as one large batch."""
+    monkeypatch.setattr(lm_scoring, "ROWS", 7)
+    monkeypatch.setattr(lm_scoring, "TEXT_BLOCK", 10)
+    texts = ["the cat and the dog", "a cat", None, "the log"] * 4
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1, 17), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    for most in (10**9, 3):
+        monkeypatch.setattr(lm_scoring, "COUNTED_WORDS", most)
+        found = list(lm_scoring.count_batches(iter([batch])))
+        assert max(b.num_rows for b in found) <= 7
+        got = Counter()
+        for row in pa.Table.from_batches(found).to_pylist():
+            got[row["word"], row["packed"]] += row["n"]
+        lists = [lm_scoring.words_of(t) for d, t in enumerate(texts, 1) if not lm_scoring.held_out(d)]
+        want = Counter((w, None) for words in lists for w in [*words, lm_scoring.END])
+        for packed, n in zip(*lm_scoring.sequences(lists)):
+            want[None, int(packed)] += int(n)
+        assert got == want
+
+
+def test_known_changes_are_added_and_the_rest_listed_once():
+    text, packed = np.array([0, 0, 0, 2, 2, 2]), np.array([5, 9, 5, 7, 7, 9])
+    added, of, codes, times = lm_scoring.settled(text, packed, 3, np.array([5, 8, 9]), np.array([0.5, 9.0, 0.25]))
+    assert added.tolist() == [1.25, 0, 0.25] and (of.tolist(), codes.tolist(), times.tolist()) == ([2], [7], [2])
+    added, of, codes, times = lm_scoring.settled(text, packed, 3, np.empty(0, np.int64), np.empty(0))
+    assert added.tolist() == [0, 0, 0] and list(zip(of, codes, times)) == [(0, 5, 2), (0, 9, 1), (2, 7, 2), (2, 9, 1)]
